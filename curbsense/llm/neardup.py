@@ -119,11 +119,16 @@ def _estimate(percent: int):
     return estimate
 
 
-def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full shingle sets are alike, as a staged table."""
+def _estimated(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose signatures leave room for a link."""
     low = nodes.select("id", "low")
     near = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b")
-    near = staged(near.select("a", "b", "low_a", "low_b").mapInArrow(_estimate(percent), "a long, b long"))
+    return near.select("a", "b", "low_a", "low_b").mapInArrow(_estimate(percent), "a long, b long")
+
+
+def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full shingle sets are alike, as a staged table."""
+    near = staged(pairs)
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct().join(nodes.select("id", "text_key"), "id")
     own = _of(texts, ids).select("id", "text")
     both = near.join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -235,13 +240,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = staged(member.join(crowd, "band"))
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     first = _star(buckets.join(degree, "id"), -F.col("degree"))
-    links = _confirmed(texts, nodes, first, shingle, percent)
+    links = _confirmed(texts, nodes, _estimated(nodes, first, percent), shingle, percent)
     for last in (False, True):
         found = components(links)
         mixed = _mixed(buckets.select("band", "id"), found)
         if mixed.isEmpty():
             break
-        pairs = _within_bound(texts, nodes, mixed, shingle, percent) if last else _star(mixed, F.lit(0))
+        pairs = _within_bound(texts, nodes, mixed, shingle, percent) if last else _estimated(nodes, _star(mixed, F.lit(0)), percent)
         more = _confirmed(texts, nodes, pairs, shingle, percent)
         if last and not more.isEmpty():
             found = components(links.unionByName(more))
