@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curbsense.llm import neardup
+from curbsense.llm import bpe, media_gif, mixing, neardup, quality, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +17,42 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40).withColumn("law", F.lit("key"))
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=20)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_gif.read_back(media_gif.store_texts(_table(spark, sf_dir, "documents")))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_bpe": op3_bpe,
+    "op5_sharding": op5_sharding,
+    "op6_substring": op6_substring,
+    "op7_quality": op7_quality,
+    "op8_gif": op8_gif,
+    "op9_secrets": op9_secrets,
     "op10_minhash": op10_minhash,
 }
 
