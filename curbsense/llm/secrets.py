@@ -2,7 +2,7 @@
 
 Three patterns are secrets on their own (assign, access, hex). Weaker parts are reported only with
 their complement: an identifier assignment (keyid) near a secret, an opaque 40-character token
-(opaque) near an identifier, a service address (endpoint) near a secret. Near means in the same or a
+(opaque) near an identifier, a service address (endpoint) near an identifier. Near means in the same or a
 neighbouring scope of SCOPE code points and at most SCOPE apart: parts are joined on document and
 scope cell, with the distance as condition, so a cell holds few parts and no document is compared
 with itself whole.
@@ -28,7 +28,7 @@ KINDS = [
 ]
 NAMES = [k[0] for k in KINDS]
 #: Parts of which one must be near for a weak kind to be reported.
-NEEDS = {"keyid": "secret", "opaque": "id", "endpoint": "secret"}
+NEEDS = {"keyid": "secret", "opaque": "id", "endpoint": "id"}
 #: Characters of an assignment's value, at least.
 VALUE = 6
 #: Code points of a scope, and the largest distance of linked parts.
