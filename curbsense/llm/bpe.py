@@ -186,8 +186,8 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` long, data binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: its id, n_tokens, ids_sha256 and decoded_sha256, from encoding its text and decoding the ids.
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per row of df: its id, n_tokens, ids_sha256 and decoded_sha256, from encoding its text and decoding the ids; with_ids the ids too.
 
     A null text counts as empty and has no ids. A null id stays null; repeated rows give equal rows;
     an empty table gives none. Texts of any length are encoded whole. Other columns of df are left
@@ -197,13 +197,16 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
-            n, ids_digest, data_digest = [], [], []
+            n, ids_digest, data_digest, ids = [], [], [], []
             for text in batch.column(1):
                 packed = e.packed(text.as_py() or "")
                 n.append(len(packed) // 4)
                 ids_digest.append(hashlib.sha256(packed).hexdigest())
                 data_digest.append(hashlib.sha256(e.decode(np.frombuffer(packed, dtype="<u4").tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(data_digest, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    ids.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(data_digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     python_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -256,3 +256,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = sketches.select("id", "n_shingles", "digest").join(heads, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("digest").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df, with its columns, of the documents that near_duplicates() keeps: one of each group, the smallest id."""
+    gone = staged(near_duplicates(df, id_col, text_col, shingle, percent).where("not kept").select(F.col(id_col).alias("gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"))
+    return rows.join(gone, F.col(f"row.{id_col}").cast("long") == F.col("gone"), "left_anti").select("row.*")
