@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from curbsense.llm import bpe, chat, media_gif, mixing, neardup, quality, secrets, sharding, substring
+from curbsense.llm import bpe, chat, licences, media_gif, mixing, neardup, quality, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40).withColumn("law", F.lit("key"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
     "op3_bpe": op3_bpe,
+    "op4_licences": op4_licences,
     "op5_sharding": op5_sharding,
     "op6_substring": op6_substring,
     "op7_quality": op7_quality,
