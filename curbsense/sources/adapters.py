@@ -124,7 +124,7 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id")
     return table(spark, sf_dir, "events").select(
         u.alias("device"),
-        F.unix_millis("ts").alias("time_ms"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("time_ms"),
         F.col("ts").alias("ts"),
         (_metro(u % 3, 0) + (u * 7919 % 500) / 1e4 + (k * 13 % 60) / 1e4).alias("lat"),
         (_metro(u % 3, 1) + (u * 104729 % 500) / 1e4 + (k * 29 % 60) / 1e4).alias("lon"),
