@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from curbsense.llm.session import python_batches
 
-#: Pieces whose ids a worker remembers; beyond, it starts afresh.
-PIECES = 300_000
+#: Pieces and pairs of tokens that a worker remembers; beyond, it starts afresh.
+PIECES, PAIRS = 800_000, 1_000_000
+#: Lengths of beginnings whose prefix tables are shared, longest first.
+HEADS = (11, 9, 7, 5)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,56 +41,78 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._stable: dict[int, bool] = {}
+        #: Tokens that BPE makes of their own bytes; the only ones an encoding can hold.
+        self.stable = {token: rank for token, rank in ranks.items() if self.merged(token) == [rank]}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self._pairs: dict[int, bool] = {}
+        #: Beginnings of HEADS bytes -> the last tokens of their prefixes.
+        self.heads: dict[bytes, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE: merge the pair of least rank, leftmost first, until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        ranks = [self.ranks.get(data[i : i + 2], 1 << 60) for i in range(len(data) - 1)]
+        while ranks and (least := min(ranks)) < 1 << 60:
+            i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], 1 << 60)
+            if i:
+                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], 1 << 60)
         return [self.ranks[p] for p in parts]
 
-    def stable(self, token: int) -> bool:
-        """BPE of the token's bytes is the token."""
-        if (known := self._stable.get(token)) is None:
-            known = self._stable[token] = self.merged(self.tokens[token]) == [token]
-        return known
+    def extend(self, data: bytes, last: list[int]) -> None:
+        """Append to `last`, the last tokens of the prefixes of data so far, that of the next longer prefix.
+
+        Of the tokens that a prefix ends with, the one that may follow the encoding before it: BPE
+        of both tokens' bytes is the two tokens. There is exactly one, so any order of trial finds
+        it; often it is the last token so far with one byte more.
+        """
+        get, pairs, end = self.stable.get, self._pairs, len(last)
+        longer = end - 1 - self.sizes[last[-1]] if end > 1 else 0
+        for start in (longer, *range(end - 1, max(-1, end - 1 - self.longest), -1)):
+            token = get(data[start:end])
+            if token is None:
+                continue
+            if start:
+                key = last[start] << 32 | token
+                follows = pairs.get(key)
+                if not (self._follows(key) if follows is None else follows):
+                    continue
+            last.append(token)
+            return
+        raise ValueError(f"no token ends at byte {end}")
 
-    def follows(self, left: int, right: int) -> bool:
-        """BPE of both tokens' bytes is the two tokens."""
-        if (known := self._pairs.get((left, right))) is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return known
+    def _follows(self, key: int) -> bool:
+        if len(self._pairs) >= PAIRS:
+            self._pairs.clear()
+        left, right = key >> 32, key & 0xFFFFFFFF
+        follows = self._pairs[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+        return follows
 
 
 class PrefixTable:
     """The last token of every prefix of `data`."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
-        self.append(data)
-
-    def _entry(self, end: int) -> int:
-        """The last token of data[:end]."""
-        v, data, last = self.vocabulary, self.data, self.last
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(data[start:end])
-            if token is not None and v.stable(token) and (not start or v.follows(last[start], token)):
-                return token
-        raise ValueError(f"no token ends at byte {end}")
+        self.vocabulary, self.data = vocabulary, data
+        # Prefixes depend on their own bytes alone, so tables of common beginnings are shared.
+        heads, known = vocabulary.heads, next((h for n in HEADS if (h := vocabulary.heads.get(data[:n]))), (-1,))
+        self.last = list(known) if len(known) <= len(data) + 1 else [-1]
+        for _ in range(len(self.last), len(data) + 1):
+            vocabulary.extend(data, self.last)
+        for n in HEADS:
+            if len(known) - 1 < n <= len(data):
+                if len(heads) >= PIECES:
+                    heads.clear()
+                heads[data[:n]] = tuple(self.last[: n + 1])
 
     def append(self, data: bytes) -> None:
         """Add bytes at the end; entries so far stay."""
-        before = len(self.data)
         self.data += data
-        for end in range(before + 1, len(self.data) + 1):
-            self.last.append(self._entry(end))
+        for _ in data:
+            self.vocabulary.extend(self.data, self.last)
 
     def edit(self, start: int, stop: int, data: bytes) -> int:
         """Put `data` in place of data[start:stop]. Returns how many entries were computed anew."""
@@ -99,7 +124,7 @@ class PrefixTable:
             if agree >= self.vocabulary.longest:
                 self.last += old[end - shift :]
                 return end - start - 1
-            self.last.append(self._entry(end))
+            self.vocabulary.extend(self.data, self.last)
             agree = agree + 1 if end > start + len(data) and self.last[end] == old[end - shift] else 0
         return len(self.data) - start
 
@@ -107,10 +132,27 @@ class PrefixTable:
         out, end = [], len(self.data)
         while end:
             out.append(self.last[end])
-            end -= len(self.vocabulary.tokens[out[-1]])
+            end -= self.vocabulary.sizes[out[-1]]
         return out[::-1]
 
 
+class _Pieces(dict):
+    """Piece -> its ids as little-endian unsigned 32-bit integers, filled on demand."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+        v, data = self.vocabulary, piece.encode("utf-8")
+        whole = v.ranks.get(data)
+        ids = [whole] if whole is not None else PrefixTable(v, data).ids()
+        packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
 class Encoder:
     """Texts to ids and back. A piece that is a token itself is that token, as tokenizers of this kind have it."""
 
@@ -118,24 +160,16 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         # White space as Unicode has it, without the control characters that Python adds.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self._known: dict[str, bytes] = {}
-
-    def piece_ids(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8")
-        whole = self.vocabulary.ranks.get(data)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+        self._known = _Pieces(self.vocabulary)
+        # All tokens' bytes in a row, and where each begins, for decoding by array operations.
+        tokens = [self.vocabulary.tokens.get(i, b"") for i in range(max(self.vocabulary.tokens) + 1)]
+        self._sizes = np.array([len(x) for x in tokens], dtype=np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        known, out = self._known, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= PIECES:
-                    known.clear()
-                ids = known[piece] = np.array(self.piece_ids(piece), dtype="<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._known.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), dtype="<u4").tolist()
@@ -145,10 +179,14 @@ class Encoder:
         if not text:
             return self.encode(more)
         last = self.split(text)[-1]
-        return ids[: len(ids) - len(self.piece_ids(last))] + self.encode(last + more)
+        return ids[: len(ids) - len(self._known[last]) // 4] + self.encode(last + more)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for; an id that is none raises IndexError or stands for nothing."""
+        ids = np.asarray(ids, dtype=np.int64)
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        return self._bytes[np.repeat(self._starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -180,7 +218,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.decode(x.as_py() or ()) for x in batch.column(1)], pa.binary())], names=[id_col, "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([e.decode(x.as_py() or []) for x in batch.column(1)], pa.binary())], names=[id_col, "data"])
 
     python_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` long, data binary")
@@ -202,7 +240,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 packed = e.packed(text.as_py() or "")
                 n.append(len(packed) // 4)
                 ids_digest.append(hashlib.sha256(packed).hexdigest())
-                data_digest.append(hashlib.sha256(e.decode(np.frombuffer(packed, dtype="<u4").tolist())).hexdigest())
+                data_digest.append(hashlib.sha256(e.decode(np.frombuffer(packed, dtype="<u4"))).hexdigest())
                 if with_ids:
                     ids.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(data_digest, pa.string())]
