@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from curbsense.llm.session import python_batches
 
-#: Pieces and pairs of tokens that a worker remembers; beyond, it starts afresh.
-PIECES, PAIRS = 800_000, 1_000_000
+#: Pieces, pairs of tokens and shared tables that a worker remembers (some 200 MB); beyond, it starts afresh.
+PIECES, PAIRS, TABLES = 350_000, 450_000, 150_000
 #: Lengths of beginnings whose prefix tables are shared, longest first.
 HEADS = (11, 9, 7, 5)
 
@@ -104,7 +104,7 @@ class PrefixTable:
             vocabulary.extend(data, self.last)
         for n in HEADS:
             if len(known) - 1 < n <= len(data):
-                if len(heads) >= PIECES:
+                if len(heads) >= TABLES:
                     heads.clear()
                 heads[data[:n]] = tuple(self.last[: n + 1])
 
