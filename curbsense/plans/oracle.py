@@ -97,7 +97,7 @@ SIGHTINGS = f"""sightings AS (
     FROM (SELECT event_id AS k, event_id % 2500 AS dd, ts FROM events))"""
 
 FIXES = f"""fixes AS (
-    SELECT u AS device, epoch_ms(ts) AS time_ms, ts,
+    SELECT u AS device, epoch_us(ts) // 1000 AS time_ms, ts,
         {metro('(u % 3)', 0)} + (u * 7919 % 500) / CAST(10000 AS DOUBLE) + (k * 13 % 60) / CAST(10000 AS DOUBLE) AS lat,
         {metro('(u % 3)', 1)} + (u * 104729 % 500) / CAST(10000 AS DOUBLE) + (k * 29 % 60) / CAST(10000 AS DOUBLE) AS lon,
         value * CAST(1.5 AS DOUBLE) AS accuracy_m
