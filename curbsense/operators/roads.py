@@ -91,3 +91,78 @@ def reachable(edges: DataFrame, start: str, rounds: int) -> DataFrame:
         if step % 4 == 3:
             best = cut(best)
     return best
+
+
+def _quickest(out_of: dict, start: str, goal: str, closed: set) -> tuple[float, list[tuple[str, str]], int] | None:
+    """(seconds, edges, blocked edges) of the quickest path that uses no closed edge."""
+    best, came, heap = {start: 0.0}, {}, [(0.0, start)]
+    while heap:
+        cost, node = heapq.heappop(heap)
+        if node == goal:
+            edges, hits = [], 0
+            while node != start:
+                before, blocked = came[node]
+                edges.append((before, node))
+                hits += blocked
+                node = before
+            return cost, edges[::-1], hits
+        if cost > best[node]:
+            continue
+        for v, secs, blocked in out_of.get(node, ()):
+            if (node, v) not in closed and cost + secs < best.get(v, float("inf")):
+                best[v] = cost + secs
+                came[v] = (node, blocked)
+                heapq.heappush(heap, (cost + secs, v))
+    return None
+
+
+#: Requests a plan may make, and segments it may exclude.
+REQUESTS, EXCLUSIONS = 8, 50
+PLAN = "trip long, outcome string, requests int, fastest_s double, fastest_blocked int, best_s double, best_blocked int"
+
+
+def plan_exclusions(trips: DataFrame, edges: DataFrame) -> DataFrame:
+    """Plans of trips (trip, region, start, goal) by asking for a route again and again without the blocked segments met so far.
+
+    Each answer's blocked segments are excluded from the next request, until an answer has none, no
+    route is left (then the exclusion next to an end is given up), or requests or exclusions are
+    used up. The best answer has the fewest blocked segments, then the least time; the first of
+    equals. The router here is the region's graph; trips of a region are planned in its task.
+    """
+
+    def plan(key, trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        out_of: dict[str, list[tuple[str, float, bool]]] = {}
+        marked = set()
+        for u, v, secs, blocked in edges[["u", "v", "secs", "blocked"]].itertuples(index=False):
+            out_of.setdefault(u, []).append((v, secs, bool(blocked)))
+            if blocked:
+                marked.add((u, v))
+        rows = []
+        for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False):
+            closed: list[tuple[str, str]] = []
+            given_up: set[tuple[str, str]] = set()
+            answers, requests = [], 0
+            while requests < REQUESTS:
+                requests += 1
+                found = _quickest(out_of, start, goal, set(closed))
+                if found is None:
+                    if not closed:
+                        break
+                    # Give up the exclusion that touches an end of the trip, else the oldest.
+                    given_up.add(edge := next((e for e in closed if {start, goal} & set(e)), closed[0]))
+                    closed.remove(edge)
+                    continue
+                answers.append((found[2], found[0], len(answers)))
+                met = [e for e in found[1] if e in marked and e not in closed and e not in given_up]
+                if not met or len(closed) + len(met) > EXCLUSIONS:
+                    break
+                closed += met
+            if not answers:
+                rows.append((trip, "no_route", requests, None, None, None, None))
+                continue
+            first, best = answers[0], min(answers)
+            outcome = "clear" if not first[0] else "avoided" if not best[0] else "fewer" if best[0] < first[0] else "same"
+            rows.append((trip, outcome, requests, first[1], first[0], best[1], best[0]))
+        return pd.DataFrame(rows, columns=["trip", "outcome", "requests", "fastest_s", "fastest_blocked", "best_s", "best_blocked"]).astype({"fastest_blocked": "Int32", "best_blocked": "Int32"})
+
+    return trips.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(plan, PLAN)

@@ -260,3 +260,38 @@ def cluster_bounds(spark: SparkSession, d: str):
     points = tables.cluster_levels(spark, d).where("level = 10").select("id", "x", "y", "count")
     box = points.join(cluster_ancestor(spark, d), "id").groupBy("ancestor")
     return box.agg(F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("north"), F.max("y").alias("south"), F.sum("count").alias("count"))
+
+
+@query("plan_phase1")
+def plan_phase1(spark: SparkSession, d: str):
+    """Routes found by excluding, request after request, the blocked segments that answers pass."""
+    out = roads.plan_exclusions(travel._trips(spark, d), travel._edges(spark, d).withColumn("region", F.lit(0)))
+    return out.withColumns({"fastest_s": F.round("fastest_s", 3), "best_s": F.round("best_s", 3)})
+
+
+MATCHED = f"""drives AS (SELECT route, CAST(k AS BIGINT) AS k, lat1 + (lat2 - lat1) * (k * 15 - start_m) / length_m + 0.0001 AS lat, lon1 + (lon2 - lon1) * (k * 15 - start_m) / length_m AS lon, {o.bearing('lat1', 'lon1', 'lat2', 'lon2')} AS course FROM placed, range(0, 8000, 40) t(k) WHERE k * 15 >= start_m AND k * 15 < start_m + length_m AND route % 4 <> 3),
+    scored AS (SELECT d.route, d.k, p.segment, {o.seg('d.lat', 'd.lon', 'lat1', 'lon1', 'lat2', 'lon2')} AS off, least({o.pmod(f"d.course - {o.bearing('lat1', 'lon1', 'lat2', 'lon2')}", 'CAST(360 AS DOUBLE)')}, 360 - {o.pmod(f"d.course - {o.bearing('lat1', 'lon1', 'lat2', 'lon2')}", 'CAST(360 AS DOUBLE)')}) AS diff FROM drives d JOIN placed p ON p.route = d.route)"""
+
+
+@query("map_match_whole", o.with_(o.VERTICES, SEGS, MATCHED, select="SELECT route, k, segment, round(off, 2) AS off_m FROM (SELECT *, row_number() OVER (PARTITION BY route, k ORDER BY off + CASE WHEN diff > 45 THEN 60 * least(1, (diff - 45) / 90) ELSE 0 END, segment) AS rn FROM scored) WHERE rn = 1"))
+def map_match_whole(spark: SparkSession, d: str):
+    """Fixes matched to their whole route by distance, with a penalty where the segment heads elsewhere."""
+    s = spatial.segments(a.vertices(spark, d))
+    k = F.col("k")
+    t = (k * 15 - F.col("start_m")) / F.col("length_m")
+    first = F.ceil(F.col("start_m") / 600) * 40
+    fixes = s.where("route % 4 <> 3").withColumn("k", F.explode(F.sequence(first, F.greatest(first, F.lit(7960)), F.lit(40)))).where("k * 15 >= start_m AND k * 15 < start_m + length_m AND k < 8000")
+    fixes = fixes.select("route", "k", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * t + 0.0001).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * t).alias("lon"), geo.bearing_deg("lat1", "lon1", "lat2", "lon2").alias("course"))
+    pairs = fixes.join(s, "route").withColumn("off", geo.segment_distance_m("lat", "lon", "lat1", "lon1", "lat2", "lon2")).withColumn("diff", geo.angle_diff("course", geo.bearing_deg("lat1", "lon1", "lat2", "lon2")))
+    score = F.col("off") + F.when(F.col("diff") > 45, 60 * F.least(F.lit(1.0), (F.col("diff") - 45) / 90)).otherwise(0.0)
+    best = pairs.groupBy("route", "k").agg(F.min(F.struct(score.alias("score"), "segment", "off")).alias("m"))
+    return best.select("route", "k", "m.segment", F.round("m.off", 2).alias("off_m"))
+
+
+@query("route_report_geojson", o.with_(*ON_ROUTE, select="""SELECT route, osm_id, '{"type":"Feature","properties":{"kind":"camera","osm_id":' || osm_id || ',"along_m":' || printf('%.1f', round(start_m + hit_m, 1)) || '},"geometry":{"type":"Point","coordinates":[' || printf('%.4f', lon) || ',' || printf('%.4f', lat) || ']}}' AS feature FROM on_route"""))
+def route_report_geojson(spark: SparkSession, d: str):
+    """The camera features of each route's report."""
+    cams = a.cameras(spark, d)
+    hits = spatial.route_membership(cams, a.vertices(spark, d), corridors(spark, d)).join(cams.select("osm_type", "osm_id", "lat", "lon"), ["osm_type", "osm_id"])
+    feature = F.format_string('{"type":"Feature","properties":{"kind":"camera","osm_id":%d,"along_m":%.1f},"geometry":{"type":"Point","coordinates":[%.4f,%.4f]}}', "osm_id", F.round("along_m", 1), "lon", "lat")
+    return hits.select("route", "osm_id", feature.alias("feature"))
