@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from curbsense.llm.session import python_batches
 
-#: Pieces, pairs of tokens and shared tables that a worker remembers (some 200 MB); beyond, it starts afresh.
-PIECES, PAIRS, TABLES = 350_000, 450_000, 150_000
+#: Pieces, pairs of tokens and shared tables that a worker remembers (some 130 MB); beyond, it starts afresh.
+PIECES, PAIRS, TABLES = 250_000, 300_000, 100_000
 #: Lengths of beginnings whose prefix tables are shared, longest first.
 HEADS = (11, 9, 7, 5)
 
@@ -189,6 +189,12 @@ class Encoder:
         return self._bytes[np.repeat(self._starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
+    def forget(self) -> None:
+        """Drop pieces and shared tables, so that a worker without a task holds little memory."""
+        self._known.clear()
+        self.vocabulary.heads.clear()
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -207,6 +213,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         for batch in batches:
             ids = [np.frombuffer(e.packed(t.as_py() or ""), dtype="<u4").astype(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
+        e.forget()
 
     python_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, ids array<int>")
@@ -245,6 +252,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                     ids.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(data_digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        e.forget()
 
     python_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
