@@ -2,10 +2,10 @@
 
 Three patterns are secrets on their own (assign, access, hex). Weaker parts are reported only with
 their complement: an identifier assignment (keyid) near a secret, an opaque 40-character token
-(opaque) near an identifier, a service address (endpoint) near an identifier. Near means in the same or a
-neighbouring scope of SCOPE code points and at most SCOPE apart: parts are joined on document and
-scope cell, with the distance as condition, so a cell holds few parts and no document is compared
-with itself whole.
+(opaque) near an identifier, a service address (endpoint) near an identifier. Near means at most SCOPE code
+points apart, end to start: a complement lies in every scope cell that its span touches, a weak part looks
+into every cell within SCOPE of its own span, and parts are joined on document and cell, with the distance
+as condition, so a cell holds few parts and no document is compared with itself whole.
 """
 
 from __future__ import annotations
@@ -76,9 +76,10 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     units = rows.where("size(weak) > 0").select("text_key", "base", "weak").dropDuplicates(["text_key"])
     part = F.element_at(F.array(*(F.lit(k[2]) for k in KINDS)), F.col("s.kind") + 1)
     parts = units.select("text_key", F.explode(F.concat("base", "weak")).alias("s")).select("text_key", "s.*", part.alias("part"))
-    near = parts.select(F.col("text_key").alias("near_key"), F.col("start").alias("near_start"), F.col("end").alias("near_end"), F.col("part").alias("near_part"), F.floor(F.col("start") / SCOPE).alias("near_cell"))
+    cells = lambda first, last: F.explode(F.sequence(F.floor(first / SCOPE), F.floor(last / SCOPE)))
+    near = parts.select(F.col("text_key").alias("near_key"), F.col("start").alias("near_start"), F.col("end").alias("near_end"), F.col("part").alias("near_part"), cells(F.col("start"), F.col("end") - 1).alias("near_cell"))
     need = F.element_at(F.array(*(F.lit(NEEDS.get(n)) for n in NAMES)), F.col("kind") + 1)
-    weak = parts.where(F.col("kind") >= 3).withColumn("need", need).withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("start") / SCOPE) + d)))
+    weak = parts.where(F.col("kind") >= 3).withColumn("need", need).withColumn("cell", cells(F.col("start") - SCOPE, F.col("end") + SCOPE))
     apart = F.greatest(F.col("near_start") - F.col("end"), F.col("start") - F.col("near_end"))
     linked = weak.join(near, (F.col("text_key") == F.col("near_key")) & (F.col("cell") == F.col("near_cell")) & (F.col("need") == F.col("near_part")) & (apart <= SCOPE), "left_semi")
     linked = linked.groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("linked"))
