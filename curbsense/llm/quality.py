@@ -2,15 +2,19 @@
 
 Lines are normalised (lower case, digits as 0, blanks as one space) and hashed, and for each host the
 documents that hold a line are counted; equal texts of a host count as one document. A line is
-boilerplate where more than `limit` documents hold it and at least half of them hold it out of
-place, that is MARGIN times as often as the median line of the document. (In copies and near copies
-of a document all lines are about as frequent, so a family of copies doesn't make its own text
-boilerplate.) Boilerplate lines are removed, and a document that is left with less than `least` of
-its words is rejected as depleted.
+boilerplate where more than `limit` groups of documents hold it: near copies, whose distinct lines
+agree to NEAR (Jaccard), are one group, so a family of copies doesn't make its own text boilerplate.
+A group is the documents that a leader is near to, the one of least key; it isn't extended by
+neighbours of neighbours, which boilerplate alone could chain. Leaders come from MinHash buckets
+of the lines, and each pair is checked exactly. Boilerplate lines are removed, and a document that
+is left with less than `least` of its words is rejected as depleted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,10 @@ from curbsense.llm.session import staged
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-LIMIT, MARGIN, LEAST = 20, 4, 0.3
+LIMIT, LEAST = 20, 0.3
+#: Share of the lines of two texts together that near copies have in common, and buckets and hashes in a bucket that find them (of pairs at NEAR 1 in 5,000 is missed).
+NEAR, BANDS, ROWS = 0.75, 16, 3
+KEY = ["host", "text_key"]
 #: Most rejected texts whose keys (16 bytes and a host name each) may be broadcast; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 300_000
 
@@ -73,21 +80,56 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     )
 
 
+def _on(a: str, b: str, *names: str) -> Column:
+    """Equality of columns of two aliases, nulls equal; a pair of names may differ as left=right."""
+    left_right = [n.split("=") * 2 for n in names]
+    return reduce(and_, (F.col(f"{a}.{n[0]}").eqNullSafe(F.col(f"{b}.{n[1]}")) for n in left_right))
+
+
+def held_lines(rows: DataFrame) -> DataFrame:
+    """Rows (host, text_key, n_words, n_lines, line, w, n) of the lines that n > 1 texts of the host hold, as a staged table."""
+    units = rows.where("n_words > 0").select(*KEY, "n_words", "lines").dropDuplicates(KEY)
+    lines = units.select(*KEY, "n_words", F.size(F.array_distinct("lines.line")).alias("n_lines"), F.explode("lines").alias("l"))
+    lines = lines.groupBy(*KEY, "n_words", "n_lines", F.col("l.line").alias("line")).agg(F.sum("l.w").alias("w"))
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return staged(lines.alias("a").join(counts.alias("b"), _on("a", "b", "host", "line")).select("a.*", "n"))
+
+
+def leaders(held: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Rows (host, text_key, lead) of texts that are near copies of a leader; the others are groups of their own.
+
+    Only texts that hold a line of more than `limit` texts matter, and a near copy shares NEAR of its
+    lines. Lines of one text alone are in no intersection, so their number is all that is needed of them.
+    """
+    sets = held.groupBy(*KEY, "n_lines").agg(F.collect_list("line").alias("set"), F.max("n").alias("most"))
+    sets = staged(sets.where((F.col("most") > limit) & (F.size("set") >= NEAR * F.col("n_lines"))).select(*KEY, "n_lines", "set"))
+
+    def bucket(band: Column) -> Column:
+        return F.xxhash64(band, *(F.array_min(F.transform("set", lambda x: F.xxhash64(band * ROWS + r, x))) for r in range(ROWS)))
+
+    buckets = staged(sets.select(*KEY, F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), bucket)).alias("bucket")))
+    least = buckets.groupBy("host", "bucket").agg(F.min("text_key").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    pairs = buckets.alias("a").join(least.alias("b"), _on("a", "b", "host", "bucket")).where("text_key <> lead").select("a.*", "lead").drop("bucket").distinct()
+    pairs = pairs.alias("p").join(sets.alias("a"), _on("p", "a", *KEY)).join(sets.alias("b"), _on("p", "b", "host", "lead=text_key"))
+    common = F.size(F.array_intersect("a.set", "b.set"))
+    near = pairs.select("p.*", F.col("a.n_lines").alias("n_a"), F.col("b.n_lines").alias("n_b"), common.alias("common"))
+    return near.where(F.col("common") >= NEAR * (F.col("n_a") + F.col("n_b") - F.col("common"))).groupBy(*KEY).agg(F.min("lead").alias("lead"))
+
+
+def boilerplate(held: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Rows (host, line) of the lines that more than `limit` groups of near copies hold."""
+    frequent = held.where(F.col("n") > limit).select(*KEY, "line")
+    grouped = frequent.alias("a").join(staged(leaders(held, limit)).alias("b"), _on("a", "b", *KEY), "left")
+    grouped = grouped.select("a.host", "line", F.coalesce("lead", "a.text_key").alias("lead")).distinct()
+    return grouped.groupBy("host", "line").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > limit).select("host", "line")
+
+
 def depleted(rows: DataFrame, limit: int = LIMIT, least: float = LEAST) -> DataFrame:
     """Keys (host, text_key) of texts that keep less than `least` of their words without boilerplate lines."""
-    key = ["host", "text_key"]
-    units = rows.where("n_words > 0").select(*key, "n_words", "lines").dropDuplicates(key)
-    lines = units.select(*key, "n_words", F.explode("lines").alias("l")).groupBy(*key, "n_words", F.col("l.line").alias("line")).agg(F.sum("l.w").alias("w"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    on = lambda a, b, *names: [a[c].eqNullSafe(b[c]) for c in names]
-    held = lines.alias("a").join(counts.alias("b"), [F.col("a.host").eqNullSafe(F.col("b.host")), F.col("a.line") == F.col("b.line")]).select("a.*", "n")
-    held = staged(held)
-    typical = held.groupBy(*key).agg(F.percentile_approx("n", 0.5).alias("typical"))
+    held = held_lines(rows)
     frequent = held.where(F.col("n") > limit)
-    placed = frequent.alias("a").join(typical.alias("b"), [F.col("a.host").eqNullSafe(F.col("b.host")), F.col("a.text_key") == F.col("b.text_key")]).select("a.*", "typical")
-    boiler = placed.groupBy("host", "line").agg(F.avg((F.col("n") > MARGIN * F.col("typical")).cast("int")).alias("share")).where("share >= 0.5").select("host", "line")
-    removed = frequent.join(boiler, on(frequent, boiler, "host", "line"), "left_semi").groupBy(*key, "n_words").agg(F.sum("w").alias("removed"))
-    return removed.where(F.col("n_words") - F.col("removed") < least * F.col("n_words")).select(*key)
+    removed = frequent.alias("a").join(boilerplate(held, limit).alias("b"), _on("a", "b", "host", "line"), "left_semi").groupBy(*KEY, "n_words").agg(F.sum("w").alias("removed"))
+    return removed.where(F.col("n_words") - F.col("removed") < least * F.col("n_words")).select(*KEY)
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least: float = LEAST) -> DataFrame:
