@@ -1,6 +1,6 @@
 """Licence scans with DataFrame operations only: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines with a word) are turned into counts of word 1- to 3-grams of a fixed vocabulary,
+Paragraphs (lines with a word, and windows of consecutive lines for notices that are wrapped) are turned into counts of word 1- to 3-grams of a fixed vocabulary,
 that of the licence templates, and a multinomial logistic regression names a family or "unknown".
 It is trained here: templates, whole and in part, amid words of the corpus, against paragraphs of
 a bounded sample. The probability that a family needs is calibrated on held-out paragraphs of the
@@ -89,6 +89,53 @@ def paragraphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.xxhash64("whole", F.length("whole")).alias("text_key"), F.posexplode(lines).alias("paragraph", "text"))
 
 
+def passages(df: DataFrame, id_col: str, text_col: str, longest: int) -> DataFrame:
+    """Rows (id, text_key, paragraph, last, text) of the lines with a word and of runs of lines between blank ones.
+
+    A run goes from the end of its first line on over whole lines, until `longest` words follow that
+    line: at any width of lines some run holds a wrapped notice of that many words. Every such run
+    is given, and words count without punctuation, so marks of comments don't shorten one.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
+    numbered = F.filter(F.transform(F.split("whole", "\n"), lambda x, r: F.struct(r.alias("r"), x.alias("x"))), lambda s: has_word(s["x"]))
+
+    def line(s: Column, i: Column) -> Column:
+        # Lines of a block are numbered alike among all lines and among those with a word.
+        return let(_tokens(s["x"]), lambda t: F.struct(i.alias("at"), (s["r"] - i).alias("block"), F.slice(t, 1, longest).alias("head"), F.slice(t, F.greatest(F.size(t) - longest + 1, F.lit(1)), longest).alias("tail")))
+
+    def runs(lines: Column) -> Column:
+        none = F.array().cast("array<struct<paragraph:int,last:int,text:string>>")
+
+        def of(s: Column, k: Column) -> Column:
+            def add(state: Column, x: Column) -> Column:
+                text = F.concat_ws(" ", state["text"], F.array_join(x["head"], " "))
+                run = F.struct(s["at"].alias("paragraph"), x["at"].alias("last"), text.alias("text"))
+                longer = F.struct((state["n"] + F.size(x["head"])).alias("n"), text.alias("text"), F.concat(state["runs"], F.array(run)).alias("runs"))
+                return F.when((x["block"] == s["block"]) & (state["n"] < longest), longer).otherwise(state)
+
+            start = F.struct(F.lit(0).alias("n"), F.array_join(s["tail"], " ").alias("text"), none.alias("runs"))
+            return F.aggregate(F.slice(lines, k + 2, longest), start, add, lambda state: state["runs"])
+
+        return F.flatten(F.transform(lines, of))
+
+    def every(found: Column) -> Column:
+        single = F.transform(found, lambda s, i: F.struct(i.alias("paragraph"), i.alias("last"), s["x"].alias("text")))
+        return F.concat(single, let(F.filter(F.transform(found, line), lambda s: F.size(s["head"]) > 0), runs))
+
+    return rows.select("id", F.xxhash64("whole", F.length("whole")).alias("text_key"), F.explode(let(numbered, every)).alias("p")).select("id", "text_key", "p.*")
+
+
+def _apart(spans: Column) -> Column:
+    """First lines of spans (last, -paragraph) that do not overlap, by least end; a shorter span goes before one that holds it."""
+
+    def add(state: Column, s: Column) -> Column:
+        kept = F.struct(s["last"].alias("end"), F.concat(state["kept"], F.array(-s["back"])).alias("kept"))
+        return F.when(-s["back"] > state["end"], kept).otherwise(state)
+
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("kept"))
+    return F.aggregate(F.sort_array(spans), start, add, lambda state: state["kept"])
+
+
 def train(spark: SparkSession, sample: DataFrame, seed: int = 1) -> tuple[PipelineModel, float]:
     """The classifier and its calibrated probability, from a bounded sample of paragraphs (text)."""
     vocab = vocabulary(spark)
@@ -117,6 +164,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     licences lists the families found, in order of name, joined by commas; first_paragraph is the
     number (from 0, among lines with a word) of the first such paragraph, null where there is none.
+    A notice that is wrapped over lines counts once, by its first line.
     A null, empty or blank text has no paragraph. A null id stays null; repeated rows give equal
     rows; an empty table gives none. Whole texts are read; other columns of df are left out.
     """
@@ -131,14 +179,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     words_of = [F.col("low").contains(w) for w in keywords(spark)]
     some = reduce(or_, words_of)
     lower = df.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), F.lower(text_col).alias("low")).where(some).drop("low")
-    near = paragraphs(lower, id_col, text_col).withColumn("low", F.lower("text")).where(some).drop("low").withColumn("grams", F.array_distinct(grams(F.col("text"))))
+    longest = _templates(spark).agg(F.max(F.size(_tokens(F.col("template"))))).first()[0]
+    near = passages(lower, id_col, text_col, longest).withColumn("low", F.lower("text")).where(some).drop("low").withColumn("grams", F.array_distinct(grams(F.col("text"))))
     scored = model.transform(near).withColumn("p", vector_to_array("probability"))
     best = F.array_max(F.transform(F.slice("p", 2, len(FAMILIES)), lambda p, i: F.struct(p.alias("p"), (i + 1).alias("label"))))
-    scored = scored.select("id", "text_key", "paragraph", "grams", best.alias("best")).where(F.col("best.p") >= least)
+    scored = scored.select("text_key", "paragraph", "last", "grams", best.alias("best")).where(F.col("best.p") >= least)
     checked = scored.join(F.broadcast(_templates(spark).select("label", F.col("grams").alias("of"))), F.col("best.label") == F.col("label"))
     share = F.size(F.array_intersect("grams", "of")) / F.size("of")
     names = F.array(*map(F.lit, FAMILIES))
-    found = checked.where(share >= CONFIRM).select("id", "text_key", "paragraph", F.get(names, F.col("label")).alias("family"))
+    found = checked.where(share >= CONFIRM).select("text_key", F.struct("last", (-F.col("paragraph")).alias("back")).alias("span"), F.get(names, F.col("label")).alias("family"))
+    found = found.groupBy("text_key", "family").agg(F.collect_set("span").alias("spans")).select("text_key", "family", F.explode(_apart(F.col("spans"))).alias("paragraph"))
     hits = found.groupBy("text_key").agg(F.countDistinct("paragraph").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"), F.min("paragraph").alias("first_paragraph"))
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
     docs = docs.select("id", F.xxhash64("whole", F.length("whole")).alias("text_key"), F.size(F.filter(F.split("whole", "\n"), has_word)).cast("long").alias("n_paragraphs"))
