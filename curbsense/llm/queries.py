@@ -75,4 +75,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_chat": chat.ORACLE_SQL,
+    "op9_secrets": secrets.ORACLE_SQL,
 }
