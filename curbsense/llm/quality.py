@@ -6,8 +6,8 @@ boilerplate where more than `limit` groups of documents hold it: near copies, wh
 agree to NEAR (Jaccard), are one group, so a family of copies doesn't make its own text boilerplate.
 A group is the documents that a leader is near to, the one of least key; it isn't extended by
 neighbours of neighbours, which boilerplate alone could chain. Leaders come from MinHash buckets
-of the lines, and each pair is checked exactly. Boilerplate lines are removed, and a document that
-is left with less than `least` of its words is rejected as depleted.
+of the lines, and each pair is checked exactly. Boilerplate lines are removed from the texts
+(clean), and a document that is left with less than `least` of its words is rejected as depleted.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbsense.llm.columns import BLANKS, has_word, let, words
+from curbsense.llm.columns import BLANKS, has_word, let, text_key, words
 from curbsense.llm.session import staged
 
 WINDOW = 5
@@ -27,7 +27,7 @@ LIMIT, LEAST = 20, 0.3
 #: Share of the lines of two texts together that near copies have in common, and buckets and hashes in a bucket that find them (of pairs at NEAR 1 in 5,000 is missed).
 NEAR, BANDS, ROWS = 0.75, 16, 3
 KEY = ["host", "text_key"]
-#: Most rejected texts whose keys (16 bytes and a host name each) may be broadcast; beyond, they are joined by shuffle.
+#: Most keys of texts that lose lines or are rejected, and hashes of their lines, that may be broadcast (some 40 and 8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_KEYS = 300_000
 
 
@@ -59,6 +59,10 @@ def _normal(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.lower(line)), "[0-9]", "0"), r"\s+", " ")
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(_normal(line))
+
+
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id, host, text_key, the base measures and the lines (hash, words) of every row, as a staged table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -69,13 +73,13 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
         rows.select(
             "id",
             "host",
-            F.xxhash64("text", F.length("text")).alias("text_key"),
+            text_key(F.col("text")).alias("text_key"),
             F.size("words").cast("long").alias("n_words"),
             bare.alias("word_chars"),
             (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(F.col("lines"), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("words")).alias("n_repeat_words"),
-            F.transform("lines", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.size(words(x)).alias("w"))).alias("lines"),
+            F.transform("lines", lambda x: F.struct(_line_hash(x).alias("line"), F.size(words(x)).alias("w"))).alias("lines"),
         ).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     )
 
@@ -124,35 +128,47 @@ def boilerplate(held: DataFrame, limit: int = LIMIT) -> DataFrame:
     return grouped.groupBy("host", "line").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > limit).select("host", "line")
 
 
-def depleted(rows: DataFrame, limit: int = LIMIT, least: float = LEAST) -> DataFrame:
-    """Keys (host, text_key) of texts that keep less than `least` of their words without boilerplate lines."""
+def removals(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Rows (host, text_key, lines, removed): the boilerplate lines of each text that holds some, and their words, as a staged table."""
     held = held_lines(rows)
-    frequent = held.where(F.col("n") > limit)
-    removed = frequent.alias("a").join(boilerplate(held, limit).alias("b"), _on("a", "b", "host", "line"), "left_semi").groupBy(*KEY, "n_words").agg(F.sum("w").alias("removed"))
-    return removed.where(F.col("n_words") - F.col("removed") < least * F.col("n_words")).select(*KEY)
+    gone = held.where(F.col("n") > limit).alias("a").join(boilerplate(held, limit).alias("b"), _on("a", "b", "host", "line"), "left_semi")
+    return staged(gone.groupBy(*KEY).agg(F.collect_list("line").alias("lines"), F.sum("w").cast("long").alias("removed")))
+
+
+def _verdicts(rows: DataFrame, limit: int, least: float) -> DataFrame:
+    """rows with removed, lines (null where a text keeps all its lines) and kept."""
+    out = rows.drop("lines").alias("a").join(removals(rows, limit).alias("b"), _on("a", "b", *KEY), "left").select("a.*", F.coalesce("removed", F.lit(0).cast("long")).alias("removed"), "b.lines")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed") >= least * F.col("n_words")))
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least: float = LEAST) -> DataFrame:
-    """One row per row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
+    """One row per row of df: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and n_boilerplate_words.
 
-    A null, empty or blank text has no words and fails. A null host is a host of its own. Repeated
-    rows and equal texts of a host count as one document and share its verdict. An empty table
-    gives no rows. Other columns of df are left out and may have any name.
+    n_boilerplate_words are those of the lines that clean() removes. A null, empty or blank text has
+    no words and fails. A null host is a host of its own. Repeated rows and equal texts of a host
+    count as one document and share its verdict. Whole texts are read, whatever their length. An
+    empty table gives no rows. Other columns of df are left out and may have any name.
     """
-    rows = measured(df, id_col, text_col, host_col)
-    gone = staged(depleted(rows, limit, least)).select(F.col("host").alias("gone_host"), F.col("text_key").alias("gone_key"), F.lit(True).alias("gone"))
-    out = rows.join(gone, F.col("host").eqNullSafe(F.col("gone_host")) & (F.col("text_key") == F.col("gone_key")), "left")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(F.col("id").alias(id_col), *names, (~F.col("base_failed") & F.col("gone").isNull()).alias("kept"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return _verdicts(measured(df, id_col, text_col, host_col), limit, least).select(F.col("id").alias(id_col), *names, F.col("removed").alias("n_boilerplate_words"))
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, least: float = LEAST) -> DataFrame:
-    """The rows of df, with its columns, that quality() keeps. Only keys of rejected texts are joined to the texts."""
-    rows = measured(df, id_col, text_col, host_col)
-    gone = depleted(rows, limit, least).union(rows.where("base_failed").select("host", "text_key")).distinct()
-    gone = staged(gone).select(F.struct(F.col("host").alias("h"), F.col("text_key").alias("k")).alias("gone"))
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
-    kept = df.select(F.struct(*(df[c] for c in df.columns)).alias("row")).withColumn("key", F.struct(F.col(f"row.{host_col}").cast("string").alias("h"), F.xxhash64(text, F.length(text)).alias("k")))
-    return kept.join(gone, F.col("key").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+    """The rows of df, with its columns, that quality() keeps, their texts without boilerplate lines.
+
+    Null, empty and blank texts go, as they fail. Texts without boilerplate stay as they are, and so
+    do lines without a word. Repeated rows stay repeated; an empty table gives no rows; df's columns
+    may have any name. Only keys of texts that go or lose lines are joined to the texts, so texts
+    are moved only where these are more than BROADCAST_KEYS.
+    """
+    verdicts = _verdicts(measured(df, id_col, text_col, host_col), limit, least)
+    marks = verdicts.where(~F.col("kept") | F.col("lines").isNotNull()).select(F.struct(F.col("host").alias("h"), F.col("text_key").alias("k")).alias("mark"), F.when(F.col("kept"), F.col("lines")).alias("lines"), "kept")
+    marks = staged(marks.dropDuplicates(["mark"]))
+    if (marks.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.greatest(F.size("lines"), F.lit(0))), F.lit(0))).first()[0]) <= BROADCAST_KEYS:
+        marks = F.broadcast(marks)
+    text = F.col(f"row.{text_col}")
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row")).withColumn("key", F.struct(F.col(f"row.{host_col}").cast("string").alias("h"), text_key(F.coalesce(text, F.lit(""))).alias("k")))
+    rows = rows.join(marks, F.col("key").eqNullSafe(F.col("mark")), "left").where(F.coalesce("kept", F.lit(True)))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(has_word(x) & F.array_contains("lines", _line_hash(x)))), "\n")
+    new = F.when(F.col("lines").isNull(), text).otherwise(left)
+    return rows.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))
