@@ -36,7 +36,8 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40).withColumn("law", F.lit("key"))
+    out = sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=40).withColumn("law", F.lit("key"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
