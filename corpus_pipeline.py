@@ -15,8 +15,11 @@ from curbsense.llm.session import staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; texts of the others stay as they are."""
-    return quality.clean(docs)
+    """Documents that the quality rules reject go; the others lose their boilerplate lines, and n_chars is that of the new text.
+
+    Null and empty texts go; repeated rows share a verdict; an empty table gives none.
+    """
+    return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
