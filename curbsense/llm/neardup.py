@@ -11,10 +11,18 @@ one nearest to the original), and the others link to it alone: candidates grow w
 with their square. Candidate pairs are confirmed on full sets, computed anew from the whole texts.
 
 A star may miss links that do not touch its centre. So buckets whose members still lie in different
-components get a second star about another centre, and then an exact bound decides the rest: a
+components get a second star about another centre, and then the rest is decided by exact bounds. A
 document whose set shares c of its n shingles with any other such document can link to a document
-(c', n') only if 100 * min(c, c') >= percent * (n + n' - min(c, c')). The few pairs that meet it are
-confirmed too. No bucket is capped and no pair within the bound is left out.
+(c', n') only if 100 * min(c, c') >= percent * (n + n' - min(c, c')). And two sets that are alike
+have one of their rarest shingles in common: of n shingles, ordered by the number of such documents
+that hold them, the first n - percent * n / 100 + 1 are enough (prefix filtering). Documents are
+joined on bucket and such a shingle, so only pairs that share a rare shingle meet. No bucket is
+capped, and no pair within the bounds is left out. Signatures then rule out pairs whose share of
+equal bins is SLACK below the threshold, 5 standard errors of 512 bins; with slack None every pair
+is confirmed on full sets instead.
+
+Bands, shingles and their rows are dealt by salted keys where a join needs it, so one bucket of very
+many members is spread over tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbsense.llm.components import components
@@ -38,8 +46,8 @@ ATTEMPTS = 1024
 BROADCAST_IDS = 500_000
 #: Share of equal bins, less than the threshold, below which a pair is not confirmed: 5 standard errors of 512 bins.
 SLACK = 0.09
-#: Members of one bucket compared with one another in one task; larger buckets are cut into blocks.
-BLOCK = 512
+#: Parts that the rows of a bucket are dealt over.
+SALTS = 16
 
 
 def _borrow_order() -> np.ndarray:
@@ -107,8 +115,8 @@ def _alike(shingle: int, percent: int):
     return alike
 
 
-def _estimate(percent: int):
-    least = int(BINS * max(0.0, percent / 100 - SLACK))
+def _estimate(percent: int, slack: float):
+    least = int(BINS * max(0.0, percent / 100 - slack))
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,11 +127,13 @@ def _estimate(percent: int):
     return estimate
 
 
-def _estimated(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose signatures leave room for a link."""
+def _estimated(nodes: DataFrame, pairs: DataFrame, percent: int, slack: float | None) -> DataFrame:
+    """Of the pairs (a, b) those whose signatures leave room for a link; all of them where slack is None."""
+    if slack is None:
+        return pairs
     low = nodes.select("id", "low")
     near = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("low_b")), "b")
-    return near.select("a", "b", "low_a", "low_b").mapInArrow(_estimate(percent), "a long, b long")
+    return near.select("a", "b", "low_a", "low_b").mapInArrow(_estimate(percent, slack), "a long, b long")
 
 
 def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -139,19 +149,33 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _salt() -> Column:
+    return F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)).cast("int")
+
+
+def _per_bucket(rows: DataFrame, least: list, whole: list) -> DataFrame:
+    """rows (band, salt, ...) with what `whole` gathers for each band from what `least` gathers for each band and salt.
+
+    Bands meet their rows part by part, so a band of very many rows doesn't lie in one task.
+    """
+    parts = rows.groupBy("band", "salt").agg(*least)
+    found = parts.select("band", "salt").join(parts.groupBy("band").agg(*whole), "band")
+    return rows.join(found, ["band", "salt"])
+
+
 def _star(buckets: DataFrame, rank) -> DataFrame:
     """Pairs of every member with the first of its bucket by (rank, hash), one row each; not those in one component."""
     own = F.col("component") if "component" in buckets.columns else F.col("id")
     ranked = buckets.withColumns({"rank": rank, "own": own})
-    centre = ranked.groupBy("band").agg(F.min(F.struct("rank", F.xxhash64("id").alias("h"), "id", "own")).alias("centre"))
-    return ranked.join(centre, "band").where("centre.own <> own").select(*_pair("id", "centre.id")).distinct()
+    first = F.min(F.struct("rank", F.xxhash64("id").alias("h"), "id", "own")).alias("first")
+    return _per_bucket(ranked, [first], [F.min("first").alias("centre")]).where("centre.own <> own").select(*_pair("id", "centre.id")).distinct()
 
 
 def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (band, id, component) of buckets that hold several components, as a staged table."""
+    """The rows (band, salt, id, component) of buckets that hold several components, as a staged table."""
     placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-    return staged(placed.join(several, "band"))
+    ends = [F.min("component").alias("least"), F.max("component").alias("most")]
+    return staged(_per_bucket(placed, ends, [F.min("least").alias("least"), F.max("most").alias("most")]).where("least <> most").drop("least", "most"))
 
 
 def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -171,50 +195,25 @@ def _exploded(shingle: int):
 
 
 def _within_bound(texts: DataFrame, nodes: DataFrame, mixed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that neither the shared parts of their sets nor their signatures rule out.
-
-    A bucket is compared in blocks of about BLOCK members, so no task holds more than two of them.
-    """
+    """Pairs of one bucket and different components that the exact bounds do not rule out: they share a rare shingle."""
     ids = mixed.select("id").distinct().join(nodes.select("id", "text_key"), "id")
     own = _of(texts, ids).select("id", "text").mapInArrow(_exploded(shingle), "id long, shingles array<long>")
-    rows = own.select("id", F.explode("shingles").alias("s"))
-    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
-    shared = rows.join(common, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    able = shared.join(nodes.select("id", F.col("n_shingles").alias("n")), "id").where(f"100 * c >= {percent} * n")
-    able = mixed.join(able, "id").join(nodes.select("id", "low", "bands"), "id")
-    size = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
-    cut = mixed.groupBy("band").agg(size.alias("blocks"))
-    able = able.join(cut, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    able = able.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    able = able.withColumn("task", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")))
-    return able.drop("blocks").groupBy("band", "task").applyInArrow(_compared(percent), "a long, b long")
-
-
-def _compared(percent: int):
-    least = int(BINS * max(0.0, percent / 100 - SLACK))
-
-    def compared(table: pa.Table) -> pa.Table:
-        """Pairs of a task's two blocks (one, where they are the same) whose first common bucket is this one."""
-        low = np.frombuffer(b"".join(table["low"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-        bands = np.array(table["bands"].to_pylist(), dtype=np.int64).reshape(-1, BANDS)
-        ids, part, c, n, block, band, other = (table[x].to_numpy() for x in ("id", "component", "c", "n", "block", "band", "other"))
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in range(len(ids)):
-            # Each pair once: within a block by id, across blocks from the lower block.
-            near = (ids > ids[i]) if block[i] == other[i] else (block > block[i])
-            shared = np.minimum(c, c[i])
-            near &= (part != part[i]) & (100 * shared >= percent * (n + n[i] - shared))
-            at = np.flatnonzero(near)
-            at = at[(low[at] == low[i]).sum(axis=1) >= least]
-            at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == band[0]]
-            out.append((np.full(len(at), ids[i]), ids[at]))
-        x, y = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return compared
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    rows = staged(own.select("id", F.explode("shingles").alias("s")))
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = rows.join(common, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    sizes = nodes.select("id", F.col("n_shingles").alias("n"))
+    able = held.join(sizes, "id").withColumn("c", F.size("shared")).where(f"100 * c >= {percent} * n")
+    # Shingles that no other such document holds come first in the order, and they match nothing.
+    rare = F.slice("shared", F.lit(1), F.col("c") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)
+    rare = staged(able.select("id", "n", "c", F.explode(rare).alias("r")).select("id", "n", "c", "r.s"))
+    keyed = mixed.select("band", "id", "component").join(rare, "id")
+    a, b = (keyed.select("band", "s", *(F.col(x).alias(f"{x}_{side}") for x in ("id", "n", "c", "component"))) for side in "ab")
+    least = F.least("c_a", "c_b")
+    pairs = a.join(b, ["band", "s"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * least >= percent * (F.col("n_a") + F.col("n_b") - least)))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slack: float | None = SLACK) -> DataFrame:
     """One row per row of df: its id, n_shingles, component_id and kept.
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their sets of
@@ -224,7 +223,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null or empty text, or one of spaces, has an empty set: it links with nothing and is kept.
     A row without id is kept with a null component_id. Rows that repeat an id are one document.
-    An empty table gives no rows; other columns of df are left out and may have any name.
+    Texts of any length are compared whole. An empty table gives no rows; other columns of df are
+    left out and may have any name.
     """
     spark = df.sparkSession
     python_batches(spark)
@@ -235,19 +235,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = staged(heads.select("digest", F.col("head.id").alias("id"), F.col("head.text_key").alias("text_key")))
     nodes = staged(sketches.drop("digest").join(heads.select("id", "text_key"), ["id", "text_key"], "left_semi").dropDuplicates(["id", "text_key"]))
 
-    member = nodes.select("id", F.explode("bands").alias("band"))
-    crowd = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = staged(member.join(crowd, "band"))
+    member = nodes.select("id", F.explode("bands").alias("band")).withColumn("salt", _salt())
+    buckets = staged(_per_bucket(member, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("size")]).where("size > 1"))
     degree = buckets.groupBy("id").agg(F.sum("size").alias("degree"))
     first = _star(buckets.join(degree, "id"), -F.col("degree"))
-    links = _confirmed(texts, nodes, _estimated(nodes, first, percent), shingle, percent)
+    links = _confirmed(texts, nodes, _estimated(nodes, first, percent, slack), shingle, percent)
     for last in (False, True):
         found = components(links)
-        mixed = _mixed(buckets.select("band", "id"), found)
+        mixed = _mixed(buckets.select("band", "salt", "id"), found)
         if mixed.isEmpty():
             break
-        pairs = _within_bound(texts, nodes, mixed, shingle, percent) if last else _estimated(nodes, _star(mixed, F.lit(0)), percent)
-        more = _confirmed(texts, nodes, pairs, shingle, percent)
+        pairs = _within_bound(texts, nodes, mixed, shingle, percent) if last else _star(mixed, F.lit(0))
+        more = _confirmed(texts, nodes, _estimated(nodes, pairs, percent, slack), shingle, percent)
         if last and not more.isEmpty():
             found = components(links.unionByName(more))
         links = links.unionByName(more)
@@ -259,7 +258,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of df, with its columns, of the documents that near_duplicates() keeps: one of each group, the smallest id."""
+    """The rows of df, with its columns, of the documents that near_duplicates() keeps: one of each group, the smallest id.
+
+    Null and empty texts, and rows without an id, stay; rows that repeat a kept id stay repeated. An
+    empty table gives no rows; df's columns may have any name. Texts aren't moved where the ids that
+    go are few enough to be broadcast.
+    """
     gone = staged(near_duplicates(df, id_col, text_col, shingle, percent).where("not kept").select(F.col(id_col).alias("gone")).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
