@@ -65,7 +65,7 @@ def _grams_of(text: Column) -> Column:
 
 @dataclass
 class Classifier:
-    #: Rows (gram, weights): what a gram adds to the score of each family.
+    #: Rows (gram, number, weights): what a gram adds to the score of each family.
     weights: DataFrame
     intercepts: list[float]
     #: Probability of a margin m over "unknown": 1 / (1 + exp(-(slope * m + offset))).
@@ -116,13 +116,13 @@ def train(spark: SparkSession, sample: DataFrame) -> Classifier:
     rows = counts.transform(rows).select("label", "held", "weight", "features")
     model = LogisticRegression(labelCol="label", weightCol="weight", family="multinomial", regParam=0.0001, elasticNetParam=0.5, maxIter=80, standardization=False).fit(rows.where("NOT held"))
     matrix = model.coefficientMatrix.toArray()
-    used = [(int(g), [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary) if abs(matrix[:, k]).max() > 1e-4]
+    used = [(int(g), k, [float(x) for x in matrix[:, k]]) for k, g in enumerate(vocabulary) if abs(matrix[:, k]).max() > 1e-4]
     scores = model.transform(rows.where("held")).select("label", vector_to_array("rawPrediction").alias("s"))
     margin = F.array_max(F.slice("s", 2, len(FAMILIES))) - F.col("s")[0]
     right = (F.col("label") > 0) & (F.array_position("s", F.array_max("s")) == F.col("label") + 1)
     held = VectorAssembler(inputCols=["m"], outputCol="x").transform(scores.select(margin.alias("m"), right.cast("double").alias("right")))
     fit = LogisticRegression(featuresCol="x", labelCol="right", regParam=0.001, maxIter=50).fit(held)
-    weights = spark.createDataFrame(used, "gram long, weights array<double>").coalesce(1)
+    weights = staged(spark.createDataFrame(used, "gram long, number int, weights array<double>").coalesce(1))
     return Classifier(weights, [float(x) for x in model.interceptVector], float(fit.coefficients[0]), float(fit.intercept), templates)
 
 
@@ -145,11 +145,13 @@ def predicted(rows: DataFrame, of: Classifier) -> DataFrame:
     """Rows (key, window, label, p) of paragraphs of rows (key, whole) that are likely to declare a licence."""
     # A row's grams are counted apart from those of equal texts, which give equal predictions.
     words = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "key", F.posexplode(_grams_of(F.col("whole"))).alias("pos", "gram"))
-    hits = words.join(F.broadcast(of.weights), "gram")
+    hits = words.join(F.broadcast(of.weights.select("gram", "number")), "gram")
+    # What crosses the network is one row a text, with two numbers for each gram that counts; all that follows stays where it is.
     at = F.floor(F.col("pos") / (3 * (WINDOW // 2))).cast("int")
-    hits = hits.select("row", "key", "gram", "weights", F.explode(F.array(at, at - 1)).alias("window")).where("window >= 0")
+    hits = hits.groupBy("row", "key").agg(F.collect_list(F.struct(at.alias("at"), "number")).alias("hits")).select("row", "key", F.explode("hits").alias("h"))
+    hits = hits.select("row", "key", "h.number", F.explode(F.array("h.at", F.col("h.at") - 1)).alias("window")).where("window >= 0")
     # In a window a gram counts once.
-    seen = hits.groupBy("row", "key", "window", "gram").agg(F.first("weights").alias("weights"))
+    seen = hits.dropDuplicates(["row", "key", "window", "number"]).join(F.broadcast(of.weights.select("number", "weights")), "number")
     sums = seen.groupBy("row", "key", "window").agg(*(F.sum(F.col("weights")[f]).alias(f"s{f}") for f in range(len(FAMILIES))))
     score = [F.col(f"s{f}") + of.intercepts[f] for f in range(len(FAMILIES))]
     # A paragraph may declare several licences, but of variants of one only that with the best score.

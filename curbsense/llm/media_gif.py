@@ -1,8 +1,10 @@
 """Media columns: GIF files as binary columns, decoded to timed frames with colour histograms.
 
 The decoder reads LZW code streams, interlaced or not, and paints each frame on the canvas with its
-palette, transparent index and disposal rule. The encoder stores bytes as frames of WIDTH samples a
-row over a palette in which sample i is the grey (i, i, i), so a payload is read back from colours.
+palette, transparent index and disposal rule. The encoder stores bytes as timed frames of WIDTH
+samples a row, each cleared after it was shown, in the colours of one palette, all different; a
+payload is read back from the painted colours, by their red. Every frame gets a histogram of its
+visible colours as an array column.
 
 The width of a code follows from its number since the last clear code, so whole runs of codes are
 taken out of a stream, and put into it, by array operations; only the dictionary is walked code by
@@ -27,6 +29,10 @@ from curbsense.llm.session import python_batches
 #: Samples a row, most rows of a frame, and hundredths of a second a frame is shown.
 WIDTH, ROWS, DELAY = 64, 1024, 10
 TABLE = 4096
+#: Sample i in red, green and blue: red is i itself, so colours tell samples apart.
+PALETTE = np.stack([np.arange(256), np.arange(256) * 5 % 256, 255 - np.arange(256)], axis=1).astype(np.uint8)
+#: Ranges of a colour in a histogram.
+BINS = 4
 
 
 @dataclass
@@ -156,17 +162,21 @@ def encode_gif(payload: bytes) -> bytes:
     if not payload or len(payload) % WIDTH:
         raise ValueError(f"a payload has a positive multiple of {WIDTH} bytes")
     rows = len(payload) // WIDTH
-    greys = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), greys]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), PALETTE.tobytes()]
     for top in range(0, rows, ROWS):
         part = payload[top * WIDTH : (top + ROWS) * WIDTH]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY, 0, 0))
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 2 << 2, DELAY, 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08" + _blocks(pack_codes(lzw_codes(part))))
     return b"".join(out) + b"\x3b"
 
 
 def decode_gif(data: bytes) -> list[Frame]:
     """The frames of a GIF file. A file that breaks the format raises ValueError or IndexError."""
+    return [Frame(f.left, f.top, f.delay_ms, f.disposal, f.samples, f.canvas.copy()) for f in decoded(data)]
+
+
+def decoded(data: bytes) -> Iterator[Frame]:
+    """decode_gif() frame by frame; a frame's canvas is painted on by the next one."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -191,7 +201,7 @@ def decode_gif(data: bytes) -> list[Frame]:
         return b"".join(out)
 
     common = palette(flags)
-    canvas, frames = np.zeros((height, width, 4), dtype=np.uint8), []
+    canvas = np.zeros((height, width, 4), dtype=np.uint8)
     delay, disposal, clear_index = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         kind = data[at]
@@ -233,13 +243,12 @@ def decode_gif(data: bytes) -> list[Frame]:
             area[:] = painted
         else:
             area[shown != clear_index] = painted[shown != clear_index]
-        frames.append(Frame(left, top, delay, disposal, samples, canvas.copy()))
+        yield Frame(left, top, delay, disposal, samples, canvas)
         if disposal == 2:
             area[:] = 0
         elif disposal == 3:
             canvas = saved
         delay, disposal, clear_index = 0, 0, None
-    return frames
 
 
 def payload_of(frames: list[Frame]) -> bytes:
@@ -247,23 +256,27 @@ def payload_of(frames: list[Frame]) -> bytes:
     return b"".join(f.canvas[: f.samples.shape[0], :, 0].tobytes() for f in frames)
 
 
-def histogram(frame: Frame, bins: int = 4) -> list[int]:
-    """Visible pixels of a canvas by (red, green, blue), `bins` ranges each."""
-    pixels = frame.canvas[frame.canvas[..., 3] > 0].astype(np.int64) * bins >> 8
-    return np.bincount((pixels[:, 0] * bins + pixels[:, 1]) * bins + pixels[:, 2], minlength=bins**3).tolist()
+def histogram(frame: Frame) -> np.ndarray:
+    """Visible pixels of a canvas by (red, green, blue), BINS ranges each."""
+    colour = frame.canvas.view("<u4")[..., 0]
+    low = 8 - BINS.bit_length() + 1
+    code = (colour >> low & BINS - 1) * BINS**2 + (colour >> low + 8 & BINS - 1) * BINS + (colour >> low + 16 & BINS - 1)
+    return np.bincount(code[colour > 0xFFFFFF], minlength=BINS**3)
 
 
-def feature_of(frames: list[Frame]) -> str:
-    """Frames, total time, and the greys of all samples in 16 ranges."""
-    greys = sum(np.bincount(f.canvas[: f.samples.shape[0], :, 0].ravel() >> 4, minlength=16) for f in frames)
-    return f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};greys={','.join(map(str, greys.tolist()))}"
+def feature_of(histograms: list[np.ndarray], delays: list[int]) -> str:
+    """Frames, total time, and the visible pixels of all frames by colour: range of red, green, blue, and count, where there are some."""
+    total = np.sum(histograms, axis=0)
+    told = [f"{k // BINS**2}{k // BINS % BINS}{k % BINS}:{total[k]}" for k in np.flatnonzero(total)]
+    return f"frames={len(histograms)};ms={sum(delays)};colours={','.join(told)}"
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_bytes and media, its text as a GIF file (UTF-8, filled up with 0 to a multiple of WIDTH).
 
-    A null text counts as empty, so its payload is WIDTH zeros. A null id stays null; repeated rows
-    give equal rows; an empty table gives none. Other columns of df are left out and may have any name.
+    A null text counts as empty, so its payload is WIDTH zeros. A text of any length is stored whole,
+    in frames of at most WIDTH * ROWS bytes. A null id stays null; repeated rows give equal rows; an
+    empty table gives none. Other columns of df are left out and may have any name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,21 +291,34 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def read_back(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """store_texts() rows with digests of the payload that decoding gives, of the file, and its feature."""
+    """store_texts() rows with digests of the payload that decoding gives, of the file, its feature, and its frames.
+
+    frames has each frame's number, time in milliseconds and colour histogram. Frames are decoded one
+    after another, so a long file's canvases aren't held at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, histograms, delays, cuts = [], [np.zeros(0, np.int64)], [], [0]
             for media in batch.column(2):
                 media = media.as_py()
-                frames = decode_gif(media)
-                payload = payload_of(frames)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(frames)))
+                payload, first = [], len(histograms)
+                for f in decoded(media):
+                    payload.append(f.canvas[: f.samples.shape[0], :, 0].tobytes())
+                    histograms.append(histogram(f))
+                    delays.append(f.delay_ms)
+                payload = b"".join(payload)
+                cuts.append(len(delays))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(histograms[first:], delays[cuts[-2] :])))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds)], names=[id_col, "n_bytes", *NAMES])
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(delays) + 1, dtype=np.int32) * BINS**3), pa.array(np.concatenate(histograms)))
+            number = np.arange(len(delays)) - np.repeat(cuts[:-1], np.diff(cuts))
+            frame = pa.StructArray.from_arrays([pa.array(number, pa.int32()), pa.array(delays, pa.int32()), counts], names=["frame", "delay_ms", "histogram"])
+            frames = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), frame)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns, kinds), frames], names=[id_col, "n_bytes", *NAMES, "frames"])
 
-    fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<frame:int,delay_ms:int,histogram:array<long>>>"
     return stored.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` long, n_bytes long, {fields}")
 
 
@@ -312,7 +338,7 @@ def frames(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
                 if not media.is_valid:
                     continue
                 try:
-                    rows = [(key, i, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], histogram(f)) for i, f in enumerate(decode_gif(media.as_py()))]
+                    rows = [(key, i, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], histogram(f).tolist()) for i, f in enumerate(decoded(media.as_py()))]
                 except (ValueError, IndexError, struct.error):
                     rows = [(key, None, None, None, None, None)]
                 if rows:
