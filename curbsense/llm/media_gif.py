@@ -13,6 +13,7 @@ code.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -46,9 +47,10 @@ class Frame:
     canvas: np.ndarray
 
 
-def _widths(bits: int, n: int) -> np.ndarray:
-    """Widths of the first n codes after a clear code, for samples of `bits` bits."""
-    known = (1 << bits) + 2 + np.maximum(np.arange(n) - 1, 0)
+@functools.cache
+def _widths(bits: int) -> np.ndarray:
+    """Widths of the first TABLE codes after a clear code, for samples of `bits` bits; later ones have 12."""
+    known = (1 << bits) + 2 + np.maximum(np.arange(TABLE) - 1, 0)
     return np.minimum(12, np.maximum(bits + 1, np.floor(np.log2(known)).astype(np.int64) + 1))
 
 
@@ -89,7 +91,7 @@ def pack_codes(codes: list[int], bits: int = 8) -> bytes:
     after[1:] = np.where(values[:-1] == 1 << bits, np.arange(1, n), 0)
     place = np.arange(n) - np.maximum.accumulate(after)
     place[0] = 0
-    widths = _widths(bits, int(place.max()) + 1)[place]
+    widths = _widths(bits)[place]
     start = np.cumsum(widths) - widths
     shifted = values << (start & 7)
     out = np.zeros((int(start[-1]) + int(widths[-1]) + 7) // 8 + 3)
@@ -105,7 +107,7 @@ def unpack_codes(stream: bytes, bits: int) -> Iterator[list[int]]:
     step = TABLE
     while at < end:
         run: list[np.ndarray] = []
-        widths = _widths(bits, step)
+        widths = _widths(bits)[: (end - at) // (bits + 1) + 1]
         while True:
             start = at + np.cumsum(widths) - widths
             fits = start + widths <= end
@@ -118,7 +120,7 @@ def unpack_codes(stream: bytes, bits: int) -> Iterator[list[int]]:
                 at = end if codes[stop[0]] == clear + 1 else int(start[stop[0]] + w[stop[0]])
                 break
             run.append(codes)
-            if len(codes) < step:
+            if len(codes) < len(widths) or len(widths) < step:
                 at = end
                 break
             at = int(start[-1] + w[-1])
