@@ -11,18 +11,16 @@ one nearest to the original), and the others link to it alone: candidates grow w
 with their square. Candidate pairs are confirmed on full sets, computed anew from the whole texts.
 
 A star may miss links that do not touch its centre. So buckets whose members still lie in different
-components get a second star about another centre, and then the rest is decided by exact bounds. A
+components get a second star about another centre, and then an exact bound decides the rest: a
 document whose set shares c of its n shingles with any other such document can link to a document
-(c', n') only if 100 * min(c, c') >= percent * (n + n' - min(c, c')). And two sets that are alike
-have one of their rarest shingles in common: of n shingles, ordered by the number of such documents
-that hold them, the first n - percent * n / 100 + 1 are enough (prefix filtering). Documents are
-joined on bucket and such a shingle, so only pairs that share a rare shingle meet. No bucket is
-capped, and no pair within the bounds is left out. Signatures then rule out pairs whose share of
-equal bins is SLACK below the threshold, 5 standard errors of 512 bins; with slack None every pair
-is confirmed on full sets instead.
-
-Bands, shingles and their rows are dealt by salted keys where a join needs it, so one bucket of very
-many members is spread over tasks.
+(c', n') only if 100 * min(c, c') >= percent * (n + n' - min(c, c')). Signatures then rule out pairs
+whose share of equal bins is SLACK below the threshold, 5 standard errors of 512 bins; with slack
+None every pair within the bound is confirmed on full sets instead. No bucket is capped. (Joining
+such documents on their rarest shingles, by prefix filtering, was tried in place of blocks: a family
+just below the threshold shares these too, and every pair of it met many times over.)
+
+A bucket's rows are dealt over SALTS parts where a join needs it, so one of very many members is
+spread over tasks.
 """
 
 from __future__ import annotations
@@ -46,6 +44,8 @@ ATTEMPTS = 1024
 BROADCAST_IDS = 500_000
 #: Share of equal bins, less than the threshold, below which a pair is not confirmed: 5 standard errors of 512 bins.
 SLACK = 0.09
+#: Members of one bucket compared with one another in one task; larger buckets are cut into blocks.
+BLOCK = 512
 #: Parts that the rows of a bucket are dealt over.
 SALTS = 16
 
@@ -194,23 +194,48 @@ def _exploded(shingle: int):
     return explode
 
 
-def _within_bound(texts: DataFrame, nodes: DataFrame, mixed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that the exact bounds do not rule out: they share a rare shingle."""
+def _within_bound(texts: DataFrame, nodes: DataFrame, mixed: DataFrame, shingle: int, percent: int, slack: float | None) -> DataFrame:
+    """Pairs of one bucket and different components that neither the shared parts of their sets nor their signatures rule out.
+
+    A bucket is compared in blocks of about BLOCK members, so no task holds more than two of them.
+    """
     ids = mixed.select("id").distinct().join(nodes.select("id", "text_key"), "id")
     own = _of(texts, ids).select("id", "text").mapInArrow(_exploded(shingle), "id long, shingles array<long>")
-    rows = staged(own.select("id", F.explode("shingles").alias("s")))
-    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = rows.join(common, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
-    sizes = nodes.select("id", F.col("n_shingles").alias("n"))
-    able = held.join(sizes, "id").withColumn("c", F.size("shared")).where(f"100 * c >= {percent} * n")
-    # Shingles that no other such document holds come first in the order, and they match nothing.
-    rare = F.slice("shared", F.lit(1), F.col("c") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1)
-    rare = staged(able.select("id", "n", "c", F.explode(rare).alias("r")).select("id", "n", "c", "r.s"))
-    keyed = mixed.select("band", "id", "component").join(rare, "id")
-    a, b = (keyed.select("band", "s", *(F.col(x).alias(f"{x}_{side}") for x in ("id", "n", "c", "component"))) for side in "ab")
-    least = F.least("c_a", "c_b")
-    pairs = a.join(b, ["band", "s"]).where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * least >= percent * (F.col("n_a") + F.col("n_b") - least)))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    rows = own.select("id", F.explode("shingles").alias("s"))
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
+    shared = rows.join(common, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    able = shared.join(nodes.select("id", F.col("n_shingles").alias("n")), "id").where(f"100 * c >= {percent} * n")
+    able = mixed.drop("salt").join(able, "id").join(nodes.select("id", "low", "bands"), "id")
+    size = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    cut = mixed.groupBy("band").agg(size.alias("blocks"))
+    able = able.join(cut, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    able = able.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    able = able.withColumn("task", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")))
+    return able.drop("blocks").groupBy("band", "task").applyInArrow(_compared(percent, slack), "a long, b long")
+
+
+def _compared(percent: int, slack: float | None):
+    least = 0 if slack is None else int(BINS * max(0.0, percent / 100 - slack))
+
+    def compared(table: pa.Table) -> pa.Table:
+        """Pairs of a task's two blocks (one, where they are the same) whose first common bucket is this one."""
+        low = np.frombuffer(b"".join(table["low"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        bands = np.array(table["bands"].to_pylist(), dtype=np.int64).reshape(-1, BANDS)
+        ids, part, c, n, block, band, other = (table[x].to_numpy() for x in ("id", "component", "c", "n", "block", "band", "other"))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(len(ids)):
+            # Each pair once: within a block by id, across blocks from the lower block.
+            near = (ids > ids[i]) if block[i] == other[i] else (block > block[i])
+            shared = np.minimum(c, c[i])
+            near &= (part != part[i]) & (100 * shared >= percent * (n + n[i] - shared))
+            at = np.flatnonzero(near)
+            at = at[(low[at] == low[i]).sum(axis=1) >= least]
+            at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == band[0]]
+            out.append((np.full(len(at), ids[i]), ids[at]))
+        x, y = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return compared
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, slack: float | None = SLACK) -> DataFrame:
@@ -245,8 +270,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mixed = _mixed(buckets.select("band", "salt", "id"), found)
         if mixed.isEmpty():
             break
-        pairs = _within_bound(texts, nodes, mixed, shingle, percent) if last else _star(mixed, F.lit(0))
-        more = _confirmed(texts, nodes, _estimated(nodes, pairs, percent, slack), shingle, percent)
+        pairs = _within_bound(texts, nodes, mixed, shingle, percent, slack) if last else _estimated(nodes, _star(mixed, F.lit(0)), percent, slack)
+        more = _confirmed(texts, nodes, pairs, shingle, percent)
         if last and not more.isEmpty():
             found = components(links.unionByName(more))
         links = links.unionByName(more)
