@@ -58,10 +58,10 @@ def metre_cos(lat: Num) -> Column:
 
 
 def segment_distance_m(lat: Num, lon: Num, lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
-    """Planar distance in metres from a point to a segment, exact enough at tens of metres."""
+    """Planar distance in metres from a point to a segment, exact enough at tens of metres; also over the antimeridian."""
     k = METRES_PER_DEGREE * F.greatest(F.cos(F.radians(c(lat))), F.lit(LEAST_COS))
-    ax, ay = (c(lon1) - c(lon)) * k, (c(lat1) - c(lat)) * METRES_PER_DEGREE
-    dx, dy = (c(lon2) - c(lon1)) * k, (c(lat2) - c(lat1)) * METRES_PER_DEGREE
+    ax, ay = wrap_lon(c(lon1) - c(lon)) * k, (c(lat1) - c(lat)) * METRES_PER_DEGREE
+    dx, dy = wrap_lon(c(lon2) - c(lon1)) * k, (c(lat2) - c(lat1)) * METRES_PER_DEGREE
     length = dx * dx + dy * dy
     t = F.when(length > 0, clamp(-(ax * dx + ay * dy) / length, 0.0, 1.0)).otherwise(0.0)
     return F.hypot(ax + t * dx, ay + t * dy)

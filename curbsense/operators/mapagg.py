@@ -76,9 +76,23 @@ def density(count: Column, largest: Column) -> Column:
 
 
 def format_count(n: Column) -> Column:
-    """Exact below 1,000, else as 1.2k, 12k or 1.2M."""
-    short = lambda x: F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
-    return F.when(n < 1000, n.cast("string")).when(n < 10_000, F.concat(short(n / 1000), F.lit("k"))).when(n < 999_500, F.concat(geo.js_round(n / 1000).cast("string"), F.lit("k"))).otherwise(F.concat(short(n / 1_000_000), F.lit("M")))
+    """Exact below 1,000, else as 1.2k, 12k or 1.2M.
+
+    One digit is that of the nearest tenth to the quotient as a double; what lies half-way goes up.
+    """
+
+    def short(unit: int) -> Column:
+        x, tenths = n / unit, F.floor(n * 10 / unit)
+        # How far the quotient times its unit is from n, exactly: the quotient in two halves of its digits.
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        p = x * float(unit)
+        off = (p - n) + ((high * float(unit) - p) + (x - high) * float(unit))
+        rest = n * 10 % unit * 2
+        up = F.when(rest == unit, off >= 0).otherwise(rest > unit)
+        tenths = tenths + up.cast("int")
+        return F.when(tenths % 10 == 0, (tenths / 10).cast("long").cast("string")).otherwise(F.concat_ws(".", (tenths / 10).cast("long").cast("string"), (tenths % 10).cast("string")))
+
+    return F.when(n < 1000, n.cast("string")).when(n < 10_000, F.concat(short(1000), F.lit("k"))).when(n < 999_500, F.concat(geo.js_round(n / 1000).cast("string"), F.lit("k"))).otherwise(F.concat(short(1_000_000), F.lit("M")))
 
 
 def _merge_nearby(level: int):

@@ -71,12 +71,12 @@ def wifi_wigle_ingest(spark: SparkSession, d: str):
     return rows.where(F.col("type").isin("", "WIFI") & F.col("netid").isNotNull() & matched & geo.valid_coord("lat", "lon")).select("pos", "netid", F.round("lat", 6).alias("lat"))
 
 
-@query("suggest_label", "SELECT k, CASE WHEN trim(coalesce(name, '')) <> '' THEN trim(name) WHEN number THEN k || ' Larimer Street' ELSE 'Union Station' END AS label FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN ' ' END AS name, p_partkey % 2 = 0 AS number FROM part)")
+@query("suggest_label", "SELECT k, CASE WHEN trim(coalesce(name, '')) <> '' THEN trim(name) WHEN number THEN k || ' Harney Street' ELSE 'Durham Museum' END AS label FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN ' ' END AS name, p_partkey % 2 = 0 AS number FROM part)")
 def suggest_label(spark: SparkSession, d: str):
     """A place's name, else the first line of its address, a house number joined to its street."""
     k = F.col("p_partkey")
     name = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, " ")
-    parts = F.transform(F.split(F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(", Larimer Street, Denver"))).otherwise("Union Station, Denver"), ","), lambda x: F.trim(x))
+    parts = F.transform(F.split(F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(", Harney Street, Omaha"))).otherwise("Durham Museum, Omaha"), ","), lambda x: F.trim(x))
     line = F.when(parts[0].rlike(r"(?i)^\d+[a-z]?$") & (F.size(parts) > 1), F.concat_ws(" ", parts[0], parts[1])).otherwise(parts[0])
     return a.table(spark, d, "part").select(k.alias("k"), F.substring(F.coalesce(F.nullif(F.trim(name), F.lit("")), line), 1, 60).alias("label"))
 
@@ -113,11 +113,11 @@ def refresh_due(spark: SparkSession, d: str):
 
 
 # Routes and trips.
-@query("point_to_polyline", o.with_(o.AREAS, o.VERTICES, SEGS, f"pairs AS (SELECT p.*, a.id, a.lat, a.lon FROM placed p JOIN areas a ON a.id % 4 = p.route % 4 AND a.id % 4 <> 3)", f"hits AS ({sql_hit('lat', 'lon')})", select="SELECT id, route, segment, round(distance_m, 1) AS distance_m, round(start_m + hit_m, 1) AS along_m FROM (SELECT *, row_number() OVER (PARTITION BY id, route ORDER BY distance_m, segment) AS rn FROM hits) WHERE rn = 1"))
+@query("point_to_polyline", o.with_(o.AREAS, o.VERTICES, SEGS, f"pairs AS (SELECT p.*, a.id, a.lat, a.lon FROM placed p JOIN areas a ON a.id % 4 = p.route % 4)", f"hits AS ({sql_hit('lat', 'lon')})", select="SELECT id, route, segment, round(distance_m, 1) AS distance_m, round(start_m + hit_m, 1) AS along_m FROM (SELECT *, row_number() OVER (PARTITION BY id, route ORDER BY distance_m, segment) AS rn FROM hits) WHERE rn = 1"))
 def point_to_polyline(spark: SparkSession, d: str):
     """The nearest point of the routes of an area's own metro."""
     s = spatial.segments(a.vertices(spark, d)).withColumn("metro", F.col("route") % 4)
-    near = a.areas(spark, d).where("id % 4 <> 3").withColumn("metro", F.col("id") % 4).join(s, "metro").withColumn("hit", geo.nearest_on_segment("lat", "lon", "lat1", "lon1", "lat2", "lon2"))
+    near = a.areas(spark, d).withColumn("metro", F.col("id") % 4).join(s, "metro").withColumn("hit", geo.nearest_on_segment("lat", "lon", "lat1", "lon1", "lat2", "lon2"))
     best = near.groupBy("id", "route").agg(F.min(F.struct("hit.distance_m", "segment", (F.col("start_m") + F.col("hit.along_m")).alias("along_m"))).alias("h"))
     return best.select("id", "route", "h.segment", F.round("h.distance_m", 1).alias("distance_m"), F.round("h.along_m", 1).alias("along_m"))
 
@@ -192,8 +192,8 @@ def road_check(spark: SparkSession, d: str):
 
 # Navigation.
 def _drives(spark, d):
-    """A drive along each route of a metro on land: a fix a second at 15 m/s, some vague, with a gap, and one drive that leaves its route."""
-    s = spatial.segments(a.vertices(spark, d)).where("route % 4 <> 3")
+    """A drive along each route: a fix a second at 15 m/s, some vague, with a gap, and one drive that leaves its route."""
+    s = spatial.segments(a.vertices(spark, d))
     steps = s.withColumn("k", F.explode(F.sequence(F.ceil(F.col("start_m") / 15), F.ceil((F.col("start_m") + F.col("length_m")) / 15) - 1)))
     t = (F.col("k") * 15 - F.col("start_m")) / F.col("length_m")
     aside = F.when((F.col("route") % 5 == 1) & F.col("k").between(400, 500), 0.002).otherwise(0.0)
@@ -215,11 +215,11 @@ def camera_ahead_alerts(spark: SparkSession, d: str):
     return navigation.camera_ahead(progress, on_route)
 
 
-@query("proximity_not_covered", o.with_(*ON_ROUTE, select="SELECT osm_id FROM cameras WHERE stale_since IS NULL AND osm_id % 5 = 1 AND osm_id NOT IN (SELECT osm_id FROM on_route)"))
+@query("proximity_not_covered", o.with_(*ON_ROUTE, select="SELECT osm_id FROM cameras WHERE stale_since IS NULL AND osm_id NOT IN (SELECT osm_id FROM on_route)"))
 def proximity_not_covered(spark: SparkSession, d: str):
     """Cameras that may alert by proximity: not those that a route's own alerts cover."""
     covered = spatial.route_membership(a.cameras(spark, d), a.vertices(spark, d), corridors(spark, d)).select("osm_id").distinct()
-    return spatial.active(a.cameras(spark, d)).where("osm_id % 5 = 1").join(covered, "osm_id", "left_anti").select("osm_id")
+    return spatial.active(a.cameras(spark, d)).join(covered, "osm_id", "left_anti").select("osm_id")
 
 
 @query("reroute_gate")
@@ -269,7 +269,7 @@ def plan_phase1(spark: SparkSession, d: str):
     return out.withColumns({"fastest_s": F.round("fastest_s", 3), "best_s": F.round("best_s", 3)})
 
 
-MATCHED = f"""drives AS (SELECT route, CAST(k AS BIGINT) AS k, lat1 + (lat2 - lat1) * (k * 15 - start_m) / length_m + 0.0001 AS lat, lon1 + (lon2 - lon1) * (k * 15 - start_m) / length_m AS lon, {o.bearing('lat1', 'lon1', 'lat2', 'lon2')} AS course FROM placed, range(0, 8000, 40) t(k) WHERE k * 15 >= start_m AND k * 15 < start_m + length_m AND route % 4 <> 3),
+MATCHED = f"""drives AS (SELECT route, CAST(k AS BIGINT) AS k, lat1 + (lat2 - lat1) * (k * 15 - start_m) / length_m + 0.0001 AS lat, lon1 + (lon2 - lon1) * (k * 15 - start_m) / length_m AS lon, {o.bearing('lat1', 'lon1', 'lat2', 'lon2')} AS course FROM placed, range(0, 8000, 40) t(k) WHERE k * 15 >= start_m AND k * 15 < start_m + length_m),
     scored AS (SELECT d.route, d.k, p.segment, {o.seg('d.lat', 'd.lon', 'lat1', 'lon1', 'lat2', 'lon2')} AS off, least({o.pmod(f"d.course - {o.bearing('lat1', 'lon1', 'lat2', 'lon2')}", 'CAST(360 AS DOUBLE)')}, 360 - {o.pmod(f"d.course - {o.bearing('lat1', 'lon1', 'lat2', 'lon2')}", 'CAST(360 AS DOUBLE)')}) AS diff FROM drives d JOIN placed p ON p.route = d.route)"""
 
 
@@ -280,7 +280,7 @@ def map_match_whole(spark: SparkSession, d: str):
     k = F.col("k")
     t = (k * 15 - F.col("start_m")) / F.col("length_m")
     first = F.ceil(F.col("start_m") / 600) * 40
-    fixes = s.where("route % 4 <> 3").withColumn("k", F.explode(F.sequence(first, F.greatest(first, F.lit(7960)), F.lit(40)))).where("k * 15 >= start_m AND k * 15 < start_m + length_m AND k < 8000")
+    fixes = s.withColumn("k", F.explode(F.sequence(first, F.greatest(first, F.lit(7960)), F.lit(40)))).where("k * 15 >= start_m AND k * 15 < start_m + length_m AND k < 8000")
     fixes = fixes.select("route", "k", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * t + 0.0001).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * t).alias("lon"), geo.bearing_deg("lat1", "lon1", "lat2", "lon2").alias("course"))
     pairs = fixes.join(s, "route").withColumn("off", geo.segment_distance_m("lat", "lon", "lat1", "lon1", "lat2", "lon2")).withColumn("diff", geo.angle_diff("course", geo.bearing_deg("lat1", "lon1", "lat2", "lon2")))
     score = F.col("off") + F.when(F.col("diff") > 45, 60 * F.least(F.lit(1.0), (F.col("diff") - 45) / 90)).otherwise(0.0)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from curbsense.sources.adapters import METROS
+
 R = "6371008.8"
 
 
 def metro(key: str, axis: int) -> str:
-    values = ((33.75, 39.74, 34.05, -16.6), (-84.39, -104.99, -118.24, 179.7))[axis]
-    return f"(CASE ({key}) % 4 WHEN 0 THEN CAST({values[0]} AS DOUBLE) WHEN 1 THEN CAST({values[1]} AS DOUBLE) WHEN 2 THEN CAST({values[2]} AS DOUBLE) ELSE CAST({values[3]} AS DOUBLE) END)"
+    at = [f"CAST({m[axis]} AS DOUBLE)" for m in METROS]
+    return f"(CASE ({key}) % 4 WHEN 0 THEN {at[0]} WHEN 1 THEN {at[1]} WHEN 2 THEN {at[2]} ELSE {at[3]} END)"
 
 
 def wrapped(lon: str) -> str:
@@ -38,7 +40,7 @@ def wrap(lon: str) -> str:
 def seg(p: str, q: str, a: str, b: str, x: str, y: str) -> str:
     """Planar distance from (p, q) to the segment (a, b)-(x, y)."""
     k = f"(111320.0 * greatest(cos(radians({p})), 0.01))"
-    ax, ay, dx, dy = f"(({b} - {q}) * {k})", f"(({a} - {p}) * CAST(111320 AS DOUBLE))", f"(({y} - {b}) * {k})", f"(({x} - {a}) * CAST(111320 AS DOUBLE))"
+    ax, ay, dx, dy = f"({wrap(f'({b} - {q})')} * {k})", f"(({a} - {p}) * CAST(111320 AS DOUBLE))", f"({wrap(f'({y} - {b})')} * {k})", f"(({x} - {a}) * CAST(111320 AS DOUBLE))"
     n = f"({dx} * {dx} + {dy} * {dy})"
     t = f"(CASE WHEN {n} > 0 THEN greatest(0.0, least(1.0, -({ax} * {dx} + {ay} * {dy}) / {n})) ELSE 0.0 END)"
     return f"sqrt(pow({ax} + {t} * {dx}, 2) + pow({ay} + {t} * {dy}, 2))"
@@ -116,8 +118,8 @@ WAYS = """ways AS (
         CASE WHEN k % 9 = 0 THEN 'private' END AS access,
         CASE WHEN k % 4 <> 3 THEN CASE k % 6 WHEN 0 THEN '50' WHEN 1 THEN '35 mph' WHEN 2 THEN '50;60' WHEN 3 THEN 'signals' WHEN 4 THEN '200' ELSE ' 30 ' END END AS maxspeed,
         i AS pos,
-        CAST((CASE WHEN k % 2 = 0 THEN k // 40 ELSE k // 40 + i END) * 20000 + 337000000 AS INTEGER) AS lat_e7,
-        CAST((CASE WHEN k % 2 = 0 THEN k % 40 + i ELSE k % 40 END) * 20000 - 844000000 AS INTEGER) AS lon_e7
+        CAST((CASE WHEN k % 2 = 0 THEN k // 40 ELSE k // 40 + i END) * 20000 + 412000000 AS INTEGER) AS lat_e7,
+        CAST((CASE WHEN k % 2 = 0 THEN k % 40 + i ELSE k % 40 END) * 20000 - 960000000 AS INTEGER) AS lon_e7
     FROM (SELECT p_partkey AS k, p_size, CAST(unnest(range(4)) AS INTEGER) AS i FROM part))"""
 
 

@@ -57,19 +57,19 @@ def area_overlap(spark: SparkSession, d: str):
     return spatial.area_overlap(spatial.area_membership(a.cameras(spark, d), a.areas(spark, d)))
 
 
-@query("bbox_scan", o.with_(o.CAMERAS, select="SELECT osm_type, osm_id FROM cameras WHERE lat BETWEEN -17 AND -16 AND (lon >= 179.5 OR lon <= -179.5)"))
+@query("bbox_scan", o.with_(o.CAMERAS, select="SELECT osm_type, osm_id FROM cameras WHERE lat BETWEEN 51 AND 52 AND (lon >= 179.5 OR lon <= -179.5)"))
 def bbox_scan(spark: SparkSession, d: str):
-    return spatial.bbox_scan(a.cameras(spark, d), -17.0, 179.5, -16.0, -179.5).select("osm_type", "osm_id")
+    return spatial.bbox_scan(a.cameras(spark, d), 51.0, 179.5, 52.0, -179.5).select("osm_type", "osm_id")
 
 
-NEAR = "lat BETWEEN 39.74 - CAST(5000 AS DOUBLE) / 111320 AND 39.74 + CAST(5000 AS DOUBLE) / 111320 AND lon BETWEEN -104.99 - 5000 / (111320 * cos(radians(CAST(39.74 AS DOUBLE)))) AND -104.99 + 5000 / (111320 * cos(radians(CAST(39.74 AS DOUBLE))))"
+NEAR = "lat BETWEEN 45.5 - CAST(5000 AS DOUBLE) / 111320 AND 45.5 + CAST(5000 AS DOUBLE) / 111320 AND lon BETWEEN -122.65 - 5000 / (111320 * cos(radians(CAST(45.5 AS DOUBLE)))) AND -122.65 + 5000 / (111320 * cos(radians(CAST(45.5 AS DOUBLE))))"
 
 
 @query("cameras_near", o.with_(o.CAMERAS, select=f"SELECT osm_type, osm_id FROM cameras WHERE {NEAR}"))
 def cameras_near(spark: SparkSession, d: str):
     """A square window about a point; the radius is held to 100 to 5,000 m, and stale rows count."""
     radius = max(100.0, min(5000.0, 9000.0))
-    return a.cameras(spark, d).where(geo.in_box("lat", "lon", geo.circle_box(39.74, -104.99, radius))).select("osm_type", "osm_id")
+    return a.cameras(spark, d).where(geo.in_box("lat", "lon", geo.circle_box(45.5, -122.65, radius))).select("osm_type", "osm_id")
 
 
 @query("cameras_by_keys", o.with_(o.CAMERAS, select="SELECT k.pos, osm_type, osm_id, category FROM (VALUES (0, 'node', 7), (1, 'way', 97), (2, 'node', 3), (4, 'node', 7)) k(pos, t, i) JOIN cameras ON osm_type = t AND osm_id = i"))
@@ -142,13 +142,13 @@ def bbox_cells(spark: SparkSession, d: str):
     return a.table(spark, d, "nation").select(k.alias("k"), F.explode(geo.box_cells(box)).alias("c")).select("k", F.col("c.row").alias("cell_row"), F.col("c.col").alias("cell_col"))
 
 
-COUNTED = "SELECT g.cell_row, g.cell_col, count(c.osm_id) AS cameras FROM (SELECT CAST(r AS INTEGER) AS cell_row, CAST(c AS INTEGER) AS cell_col FROM range(792, 798) x(r), range(-2103, -2097) y(c)) g LEFT JOIN cameras c ON c.lat BETWEEN g.cell_row * CAST(0.05 AS DOUBLE) AND g.cell_row * CAST(0.05 AS DOUBLE) + 0.05 AND c.lon BETWEEN g.cell_col * CAST(0.05 AS DOUBLE) AND g.cell_col * CAST(0.05 AS DOUBLE) + 0.05 GROUP BY ALL"
+COUNTED = "SELECT g.cell_row, g.cell_col, count(c.osm_id) AS cameras FROM (SELECT CAST(r AS INTEGER) AS cell_row, CAST(c AS INTEGER) AS cell_col FROM range(908, 914) x(r), range(-2456, -2450) y(c)) g LEFT JOIN cameras c ON c.lat BETWEEN g.cell_row * CAST(0.05 AS DOUBLE) AND g.cell_row * CAST(0.05 AS DOUBLE) + 0.05 AND c.lon BETWEEN g.cell_col * CAST(0.05 AS DOUBLE) AND g.cell_col * CAST(0.05 AS DOUBLE) + 0.05 GROUP BY ALL"
 
 
 @query("cell_counts", o.with_(o.CAMERAS, select=COUNTED))
 def cell_counts(spark: SparkSession, d: str):
     """Cameras of each cell of a block, edges inclusive: one on a shared edge counts for both cells."""
-    cells = spark.range(792, 798).select(F.col("id").cast("int").alias("cell_row")).join(F.broadcast(spark.range(-2103, -2097).select(F.col("id").cast("int").alias("cell_col"))))
+    cells = spark.range(908, 914).select(F.col("id").cast("int").alias("cell_row")).join(F.broadcast(spark.range(-2456, -2450).select(F.col("id").cast("int").alias("cell_col"))))
     size = F.lit(0.05)
     # A point lies in its own cell or, on an edge, in the one before.
     points = a.cameras(spark, d).select("osm_id", "lat", "lon", geo.grid_cell("lat", "lon").alias("c"))
@@ -159,17 +159,17 @@ def cell_counts(spark: SparkSession, d: str):
 
 
 PAIR = o.with_(o.CAMERAS, select="SELECT {} FROM cameras")
-C0 = "CAST(33.75 AS DOUBLE)", "CAST(-84.39 AS DOUBLE)"
+C0 = "CAST(41.25 AS DOUBLE)", "CAST(-96.02 AS DOUBLE)"
 
 
 @query("haversine", PAIR.format(f"osm_id, round({o.hav(*C0, 'lat', 'lon')}, 3) AS metres"))
 def haversine(spark: SparkSession, d: str):
-    return a.cameras(spark, d).select("osm_id", r3(geo.haversine_m(33.75, -84.39, "lat", "lon")).alias("metres"))
+    return a.cameras(spark, d).select("osm_id", r3(geo.haversine_m(41.25, -96.02, "lat", "lon")).alias("metres"))
 
 
 @query("bearing", PAIR.format(f"osm_id, round({o.bearing(*C0, 'lat', 'lon')}, 4) AS degrees"))
 def bearing(spark: SparkSession, d: str):
-    return a.cameras(spark, d).select("osm_id", F.round(geo.bearing_deg(33.75, -84.39, "lat", "lon"), 4).alias("degrees"))
+    return a.cameras(spark, d).select("osm_id", F.round(geo.bearing_deg(41.25, -96.02, "lat", "lon"), 4).alias("degrees"))
 
 
 @query("mercator", PAIR.format("osm_id, round(lon / 360 + 0.5, 9) AS x, round(greatest(0, least(1, 0.5 - 0.25 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / pi())), 9) AS y"))
@@ -177,10 +177,10 @@ def mercator(spark: SparkSession, d: str):
     return a.cameras(spark, d).select("osm_id", F.round(geo.merc_x("lon"), 9).alias("x"), F.round(geo.merc_y("lat"), 9).alias("y"))
 
 
-@query("segment_distance", PAIR.format(f"osm_id, round({o.seg('lat', 'lon', 'CAST(33.7 AS DOUBLE)', 'CAST(-84.5 AS DOUBLE)', 'CAST(33.8 AS DOUBLE)', 'CAST(-84.3 AS DOUBLE)')}, 3) AS metres") + " WHERE lat BETWEEN 33 AND 35 AND lon BETWEEN -86 AND -83")
+@query("segment_distance", PAIR.format(f"osm_id, round({o.seg('lat', 'lon', 'CAST(41.2 AS DOUBLE)', 'CAST(-96.1 AS DOUBLE)', 'CAST(41.3 AS DOUBLE)', 'CAST(-95.9 AS DOUBLE)')}, 3) AS metres") + " WHERE lat BETWEEN 40 AND 42 AND lon BETWEEN -98 AND -94")
 def segment_distance(spark: SparkSession, d: str):
-    near = a.cameras(spark, d).where(F.col("lat").between(33, 35) & F.col("lon").between(-86, -83))
-    return near.select("osm_id", r3(geo.segment_distance_m("lat", "lon", 33.7, -84.5, 33.8, -84.3)).alias("metres"))
+    near = a.cameras(spark, d).where(F.col("lat").between(40, 42) & F.col("lon").between(-98, -94))
+    return near.select("osm_id", r3(geo.segment_distance_m("lat", "lon", 41.2, -96.1, 41.3, -95.9)).alias("metres"))
 
 
 @query("circle_polygon", o.with_(o.AREAS, select="""SELECT id, CAST(i AS INTEGER) AS i, round(degrees(la), 6) AS lat, round(lon + degrees(atan2(sin(b) * sin(dd) * cos(radians(lat)), cos(dd) - sin(radians(lat)) * sin(la))), 6) AS lon
@@ -287,13 +287,12 @@ def near_endpoint(spark: SparkSession, d: str):
     return spatial.pairs_within(ends, right, 70.0).select("route", "pos", "osm_id")
 
 
-@query("trip_corridor", f"""SELECT route, round(la0 - b, 6) AS south, round(la1 + b, 6) AS north, round(lo0 - b / c, 6) AS west, round(lo1 + b / c, 6) AS east FROM (SELECT *, greatest(CAST(3000 AS DOUBLE), trip * 0.3) / 111320 AS b, greatest(0.01, cos(radians((la0 + la1) / 2))) AS c FROM (
-    SELECT route, min(lat) AS la0, max(lat) AS la1, min(lon) AS lo0, max(lon) AS lo1, {o.hav('any_value(lat) FILTER (pos = 0)', 'any_value(lon) FILTER (pos = 0)', 'any_value(lat) FILTER (pos = 5)', 'any_value(lon) FILTER (pos = 5)')} AS trip FROM (WITH {o.VERTICES} SELECT * FROM vertices WHERE pos IN (0, 5)) GROUP BY route)) WHERE lo1 + b / c < 180""")
+@query("trip_corridor", f"""SELECT route, round(la0 - b, 6) AS south, round(la1 + b, 6) AS north, round({o.wrap('(lo0 - b / c)')}, 6) AS west, round({o.wrap('(lo1 + b / c)')}, 6) AS east FROM (SELECT *, greatest(CAST(3000 AS DOUBLE), trip * 0.3) / 111320 AS b, greatest(0.01, cos(radians((la0 + la1) / 2))) AS c FROM (
+    SELECT route, min(lat) AS la0, max(lat) AS la1, min(lon) AS lo0, max(lon) AS lo1, {o.hav('any_value(lat) FILTER (pos = 0)', 'any_value(lon) FILTER (pos = 0)', 'any_value(lat) FILTER (pos = 5)', 'any_value(lon) FILTER (pos = 5)')} AS trip FROM (WITH {o.VERTICES} SELECT * FROM vertices WHERE pos IN (0, 5)) GROUP BY route))""")
 def trip_corridor(spark: SparkSession, d: str):
-    """The box about a trip's ends whose cameras may be excluded."""
+    """The box about a trip's ends whose cameras may be excluded; west > east where it crosses the antimeridian."""
     ends = a.vertices(spark, d).groupBy("route").agg(*(F.max(F.when(F.col("pos") == p, F.col(x))).alias(f"{x}{i}") for i, p in ((0, 0), (1, 5)) for x in ("lat", "lon")))
     pad = F.greatest(F.lit(3000.0), geo.haversine_m("lat0", "lon0", "lat1", "lon1") * 0.3) / 111_320.0
     south, north, west, east = F.least("lat0", "lat1"), F.greatest("lat0", "lat1"), F.least("lon0", "lon1"), F.greatest("lon0", "lon1")
     wide = pad / F.greatest(F.lit(0.01), F.cos(F.radians((south + north) / 2)))
-    out = ends.select("route", F.round(south - pad, 6).alias("south"), F.round(north + pad, 6).alias("north"), F.round(west - wide, 6).alias("west"), (east + wide).alias("east")).where("east < 180")
-    return out.withColumn("east", F.round("east", 6))
+    return ends.select("route", F.round(south - pad, 6).alias("south"), F.round(north + pad, 6).alias("north"), F.round(geo.wrap_lon(west - wide), 6).alias("west"), F.round(geo.wrap_lon(east + wide), 6).alias("east"))

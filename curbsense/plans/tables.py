@@ -60,9 +60,9 @@ def ingest_global(spark: SparkSession, d: str):
     return _rounded(dimension.ingest_global(_stored(spark, d), _elements(spark, d), NOW - 100, NOW))
 
 
-@query("ingest_cells", o.with_(o.CAMERAS, STORED, ELEMENTS, FRESH, select=f"SELECT {SHOWN}, CASE WHEN stale_since IS NULL AND lat BETWEEN 33.5 AND 34 AND lon BETWEEN -84.7 AND -84.2 AND NOT EXISTS (SELECT 1 FROM elements e WHERE e.osm_type = f.osm_type AND e.osm_id = f.osm_id) THEN {NOW} ELSE stale_since END AS stale_since FROM fresh f"))
+@query("ingest_cells", o.with_(o.CAMERAS, STORED, ELEMENTS, FRESH, select=f"SELECT {SHOWN}, CASE WHEN stale_since IS NULL AND lat BETWEEN 41 AND 41.5 AND lon BETWEEN -96.3 AND -95.8 AND NOT EXISTS (SELECT 1 FROM elements e WHERE e.osm_type = f.osm_type AND e.osm_id = f.osm_id) THEN {NOW} ELSE stale_since END AS stale_since FROM fresh f"))
 def ingest_cells(spark: SparkSession, d: str):
-    return _rounded(dimension.ingest_cells(_stored(spark, d), _elements(spark, d), (33.5, -84.7, 34.0, -84.2), NOW))
+    return _rounded(dimension.ingest_cells(_stored(spark, d), _elements(spark, d), (41.0, -96.3, 41.5, -95.8), NOW))
 
 
 @query("purge_stale", o.with_(o.CAMERAS, select="SELECT osm_type, osm_id FROM cameras WHERE stale_since IS NULL OR stale_since >= 1700050000"))
@@ -199,9 +199,9 @@ def wifi_counts(spark: SparkSession, d: str):
     return _best(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(up).alias("upstream"), F.count_if(~up).alias("imported"))
 
 
-@query("wifi_bbox", o.with_(o.SIGHTINGS, PARSED, BEST, select="SELECT mac AS netid FROM best WHERE lat BETWEEN 33 AND 35 AND lon BETWEEN -85 AND -84"))
+@query("wifi_bbox", o.with_(o.SIGHTINGS, PARSED, BEST, select="SELECT mac AS netid FROM best WHERE lat BETWEEN 40 AND 43 AND lon BETWEEN -97 AND -95"))
 def wifi_bbox(spark: SparkSession, d: str):
-    return _best(spark, d).where(geo.in_box("lat", "lon", geo.sanitized_box(33.0, -85.0, 35.0, -84.0))).select("netid")
+    return _best(spark, d).where(geo.in_box("lat", "lon", geo.sanitized_box(40.0, -97.0, 43.0, -95.0))).select("netid")
 
 
 UPSERT = """old_rows AS (SELECT * FROM best WHERE pos % 3 <> 0), new_rows AS (SELECT * FROM best WHERE pos % 2 = 0),
@@ -292,14 +292,14 @@ def hex_cell(spark: SparkSession, d: str):
 VIEW = "FILTER (kind IN ('flock', 'user') AND lower(operator) LIKE '%low%'"
 
 
-@query("viewport_counts", o.with_(o.CAMERAS, o.SUBMISSIONS, POINTS, select=f"SELECT count(*) {VIEW}) AS visible, count(*) {VIEW} AND usr = 1) AS users, count(*) {VIEW} AND kind = 'flock') AS flock, count(*) {VIEW} AND kind = 'alpr') AS alpr, count(*) {VIEW} AND kind = 'user') AS user, count(*) FILTER (kind = 'flock') AS all_flock, count(*) FILTER (kind = 'alpr') AS all_alpr, count(*) FILTER (kind = 'user') AS all_user FROM points WHERE NOT stale AND lat BETWEEN -20 AND 40 AND (lon >= 100 OR lon <= -80)"))
+@query("viewport_counts", o.with_(o.CAMERAS, o.SUBMISSIONS, POINTS, select=f"SELECT count(*) {VIEW}) AS visible, count(*) {VIEW} AND usr = 1) AS users, count(*) {VIEW} AND kind = 'flock') AS flock, count(*) {VIEW} AND kind = 'alpr') AS alpr, count(*) {VIEW} AND kind = 'user') AS user, count(*) FILTER (kind = 'flock') AS all_flock, count(*) FILTER (kind = 'alpr') AS all_alpr, count(*) FILTER (kind = 'user') AS all_user FROM points WHERE NOT stale AND lat BETWEEN -20 AND 55 AND (lon >= 100 OR lon <= -90)"))
 def viewport_counts(spark: SparkSession, d: str):
-    return mapagg.viewport_counts(_points(spark, d), (-20.0, 100.0, 40.0, -80.0), ("flock", "user"), "low")
+    return mapagg.viewport_counts(_points(spark, d), (-20.0, 100.0, 55.0, -90.0), ("flock", "user"), "low")
 
 
-@query("viewport_filter", o.with_(o.CAMERAS, o.SUBMISSIONS, POINTS, select="SELECT key FROM points WHERE lat BETWEEN -20 AND 0 AND (lon >= 170 OR lon <= -170)"))
+@query("viewport_filter", o.with_(o.CAMERAS, o.SUBMISSIONS, POINTS, select="SELECT key FROM points WHERE lat BETWEEN 45 AND 60 AND (lon >= 170 OR lon <= -170)"))
 def viewport_filter(spark: SparkSession, d: str):
-    return _points(spark, d).where(geo.in_box("lat", "lon", geo.sanitized_box(-20.0, 170.0, 0.0, 190.0))).select("key")
+    return _points(spark, d).where(geo.in_box("lat", "lon", geo.sanitized_box(45.0, 170.0, 60.0, 190.0))).select("key")
 
 
 @query("lod_band", "SELECT k, level, CASE WHEN level <= 5 THEN 'wide' WHEN level <= 10 THEN 'mid' WHEN level <= 13 THEN 'near' ELSE 'detail' END AS band FROM (SELECT p_partkey AS k, CAST(greatest(0, least(20, floor(p_partkey % 230 / CAST(10 AS DOUBLE) - 1 + 1e-9))) AS INTEGER) AS level FROM part)")
@@ -314,11 +314,11 @@ def node_encoding(spark: SparkSession, d: str):
     return a.table(spark, d, "part").select(k.alias("k"), F.round(mapagg.node_radius(k, k * 3 % 500), 6).alias("radius"), F.round(mapagg.density(k, k * 3 % 500), 6).alias("density"))
 
 
-@query("format_count", """SELECT k, n, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN regexp_replace(printf('%.1f', n / 1000), '\\.0$', '') || 'k' WHEN n < 999500 THEN CAST(CAST(floor(n / 1000 + 0.5) AS BIGINT) AS VARCHAR) || 'k' ELSE regexp_replace(printf('%.1f', n / 1000000), '\\.0$', '') || 'M' END AS label FROM (SELECT o_orderkey AS k, o_orderkey * o_orderkey * 7 % 30000007 AS n FROM orders) WHERE n % 1000 <> 50 AND n % 100 <> 50""")
+@query("format_count", """SELECT k, n, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN regexp_replace(CASE WHEN n % 500 = 250 THEN printf('%.1f', (n + 50) / 1000) ELSE printf('%.1f', n / 1000) END, '\\.0$', '') || 'k' WHEN n < 999500 THEN CAST(CAST(floor(n / 1000 + 0.5) AS BIGINT) AS VARCHAR) || 'k' ELSE regexp_replace(CASE WHEN n % 500000 = 250000 THEN printf('%.1f', (n + 50000) / 1000000) ELSE printf('%.1f', n / 1000000) END, '\\.0$', '') || 'M' END AS label FROM (SELECT o_orderkey AS k, o_orderkey * o_orderkey * 7 % 30000007 AS n FROM orders)""")
 def format_count(spark: SparkSession, d: str):
     k = F.col("o_orderkey")
     n = k * k * 7 % 30000007
-    rows = a.table(spark, d, "orders").select(k.alias("k"), n.alias("n")).where("n % 1000 <> 50 AND n % 100 <> 50")
+    rows = a.table(spark, d, "orders").select(k.alias("k"), n.alias("n"))
     return rows.withColumn("label", mapagg.format_count(F.col("n")))
 
 
@@ -338,7 +338,7 @@ def cluster_totals(spark: SparkSession, d: str):
 def cluster_query(spark: SparkSession, d: str):
     """Nodes of level 8 in a view, with their nodes at level 6."""
     nodes = cluster_levels(spark, d)
-    view = nodes.where((F.col("level") == 8) & F.col("x").between(0.25, 0.3) & F.col("y").between(0.35, 0.45))
+    view = nodes.where((F.col("level") == 8) & F.col("x").between(0.2, 0.25) & F.col("y").between(0.3, 0.45))
     up = nodes.where("level = 7").select(F.col("id").alias("parent"), F.col("parent").alias("ancestor"))
     return view.join(up, "parent").select("id", "x", "y", "count", "users", "ancestor")
 

@@ -212,7 +212,7 @@ DRIVABLE = f"""drivable AS (SELECT *, CASE oneway WHEN 'yes' THEN 1 WHEN '-1' TH
 ROAD_SEGS = f"""road_segs AS (SELECT way || '/' || pos AS seg, way, direction, la1 || ':' || lo1 AS u, la2 || ':' || lo2 AS v, la1 / 1e7 AS lat1, lo1 / 1e7 AS lon1, la2 / 1e7 AS lat2, lo2 / 1e7 AS lon2, {o.hav('la1 / 1e7', 'lo1 / 1e7', 'la2 / 1e7', 'lo2 / 1e7')} / (kmh / CAST(3.6 AS DOUBLE)) AS secs
     FROM (SELECT way, pos, direction, kmh, lat_e7 AS la1, lon_e7 AS lo1, lead(lat_e7) OVER w AS la2, lead(lon_e7) OVER w AS lo2 FROM drivable WINDOW w AS (PARTITION BY way ORDER BY pos)) WHERE la2 IS NOT NULL)"""
 ROADS = (o.WAYS, DRIVABLE, ROAD_SEGS)
-SPOTS = "spots AS (SELECT p_partkey AS id, CAST(33.70005 AS DOUBLE) + p_partkey % 16 * CAST(0.001 AS DOUBLE) AS lat, CAST(-84.40005 AS DOUBLE) + p_partkey % 80 * CAST(0.001 AS DOUBLE) AS lon FROM part WHERE p_partkey % 8 = 0)"
+SPOTS = "spots AS (SELECT p_partkey AS id, CAST(41.20005 AS DOUBLE) + p_partkey % 16 * CAST(0.001 AS DOUBLE) AS lat, CAST(-96.00005 AS DOUBLE) + p_partkey % 80 * CAST(0.001 AS DOUBLE) AS lon FROM part WHERE p_partkey % 8 = 0)"
 BLOCKED = f"blocked AS (SELECT DISTINCT seg FROM road_segs JOIN spots s ON s.lat BETWEEN least(lat1, lat2) - 0.002 AND greatest(lat1, lat2) + 0.002 AND s.lon BETWEEN least(lon1, lon2) - 0.002 AND greatest(lon1, lon2) + 0.002 AND {o.seg('s.lat', 's.lon', 'lat1', 'lon1', 'lat2', 'lon2')} <= 30)"
 
 
@@ -222,7 +222,7 @@ def _segments(spark, d):
 
 def _spots(spark, d):
     k = F.col("p_partkey")
-    return a.table(spark, d, "part").where("p_partkey % 8 = 0").select(k.alias("id"), (33.70005 + k % 16 * 0.001).alias("lat"), (-84.40005 + k % 80 * 0.001).alias("lon"))
+    return a.table(spark, d, "part").where("p_partkey % 8 = 0").select(k.alias("id"), (41.20005 + k % 16 * 0.001).alias("lat"), (-96.00005 + k % 80 * 0.001).alias("lon"))
 
 
 def _edges(spark, d):
@@ -269,7 +269,7 @@ def nearest_node(spark: SparkSession, d: str):
 def _trips(spark, d):
     """Trips from the lattice's first corner to nodes along it, all in one region."""
     k = F.col("p_partkey")
-    return a.table(spark, d, "part").where("p_partkey % 10 = 0 AND p_partkey > 0 AND p_partkey < 200").select(k.alias("trip"), F.lit(0).alias("region"), F.lit("337000000:-843960000").alias("start"), F.concat_ws(":", F.lit(337000000) + F.floor(k / 40) * 20000, F.lit(-844000000) + k % 40 * 20000).alias("goal"))
+    return a.table(spark, d, "part").where("p_partkey % 10 = 0 AND p_partkey > 0 AND p_partkey < 200").select(k.alias("trip"), F.lit(0).alias("region"), F.lit("412000000:-959960000").alias("start"), F.concat_ws(":", F.lit(412000000) + F.floor(k / 40) * 20000, F.lit(-960000000) + k % 40 * 20000).alias("goal"))
 
 
 @query("shortest_path")
@@ -284,10 +284,10 @@ def free_paths(spark: SparkSession, d: str):
     return roads.shortest_paths(_trips(spark, d), _edges(spark, d).withColumn("region", F.lit(0)), None).withColumn("secs", F.round("secs", 3))
 
 
-@query("graph_reach", o.with_(*ROADS, "RECURSIVE walk(node, secs, hops) AS (SELECT '337000000:-843960000', CAST(0 AS DOUBLE), 0 UNION SELECT e.v, w.secs + e.secs, hops + 1 FROM walk w JOIN (SELECT u, v, secs FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs FROM road_segs WHERE direction <= 0) e ON e.u = w.node AND hops < 6)", select="SELECT node, round(min(secs), 3) AS secs FROM walk GROUP BY node").replace("WITH ways", "WITH RECURSIVE ways").replace("RECURSIVE walk", "walk"))
+@query("graph_reach", o.with_(*ROADS, "RECURSIVE walk(node, secs, hops) AS (SELECT '412000000:-959960000', CAST(0 AS DOUBLE), 0 UNION SELECT e.v, w.secs + e.secs, hops + 1 FROM walk w JOIN (SELECT u, v, secs FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs FROM road_segs WHERE direction <= 0) e ON e.u = w.node AND hops < 6)", select="SELECT node, round(min(secs), 3) AS secs FROM walk GROUP BY node").replace("WITH ways", "WITH RECURSIVE ways").replace("RECURSIVE walk", "walk"))
 def graph_reach(spark: SparkSession, d: str):
     """Least times to the nodes within six edges, by relaxation over the whole edge table."""
-    return roads.reachable(_edges(spark, d).select("u", "v", "secs"), "337000000:-843960000", 6).withColumn("secs", F.round("secs", 3))
+    return roads.reachable(_edges(spark, d).select("u", "v", "secs"), "412000000:-959960000", 6).withColumn("secs", F.round("secs", 3))
 
 
 @query("road_tiles", o.with_(o.AREAS, select="SELECT id, CAST(r AS INTEGER) AS tile_row, CAST(c AS INTEGER) AS tile_col FROM (SELECT *, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM (SELECT id, CAST(floor((lat - 0.05) / CAST(0.1 AS DOUBLE)) AS BIGINT) AS r0, CAST(floor((lat + 0.05) / CAST(0.1 AS DOUBLE)) AS BIGINT) AS r1, CAST(floor((lon - 0.05) / CAST(0.1 AS DOUBLE)) AS BIGINT) AS c0, CAST(floor((lon + 0.05) / CAST(0.1 AS DOUBLE)) AS BIGINT) AS c1 FROM areas)))"))
@@ -297,10 +297,10 @@ def road_tiles(spark: SparkSession, d: str):
     return a.areas(spark, d).select("id", "lon", span("lat").alias("tile_row")).select("id", "tile_row", span("lon").alias("tile_col"))
 
 
-@query("ways_in_area", o.with_(o.WAYS, select="SELECT way FROM ways GROUP BY way HAVING min(lat_e7) <= 337100000 AND max(lat_e7) >= 337020000 AND min(lon_e7) <= -843900000 AND max(lon_e7) >= -843980000"))
+@query("ways_in_area", o.with_(o.WAYS, select="SELECT way FROM ways GROUP BY way HAVING min(lat_e7) <= 412100000 AND max(lat_e7) >= 412020000 AND min(lon_e7) <= -959900000 AND max(lon_e7) >= -959980000"))
 def ways_in_area(spark: SparkSession, d: str):
     box = a.ways(spark, d).groupBy("way").agg(F.min("lat_e7").alias("s"), F.max("lat_e7").alias("n"), F.min("lon_e7").alias("w"), F.max("lon_e7").alias("e"))
-    return box.where("s <= 337100000 AND n >= 337020000 AND w <= -843900000 AND e >= -843980000").select("way")
+    return box.where("s <= 412100000 AND n >= 412020000 AND w <= -959900000 AND e >= -959980000").select("way")
 
 
 @query("ways_dedupe", o.with_(o.WAYS, select="SELECT way, tile FROM (SELECT way, tile, row_number() OVER (PARTITION BY way ORDER BY tile DESC) AS rn FROM (SELECT DISTINCT way, lat_e7 // 1000000 * 1000 + (lon_e7 + 1800000000) // 1000000 AS tile FROM ways)) WHERE rn = 1"))
@@ -382,13 +382,13 @@ def format_duration(spark: SparkSession, d: str):
     return a.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), label.alias("label"))
 
 
-@query("direction_cones", "SELECT k, CAST(1 AS BIGINT) AS cones, CAST(k % 360 AS DOUBLE) AS bearing, CAST(45 AS DOUBLE) AS width FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 0 UNION ALL SELECT k, 2, (k % 16) * 22.5, 45 FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 1 AND k % 16 <> 4 UNION ALL SELECT k, 1, (k % 360 + 15) % 360, 30 FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 2 UNION ALL SELECT k, 0, NULL, NULL FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 3")
+@query("direction_cones", "SELECT k, CAST(1 AS BIGINT) AS cones, CAST(k % 360 AS DOUBLE) AS bearing, CAST(45 AS DOUBLE) AS width FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 0 UNION ALL SELECT k, 2, (k % 16) * 22.5, 45 FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 1 UNION ALL SELECT k, 1, (k % 360 + 15) % 360, 30 FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 2 UNION ALL SELECT k, 0, NULL, NULL FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 3")
 def direction_cones(spark: SparkSession, d: str):
     """Degrees, lists with cardinal letters, clockwise ranges, and texts that are none of them."""
     k = F.col("o_orderkey")
     names = F.array(*map(F.lit, ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "nnw")))
     raw = F.when(k % 4 == 0, (k % 360).cast("string")).when(k % 4 == 1, F.concat(F.get(names, (k % 16).cast("int")), F.lit("; "), F.get(names, (k % 16).cast("int")), F.lit(";90;x"))).when(k % 4 == 2, F.concat_ws("-", k % 360, (k + 30) % 360)).otherwise("sideways")
-    cones = a.table(spark, d, "orders").where("NOT (o_orderkey % 4 = 1 AND o_orderkey % 16 = 4)").select(k.alias("k"), text.direction_cones(raw).alias("c"))
+    cones = a.table(spark, d, "orders").select(k.alias("k"), text.direction_cones(raw).alias("c"))
     return cones.select("k", F.size("c").cast("long").alias("cones"), F.get("c", F.lit(0))["bearing"].alias("bearing"), F.get("c", F.lit(0))["width"].alias("width"))
 
 
@@ -452,7 +452,15 @@ def _targets(spark, d):
     return spatial.active(a.cameras(spark, d)).where("osm_id % 5 <> 0")
 
 
-@query("proximity_alerts")
+NEAR_FIXES = f"""good AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY time_ms, lat, lon) AS nth FROM fixes WHERE accuracy_m <= 500),
+    near AS (SELECT * FROM (SELECT device, nth, time_ms, osm_id, {o.hav('f.lat', 'f.lon', 'c.lat', 'c.lon')} AS distance_m FROM good f JOIN cameras c ON stale_since IS NULL AND osm_id % 5 <> 0 AND c.lat BETWEEN f.lat - 0.01 AND f.lat + 0.01 AND c.lon BETWEEN f.lon - 0.02 AND f.lon + 0.02) WHERE distance_m <= 300),
+    stays AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY device, osm_id ORDER BY nth) AS stay FROM (SELECT *, nth - lag(nth) OVER (PARTITION BY device, osm_id ORDER BY nth) AS gap FROM near)),
+    entered AS (SELECT device, osm_id, min(time_ms) AS time_ms, arg_min(distance_m, nth) AS distance_m FROM stays WHERE distance_m <= 200 GROUP BY device, osm_id, stay),
+    linked AS (SELECT a.device, a.osm_id, a.time_ms, min(b.time_ms) AS following FROM entered a LEFT JOIN entered b ON a.device = b.device AND a.osm_id = b.osm_id AND b.time_ms >= a.time_ms + 900000 GROUP BY ALL),
+    kept(device, osm_id, time_ms) AS (SELECT device, osm_id, min(time_ms) FROM entered GROUP BY ALL UNION ALL SELECT k.device, k.osm_id, n.following FROM kept k JOIN linked n ON n.device = k.device AND n.osm_id = k.osm_id AND n.time_ms = k.time_ms AND n.following IS NOT NULL)"""
+
+
+@query("proximity_alerts", o.with_(o.CAMERAS, o.FIXES, NEAR_FIXES, select="SELECT k.device, k.time_ms, k.osm_id, round(e.distance_m, 3) AS distance_m FROM kept k JOIN entered e ON e.device = k.device AND e.osm_id = k.osm_id AND e.time_ms = k.time_ms").replace("WITH cameras", "WITH RECURSIVE cameras"))
 def proximity_alerts(spark: SparkSession, d: str):
     return proximity.proximity_alerts(a.fixes(spark, d), _targets(spark, d)).withColumn("distance_m", F.round("distance_m", 3))
 

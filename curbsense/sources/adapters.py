@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Centres that points gather around; the last lies on the antimeridian.
-METROS = [(33.75, -84.39), (39.74, -104.99), (34.05, -118.24), (-16.6, 179.7)]
+METROS = [(41.25, -96.02), (45.5, -122.65), (29.45, -98.5), (51.85, 179.65)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,8 +149,8 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     speeds = F.array(*map(F.lit, ("50", "35 mph", "50;60", "signals", "200", " 30 ")))
     column, row = k % 40, F.floor(k / 40)
     across = k % 2 == 0
-    lat = F.when(across, row).otherwise(row + i) * 20000 + 337000000
-    lon = F.when(across, column + i).otherwise(column) * 20000 - 844000000
+    lat = F.when(across, row).otherwise(row + i) * 20000 + 412000000
+    lon = F.when(across, column + i).otherwise(column) * 20000 - 960000000
     rows = table(spark, sf_dir, "part").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return rows.select(
         k.alias("way"),

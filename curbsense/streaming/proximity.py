@@ -1,85 +1,117 @@
-"""Proximity alerts over live positions, as a batch fold and as a stateful streaming query.
+"""Proximity alerts over live positions, as a batch query of windows and as a stateful streaming query.
 
-A camera alerts once when a device comes within its radius; it must fall out beyond EXIT_FACTOR
-radii, and the cooldown must have passed, before it alerts again. Vague fixes change nothing.
+A visit of a device to a camera starts with a fix within the radius and lasts as long as every good
+fix is within EXIT_FACTOR radii. Its start is an alert unless the pair's alert before is less than a
+cooldown old. Vague fixes are as if they weren't there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import ACCURACY_M, COOLDOWN_MS, EXIT_FACTOR, PROXIMITY_M
+from curbsense.constants import ACCURACY_M, COOLDOWN_MS, EXIT_FACTOR, METRES_PER_DEGREE, PROXIMITY_M
 from curbsense.functions import geo
 
 OUT = "device long, time_ms long, osm_id long, distance_m double"
+#: Time without fixes after which a device's state is dropped.
+IDLE_MS = 24 * 3600 * 1000
+
+
+def _cell(lat: Column, lon: Column, size: float) -> Column:
+    return F.struct(F.floor(lat / size).alias("r"), F.floor(geo.wrap_lon(lon) / size).alias("c"))
+
+
+def _cells_about(reach_m: float, size: float) -> Column:
+    """The cells of `size` degrees that hold a point within reach of (lat, lon); those over the antimeridian are wrapped."""
+    high = reach_m * 1.01 / METRES_PER_DEGREE
+    wide = high / geo.metre_cos(F.abs(F.col("lat")) + high)
+    rows = F.sequence(F.floor((F.col("lat") - high) / size), F.floor((F.col("lat") + high) / size))
+    cols = F.sequence(F.floor((F.col("lon") - wide) / size), F.floor((F.col("lon") + wide) / size))
+    wrapped = F.array_distinct(F.transform(cols, lambda c: F.floor(geo.wrap_lon((c + 0.5) * size) / size)))
+    return F.flatten(F.transform(rows, lambda r: F.transform(wrapped, lambda c: F.struct(r.alias("r"), c.alias("c")))))
 
 
 def near_fixes(fixes: DataFrame, cameras: DataFrame, radius_m: float = PROXIMITY_M) -> DataFrame:
-    """Rows (device, camera, time_ms, distance_m): fixes that could change a camera's state, by a join on grid cells.
+    """Rows (device, nth, time_ms, osm_id, distance_m): good fixes within the exit distance of a camera, with their number among the device's good ones.
 
-    Cameras within twice the exit distance share a cell with the fix; to all others it is outside.
+    Cameras are spread over the small cells that their exit distance meets, so a fix meets few others.
     """
-    reach = radius_m * EXIT_FACTOR * 2
-    targets = cameras.select("osm_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.explode(geo.box_cells(geo.circle_box("lat", "lon", F.lit(reach)))).alias("cell"))
-    good = fixes.where(F.col("accuracy_m") <= ACCURACY_M).withColumn("cell", geo.grid_cell("lat", "lon"))
-    return good.join(targets, "cell").select("device", "time_ms", "osm_id", geo.haversine_m("lat", "lon", "c_lat", "c_lon").alias("distance_m"))
-
-
-def fold(state: dict[int, list], fixes: list[tuple[int, dict[int, float]]], radius_m: float) -> list[tuple[int, int, float]]:
-    """Alerts (time_ms, osm_id, distance_m) of a device's fixes (time, distances of cameras in reach); state: camera -> [inside, last alert]."""
-    alerts = []
-    for at, near in fixes:
-        for camera, was in state.items():
-            if was[0] and near.get(camera, float("inf")) > radius_m * EXIT_FACTOR:
-                was[0] = False
-        for camera, metres in sorted(near.items(), key=lambda x: (x[1], x[0])):
-            was = state.setdefault(camera, [False, None])
-            if was[0] or metres > radius_m:
-                continue
-            was[0] = True
-            if was[1] is None or at - was[1] >= COOLDOWN_MS:
-                was[1] = at
-                alerts.append((at, camera, metres))
-    return alerts
-
-
-def _with_cameras(fixes: DataFrame, cameras: DataFrame, radius_m: float) -> DataFrame:
-    """Good fixes with the cameras in reach as a map, empty where there are none."""
-    near = near_fixes(fixes, cameras, radius_m).groupBy("device", "time_ms").agg(F.map_from_entries(F.collect_set(F.struct("osm_id", "distance_m"))).alias("near"))
-    return fixes.where(F.col("accuracy_m") <= ACCURACY_M).select("device", "time_ms").join(near, ["device", "time_ms"], "left")
+    exit_m = radius_m * EXIT_FACTOR
+    size = 2 * exit_m / METRES_PER_DEGREE
+    targets = cameras.select("osm_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.explode(_cells_about(exit_m, size)).alias("cell"))
+    order = W.partitionBy("device").orderBy("time_ms", "lat", "lon")
+    good = fixes.where(F.col("accuracy_m") <= ACCURACY_M).withColumn("nth", F.row_number().over(order)).withColumn("cell", _cell(F.col("lat"), F.col("lon"), size))
+    near = good.join(targets, "cell").withColumn("distance_m", geo.haversine_m("lat", "lon", "c_lat", "c_lon"))
+    return near.where(F.col("distance_m") <= exit_m).select("device", "nth", "time_ms", "osm_id", "distance_m")
+
+
+def visits(near: DataFrame, radius_m: float = PROXIMITY_M) -> DataFrame:
+    """Rows (device, osm_id, time_ms, distance_m): the first fix within the radius of each visit.
+
+    Consecutive numbers of fixes are one stay within the exit distance.
+    """
+    w = W.partitionBy("device", "osm_id").orderBy("nth")
+    stays = near.withColumn("new", F.coalesce(F.col("nth") - F.lag("nth").over(w), F.lit(2)) > 1).withColumn("stay", F.sum(F.col("new").cast("int")).over(w))
+    inside = stays.where(F.col("distance_m") <= radius_m)
+    first = F.min(F.struct("nth", "time_ms", "distance_m")).alias("first")
+    return inside.groupBy("device", "osm_id", "stay").agg(first).select("device", "osm_id", "first.time_ms", "first.distance_m")
 
 
 def proximity_alerts(fixes: DataFrame, cameras: DataFrame, radius_m: float = PROXIMITY_M) -> DataFrame:
-    """All alerts of a table of fixes (device, time_ms, lat, lon, accuracy_m), each device's in order of time."""
+    """All alerts (device, time_ms, osm_id, distance_m) of fixes (device, time_ms, lat, lon, accuracy_m)."""
+
+    def keep(done: Column, visit: Column) -> Column:
+        cold = visit["time_ms"] - F.element_at(done, -1)["time_ms"] >= COOLDOWN_MS
+        return F.when((F.size(done) == 0) | cold, F.array_append(done, visit)).otherwise(done)
+
+    by_pair = visits(near_fixes(fixes, cameras, radius_m), radius_m).groupBy("device", "osm_id").agg(F.sort_array(F.collect_list(F.struct("time_ms", "distance_m"))).alias("visits"))
+    kept = F.aggregate("visits", F.slice("visits", 1, 0), keep)
+    return by_pair.select("device", "osm_id", F.explode(kept).alias("v")).select("device", "v.time_ms", "osm_id", "v.distance_m")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_ms")
-        rows = fold({}, [(int(t), dict(n) if n is not None else {}) for t, n in zip(pdf["time_ms"], pdf["near"], strict=True)], radius_m)
-        return pd.DataFrame([(pdf["device"].iloc[0], *r) for r in rows], columns=["device", "time_ms", "osm_id", "distance_m"])
 
-    return _with_cameras(fixes, cameras, radius_m).groupBy("device").applyInPandas(run, OUT)
+def _alerts(near: dict[int, float], at: int, inside: set[int], last: dict[int, int], radius_m: float) -> Iterator[tuple[int, int, float]]:
+    """Alerts of one fix, nearest camera first; `near` has the cameras within the exit distance, and the state is brought up to date."""
+    inside &= near.keys()
+    arrived = sorted((metres, camera) for camera, metres in near.items() if metres <= radius_m and camera not in inside)
+    inside |= {camera for _, camera in arrived}
+    for metres, camera in arrived:
+        if at - last.get(camera, at - COOLDOWN_MS) >= COOLDOWN_MS:
+            last[camera] = at
+            yield at, camera, metres
 
 
 def proximity_stream(fixes: DataFrame, cameras: DataFrame, radius_m: float = PROXIMITY_M) -> DataFrame:
     """The same alerts from a stream of fixes: cameras are a static side, state is kept for each device.
 
     Rows of one micro-batch are put in order of time for each device before they change its state.
+    The state holds the cameras that the device is at and those whose cooldown runs, and a device
+    without fixes for IDLE_MS loses it.
     """
-    # One row a fix and its cameras' cells at most; cameras of the 3 x 3 cells around a fix travel with it.
-    cells = cameras.select(F.struct("osm_id", "lat", "lon").alias("camera"), F.explode(geo.box_cells(geo.circle_box("lat", "lon", F.lit(radius_m * EXIT_FACTOR * 2)))).alias("cell"))
-    by_cell = cells.groupBy("cell").agg(F.collect_list("camera").alias("cameras"))
-    rows = fixes.where(F.col("accuracy_m") <= ACCURACY_M).withColumn("cell", geo.grid_cell("lat", "lon")).join(by_cell, "cell", "left")
+    exit_m = radius_m * EXIT_FACTOR
+    size = 2 * exit_m / METRES_PER_DEGREE
+    # A fix carries the cameras within its exit distance, no others.
+    by_cell = cameras.select(F.struct("osm_id", "lat", "lon").alias("camera"), F.explode(_cells_about(exit_m, size)).alias("cell")).groupBy("cell").agg(F.collect_list("camera").alias("cameras"))
+    rows = fixes.where(F.col("accuracy_m") <= ACCURACY_M).withColumn("cell", _cell(F.col("lat"), F.col("lon"), size)).join(by_cell, "cell", "left")
     metres = F.transform("cameras", lambda k: F.struct(k["osm_id"].alias("osm_id"), geo.haversine_m("lat", "lon", k["lat"], k["lon"]).alias("metres")))
-    rows = rows.select("device", "time_ms", metres.alias("near"))
+    rows = rows.select("device", "time_ms", F.filter(metres, lambda x: x["metres"] <= exit_m).alias("near"))
 
     def run(key, batches, state):
-        known = {c: [inside, last] for c, inside, last in zip(*state.get, strict=True)} if state.exists else {}
-        pdf = pd.concat(list(batches)).sort_values("time_ms")
-        fixes = [(int(t), {int(x["osm_id"]): float(x["metres"]) for x in n} if n is not None else {}) for t, n in zip(pdf["time_ms"], pdf["near"], strict=True)]
-        alerts = fold(known, fixes, radius_m)
-        state.update((list(known), [v[0] for v in known.values()], [v[1] for v in known.values()]))
-        yield pd.DataFrame([(key[0], *r) for r in alerts], columns=["device", "time_ms", "osm_id", "distance_m"])
-
-    return rows.groupBy("device").applyInPandasWithState(run, OUT, "cameras array<long>, inside array<boolean>, last array<long>", "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at_camera, cooling, since = state.get if state.exists else ([], [], [])
+        inside, last = set(at_camera), dict(zip(cooling, since, strict=True))
+        pdf = pd.concat(list(batches)).sort_values("time_ms", kind="stable")
+        alerts = [a for at, near in zip(pdf["time_ms"], pdf["near"], strict=True) for a in _alerts({} if near is None else {int(x["osm_id"]): float(x["metres"]) for x in near}, int(at), inside, last, radius_m)]
+        now = int(pdf["time_ms"].max())
+        last = {camera: at for camera, at in last.items() if now - at < COOLDOWN_MS}
+        state.update((list(inside), list(last), list(last.values())))
+        state.setTimeoutDuration(IDLE_MS)
+        yield pd.DataFrame([(key[0], *a) for a in alerts], columns=["device", "time_ms", "osm_id", "distance_m"])
+
+    return rows.groupBy("device").applyInPandasWithState(run, OUT, "inside array<long>, cooling array<long>, since array<long>", "append", "ProcessingTimeTimeout")
