@@ -78,11 +78,16 @@ CONE_WIDTH, CONES = 45.0, 6
 CARDINALS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
 
 # Maker prefixes of the devices' network addresses.
-OUIS = """
-70:C9:4E 3C:91:80 D8:F3:BC 80:30:49 B8:35:32 14:5A:FC 74:4C:A1 08:3A:88 9C:2F:9D C0:35:32 94:08:53 E4:AA:EA F4:6A:DD
-F8:A2:D6 24:B2:B9 00:F4:8D D0:39:57 E8:D0:FC E0:4F:43 B8:1E:A4 70:08:94 58:8E:81 EC:1B:BD 3C:71:BF 58:00:E3 90:35:EA
-5C:93:A2 64:6E:69 48:27:EA A4:CF:12 82:6B:F2
-""".split()
+OUIS = [
+    "70:C9:4E", "3C:91:80", "D8:F3:BC", "80:30:49", "B8:35:32", "14:5A:FC", "74:4C:A1", "08:3A:88", "9C:2F:9D", "C0:35:32",
+    "94:08:53", "E4:AA:EA", "F4:6A:DD", "F8:A2:D6", "24:B2:B9", "00:F4:8D", "D0:39:57", "E8:D0:FC", "E0:4F:43", "B8:1E:A4",
+    "70:08:94", "58:8E:81", "EC:1B:BD", "3C:71:BF", "58:00:E3", "90:35:EA", "5C:93:A2", "64:6E:69", "48:27:EA", "A4:CF:12",
+    "82:6B:F2",
+]
 
 # Navigation states' limits (metres, seconds).
-ARRIVE_M, BACK_ON_ROUTE_M, OFF_ROUTE_S, PAUSE_S = 30.0, 30.0, 5, 34
+ARRIVE_M, BACK_ON_ROUTE_M, OFF_ROUTE_S, PAUSE_S, GOOD_FIX_M = 30.0, 30.0, 5, 34, 50.0
+# Matching a fix to a route (degrees without a penalty, metres at most for heading elsewhere, share for going back).
+HEADING_FREE_DEG, HEADING_PENALTY_M, BACKWARD_COST = 45.0, 60.0, 0.5
+# Cameras announced together, and where a reroute joins the old route again (metres).
+GROUP_M, REJOIN_AHEAD_M, REJOIN_CLEAR_M, REJOIN_LEFT_M, REJOIN_END_M = 150.0, 1500.0, 100.0, 2500.0, 500.0
