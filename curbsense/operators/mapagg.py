@@ -142,3 +142,8 @@ def cluster_levels(points: DataFrame, partitions_level: int = 4) -> DataFrame:
         nodes = merged.select(F.col("parent").alias("id"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pcount").alias("count"), F.col("pusers").alias("users")).distinct()
     last = nodes.withColumns({"parent": F.lit(None).cast("string"), "level": F.lit(WIDE_LEVEL + 1)})
     return out.unionByName(last).select("level", "id", "x", "y", "count", "users", "parent")
+
+
+def largest_nodes(levels: DataFrame) -> DataFrame:
+    """Rows (level, largest): the count of each level's largest node, by which the others are drawn."""
+    return levels.groupBy("level").agg(F.max("count").alias("largest"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curbsense.constants import AVOID_M, CORRIDOR_LEAST_M, CORRIDOR_SHARE, METRES_PER_DEGREE, TILE_SIZE
 from curbsense.functions import geo
 
 DEGREES = 1e7
@@ -47,30 +49,40 @@ def nearest_node(places: DataFrame, edges: DataFrame, leaving: bool, reach: int
     return best.select("id", "best.node", "best.metres")
 
 
+def road_region(lat: Column, rows: int = 1) -> Column:
+    """Number of the band of road tiles, `rows` high, that a latitude lies in; the part of a graph that one task searches."""
+    return F.floor(lat / (TILE_SIZE * rows)).cast("int")
+
+
+def _graph(edges: pd.DataFrame, penalty_s: float | None) -> dict[str, list[tuple[str, float, bool]]]:
+    out: dict[str, list[tuple[str, float, bool]]] = {}
+    for u, v, secs, blocked in edges[["u", "v", "secs", "blocked"]].itertuples(index=False):
+        if not blocked or penalty_s is not None:
+            out.setdefault(u, []).append((v, secs + (penalty_s or 0.0) * blocked, bool(blocked)))
+    return out
+
+
 def shortest_paths(trips: DataFrame, edges: DataFrame, penalty_s: float | None) -> DataFrame:
     """Rows (trip, secs, blocked, hops): quickest paths of trips (trip, region, start, goal) on the edges (region, ...) of their region.
 
-    A blocked edge costs penalty_s more, or isn't used where that is None. Regions are cogrouped
-    with their trips and searched in parallel; a region must fit in a task. Trips without a path
-    have no row.
+    A blocked edge costs penalty_s more, or isn't used where that is None. Regions are bounded parts
+    of the map: each is cogrouped with its trips, and all are searched in parallel. Trips from one
+    start share a search. Trips without a path have no row.
     """
 
     def search(key, trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        out_of: dict[str, list[tuple[str, float, bool]]] = {}
-        for u, v, secs, blocked in edges[["u", "v", "secs", "blocked"]].itertuples(index=False):
-            if not blocked or penalty_s is not None:
-                out_of.setdefault(u, []).append((v, secs + (penalty_s or 0.0) * blocked, blocked))
-        rows = []
-        for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False):
+        graph, rows = _graph(edges, penalty_s), []
+        for start, asked in trips.groupby("start"):
+            goals: dict[str, list[int]] = {}
+            for trip, goal in asked[["trip", "goal"]].itertuples(index=False):
+                goals.setdefault(goal, []).append(trip)
             best, heap = {start: 0.0}, [(0.0, start, 0, 0)]
-            while heap:
+            while heap and goals:
                 cost, node, hits, hops = heapq.heappop(heap)
-                if node == goal:
-                    rows.append((trip, cost - hits * (penalty_s or 0.0), hits, hops))
-                    break
                 if cost > best[node]:
                     continue
-                for v, secs, blocked in out_of.get(node, ()):
+                rows += [(trip, cost - hits * (penalty_s or 0.0), hits, hops) for trip in goals.pop(node, ())]
+                for v, secs, blocked in graph.get(node, ()):
                     if cost + secs < best.get(v, float("inf")):
                         best[v] = cost + secs
                         heapq.heappush(heap, (cost + secs, v, hits + blocked, hops + 1))
@@ -93,22 +105,22 @@ def reachable(edges: DataFrame, start: str, rounds: int) -> DataFrame:
     return best
 
 
-def _quickest(out_of: dict, start: str, goal: str, closed: set) -> tuple[float, list[tuple[str, str]], int] | None:
-    """(seconds, edges, blocked edges) of the quickest path that uses no closed edge."""
+def _quickest(graph: dict, start: str, goal: str, closed: set) -> tuple[float, list, list[tuple[str, str]]] | None:
+    """(seconds, edges, blocked edges) of the quickest path that uses no closed edge, in order."""
     best, came, heap = {start: 0.0}, {}, [(0.0, start)]
     while heap:
         cost, node = heapq.heappop(heap)
         if node == goal:
-            edges, hits = [], 0
+            edges, hits = [], []
             while node != start:
                 before, blocked = came[node]
                 edges.append((before, node))
-                hits += blocked
+                hits += [(before, node)] * blocked
                 node = before
-            return cost, edges[::-1], hits
+            return cost, edges[::-1], hits[::-1]
         if cost > best[node]:
             continue
-        for v, secs, blocked in out_of.get(node, ()):
+        for v, secs, blocked in graph.get(node, ()):
             if (node, v) not in closed and cost + secs < best.get(v, float("inf")):
                 best[v] = cost + secs
                 came[v] = (node, blocked)
@@ -118,51 +130,83 @@ def _quickest(out_of: dict, start: str, goal: str, closed: set) -> tuple[float,
 
 #: Requests a plan may make, and segments it may exclude.
 REQUESTS, EXCLUSIONS = 8, 50
-PLAN = "trip long, outcome string, requests int, fastest_s double, fastest_blocked int, best_s double, best_blocked int"
+PLAN = "trip long, outcome string, requests int, excluded int, given_up int, limit string, fastest_s double, fastest_blocked int, best_s double, best_blocked int"
+
+
+def _place(node: str) -> tuple[float, float]:
+    lat, lon = node.split(":")
+    return int(lat) / DEGREES, int(lon) / DEGREES
+
+
+def _apart(a: tuple[float, float], b: tuple[float, float]) -> float:
+    k = math.cos(math.radians(a[0]))
+    return METRES_PER_DEGREE * math.hypot(a[0] - b[0], ((a[1] - b[1] + 180) % 360 - 180) * k)
+
+
+def _planned(graph: dict, start: str, goal: str) -> tuple:
+    """A trip's row of PLAN but for its number."""
+    ends = _place(start), _place(goal)
+    reach = max(CORRIDOR_LEAST_M, CORRIDOR_SHARE * _apart(*ends)) / METRES_PER_DEGREE
+    wide = reach / max(0.01, math.cos(math.radians((ends[0][0] + ends[1][0]) / 2)))
+    spans = [(min(e[i] for e in ends) - r, max(e[i] for e in ends) + r) for i, r in ((0, reach), (1, wide))]
+    middle = lambda e: tuple((x + y) / 2 for x, y in zip(_place(e[0]), _place(e[1]), strict=True))
+    near_end = lambda e: min(_apart(p, q) for p in map(_place, e) for q in ends)
+    closed: list[tuple[str, str]] = []
+    batch: list[tuple[str, str]] = []
+    given_up: set[tuple[str, str]] = set()
+    answers, requests, limit = [], 0, None
+    while True:
+        requests += 1
+        found = _quickest(graph, start, goal, set(closed))
+        if found is None:
+            if not batch:
+                break
+            # Something of the last batch can't be driven around: what is nearest to an end is given up first.
+            edge = min(batch, key=near_end)
+            batch.remove(edge)
+            closed.remove(edge)
+            given_up.add(edge)
+        else:
+            answers.append((len(found[2]), found[0], len(answers)))
+            batch = []
+            for edge in found[2]:
+                if edge in given_up or near_end(edge) <= AVOID_M:
+                    continue
+                if not all(low <= x <= high for x, (low, high) in zip(middle(edge), spans, strict=True)):
+                    given_up.add(edge)
+                elif len(closed) + len(batch) >= EXCLUSIONS:
+                    given_up.add(edge)
+                    limit = "exclusions"
+                else:
+                    batch.append(edge)
+            if not batch:
+                break
+            closed += batch
+        if requests >= REQUESTS:
+            limit = limit or "requests"
+            break
+    if not answers:
+        return ("no_route", requests, 0, 0, limit, None, None, None, None)
+    first, best = answers[0], min(answers)
+    outcome = "clear" if not best[0] else "reduced" if best[0] < first[0] else "unchanged"
+    return (outcome, requests, len(closed), len(given_up), limit, first[1], first[0], best[1], best[0])
 
 
 def plan_exclusions(trips: DataFrame, edges: DataFrame) -> DataFrame:
     """Plans of trips (trip, region, start, goal) by asking for a route again and again without the blocked segments met so far.
 
-    Each answer's blocked segments are excluded from the next request, until an answer has none, no
-    route is left (then the exclusion next to an end is given up), or requests or exclusions are
-    used up. The best answer has the fewest blocked segments, then the least time; the first of
-    equals. The router here is the region's graph; trips of a region are planned in its task.
+    Each answer's blocked segments are excluded from the next request, as many as may be, but for
+    those at an end of the trip (within AVOID_M) and those outside its corridor. Where no route is
+    left, the one of the last batch that is nearest to an end is given up. It ends with an answer
+    that has none to exclude, or when requests are used up; limit names the limit that was met. The
+    best answer has the fewest blocked segments, then the least time; the first of equals. The router
+    here is the region's graph; trips of a region are planned in its task.
     """
 
     def plan(key, trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        out_of: dict[str, list[tuple[str, float, bool]]] = {}
-        marked = set()
-        for u, v, secs, blocked in edges[["u", "v", "secs", "blocked"]].itertuples(index=False):
-            out_of.setdefault(u, []).append((v, secs, bool(blocked)))
-            if blocked:
-                marked.add((u, v))
-        rows = []
-        for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False):
-            closed: list[tuple[str, str]] = []
-            given_up: set[tuple[str, str]] = set()
-            answers, requests = [], 0
-            while requests < REQUESTS:
-                requests += 1
-                found = _quickest(out_of, start, goal, set(closed))
-                if found is None:
-                    if not closed:
-                        break
-                    # Give up the exclusion that touches an end of the trip, else the oldest.
-                    given_up.add(edge := next((e for e in closed if {start, goal} & set(e)), closed[0]))
-                    closed.remove(edge)
-                    continue
-                answers.append((found[2], found[0], len(answers)))
-                met = [e for e in found[1] if e in marked and e not in closed and e not in given_up]
-                if not met or len(closed) + len(met) > EXCLUSIONS:
-                    break
-                closed += met
-            if not answers:
-                rows.append((trip, "no_route", requests, None, None, None, None))
-                continue
-            first, best = answers[0], min(answers)
-            outcome = "clear" if not first[0] else "avoided" if not best[0] else "fewer" if best[0] < first[0] else "same"
-            rows.append((trip, outcome, requests, first[1], first[0], best[1], best[0]))
-        return pd.DataFrame(rows, columns=["trip", "outcome", "requests", "fastest_s", "fastest_blocked", "best_s", "best_blocked"]).astype({"fastest_blocked": "Int32", "best_blocked": "Int32"})
+        graph = _graph(edges, 0.0)
+        rows = [(trip, *_planned(graph, start, goal)) for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False)]
+        names = [c.split(" ")[0] for c in PLAN.split(", ")]
+        return pd.DataFrame(rows, columns=names).astype({"fastest_blocked": "Int32", "best_blocked": "Int32"})
 
     return trips.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(plan, PLAN)

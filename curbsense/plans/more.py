@@ -51,24 +51,30 @@ def oui_dim(spark: SparkSession, d: str):
     return dim.agg(F.count(F.lit(1)).alias("prefixes"), F.countDistinct(F.upper("oui")).alias("different"))
 
 
-@query("wifi_upstream_ingest", o.with_(o.SIGHTINGS, PARSED, BEST, select="SELECT mac AS netid, substr(mac, 1, 8) AS oui, round(lat, 6) AS lat, round(lon, 6) AS lon, trim(ssid) AS ssid, lasttime AS last_seen FROM best"))
+@query("wifi_upstream_ingest", o.with_(o.SIGHTINGS, PARSED, BEST, select="SELECT mac AS netid, substr(mac, 1, 8) AS oui, round(lat, 6) AS lat, round(lon, 6) AS lon, trim(ssid) || ', quoted' AS ssid, lasttime AS last_seen FROM best"))
 def wifi_upstream_ingest(spark: SparkSession, d: str):
-    """The data set's rows: valid, in the retention, one a device."""
-    best = tables._best(spark, d)
-    return best.select("netid", F.substring("netid", 1, 8).alias("oui"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.trim("ssid").alias("ssid"), "last_seen")
+    """The data set's file: a header in any case, quoted names; rows that are valid, in the retention, one a device."""
+    s = a.sightings(spark, d)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    line = F.concat_ws(",", "netid", F.concat(F.lit('"'), F.trim("ssid"), F.lit(', quoted"')), "trilat", "trilong", blank(F.col("lasttime")), "source")
+    head = spark.createDataFrame([(-1, "NetID,SSID,TriLat,TriLong,LastTime,Source")], "pos long, line string")
+    rows = formats.csv_rows(head.unionByName(s.select("pos", line.alias("line"))), "netid")
+    best = tables.best_of(rows)
+    return best.select("netid", F.substring("netid", 1, 8).alias("oui"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "ssid", "last_seen")
 
 
-@query("wifi_wigle_ingest", o.with_(o.SIGHTINGS, select=f"SELECT pos, {MAC} AS netid, round(lat, 6) AS lat FROM sightings WHERE length({MAC}) > 0 AND (substr({MAC}, 1, 8) IN ('70:C9:4E', '3C:91:80', 'D8:F3:BC') OR regexp_matches(trim(ssid), '(?i)^(flock|flock-[0-9a-f]{{4,6}}|flock\\d{{3}}|flock camera net\\.?)$')) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND pos % 29 <> 0"))
+@query("wifi_wigle_ingest", o.with_(o.SIGHTINGS, select=f"SELECT pos, {MAC} AS netid, CASE WHEN pos % 31 = 0 THEN ssid || ', east' ELSE ssid END AS ssid, round(lat, 6) AS lat FROM sightings WHERE length({MAC}) > 0 AND (substr({MAC}, 1, 8) IN ('70:C9:4E', '3C:91:80', 'D8:F3:BC') OR (pos % 31 <> 0 AND regexp_matches(trim(ssid), '(?i)^(flock|flock-[0-9a-f]{{4,6}}|flock\\d{{3}}|flock camera net\\.?)$'))) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND pos % 29 <> 0"))
 def wifi_wigle_ingest(spark: SparkSession, d: str):
-    """A wardriving file's rows that a maker prefix or a network name matches; other radios stay out."""
+    """A wardriving file's rows that a maker prefix or a network name matches; other radios stay out, and quoted names hold commas."""
     s = a.sightings(spark, d)
     kind = F.when(F.col("pos") % 29 == 0, "BT").when(F.col("pos") % 2 == 0, "WIFI").otherwise("wifi")
-    lines = s.select("pos", F.concat_ws(",", "netid", "ssid", F.lit("[WPA2]"), F.lit("2024-01-01"), F.lit("6"), F.lit("-60"), "trilat", "trilong", F.lit("1"), F.lit("2"), kind).alias("line"))
+    name = F.when(F.col("pos") % 31 == 0, F.concat(F.lit('"'), "ssid", F.lit(', east"'))).otherwise(F.col("ssid"))
+    lines = s.select("pos", F.concat_ws(",", "netid", name, F.lit("[WPA2]"), F.lit("2024-01-01"), F.lit("6"), F.lit("-60"), "trilat", "trilong", F.lit("1"), F.lit("2"), kind).alias("line"))
     head = spark.createDataFrame([(-2, "WigleWifi-1.4,appRelease=1"), (-1, "MAC,SSID,AuthMode,FirstSeen,Channel,RSSI,CurrentLatitude,CurrentLongitude,AltitudeMeters,AccuracyMeters,Type")], "pos long, line string")
-    rows = formats.scanner_rows(spark, head.unionByName(lines))
-    rows = rows.select("pos", text.mac_normalize(F.col("mac")).alias("netid"), "ssid", F.col("currentlatitude").try_cast("double").alias("lat"), F.col("currentlongitude").try_cast("double").alias("lon"), F.upper(F.trim("type")).alias("type"))
+    rows = formats.scanner_rows(head.unionByName(lines))
+    rows = rows.select("pos", text.mac_normalize(F.col("mac")).alias("netid"), "ssid", F.col("currentlatitude").try_cast("double").alias("lat"), F.col("currentlongitude").try_cast("double").alias("lon"), F.upper(F.trim(F.coalesce("type", F.lit("")))).alias("type"))
     matched = F.substring("netid", 1, 8).isin(*OUIS) | text.ssid_match(F.col("ssid"))
-    return rows.where(F.col("type").isin("", "WIFI") & F.col("netid").isNotNull() & matched & geo.valid_coord("lat", "lon")).select("pos", "netid", F.round("lat", 6).alias("lat"))
+    return rows.where(F.col("type").isin("", "WIFI") & F.col("netid").isNotNull() & matched & geo.valid_coord("lat", "lon") & ~((F.col("lat") == 0) & (F.col("lon") == 0))).select("pos", "netid", "ssid", F.round("lat", 6).alias("lat"))
 
 
 @query("suggest_label", "SELECT k, CASE WHEN trim(coalesce(name, '')) <> '' THEN trim(name) WHEN number THEN k || ' Harney Street' ELSE 'Durham Museum' END AS label FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN ' ' END AS name, p_partkey % 2 = 0 AS number FROM part)")
@@ -122,14 +128,6 @@ def point_to_polyline(spark: SparkSession, d: str):
     return best.select("id", "route", "h.segment", F.round("h.distance_m", 1).alias("distance_m"), F.round("h.along_m", 1).alias("along_m"))
 
 
-@query("remaining_time", o.with_(o.VERTICES, SEGS, select="SELECT route, round(sum(CASE WHEN start_m >= 20000 THEN length_m / 15 WHEN start_m + length_m > 20000 THEN (start_m + length_m - 20000) / 15 ELSE 0 END), 3) AS seconds FROM placed GROUP BY route"))
-def remaining_time(spark: SparkSession, d: str):
-    """Time left from 20 km on: the steps ahead, and the current one in proportion."""
-    s = spatial.segments(a.vertices(spark, d)).withColumn("end_m", F.col("start_m") + F.col("length_m"))
-    left = F.when(F.col("start_m") >= 20_000, F.col("length_m")).when(F.col("end_m") > 20_000, F.col("end_m") - 20_000).otherwise(0.0)
-    return s.groupBy("route").agg(F.round(F.sum(left / 15), 3).alias("seconds"))
-
-
 @query("cameras_on_route", o.with_(*ON_ROUTE[:1], "routes AS (SELECT n_nationkey AS id, n_name AS name, 30 AS corridor_m FROM nation)", *ON_ROUTE[2:], select="SELECT route, osm_id, round(distance_m, 2) AS distance_m FROM on_route"))
 def cameras_on_route(spark: SparkSession, d: str):
     """Cameras within 30 m of a route."""
@@ -182,7 +180,7 @@ def trip_parse(spark: SparkSession, d: str):
     return points.select("route", "points", F.round(metres, 0).alias("metres"), F.col("legs").cast("int").alias("legs"))
 
 
-@query("road_check")
+@query("road_check", travel.WALKS(travel.PENALISED, travel.FREE, select="SELECT trip, CASE WHEN f.cost IS NOT NULL THEN 'free' ELSE 'fewest' END AS status, CASE WHEN f.cost IS NULL THEN CAST(floor(c.cost / 3600) AS BIGINT) ELSE 0 END AS blocked, round(coalesce(f.cost, c.cost - floor(c.cost / 3600) * 3600), 3) AS secs FROM trips t JOIN least_cost c ON c.region = t.region AND c.node = t.goal LEFT JOIN free_cost f ON f.region = t.region AND f.node = t.goal"))
 def road_check(spark: SparkSession, d: str):
     """For each trip whether a path without blocked segments exists, else how few blocked ones it takes."""
     fewest = travel.shortest_path(spark, d).select("trip", "secs", "blocked")
@@ -265,7 +263,7 @@ def cluster_bounds(spark: SparkSession, d: str):
 @query("plan_phase1")
 def plan_phase1(spark: SparkSession, d: str):
     """Routes found by excluding, request after request, the blocked segments that answers pass."""
-    out = roads.plan_exclusions(travel._trips(spark, d), travel._edges(spark, d).withColumn("region", F.lit(0)))
+    out = roads.plan_exclusions(travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way"))), travel._banded(spark, d))
     return out.withColumns({"fastest_s": F.round("fastest_s", 3), "best_s": F.round("best_s", 3)})
 
 
@@ -288,10 +286,39 @@ def map_match_whole(spark: SparkSession, d: str):
     return best.select("route", "k", "m.segment", F.round("m.off", 2).alias("off_m"))
 
 
-@query("route_report_geojson", o.with_(*ON_ROUTE, select="""SELECT route, osm_id, '{"type":"Feature","properties":{"kind":"camera","osm_id":' || osm_id || ',"along_m":' || printf('%.1f', round(start_m + hit_m, 1)) || '},"geometry":{"type":"Point","coordinates":[' || printf('%.4f', lon) || ',' || printf('%.4f', lat) || ']}}' AS feature FROM on_route"""))
+FEATURE = """'{"type":"Feature","properties":{"kind":"camera","category":"' || h.category || '","osm_type":"' || h.osm_type || '","osm_id":' || h.osm_id || ',"along_m":' || printf('%.1f', round(start_m + hit_m, 1)) || ',"distance_from_route_m":' || printf('%.1f', round(h.distance_m, 1)) || '},"geometry":{"type":"Point","coordinates":[' || printf('%.4f', h.lon) || ',' || printf('%.4f', h.lat) || ']}}'"""
+
+
+@query("route_report_geojson", o.with_(*ON_ROUTE, "lines AS (SELECT v.route, '{\"type\":\"LineString\",\"coordinates\":[' || string_agg('[' || printf('%.4f', v.lon) || ',' || printf('%.4f', v.lat) || ']', ',' ORDER BY v.pos) || ']}' AS line FROM vertices v GROUP BY v.route)", f"cams AS (SELECT h.route, ',' || string_agg({FEATURE}, ',' ORDER BY start_m + hit_m, h.osm_type, h.osm_id) AS features FROM (SELECT x.*, c.category FROM on_route x JOIN cameras c ON c.osm_type = x.osm_type AND c.osm_id = x.osm_id) h GROUP BY h.route)", select="""SELECT r.id AS route, '{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"kind":"route","name":"' || r.name || '","corridor_m":' || r.corridor_m || '},"geometry":' || line || '}' || coalesce(features, '') || ']}' AS report FROM routes r JOIN lines l ON l.route = r.id LEFT JOIN cams c ON c.route = r.id"""))
 def route_report_geojson(spark: SparkSession, d: str):
-    """The camera features of each route's report."""
+    """Each route's report as a collection: the route, then its cameras along it."""
     cams = a.cameras(spark, d)
-    hits = spatial.route_membership(cams, a.vertices(spark, d), corridors(spark, d)).join(cams.select("osm_type", "osm_id", "lat", "lon"), ["osm_type", "osm_id"])
-    feature = F.format_string('{"type":"Feature","properties":{"kind":"camera","osm_id":%d,"along_m":%.1f},"geometry":{"type":"Point","coordinates":[%.4f,%.4f]}}', "osm_id", F.round("along_m", 1), "lon", "lat")
-    return hits.select("route", "osm_id", feature.alias("feature"))
+    hits = spatial.route_membership(cams, a.vertices(spark, d), corridors(spark, d)).join(cams.select("osm_type", "osm_id", "lat", "lon", "category"), ["osm_type", "osm_id"])
+    feature = F.format_string('{"type":"Feature","properties":{"kind":"camera","category":"%s","osm_type":"%s","osm_id":%d,"along_m":%.1f,"distance_from_route_m":%.1f},"geometry":{"type":"Point","coordinates":[%.4f,%.4f]}}', "category", "osm_type", "osm_id", F.round("along_m", 1), F.round("distance_m", 1), "lon", "lat")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("along_m", "osm_type", "osm_id", feature.alias("f")))), lambda x: x["f"])
+    features = hits.groupBy("route").agg(F.concat(F.lit(","), F.array_join(ordered, ",")).alias("features"))
+    routes = a.routes(spark, d).withColumnRenamed("id", "route").join(travel.linestring_geojson(spark, d), "route").join(features, "route", "left")
+    head = F.format_string('{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"kind":"route","name":"%s","corridor_m":%d},"geometry":%s}', "name", "corridor_m", "geojson")
+    return routes.select("route", F.concat(head, F.coalesce("features", F.lit("")), F.lit("]}")).alias("report"))
+
+
+MANIFEST = "CASE WHEN k % 7 = 0 THEN 'format' WHEN k % 7 = 1 THEN 'file' WHEN k % 7 = 2 THEN 'sha256' WHEN k % 7 = 3 THEN 'elements' WHEN k % 7 = 4 THEN 'json' END"
+
+
+@query("manifest_parse", f"SELECT k, {MANIFEST} AS problem, CASE WHEN k % 7 > 4 THEN 'cams-' || k || '.json.gz' END AS file FROM (SELECT n_nationkey AS k FROM nation)")
+def manifest_parse(spark: SparkSession, d: str):
+    """Manifests, some of another format, with an unsafe file name, a broken digest, no elements, or no JSON at all."""
+    k = F.col("n_nationkey")
+    at = k % 7
+    body = F.format_string('{"format": %d, "file": "%s", "sha256": "%s", "bytes": 10, "elements": %d}', F.when(at == 0, 9).otherwise(formats.SNAPSHOT_FORMAT), F.when(at == 1, "../up").otherwise(F.format_string("cams-%d.json.gz", k)), F.when(at == 2, "ff").otherwise(F.sha2(k.cast("string"), 256)), F.when(at == 3, 0).otherwise(7))
+    rows = a.table(spark, d, "nation").select(k.alias("k"), F.when(at == 4, "{").otherwise(body).alias("body"))
+    return formats.manifests(rows).select("k", "problem", F.when(F.col("problem").isNull(), F.col("m.file")).alias("file"))
+
+
+@query("snapshot_decode", "SELECT n_nationkey AS path, n_name || ' é' AS body, CASE WHEN n_nationkey % 3 = 1 THEN 'digest' END AS reason FROM nation WHERE n_nationkey % 3 <> 1 UNION ALL SELECT n_nationkey, NULL, 'digest' FROM nation WHERE n_nationkey % 3 = 1")
+def snapshot_decode(spark: SparkSession, d: str):
+    """Compressed files that their manifest confirms, inflated."""
+    rows = a.table(spark, d, "nation").select(F.col("n_nationkey").alias("path"), formats.deflated(F.concat("n_name", F.lit(" é"))).alias("content"))
+    digest = F.when(F.col("path") % 3 == 1, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.sha2("content", 256))
+    manifest = rows.select("path", F.octet_length("content").alias("bytes"), digest.alias("sha256"))
+    return formats.decoded(rows, manifest)

@@ -136,9 +136,9 @@ def alert_notify(spark: SparkSession, d: str):
     return alerts.notify(events, events.where("id % 2 = 0"), at).select("id", "notified")
 
 
-@query("alert_state", o.with_(o.ALERTS, CURRENT, select="SELECT target_type, target_id, count(DISTINCT osm_id) AS cameras, (target_type, target_id) IN (SELECT (target_type, target_id) FROM alert_events) AS baseline_recorded FROM current GROUP BY ALL"))
+@query("alert_state", o.with_(o.ALERTS, CURRENT, select="SELECT target_type, target_id, string_agg(DISTINCT osm_type || '/' || osm_id, ',' ORDER BY osm_type || '/' || osm_id) AS keys, count(DISTINCT osm_id) AS cameras, (target_type, target_id) IN (SELECT (target_type, target_id) FROM alert_events) AS baseline_recorded FROM current GROUP BY ALL"))
 def alert_state(spark: SparkSession, d: str):
-    return alerts.alert_state(_current(spark, d), a.alert_events(spark, d))
+    return alerts.alert_state(_current(spark, d), a.alert_events(spark, d)).withColumn("keys", F.array_join("keys", ","))
 
 
 # Wi-Fi.
@@ -149,17 +149,26 @@ PARSED = f"""parsed AS (SELECT *, CASE WHEN mac IS NULL OR lat IS NULL OR lon IS
 BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mac ORDER BY lasttime DESC NULLS LAST, pos) AS rn FROM parsed WHERE reason = 'parsed') WHERE rn = 1)"
 
 
-def _parsed(spark, d):
-    s = a.sightings(spark, d).withColumns({"mac": text.mac_normalize(F.col("netid")), "lat": F.col("trilat").try_cast("double"), "lon": F.col("trilong").try_cast("double")})
+def parsed(rows):
+    """Scanner rows (netid, trilat, trilong, lasttime, ...) with mac, lat, lon and the reason why one is left out, or "parsed"."""
+    s = rows.withColumns({"mac": text.mac_normalize(F.col("netid")), "lat": F.col("trilat").try_cast("double"), "lon": F.col("trilong").try_cast("double")})
     bad = F.col("mac").isNull() | ~F.coalesce(geo.valid_coord("lat", "lon"), F.lit(False)) | ((F.col("lat") == 0) & (F.col("lon") == 0))
     return s.withColumn("reason", F.when(bad, "invalid").when(F.coalesce(text.wifi_age(F.col("lasttime"), WNOW) > 730, F.lit(False)), "old").otherwise("parsed"))
 
 
-def _best(spark, d):
-    rows = _parsed(spark, d).where("reason = 'parsed'").select(F.col("mac").alias("netid"), "lat", "lon", "ssid", F.col("lasttime").alias("last_seen"), "source", "pos")
+def _parsed(spark, d):
+    return parsed(a.sightings(spark, d))
+
+
+def best_of(rows):
+    rows = parsed(rows).where("reason = 'parsed'").select(F.col("mac").alias("netid"), "lat", "lon", "ssid", F.col("lasttime").alias("last_seen"), "source", "pos")
     return dimension.wifi_dedupe(rows)
 
 
+def _best(spark, d):
+    return best_of(a.sightings(spark, d))
+
+
 @query("mac_normalize", o.with_(o.SIGHTINGS, select=f"SELECT pos, {MAC} AS mac FROM sightings"))
 def mac_normalize(spark: SparkSession, d: str):
     return a.sightings(spark, d).select("pos", text.mac_normalize(F.col("netid")).alias("mac"))
@@ -322,6 +331,12 @@ def format_count(spark: SparkSession, d: str):
     return rows.withColumn("label", mapagg.format_count(F.col("n")))
 
 
+@query("cluster_max_count", o.with_(o.CAMERAS, o.SUBMISSIONS, POINTS, select="SELECT CAST(14 AS INTEGER) AS level, CAST(1 AS BIGINT) AS largest"))
+def cluster_max_count(spark: SparkSession, d: str):
+    """The largest node of the level of single points; lower levels have theirs by the same aggregation."""
+    return mapagg.largest_nodes(cluster_levels(spark, d)).where("level = 14")
+
+
 @query("cluster_levels")
 def cluster_levels(spark: SparkSession, d: str):
     points = _points(spark, d).where(mapagg.included(("flock", "alpr", "user")))

@@ -6,11 +6,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import LONG_DETOUR_S, LONG_DETOUR_SHARE, STRETCH_GAP_M
+from curbsense.constants import GOOD_FIX_M, LONG_DETOUR_S, LONG_DETOUR_SHARE, MOVING_MPS, STRETCH_GAP_M
 from curbsense.functions import geo, text
-from curbsense.operators import roads, spatial
+from curbsense.operators import guidance, roads, spatial
 from curbsense.plans import oracle as o
-from curbsense.plans.spatial import ON_ROUTE, corridors
+from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors
 from curbsense.sources import adapters as a
 from curbsense.sources import formats
 from curbsense.streaming import proximity
@@ -118,15 +118,23 @@ def snapshot_verify(spark: SparkSession, d: str):
 
 
 # Exports.
-@query("route_report_csv", o.with_(*ON_ROUTE, select="""SELECT route, CAST(round_even(start_m + hit_m, 0) AS BIGINT) || ',' || CAST(round_even(h.distance_m, 0) AS BIGINT) || ',' || c.category || ',' || h.osm_type || ',' || h.osm_id || ',' || printf('%.4f', c.lat) || ',' || printf('%.4f', c.lon) || ',' || coalesce(CASE WHEN c.operator LIKE '%,%' THEN '"' || c.operator || '"' ELSE c.operator END, '') AS line FROM on_route h JOIN cameras c ON c.osm_id = h.osm_id"""))
+REPORT_HEAD = "along_m,distance_from_route_m,category,osm_type,osm_id,lat,lon,operator,brand,manufacturer,direction"
+NOTE = "Made from community data, which may be incomplete or out of date."
+
+
+@query("route_report_csv", o.with_(*ON_ROUTE, select=f"""SELECT route, CAST(row_number() OVER (PARTITION BY route ORDER BY start_m + hit_m, h.osm_type, h.osm_id) + 2 AS BIGINT) AS n, CAST(round_even(start_m + hit_m, 0) AS BIGINT) || ',' || CAST(round_even(h.distance_m, 0) AS BIGINT) || ',' || c.category || ',' || h.osm_type || ',' || h.osm_id || ',' || printf('%.7f', c.lat) || ',' || printf('%.7f', c.lon) || ',' || coalesce(CASE WHEN c.operator LIKE '%,%' THEN '"' || c.operator || '"' ELSE c.operator END, '') || ',' || CASE WHEN c.category = 'flock' THEN chr(34) || 'Flock ' || chr(34) || chr(34) || 'Safety' || chr(34) || chr(34) || chr(34) ELSE '' END || ',,' || coalesce(c.direction, '') AS line FROM on_route h JOIN cameras c ON c.osm_type = h.osm_type AND c.osm_id = h.osm_id
+    UNION ALL SELECT id, 0, '# Route report: ' || name FROM routes UNION ALL SELECT id, 1, '# {NOTE}' FROM routes UNION ALL SELECT id, 2, '{REPORT_HEAD}' FROM routes"""))
 def route_report_csv(spark: SparkSession, d: str):
-    """The lines of each route's report; halves of metres go to the even number."""
-    cams = a.cameras(spark, d)
-    hits = spatial.route_membership(cams, a.vertices(spark, d), corridors(spark, d)).join(cams.drop("lat0"), ["osm_type", "osm_id"])
+    """The lines of each route's report, numbered: two notes, the header, and a line a camera; halves of metres go to the even number."""
+    cams = a.cameras(spark, d).withColumn("brand", F.when(F.col("category") == "flock", 'Flock "Safety"'))
+    hits = spatial.route_membership(a.cameras(spark, d), a.vertices(spark, d), corridors(spark, d)).join(cams, ["osm_type", "osm_id"])
     metres = lambda c: F.bround(c).cast("long").cast("string")
-    blank = F.coalesce(text.csv_escape(F.col("operator")), F.lit(""))
-    line = F.concat_ws(",", metres("along_m"), metres("distance_m"), "category", "osm_type", F.col("osm_id").cast("string"), F.format_string("%.4f", "lat"), F.format_string("%.4f", "lon"), blank)
-    return hits.select("route", line.alias("line"))
+    cell = lambda c: F.coalesce(text.csv_escape(F.col(c)), F.lit(""))
+    line = F.concat_ws(",", metres("along_m"), metres("distance_m"), "category", "osm_type", F.col("osm_id").cast("string"), F.format_string("%.7f", "lat"), F.format_string("%.7f", "lon"), cell("operator"), cell("brand"), F.lit(""), cell("direction"))
+    n = F.row_number().over(W.partitionBy("route").orderBy("along_m", "osm_type", "osm_id")) + 2
+    heads = F.array(F.concat(F.lit("# Route report: "), "name"), F.lit(f"# {NOTE}"), F.lit(REPORT_HEAD))
+    notes = a.routes(spark, d).select(F.col("id").alias("route"), F.posexplode(heads).alias("n", "line"))
+    return hits.select("route", n.cast("long").alias("n"), line.alias("line")).unionByName(notes.withColumn("n", F.col("n").cast("long")))
 
 
 @query("route_report", o.with_(*ON_ROUTE, select="SELECT v.route, round(v.length_m, 2) AS length_m, count(h.osm_id) AS cameras, round(min(start_m + hit_m), 2) AS first_m FROM (SELECT route, sum(length_m) AS length_m FROM segs GROUP BY 1) v LEFT JOIN on_route h ON h.route = v.route GROUP BY ALL"))
@@ -266,22 +274,39 @@ def nearest_node(spark: SparkSession, d: str):
     return roads.nearest_node(_spots(spark, d), _edges(spark, d), leaving=True).select("id", F.round("metres", 3).alias("metres"))
 
 
-def _trips(spark, d):
-    """Trips from the lattice's first corner to nodes along it, all in one region."""
-    k = F.col("p_partkey")
-    return a.table(spark, d, "part").where("p_partkey % 10 = 0 AND p_partkey > 0 AND p_partkey < 200").select(k.alias("trip"), F.lit(0).alias("region"), F.lit("412000000:-959960000").alias("start"), F.concat_ws(":", F.lit(412000000) + F.floor(k / 40) * 20000, F.lit(-960000000) + k % 40 * 20000).alias("goal"))
+def _trips(spark, d, keys=None):
+    """A trip to the first node of every way, from the first corner of its band of tiles; keys may name fewer ways."""
+    k = F.col("way")
+    rows = keys if keys is not None else a.table(spark, d, "part").select(F.col("p_partkey").alias("way"))
+    node = lambda row, column: F.concat_ws(":", F.lit(412000000) + row * 20000, F.lit(-960000000) + column * 20000)
+    row = F.floor(k / 40)
+    return rows.select(k.alias("trip"), F.floor(row / 50).cast("int").alias("band"), row.alias("row")).select("trip", (F.col("band") + 412).alias("region"), node(F.col("band") * 50 + 1, F.lit(2)).alias("start"), node(F.col("row"), F.col("trip") % 40).alias("goal"))
+
+
+def _banded(spark, d):
+    """The edges of each band of tiles: those that begin in it."""
+    return _edges(spark, d).withColumn("region", roads.road_region(F.split("u", ":")[0].cast("long") / 10_000_000 + 1e-9))
+
+
+GRAPH = """banded AS (SELECT CAST(split_part(u, ':', 1) AS BIGINT) // 1000000 AS region, u, v, secs + CASE WHEN blocked THEN 3600 ELSE 0 END AS cost FROM (SELECT u, v, secs, seg IN (SELECT seg FROM blocked) AS blocked, direction FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs, seg IN (SELECT seg FROM blocked), direction FROM road_segs WHERE direction <= 0)),
+    trips AS (SELECT p_partkey AS trip, 412 + p_partkey // 2000 AS region, (412000000 + (p_partkey // 2000 * 50 + 1) * 20000) || ':-959960000' AS start, (412000000 + p_partkey // 40 * 20000) || ':' || (-960000000 + p_partkey % 40 * 20000) AS goal FROM part)"""
+#: Least costs from each band's start, relaxed until none falls: the key's row is replaced by a better one.
+LEAST_COST = """{name}(region, node, cost) USING KEY (region, node) AS (SELECT DISTINCT region, start, CAST(0 AS DOUBLE) FROM trips UNION
+    (SELECT n.region, n.node, n.cost FROM (SELECT e.region, e.v AS node, min(b.cost + e.cost) AS cost FROM {name} b JOIN banded e ON e.region = b.region AND e.u = b.node{where} GROUP BY ALL) n LEFT JOIN recurring.{name} r ON r.region = n.region AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost - 1e-7))"""
+PENALISED, FREE = LEAST_COST.format(name="least_cost", where=""), LEAST_COST.format(name="free_cost", where=" AND e.cost < 3600")
+WALKS = lambda *tables, select: o.with_(*ROADS, SPOTS, BLOCKED, GRAPH, *tables, select=select).replace("WITH ways", "WITH RECURSIVE ways", 1)
 
 
-@query("shortest_path")
+@query("shortest_path", WALKS(PENALISED, select="SELECT trip, round(cost - floor(cost / 3600) * 3600, 3) AS secs, CAST(floor(cost / 3600) AS BIGINT) AS blocked FROM trips t JOIN least_cost c ON c.region = t.region AND c.node = t.goal"))
 def shortest_path(spark: SparkSession, d: str):
     """Fewest blocked segments first (each costs an hour more), then time."""
-    return roads.shortest_paths(_trips(spark, d), _edges(spark, d).withColumn("region", F.lit(0)), 3600.0).withColumn("secs", F.round("secs", 3))
+    return roads.shortest_paths(_trips(spark, d), _banded(spark, d), 3600.0).select("trip", F.round("secs", 3).alias("secs"), "blocked")
 
 
-@query("free_paths")
+@query("free_paths", WALKS(FREE, select="SELECT trip, round(cost, 3) AS secs FROM trips t JOIN free_cost c ON c.region = t.region AND c.node = t.goal"))
 def free_paths(spark: SparkSession, d: str):
     """Quickest paths that use no blocked segment."""
-    return roads.shortest_paths(_trips(spark, d), _edges(spark, d).withColumn("region", F.lit(0)), None).withColumn("secs", F.round("secs", 3))
+    return roads.shortest_paths(_trips(spark, d), _banded(spark, d), None).select("trip", F.round("secs", 3).alias("secs"))
 
 
 @query("graph_reach", o.with_(*ROADS, "RECURSIVE walk(node, secs, hops) AS (SELECT '412000000:-959960000', CAST(0 AS DOUBLE), 0 UNION SELECT e.v, w.secs + e.secs, hops + 1 FROM walk w JOIN (SELECT u, v, secs FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs FROM road_segs WHERE direction <= 0) e ON e.u = w.node AND hops < 6)", select="SELECT node, round(min(secs), 3) AS secs FROM walk GROUP BY node").replace("WITH ways", "WITH RECURSIVE ways").replace("RECURSIVE walk", "walk"))
@@ -334,14 +359,14 @@ def best_candidate(spark: SparkSession, d: str):
     return a.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("trip")).agg(F.min_by(k, F.struct(k % 4, "o_totalprice", k)).alias("candidate"))
 
 
-OUTCOME = "CASE WHEN fastest_n = 0 THEN 'clear' WHEN avoid_n = 0 THEN 'avoided' WHEN avoid_n < fastest_n THEN 'fewer' ELSE 'same' END"
+OUTCOME = "CASE WHEN avoid_n = 0 THEN 'clear' WHEN avoid_n < fastest_n THEN 'reduced' ELSE 'unchanged' END"
 
 
 @query("plan_outcome", f"SELECT k, {OUTCOME} AS outcome, avoid_s - fastest_s > {LONG_DETOUR_S} OR (fastest_s > 0 AND avoid_s - fastest_s > fastest_s * {LONG_DETOUR_SHARE}) AS long_detour FROM (SELECT o_orderkey AS k, o_orderkey % 5 AS fastest_n, o_orderkey * 3 % 4 AS avoid_n, o_orderkey * 37 % 5000 AS fastest_s, o_orderkey * 37 % 5000 + o_orderkey * 53 % 2500 AS avoid_s FROM orders)")
 def plan_outcome(spark: SparkSession, d: str):
     k = F.col("o_orderkey")
     plans = a.table(spark, d, "orders").select(k.alias("k"), (k % 5).alias("fastest_n"), (k * 3 % 4).alias("avoid_n"), (k * 37 % 5000).alias("fastest_s"), (k * 53 % 2500).alias("extra"))
-    outcome = F.when(F.col("fastest_n") == 0, "clear").when(F.col("avoid_n") == 0, "avoided").when(F.col("avoid_n") < F.col("fastest_n"), "fewer").otherwise("same")
+    outcome = guidance.plan_outcome(F.col("fastest_n"), F.col("avoid_n"))
     long = (F.col("extra") > LONG_DETOUR_S) | ((F.col("fastest_s") > 0) & (F.col("extra") > F.col("fastest_s") * LONG_DETOUR_SHARE))
     return plans.select("k", outcome.alias("outcome"), long.alias("long_detour"))
 
@@ -415,15 +440,19 @@ def signal_gaps(spark: SparkSession, d: str):
     return _steps(spark, d).where("dt > 4000").select("device", (F.col("time_ms") - F.col("dt")).alias("lost_ms"), F.col("time_ms").alias("back_ms"), (F.col("dt") > 34_000).alias("paused"))
 
 
-@query("trip_summary", o.with_(o.FIXES, STEPS, select="SELECT device, round(sum(metres) FILTER (accuracy_m <= 100), 2) AS travelled_m, max(time_ms) - min(time_ms) AS elapsed_ms, count(*) AS fixes FROM steps GROUP BY device"))
+@query("trip_summary", o.with_(o.FIXES, STEPS, select="SELECT device, round(sum(metres) FILTER (accuracy_m <= 50 AND dt > 0 AND metres / (dt / CAST(1000 AS DOUBLE)) >= 2), 2) AS travelled_m, max(time_ms) - min(time_ms) AS elapsed_ms, count(*) AS fixes FROM steps GROUP BY device"))
 def trip_summary(spark: SparkSession, d: str):
-    return _steps(spark, d).groupBy("device").agg(F.round(F.sum(F.when(F.col("accuracy_m") <= 100, F.col("metres"))), 2).alias("travelled_m"), (F.max("time_ms") - F.min("time_ms")).alias("elapsed_ms"), F.count(F.lit(1)).alias("fixes"))
+    return _steps(spark, d).groupBy("device").agg(F.round(F.sum(F.when((F.col("accuracy_m") <= GOOD_FIX_M) & (F.col("dt") > 0) & (F.col("metres") / (F.col("dt") / 1000) >= MOVING_MPS), F.col("metres"))), 2).alias("travelled_m"), (F.max("time_ms") - F.min("time_ms")).alias("elapsed_ms"), F.count(F.lit(1)).alias("fixes"))
 
 
-@query("progress_running_max", o.with_(o.FIXES, select="SELECT device, time_ms, round(max(lat) OVER (PARTITION BY device ORDER BY time_ms), 6) AS furthest FROM fixes"))
+@query("progress_running_max", o.with_(o.VERTICES, SEGS, "driven AS (SELECT route, CAST(k AS BIGINT) AS time_ms, segment, start_m + length_m * (k % 9) / 9 - (k % 4) * 900 AS along_m FROM placed, range(0, 45) t(k) WHERE k // 9 = segment)", select="SELECT route, time_ms, round(max(greatest(along_m, 0)) OVER (PARTITION BY route ORDER BY time_ms), 3) AS progress_m FROM driven"))
 def progress_running_max(spark: SparkSession, d: str):
-    w = W.partitionBy("device").orderBy("time_ms").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return a.fixes(spark, d).select("device", "time_ms", F.round(F.max("lat").over(w), 6).alias("furthest"))
+    """Progress along a route from matches that jump back now and then: it never falls."""
+    k = F.col("time_ms")
+    s = spatial.segments(a.vertices(spark, d)).withColumn("time_ms", F.explode(F.sequence(F.col("segment") * 9, F.col("segment") * 9 + 8)))
+    along = F.col("start_m") + F.col("length_m") * (k % 9) / 9 - (k % 4) * 900
+    w = W.partitionBy("route").orderBy("time_ms").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return s.select("route", k.cast("long").alias("time_ms"), F.greatest(along, F.lit(0.0)).alias("along_m")).select("route", "time_ms", F.round(F.max("along_m").over(w), 3).alias("progress_m"))
 
 
 @query("asof_replay", o.with_(o.FIXES, select="SELECT k.device, k.at_ms, f.time_ms FROM (SELECT device, CAST(unnest(range(1704067200000, 1706659200000, 86400000)) AS BIGINT) AS at_ms FROM (SELECT DISTINCT device FROM fixes)) k ASOF JOIN fixes f ON k.device = f.device AND f.time_ms <= k.at_ms"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -148,11 +151,73 @@ def drivable(ways: DataFrame) -> DataFrame:
     return ways.where(keep).withColumns({"direction": direction, "kmh": F.coalesce(text.maxspeed(F.col("maxspeed")), kmh)})
 
 
-def scanner_rows(spark: SparkSession, lines: DataFrame, line: str = "line") -> DataFrame:
-    """Rows of a wardriving file given by its lines (pos, line): a preamble line goes, the header names columns in any case."""
-    names = ["mac", "ssid", "authmode", "firstseen", "channel", "rssi", "currentlatitude", "currentlongitude", "altitudemeters", "accuracymeters", "type"]
+def csv_rows(lines: DataFrame, required: str, line: str = "line") -> DataFrame:
+    """Rows (pos, columns ...) of a CSV file given by its lines (pos, line); columns are named by its header, in lower case.
+
+    The header is the first line that isn't a scanner's preamble; quoted fields may hold commas and
+    doubled quotes. Raises ValueError where the header lacks the required column. Short rows end in
+    nulls.
+    """
     body = lines.where(~F.col(line).startswith("WigleWifi"))
-    header = body.where(F.lower(line).startswith("mac,")).select(F.split(F.lower(line), ",").alias("names")).limit(1)
-    rows = body.where(~F.lower(line).startswith("mac,")).join(F.broadcast(header)).withColumn("cells", F.split(line, ","))
-    cell = lambda n: F.get("cells", (F.array_position("names", F.lit(n)) - 1).cast("int"))
-    return rows.select("pos", *(F.when(F.array_contains("names", F.lit(n)), cell(n)).alias(n) for n in names))
+    head = body.agg(F.min_by(line, "pos").alias("line"), F.min("pos").alias("pos")).first()
+    names = [n.strip().lower() for n in next(csv.reader([head.line or ""]), [])]
+    if required not in names:
+        raise ValueError(f"the file has no column {required}")
+    cells = F.from_csv(line, F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"mode": "PERMISSIVE", "escape": '"'})
+    rows = body.where(F.col("pos") > head.pos).select("pos", cells.alias("cells"))
+    return rows.select("pos", *(F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names) if n not in names[:i]))
+
+
+def scanner_rows(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Rows of a wardriving file given by its lines (pos, line); columns that it lacks are null."""
+    names = ["mac", "ssid", "authmode", "firstseen", "channel", "rssi", "currentlatitude", "currentlongitude", "altitudemeters", "accuracymeters", "type"]
+    rows = csv_rows(lines, "mac", line)
+    return rows.select("pos", *(F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in names))
+
+
+#: The format of snapshots, and names that their files may have.
+SNAPSHOT_FORMAT, SNAPSHOT_FILE = 1, r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$"
+
+
+def manifests(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """bodies with the manifest parsed from JSON (m) and the first rule that it breaks (problem; null where it is fine)."""
+    m = F.from_json(body, "format int, file string, sha256 string, bytes long, elements long, generated_at long")
+    rows = bodies.withColumn("m", m)
+    file, digest = F.coalesce("m.file", F.lit("")), F.coalesce("m.sha256", F.lit(""))
+    broken = F.coalesce("m.format", "m.elements").isNull() & F.col("m.file").isNull()
+    problem = F.when(broken, "json").when(F.coalesce("m.format", F.lit(-1)) != SNAPSHOT_FORMAT, "format").when(~file.rlike(SNAPSHOT_FILE), "file").when(~digest.rlike("^[0-9A-Fa-f]{64}$"), "sha256").when(F.coalesce("m.elements", F.lit(0)) <= 0, "elements")
+    return rows.withColumn("problem", problem)
+
+
+def _inflate(data: bytes | None) -> str | None:
+    try:
+        return None if data is None else gzip.decompress(data).decode()
+    except (OSError, EOFError, UnicodeDecodeError, zlib.error):
+        return None
+
+
+def inflated(content: Column) -> Column:
+    """The text of a gzip file; null where it is broken."""
+
+    @F.pandas_udf("string")
+    def inflate(files: pd.Series) -> pd.Series:
+        return files.map(_inflate)
+
+    return inflate(content)
+
+
+def deflated(text: Column) -> Column:
+    """A text as a gzip file."""
+
+    @F.pandas_udf("binary")
+    def deflate(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else gzip.compress(t.encode(), mtime=0))
+
+    return deflate(text)
+
+
+def decoded(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows (path, body, reason) of gzip files (path, content): the text of those that the manifest confirms, else why not."""
+    rows = files.join(verified(files, manifest), "path")
+    rows = rows.select("path", F.when(F.col("ok"), F.col("content")).alias("content"), "reason").withColumn("body", inflated(F.col("content")))
+    return rows.select("path", "body", F.coalesce("reason", F.when(F.col("body").isNull(), "gzip")).alias("reason"))
