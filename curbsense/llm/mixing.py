@@ -77,8 +77,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """One row per row of df: its id, size, source_size, target, copies and taken (= copies * size).
 
     A null text has size 0, a null source is a source of its own, and a source without words has
-    target and copies 0. Rows with a null id draw as one; repeated rows draw alike. An empty table
-    gives no rows. Other columns of df are left out and may have any name.
+    target and copies 0. Rows with a null id draw as one; repeated rows draw alike. Words of texts of
+    any length are counted. An empty table gives no rows. Other columns of df are left out and may
+    have any name.
     """
     sizes = staged(_sizes(df, id_col, text_col, source_col))
     per = plan(sizes, weights, share, most).withColumnRenamed("source", "of")
@@ -87,7 +88,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of df as the mix takes them: each `copies` times, with df's columns. Texts are not shuffled."""
+    """The rows of df as the mix takes them: each `copies` times, with df's columns. Texts are not shuffled.
+
+    Null texts and sources, repeated rows and rows without an id are as for mix(); an empty table
+    gives no rows; df's columns may have any name.
+    """
     names = df.columns
     per = plan(staged(_sizes(df, id_col, text_col, source_col)), weights, share, most)
     per = per.select(F.struct(F.col("source").alias("of"), "whole", "part", "seed").alias("mix"))

@@ -27,17 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Paths of staged tables, in order.
+_made: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here.
 
-    A lost executor costs nothing that was staged, and later readers prune columns.
+    A lost executor costs nothing that was staged, and later readers prune columns. The tables stay
+    until release() deletes them, as results may be read at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many staged tables there are; a mark for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, mark: int) -> None:
+    """Delete the tables staged since a mark, but for the last one, which holds what they were made for."""
+    for path in _made[mark:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[mark:-1]
+
+
 def python_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small enough for an executor's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

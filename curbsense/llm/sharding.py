@@ -47,7 +47,7 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
 
     size is the text's UTF-8 bytes plus 16. A null text counts as empty; a null id is a key of its
     own, so such rows share a shard. Repeated rows share a shard and get slots of their own. Slots
-    of a shard run from 0 without gaps. An empty table gives no rows. Other columns of df are left
+    of a shard run from 0 without gaps. A text of any length counts whole. An empty table gives no rows. Other columns of df are left
     out and may have any name.
     """
     python_batches(df.sparkSession)
@@ -64,7 +64,8 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
 def write_shards(df: DataFrame, path: str, shards: int = 40, id_col: str = "doc_id") -> None:
     """Write the rows of df with a column `shard` as one folder per shard, several files where it is large.
 
-    A column of df named shard is replaced.
+    A column of df named shard is replaced. Rows with a null id share a shard, repeated rows too;
+    texts are written as they are; an empty table writes no shard.
     """
     placed = df.withColumn("shard", shard_of(F.col(id_col), shards))
     placed.repartition(shards * 4, "shard", F.pmod(F.xxhash64(id_col), F.lit(4))).write.partitionBy("shard").parquet(path)

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from curbsense.llm.session import python_batches
 from curbsense.llm.wordhash import U64, WINDOW2, WORD2, Words, mix
 
-#: Bytes of text in a block, cells of a part of the sketch (a power of 2), cells of a row for each byte of the corpus.
-BLOCK, PART, CELLS = 8 << 20, 1 << 25, 1.25
+#: Bytes of text in a block, least and most cells of a part of the sketch (powers of 2; a byte of memory each), cells of a row for each byte of the corpus.
+BLOCK, PART, PART_MOST, CELLS = 8 << 20, 1 << 25, 1 << 28, 1.25
+#: Parts of a sketch that a corpus has before its parts get wider.
+PARTS = 64
 SEEDS = (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 #: Stands for a null id, which sorts first.
 NULL_ID = -(1 << 63)
@@ -238,12 +240,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sequence also starts earlier: in a document of smaller id, or before in the same. Windows are
     judged on the input. A null text has no words; a document of fewer words has no window. A null
     id counts as smaller than all. Rows that repeat an id stand at the same place: equal windows at
-    equal starts of them do not remove one another. An empty table gives no rows; other columns of
-    df are left out and may have any name.
+    equal starts of them do not remove one another. Texts of any length are read whole. An empty
+    table gives no rows; other columns of df are left out and may have any name.
+
+    A part of the sketch gets wider with the corpus, from part_cells up to PART_MOST, so that a block
+    sends its windows in few rows for as long as memory allows.
     """
     python_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    while part_cells < PART_MOST and size * CELLS > part_cells * PARTS:
+        part_cells *= 2
     blocks, parts = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(size * CELLS / part_cells))
     docs = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
     own = docs.groupBy("block")
