@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbsense.llm import bpe, mixing, neardup, quality, secrets
-from curbsense.llm.session import staged
+from curbsense.llm.session import made, release, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,23 +23,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the document of smallest id stays."""
+    """Of each group linked by five-word shingles at a similarity of 0.8 or more, the document of smallest id stays.
+
+    Null and empty texts and rows without an id stay; rows that repeat a kept id stay repeated; an
+    empty table gives none.
+    """
     return neardup.deduplicated(docs, shingle=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; n_chars is that of the new text."""
+    """Secrets in texts are replaced by a mark; n_chars is that of the new text.
+
+    A null text and its n_chars stay; repeated rows stay repeated; an empty table gives none.
+    """
     out = secrets.redacted(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    A null source is one of its own, and null and empty texts weigh nothing; repeated rows draw
+    alike; an empty table gives none.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    """Token ids of each document, with digests of the ids and of the text decoded from them.
+
+    A null text counts as empty; repeated rows give equal rows; an empty table gives none.
+    """
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -56,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage gives. What a stage has staged is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = made()
     for _, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir))
+        release(spark, mark)
     return docs
