@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curbsense.constants import GOOD_FIX_M, LONG_DETOUR_S, LONG_DETOUR_SHARE, MOVING_MPS, STRETCH_GAP_M
 from curbsense.functions import geo, text
 from curbsense.operators import guidance, roads, spatial
+from curbsense.operators.tables import numbered
 from curbsense.plans import oracle as o
 from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors
 from curbsense.sources import adapters as a
@@ -152,7 +153,7 @@ def josm_export(spark: SparkSession, d: str):
     tag = lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f"<tag k='{k}' v='"), text.xml_escape(v.cast("string")), F.lit("'/>")))
     mount = F.when(F.col("mount") == "pole", "pole").when(F.col("mount") == "building", "wall")
     tags = F.concat_ws("", tag("man_made", F.lit("surveillance")), tag("brand", F.when(F.col("category") == "flock", "Flock Safety")), tag("camera:mount", mount), tag("direction", F.col("direction")), tag("operator", F.nullif(F.trim("operator"), F.lit(""))))
-    return rows.select("id", (-F.row_number().over(W.orderBy("id"))).alias("node_id"), tags.alias("tags"))
+    return numbered(rows.select("id", tags.alias("tags")), "id", "n").select("id", (-F.col("n")).alias("node_id"), "tags")
 
 
 @query("ffp1_flags", o.with_(o.CAMERAS, select="SELECT osm_id, CASE category WHEN 'flock' THEN 0 WHEN 'alpr' THEN 1 ELSE 2 END + CASE WHEN stale_since IS NOT NULL THEN 4 ELSE 0 END + CASE osm_type WHEN 'node' THEN 0 ELSE 16 END AS flags FROM cameras"))
