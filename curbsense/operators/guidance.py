@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -152,3 +153,122 @@ def plan_headline(outcome: Column, same: Column, fastest_n: Column, avoid_n: Col
     )
     clear = F.when(same, "The fastest route already passes no mapped cameras.").otherwise(F.concat(F.lit("Camera-free route found, avoiding all "), camera_count(fastest_n), F.lit(" on the fastest route.")))
     return F.when(outcome == "clear", clear).otherwise(F.concat(why, F.lit(" "), best, F.lit(". They're listed below and ringed on the map.")))
+
+
+# Legs of a guided trip (metres, points between its ends) and the prompts before a maneuver (metres, seconds).
+LEG_M, LEGS, VIAS = 4000.0, 14, 8
+PROMPT_FAR_M, PROMPT_FAR_HIGHWAY_M, PROMPT_NEAR_M, NOW_M, NOW_S, SPEAK_S, LEAST_MPS, POST_M = 804.672, 1609.344, 152.4, (30.0, 250.0), 3.5, 4.0, 5.0, 300.0
+
+
+def plan_legs(path: DataFrame, leg_m: float = LEG_M, most: int = LEGS, vias: int = VIAS) -> DataFrame:
+    """Rows (trip, leg, first, last, join_segment, vias): paths (trip, pos, lat, lon) cut into legs of about leg_m.
+
+    first and last are positions of vertices. A leg but for the first is joined in the middle of the
+    longer segment at its first vertex (join_segment), and it is kept on the path by points in the
+    middle of the segments named in vias, none of them a join. A path is one row while it is cut.
+    """
+    s = spatial.segments(path, "trip")
+    rows = s.groupBy("trip").agg(F.sort_array(F.collect_list(F.struct("segment", "length_m"))).alias("s"))
+    ends = F.aggregate("s", F.array(F.lit(0.0)), lambda done, x: F.array_append(done, F.element_at(done, -1) + x["length_m"]))
+    rows = rows.select("trip", ends.alias("cum"), F.transform("s", lambda x: x["length_m"]).alias("sizes")).withColumns({"total": F.element_at("cum", -1), "top": F.size("sizes")})
+    n = F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(F.col("total") / leg_m).cast("int")))
+    vertex = lambda d: F.least(F.size(F.filter("cum", lambda c: c < d)), F.col("top"))
+    rows = rows.withColumn("n", n).withColumn("bounds", F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.when(k == 0, 0).when(k == F.col("n"), F.col("top")).otherwise(vertex(F.col("total") * k / F.col("n"))))))
+    joint = lambda i: F.when((i > 0) & (i < F.col("top")), F.when(F.get("sizes", i - 1) >= F.get("sizes", i), i - 1).otherwise(i))
+    legs = rows.select("trip", "cum", "sizes", "top", "bounds", F.posexplode(F.slice("bounds", F.lit(1), F.size("bounds") - 1)).alias("leg", "a")).withColumn("b", F.get("bounds", F.col("leg") + 1))
+    start, end = F.get("cum", F.col("a")), F.get("cum", F.col("b"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(vias)), lambda j: start + (end - start) * j / (vias + 1))
+    segs = F.array_distinct(F.transform(at, lambda d: F.greatest(F.col("a"), F.least(F.col("b") - 1, F.size(F.filter("cum", lambda c: c <= d)) - 1))))
+    free = F.filter(segs, lambda x: ~x.eqNullSafe(joint(F.col("a"))) & ~x.eqNullSafe(joint(F.col("b"))))
+    return legs.select("trip", "leg", F.col("a").alias("first"), F.col("b").alias("last"), joint(F.col("a")).alias("join_segment"), free.alias("vias"))
+
+
+def accepted_answers(requests: DataFrame, answers: DataFrame, cancels: DataFrame) -> DataFrame:
+    """Rows (trip, request, answered_ms, accepted): which answers to reroute requests still count.
+
+    requests has rows (trip, request, sent_ms), answers (trip, request, answered_ms), cancels (trip,
+    at_ms): when a trip was back on its route or lost the signal. An answer counts where neither a
+    cancel nor another request came since its request was sent.
+    """
+    ends = requests.select("trip", F.col("sent_ms").alias("at_ms")).unionByName(cancels.select("trip", "at_ms"))
+    sent = answers.join(requests, ["trip", "request"])
+    # Events and requests of a trip in order of time: the next event after each request ends it.
+    marks = ends.select("trip", "at_ms", F.lit(None).cast("long").alias("request")).unionByName(requests.select("trip", F.col("sent_ms").alias("at_ms"), "request"))
+    following = F.min(F.when(F.col("request").isNull(), F.col("at_ms"))).over(W.partitionBy("trip").orderBy("at_ms").rangeBetween(1, W.unboundedFollowing))
+    over = marks.withColumn("over_ms", following).where("request IS NOT NULL").select("trip", "request", "over_ms")
+    out = sent.join(over, ["trip", "request"])
+    return out.select("trip", "request", "answered_ms", (F.coalesce("over_ms", F.col("answered_ms")) >= F.col("answered_ms")).alias("accepted"))
+
+
+def prompts(progress: DataFrame, maneuvers: DataFrame) -> DataFrame:
+    """Rows (trip, time_ms, maneuver, stage): what is said to drivers at progress (trip, time_ms, progress_m, speed_mps).
+
+    maneuvers has rows (trip, nth, at_m, kind, highway, post). Before each but a start there are a
+    far, a near and a last prompt; at most one is given at a time, the latest that is due, and it
+    isn't where the next one would cut it short. Behind a maneuver with words for it (post) a long
+    stretch is announced. Arrivals have no last prompt.
+    """
+    sides = maneuvers.groupBy(F.col("trip").alias("of")).agg(F.sort_array(F.collect_list(F.struct("nth", "at_m", "kind", "highway", "post"))).alias("ms"))
+    order = ("far", "near", "now")
+
+    def run(key, steps: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        rows, said, before = [], set(), None
+        ms = side["ms"].iloc[0] if len(side) else []
+        for at, along, speed in steps.sort_values("time_ms")[["time_ms", "progress_m", "speed_mps"]].itertuples(index=False, name=None):
+            i = next((k for k, m in enumerate(ms) if m["at_m"] > along), None)
+            if i is None:
+                continue
+            changed, before = i != before, i
+            if STARTS[0] <= ms[i]["kind"] <= STARTS[1]:
+                continue
+            v, left = max(speed, LEAST_MPS), ms[i]["at_m"] - along
+            now = min(max(v * NOW_S, NOW_M[0]), NOW_M[1])
+            due_at = {"far": PROMPT_FAR_HIGHWAY_M if i and ms[i - 1]["highway"] else PROMPT_FAR_M, "near": PROMPT_NEAR_M if PROMPT_NEAR_M - now >= v * SPEAK_S else None, "now": now}
+            due = [s for s in order if due_at[s] is not None and left <= due_at[s] and (i, s) not in said]
+            if due:
+                stage = due[-1]
+                said |= {(i, s) for s in order[: order.index(stage) + 1]}
+                later = max((due_at[s] or 0.0 for s in order[order.index(stage) + 1 :]), default=0.0)
+                short = stage != "now" and left - later < v * SPEAK_S
+                if not short and not (stage == "now" and ARRIVES[0] <= ms[i]["kind"] <= ARRIVES[1]):
+                    rows.append((key[0], at, int(ms[i]["nth"]), stage))
+            elif changed and i and not STARTS[0] <= ms[i - 1]["kind"] <= STARTS[1] and (i - 1, "post") not in said:
+                said.add((i - 1, "post"))
+                if left > due_at["far"] + POST_M and ms[i - 1]["post"]:
+                    rows.append((key[0], at, int(ms[i - 1]["nth"]), "post"))
+        return pd.DataFrame(rows, columns=["trip", "time_ms", "maneuver", "stage"])
+
+    return progress.groupBy("trip").cogroup(sides.groupBy("of")).applyInPandas(run, "trip long, time_ms long, maneuver long, stage string")
+
+
+# Labels on a map (pixels).
+INSIDE_PAD, INSIDE_SHARE, CALLOUT_GAP, LABEL_MARGIN = 3.0, 0.92, 5.0, 2.0
+
+
+def place_labels(requests: DataFrame, width: float, height: float) -> DataFrame:
+    """Rows (view, id, x, y, inside): labels of a view's nodes (view, id, x, y, r, w, h, priority) that overlap nothing.
+
+    In order of priority, then of id, a label goes into its node where it fits, else beside it: right
+    above, left above, right below, left below; one that finds no place is left out. Labels beside a
+    node cover no other label and no other node. A view is one screen, so its nodes are few.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, taken = [], []
+        nodes = [(n.x - n.r, n.y - n.r, n.x + n.r, n.y + n.r, n.id) for n in pdf.itertuples()]
+        meets = lambda b, others: any(b[0] < o[2] and b[2] > o[0] and b[1] < o[3] and b[3] > o[1] for o in others)
+        fits = lambda b: b[0] >= LABEL_MARGIN and b[1] >= LABEL_MARGIN and b[2] <= width - LABEL_MARGIN and b[3] <= height - LABEL_MARGIN and not meets(b, taken)
+        for n in pdf.sort_values(["priority", "id"], ascending=[False, True]).itertuples():
+            d, places = n.r / 2**0.5 + CALLOUT_GAP, []
+            if max(n.w, n.h) + 2 * INSIDE_PAD <= 2 * n.r * INSIDE_SHARE:
+                places.append((n.x - n.w / 2, n.y - n.h / 2, True))
+            places += [(n.x + d if right else n.x - d - n.w, n.y - d - n.h if up else n.y + d, False) for up in (True, False) for right in (True, False)]
+            for x, y, inside in places:
+                box = (x, y, x + n.w, y + n.h)
+                if fits(box) and (inside or not meets(box, [o for o in nodes if o[4] != n.id])):
+                    taken.append(box)
+                    rows.append((n.view, n.id, x, y, inside))
+                    break
+        return pd.DataFrame(rows, columns=["view", "id", "x", "y", "inside"])
+
+    return requests.groupBy("view").applyInPandas(run, "view long, id long, x double, y double, inside boolean")

@@ -210,3 +210,65 @@ def plan_exclusions(trips: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=names).astype({"fastest_blocked": "Int32", "best_blocked": "Int32"})
 
     return trips.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(plan, PLAN)
+
+
+PATH = "trip long, nth int, u string, v string, secs double, blocked boolean"
+
+
+def path_edges(trips: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (trip, nth, u, v, secs, blocked): the edges of each trip's quickest path in its region, in order."""
+
+    def walk(key, trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        graph, rows = _graph(edges, 0.0), []
+        cost = {(u, v): (secs, blocked) for u in graph for v, secs, blocked in sorted(graph[u], key=lambda e: -e[1])}
+        for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False):
+            found = _quickest(graph, start, goal, set())
+            rows += [(trip, i, *e, *cost[e]) for i, e in enumerate(found[1] if found else ())]
+        return pd.DataFrame(rows, columns=["trip", "nth", "u", "v", "secs", "blocked"])
+
+    return trips.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(walk, PATH)
+
+
+def _node_lat(node: str) -> Column:
+    return F.split(node, ":")[0].cast("long") / DEGREES
+
+
+def _node_lon(node: str) -> Column:
+    return F.split(node, ":")[1].cast("long") / DEGREES
+
+
+def blocked_stretches(paths: DataFrame, gap_m: float, margin_m: float) -> DataFrame:
+    """Rows (trip, stretch, first, last, blocked, start, goal): runs of blocked edges of paths (path_edges()) at most `gap_m` apart.
+
+    first and last number the edges to be driven anew: the run, and up to `margin_m` on either side;
+    start and goal are their ends.
+    """
+    w = W.partitionBy("trip").orderBy("nth")
+    length = geo.haversine_m(_node_lat("u"), _node_lon("u"), _node_lat("v"), _node_lon("v"))
+    placed = paths.withColumn("length_m", length).withColumn("end_m", F.sum("length_m").over(w)).withColumn("start_m", F.col("end_m") - F.col("length_m"))
+    hits = placed.where("blocked").withColumn("new", F.coalesce(F.col("start_m") - F.lag("end_m").over(w), F.lit(float("inf"))) > gap_m)
+    hits = hits.withColumn("stretch", F.sum(F.col("new").cast("int")).over(w))
+    runs = hits.groupBy(F.col("trip").alias("of"), "stretch").agg(F.min("start_m").alias("from_m"), F.max("end_m").alias("to_m"), F.count(F.lit(1)).alias("blocked_n"))
+    inside = (F.col("end_m") > F.col("from_m") - margin_m) & (F.col("start_m") < F.col("to_m") + margin_m)
+    around = placed.join(runs, F.col("trip") == F.col("of")).where(inside)
+    ends = around.groupBy("trip", "stretch", "blocked_n").agg(F.min("nth").alias("first"), F.max("nth").alias("last"), F.min_by("u", "nth").alias("start"), F.max_by("v", "nth").alias("goal"))
+    return ends.select("trip", "stretch", "first", "last", F.col("blocked_n").alias("blocked"), "start", "goal")
+
+
+def stretch_repair(trips: DataFrame, edges: DataFrame, gap_m: float, margin_m: float, limit_s: float) -> DataFrame:
+    """Rows (trip, stretch, turn, blocked, left, extra_s, status) of the stretches with blocked edges of each trip's quickest path.
+
+    Every stretch is routed anew between its ends without its blocked edges (plan_exclusions()). It is
+    fixed where that passes fewer and takes at most `limit_s` longer for each one saved, slow where it
+    takes longer, else kept. turn is the order of repair: most blocked edges first.
+    """
+    from curbsense.operators.tables import cut
+
+    runs = cut(blocked_stretches(path_edges(trips, edges), gap_m, margin_m))
+    local = runs.join(trips.select("trip", "region"), "trip").withColumn("id", F.xxhash64("trip", "stretch"))
+    plans = plan_exclusions(local.select(F.col("id").alias("trip"), "region", "start", "goal"), edges).withColumnRenamed("trip", "id")
+    both = local.join(plans, "id")
+    saved, extra = F.col("blocked") - F.col("best_blocked"), F.col("best_s") - F.col("fastest_s")
+    status = F.when(F.coalesce(saved, F.lit(0)) <= 0, "kept").when(extra > saved * limit_s, "slow").otherwise("fixed")
+    turn = F.row_number().over(W.partitionBy("trip").orderBy(F.desc("blocked"), "stretch"))
+    return both.select("trip", "stretch", turn.alias("turn"), "blocked", F.when(status == "fixed", F.col("best_blocked")).otherwise(F.col("blocked")).cast("long").alias("left"), F.when(status == "fixed", extra).otherwise(0.0).alias("extra_s"), status.alias("status"))

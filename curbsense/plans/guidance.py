@@ -172,3 +172,73 @@ def circle_cells_sql(spark: SparkSession, d: str):
     """The function for a circle's cells, about a point on a line of the grid."""
     register.register(spark)
     return spark.sql("SELECT inline(cells) AS (cell_row, cell_col) FROM (SELECT cells_for_circle(lat, lon, radius) AS cells FROM VALUES (45.5D, -122.625D, 4000D) AS p(lat, lon, radius))")
+
+
+DENSE = """path AS (SELECT route AS trip, segment * 10 + j AS pos, lat1 + (lat2 - lat1) * j * j / 100 AS lat, lon1 + (lon2 - lon1) * j * j / 100 AS lon FROM segs, range(0, 10) t(j)),
+    way AS (SELECT trip, pos, lead(lat) OVER w AS lat2, {h} AS size FROM path WINDOW w AS (PARTITION BY trip ORDER BY pos)),
+    sized AS (SELECT trip, pos AS segment, size FROM way WHERE lat2 IS NOT NULL),
+    cum AS (SELECT trip, segment + 1 AS v, sum(size) OVER (PARTITION BY trip ORDER BY segment) AS c FROM sized UNION ALL SELECT DISTINCT trip, 0, 0 FROM sized),
+    totals AS (SELECT trip, max(c) AS total, CAST(max(v) AS BIGINT) AS top, greatest(1, least(14, CAST(ceil(max(c) / 4000) AS BIGINT))) AS n FROM cum GROUP BY trip),
+    bounds AS (SELECT DISTINCT trip, CASE k WHEN 0 THEN 0 WHEN n THEN top ELSE (SELECT least(count(*), top) FROM cum q WHERE q.trip = t.trip AND q.c < total * k / n) END AS b FROM totals t, range(0, 15) r(k) WHERE k <= n),
+    legs AS (SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY b) - 1 AS leg, b AS a, lead(b) OVER (PARTITION BY trip ORDER BY b) AS b FROM bounds),
+    joints AS (SELECT b.trip, b.b, CASE WHEN p.size >= q.size THEN b.b - 1 ELSE b.b END AS j FROM bounds b JOIN sized p ON p.trip = b.trip AND p.segment = b.b - 1 JOIN sized q ON q.trip = b.trip AND q.segment = b.b),
+    vias AS (SELECT DISTINCT l.trip, l.leg, l.a, l.b, greatest(l.a, least(l.b - 1, (SELECT count(*) - 1 FROM cum q WHERE q.trip = l.trip AND q.c <= x.c + (y.c - x.c) * j / 9))) AS seg FROM legs l JOIN cum x ON x.trip = l.trip AND x.v = l.a JOIN cum y ON y.trip = l.trip AND y.v = l.b, range(1, 9) t(j) WHERE l.b IS NOT NULL)""".format(h=o.hav("lat", "lon", "lead(lat) OVER w", "lead(lon) OVER w"))
+
+
+@query("plan_legs", o.with_(o.VERTICES, SEGS, DENSE, select="SELECT l.trip, CAST(l.leg AS INTEGER) AS leg, CAST(l.a AS INTEGER) AS first, CAST(l.b AS INTEGER) AS last, CAST(f.j AS INTEGER) AS join_segment, coalesce((SELECT string_agg(seg, ',' ORDER BY seg) FROM vias v WHERE v.trip = l.trip AND v.leg = l.leg AND v.seg IS DISTINCT FROM f.j AND v.seg IS DISTINCT FROM t.j), '') AS vias FROM legs l LEFT JOIN joints f ON f.trip = l.trip AND f.b = l.a LEFT JOIN joints t ON t.trip = l.trip AND t.b = l.b WHERE l.b IS NOT NULL"))
+def plan_legs(spark: SparkSession, d: str):
+    """Paths along the routes, denser at the beginning of each segment, cut into legs."""
+    s = spatial.segments(a.vertices(spark, d)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    t = F.col("j") * F.col("j") / 100
+    path = s.select(F.col("route").alias("trip"), (F.col("segment") * 10 + F.col("j")).alias("pos"), (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * t).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * t).alias("lon"))
+    return guidance.plan_legs(path).withColumn("vias", F.array_join("vias", ","))
+
+
+REROUTES = """requests AS (SELECT event_id % 40 AS trip, event_id AS request, event_id * 1000 AS sent_ms FROM events WHERE event_type = 'click'), answers AS (SELECT trip, request, sent_ms + request * 7919 % 90000 AS answered_ms FROM requests), cancels AS (SELECT event_id % 40 AS trip, event_id * 1000 + 500 AS at_ms FROM events WHERE event_type = 'error')"""
+
+
+@query("reroute_answers", o.with_(REROUTES, select="SELECT a.trip, a.request, answered_ms, NOT EXISTS (SELECT 1 FROM requests n WHERE n.trip = a.trip AND n.sent_ms > r.sent_ms AND n.sent_ms < answered_ms) AND NOT EXISTS (SELECT 1 FROM cancels c WHERE c.trip = a.trip AND c.at_ms > r.sent_ms AND c.at_ms < answered_ms) AS accepted FROM answers a JOIN requests r ON r.request = a.request"))
+def reroute_answers(spark: SparkSession, d: str):
+    """Late answers: those to a request that was followed by another or given up don't count."""
+    k = F.col("event_id")
+    events = a.table(spark, d, "events")
+    requests = events.where("event_type = 'click'").select((k % 40).alias("trip"), k.alias("request"), (k * 1000).alias("sent_ms"))
+    answers = requests.select("trip", "request", (F.col("sent_ms") + F.col("request") * 7919 % 90000).alias("answered_ms"))
+    cancels = events.where("event_type = 'error'").select((k % 40).alias("trip"), (k * 1000 + 500).alias("at_ms"))
+    return guidance.accepted_answers(requests, answers, cancels)
+
+
+@query("nav_prompts")
+def nav_prompts(spark: SparkSession, d: str):
+    """What is said on drives along the routes, with a turn at each vertex."""
+    s = spatial.segments(a.vertices(spark, d))
+    kind = F.when(F.col("segment") == 0, 1).otherwise(10)
+    turns = s.select(F.col("route").alias("trip"), F.col("segment").cast("long").alias("nth"), F.col("start_m").alias("at_m"), kind.alias("kind"), (F.col("segment") % 2 == 0).alias("highway"), (F.col("segment") % 3 > 0).alias("post"))
+    end = s.groupBy(F.col("route").alias("trip")).agg((F.max("segment") + 1).cast("long").alias("nth"), F.max(F.col("start_m") + F.col("length_m")).alias("at_m")).selectExpr("trip", "nth", "at_m", "4 AS kind", "false AS highway", "false AS post")
+    steps = a.routes(spark, d).select(F.col("id").alias("trip"), F.explode(F.sequence(F.lit(0), F.lit(3500))).alias("k"))
+    progress = steps.select("trip", (F.col("k") * 1000).cast("long").alias("time_ms"), (F.col("k") * 20.0).alias("progress_m"), F.lit(20.0).alias("speed_mps"))
+    return guidance.prompts(progress, turns.unionByName(end))
+
+
+@query("label_placement")
+def label_placement(spark: SparkSession, d: str):
+    """Labels of the hexagons of a level, on screens of 800 by 600 pixels."""
+    bins = _bins(spark, d)
+    at = bins.select(F.floor(F.col("q") / 20).cast("long").alias("view"), F.xxhash64("q", "r").alias("id"), (F.pmod("q", F.lit(20)) * 40.0).alias("x"), (F.pmod("r", F.lit(15)) * 40.0).alias("y"), (F.sqrt("count") + 4).alias("r"), (F.length(F.col("count").cast("string")) * 7.0).alias("w"), F.lit(12.0).alias("h"), F.col("count").alias("priority"))
+    return guidance.place_labels(at, 800.0, 600.0)
+
+
+def _bins(spark, d):
+    from curbsense.operators import mapagg
+    from curbsense.plans import tables
+
+    return mapagg.hex_density(tables._points(spark, d)).where("level = 3")
+
+
+@query("stretch_repair")
+def stretch_repair(spark: SparkSession, d: str):
+    """Stretches with blocked segments of trips over the lattice, each routed anew."""
+    from curbsense.operators import roads
+
+    trips = travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way")))
+    return roads.stretch_repair(trips, travel._banded(spark, d), 300.0, 800.0, 300.0).withColumn("extra_s", F.round("extra_s", 3))
