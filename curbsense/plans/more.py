@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from curbsense.constants import OUIS
 from curbsense.functions import geo, text
 from curbsense.operators import roads, spatial
+from curbsense.operators.tables import cut
 from curbsense.plans import oracle as o
 from curbsense.plans import tables, travel
 from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors, sql_hit
@@ -244,7 +245,10 @@ def ffp1_roundtrip(spark: SparkSession, d: str):
 @query("cluster_ancestor")
 def cluster_ancestor(spark: SparkSession, d: str):
     """The node of level 6 above each node of level 10, by the parents between."""
-    nodes = tables.cluster_levels(spark, d)
+    return ancestors(tables.cluster_levels(spark, d))
+
+
+def ancestors(nodes):
     up = nodes.where("level = 10").select("id", F.col("parent").alias("above"))
     for level in (9, 8, 7):
         step = nodes.where(F.col("level") == level).select(F.col("id").alias("above"), F.col("parent").alias("next"))
@@ -255,8 +259,8 @@ def cluster_ancestor(spark: SparkSession, d: str):
 @query("cluster_bounds")
 def cluster_bounds(spark: SparkSession, d: str):
     """The box of the nodes of level 10 under each node of level 6."""
-    points = tables.cluster_levels(spark, d).where("level = 10").select("id", "x", "y", "count")
-    box = points.join(cluster_ancestor(spark, d), "id").groupBy("ancestor")
+    nodes = cut(tables.cluster_levels(spark, d))
+    box = nodes.where("level = 10").select("id", "x", "y", "count").join(ancestors(nodes), "id").groupBy("ancestor")
     return box.agg(F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("north"), F.max("y").alias("south"), F.sum("count").alias("count"))
 
 
