@@ -234,10 +234,10 @@ def road_codec_roundtrip(spark: SparkSession, d: str):
     return binary.unpack_ways(binary.pack_ways(ways.select("tile", "way", "direction", "kmh", "pos", "lat_e7", "lon_e7"))).drop("tile")
 
 
-@query("ffp1_roundtrip", o.with_(o.CAMERAS, select="SELECT osm_id, round(lat, 7) AS lat, round(lon, 7) AS lon, CASE category WHEN 'flock' THEN 0 WHEN 'alpr' THEN 1 ELSE 2 END + CASE WHEN stale_since IS NOT NULL THEN 4 ELSE 0 END + CASE osm_type WHEN 'node' THEN 0 ELSE 16 END AS flags FROM cameras"))
+@query("ffp1_roundtrip", o.with_(o.CAMERAS, select="SELECT osm_id, round(lat, 7) AS lat, round(lon, 7) AS lon, CASE category WHEN 'flock' THEN 0 WHEN 'alpr' THEN 1 ELSE 2 END + CASE WHEN stale_since IS NOT NULL THEN 4 ELSE 0 END + CASE osm_type WHEN 'node' THEN 0 ELSE 16 END AS flags, operator, direction FROM cameras"))
 def ffp1_roundtrip(spark: SparkSession, d: str):
     flags = travel.ffp1_flags(spark, d)
-    points = a.cameras(spark, d).join(flags, "osm_id").select(F.floor(F.col("osm_id") / 10000).alias("part"), "osm_id", "lat", "lon", "flags")
+    points = a.cameras(spark, d).join(flags, "osm_id").select(F.floor(F.col("osm_id") / 10000).alias("part"), "osm_id", "lat", "lon", "flags", "operator", "direction")
     return binary.unpack_points(binary.pack_points(points)).withColumns({"lat": F.round("lat", 7), "lon": F.round("lon", 7)})
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 
 import numpy as np
 import pandas as pd
@@ -64,26 +65,49 @@ def unpack_ways(tiles: DataFrame) -> DataFrame:
     return tiles.mapInPandas(run, "tile long, way long, direction int, kmh int, pos int, lat_e7 int, lon_e7 int")
 
 
+#: The point format's mark, and its columns in order (number kinds; 29 bytes a point).
+MARK, COLUMNS = b"FFP1", (("lon", "<f8"), ("lat", "<f8"), ("osm_id", "<f8"), ("operator", "<u4"), ("flags", "u1"))
+
+
 def pack_points(points: DataFrame) -> DataFrame:
-    """Rows (part, data): columns of points (part, osm_id, lat, lon, flags) one after another, in order of osm_id."""
+    """Rows (part, data): points (part, osm_id, lat, lon, flags, operator, direction) column by column, in order of osm_id.
+
+    A header has the mark and two counts. Operators are numbers (0 for none) into a list at the end,
+    where directions are named by their point's place.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("osm_id")
-        columns = [np.int64(len(p)).tobytes(), *(p[c].to_numpy(k).tobytes() for c, k in (("lon", "<f8"), ("lat", "<f8"), ("osm_id", "<i8"), ("flags", "u1")))]
-        return pd.DataFrame({"part": [p["part"].iloc[0]], "data": [b"".join(columns)]})
+        p = pdf.sort_values("osm_id").reset_index(drop=True)
+        told = p["operator"].where(p["operator"].fillna("").str.strip() != "")
+        names = list(dict.fromkeys(told.dropna()))
+        columns = p.assign(operator=told.map({n: i + 1 for i, n in enumerate(names)}).fillna(0))
+        meta = {"operators": names, "directions": [[i, d] for i, d in enumerate(p["direction"]) if isinstance(d, str) and d.strip()]}
+        meta = json.dumps(meta, ensure_ascii=False).encode()
+        body = b"".join(columns[c].to_numpy(k).tobytes() for c, k in COLUMNS)
+        head = MARK + np.array([len(p), len(meta), 0], "<u4").tobytes()
+        return pd.DataFrame({"part": [p["part"].iloc[0]], "data": [head + body + bytes(-len(head + body) % 4) + meta]})
 
     return points.groupBy("part").applyInPandas(run, "part long, data binary")
 
 
 def unpack_points(parts: DataFrame) -> DataFrame:
+    """Rows (osm_id, lat, lon, flags, operator, direction) of packed parts; raises ValueError without the mark."""
+
     def run(batches):
         for pdf in batches:
             for data in pdf["data"]:
-                n = int(np.frombuffer(data, "<i8", 1)[0])
-                lon, lat, ids = (np.frombuffer(data, k, n, 8 + i * 8 * n) for i, k in enumerate(("<f8", "<f8", "<i8")))
-                yield pd.DataFrame({"osm_id": ids, "lat": lat, "lon": lon, "flags": np.frombuffer(data, "u1", n, 8 + 24 * n).astype("int32")})
-
-    return parts.mapInPandas(run, "osm_id long, lat double, lon double, flags int")
+                if data[:4] != MARK:
+                    raise ValueError("not a file of points")
+                n, size, _ = np.frombuffer(data, "<u4", 3, 4).tolist()
+                at, out = 16, {}
+                for name, kind in COLUMNS:
+                    out[name] = np.frombuffer(data, kind, n, at)
+                    at += n * np.dtype(kind).itemsize
+                meta = json.loads(data[len(data) - size :].decode()) if size else {"operators": [], "directions": []}
+                names, directions = [None, *meta["operators"]], dict(meta["directions"])
+                yield pd.DataFrame({"osm_id": out["osm_id"].astype("int64"), "lat": out["lat"], "lon": out["lon"], "flags": out["flags"].astype("int32"), "operator": [names[i] for i in out["operator"]], "direction": [directions.get(i) for i in range(n)]})
+
+    return parts.mapInPandas(run, "osm_id long, lat double, lon double, flags int, operator string, direction string")
 
 
 def tiled(ways: DataFrame) -> DataFrame:
