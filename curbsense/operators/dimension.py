@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curbsense.constants import CACHED_TILES, PLAUSIBLE_FLOOR, PLAUSIBLE_SHARE, STALE_RETENTION_S, TILE_TTL_S, WIFI_RETENTION_DAYS
+from curbsense.functions import geo
 
 KEY = ["osm_type", "osm_id"]
 
@@ -45,13 +46,19 @@ def ingest_global(cameras: DataFrame, elements: DataFrame, started_at: int, now:
 
 
 def ingest_cells(cameras: DataFrame, elements: DataFrame, box: tuple[float, float, float, float], now: int) -> DataFrame:
-    """The next version after a fetch of an ordinary box: upsert, then mark active cameras inside it (as now placed) that it lacks."""
+    """The next version after a fetch of a box: upsert, then mark active cameras inside it (as now placed) that it lacks. West > east crosses the antimeridian."""
     south, west, north, east = box
     fresh = upsert(cameras, elements, now).join(elements.select(*KEY).distinct().withColumn("present", F.lit(True)), KEY, "left")
-    gone = F.col("present").isNull() & F.col("stale_since").isNull() & F.col("lat").between(south, north) & F.col("lon").between(west, east)
+    gone = F.col("present").isNull() & F.col("stale_since").isNull() & geo.in_box("lat", "lon", geo.sanitized_box(south, west, north, east))
     return fresh.withColumn("stale_since", F.when(gone, now).otherwise(F.col("stale_since"))).drop("present")
 
 
+def stamp_cells(stored: DataFrame, fetched: DataFrame, now: int) -> DataFrame:
+    """Rows (cell, fetched_at): the stored cells, those of `fetched` (cell) as fetched now, and new ones among them."""
+    fresh = fetched.select("cell").distinct().withColumn("now", F.lit(now))
+    return stored.join(fresh, "cell", "full_outer").select("cell", F.coalesce("now", "fetched_at").cast("long").alias("fetched_at"))
+
+
 def stale_cells(wanted: DataFrame, fetched: DataFrame, ttl_s: int, now: int) -> DataFrame:
     """The wanted cells (cell) without a fresh entry in fetched (cell, fetched_at)."""
     fresh = fetched.where(F.lit(now) - F.col("fetched_at") < ttl_s)

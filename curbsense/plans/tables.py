@@ -81,6 +81,18 @@ def stale_cells(spark: SparkSession, d: str):
     return dimension.stale_cells(a.table(spark, d, "customer").select(F.col("c_custkey").alias("cell")), fetched, 7200, NOW)
 
 
+@query("stamp_cells", f"SELECT coalesce(o_orderkey, c_custkey) AS cell, CASE WHEN c_custkey IS NOT NULL THEN {NOW} ELSE {NOW} - o_orderkey * 977 % 20000 END AS fetched_at FROM orders FULL JOIN customer ON o_orderkey = c_custkey")
+def stamp_cells(spark: SparkSession, d: str):
+    """Cells with the time of their last fetch, after a fetch of some old and some new ones."""
+    stored = a.table(spark, d, "orders").select(F.col("o_orderkey").alias("cell"), (NOW - F.col("o_orderkey") * 977 % 20000).alias("fetched_at"))
+    return dimension.stamp_cells(stored, a.table(spark, d, "customer").select(F.col("c_custkey").alias("cell")), NOW)
+
+
+@query("ingest_cells_antimeridian", o.with_(o.CAMERAS, STORED, ELEMENTS, FRESH, select=f"SELECT osm_type, osm_id, CASE WHEN stale_since IS NULL AND lat BETWEEN 51 AND 52.5 AND (lon >= 179.5 OR lon <= -179.8) AND NOT EXISTS (SELECT 1 FROM elements e WHERE e.osm_type = f.osm_type AND e.osm_id = f.osm_id) THEN {NOW} ELSE stale_since END AS stale_since FROM fresh f"))
+def ingest_cells_antimeridian(spark: SparkSession, d: str):
+    return dimension.ingest_cells(_stored(spark, d), _elements(spark, d), (51.0, 179.5, 52.5, -179.8), NOW).select("osm_type", "osm_id", "stale_since")
+
+
 TILES = f"tiles AS (SELECT o_orderkey AS tile, {NOW} - o_orderkey * 7919 % 5000000 AS fetched_at FROM orders)"
 
 
