@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from curbsense.llm import bpe, chat, licences, media_gif, mixing, neardup, quality, secrets, sharding, substring
+from curbsense.llm import bpe, chat, embeddings, licences, media_gif, merkle, mixing, neardup, quality, search, secrets, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(_table(spark, sf_dir, "documents"), now={"text": F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))})
+
+
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -72,9 +85,14 @@ QUERIES = {
     "op8_gif": op8_gif,
     "op9_secrets": op9_secrets,
     "op10_minhash": op10_minhash,
+    "op11_maxscore": op11_maxscore,
+    "op12_merkle": op12_merkle,
+    "op13_embeddings": op13_embeddings,
 }
 
 ORACLE_SQL = {
     "op2_chat": chat.ORACLE_SQL,
     "op9_secrets": secrets.ORACLE_SQL,
+    "op11_maxscore": search.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
 }
