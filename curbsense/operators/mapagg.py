@@ -1,15 +1,12 @@
-"""Map aggregation: filters, hexagon density, viewport counts and clusters."""
+"""Map aggregation: filters, hexagon density, and viewport counts."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbsense.constants import CLUSTER_PX, MID_LEVEL, NEAR_LEVEL, NODE_PX, TILE_PX, WIDE_LEVEL
+from curbsense.constants import MID_LEVEL, NEAR_LEVEL, NODE_PX, WIDE_LEVEL
 from curbsense.functions import geo
-from curbsense.operators.tables import cut
 
 
 def marker_kind(category: Column) -> Column:
@@ -94,65 +91,3 @@ def format_count(n: Column) -> Column:
         return F.when(tenths % 10 == 0, (tenths / 10).cast("long").cast("string")).otherwise(F.concat_ws(".", (tenths / 10).cast("long").cast("string"), (tenths % 10).cast("string")))
 
     return F.when(n < 1000, n.cast("string")).when(n < 10_000, F.concat(short(1000), F.lit("k"))).when(n < 999_500, F.concat(geo.js_round(n / 1000).cast("string"), F.lit("k"))).otherwise(F.concat(short(1_000_000), F.lit("M")))
-
-
-def _merge_nearby(level: int):
-    radius = CLUSTER_PX / (TILE_PX * 2**level)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Greedy in order of id: a node takes the unclaimed nodes of its tile within the radius; positions are weighted means."""
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        x, y, n, u = (pdf[c].to_numpy(copy=True) for c in ("x", "y", "count", "users"))
-        tx, ty = pdf["tx"].to_numpy(), pdf["ty"].to_numpy()
-        cells: dict[tuple[int, ...], list[int]] = {}
-        for i, at in enumerate(zip(tx, ty, (x // radius).astype(int), (y // radius).astype(int), strict=True)):
-            cells.setdefault(at, []).append(i)
-        parent = np.full(len(pdf), -1)
-        rows = []
-        for i in range(len(pdf)):
-            if parent[i] >= 0:
-                continue
-            cx, cy = int(x[i] // radius), int(y[i] // radius)
-            near = [j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in cells.get((tx[i], ty[i], cx + a, cy + b), ()) if parent[j] < 0 and (x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2 <= radius**2]
-            parent[near] = i
-            w = n[near].sum()
-            rows.append((pdf["id"][i], float((x[near] * n[near]).sum() / w), float((y[near] * n[near]).sum() / w), int(w), int(u[near].sum())))
-        out = pd.DataFrame(rows, columns=["parent", "px", "py", "pcount", "pusers"])
-        pdf["parent"] = pdf["id"].to_numpy()[parent]
-        return pdf[["id", "parent"]].merge(out, on="parent")
-
-    return merge
-
-
-#: Side of a tile in which clusters are merged, in cluster radii of its level.
-TILE_RADII = 64
-
-
-def cluster_levels(points: DataFrame) -> DataFrame:
-    """Rows (level, id, x, y, count, users, parent) of nodes for levels 14 (single points) down to 6.
-
-    Every level merges the nodes of the one below within CLUSTER_PX of one another, greedily in order
-    of id. At each level the world is cut into mercator tiles of TILE_RADII cluster radii a side, so
-    a tile holds about as many nodes whatever the level, and a metro is spread over many tasks;
-    clusters do not reach across a tile's edge. Counts are conserved at every level. parent is the node of the
-    next level that took this one (null at the last).
-    """
-    nodes = points.select(F.col("key").alias("id"), geo.merc_x("lon").alias("x"), geo.merc_y("lat").alias("y"), F.lit(1).cast("long").alias("count"), F.col("user").cast("long").alias("users"))
-    out = None
-    calls = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for level in range(NEAR_LEVEL, WIDE_LEVEL, -1):
-        side = TILE_PX * 2**level / (CLUSTER_PX * TILE_RADII)
-        tiled = nodes.withColumns({"tx": F.floor(F.col("x") * side), "ty": F.floor(F.col("y") * side)})
-        # Many tiles to a call: most hold a node or two.
-        merged = tiled.groupBy(F.pmod(F.xxhash64("tx", "ty"), F.lit(calls)).alias("call")).applyInPandas(_merge_nearby(level), "id string, parent string, px double, py double, pcount long, pusers long")
-        merged = cut(merged)
-        below = nodes.join(merged.select("id", "parent"), "id").withColumn("level", F.lit(level + 1))
-        out = below if out is None else out.unionByName(below)
-        nodes = merged.select(F.col("parent").alias("id"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pcount").alias("count"), F.col("pusers").alias("users")).distinct()
-    last = nodes.withColumns({"parent": F.lit(None).cast("string"), "level": F.lit(WIDE_LEVEL + 1)})
-    return out.unionByName(last).select("level", "id", "x", "y", "count", "users", "parent")
-
-
-def largest_nodes(levels: DataFrame) -> DataFrame:
-    """Rows (level, largest): the count of each level's largest node, by which the others are drawn."""
-    return levels.groupBy("level").agg(F.max("count").alias("largest"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, which all executors share, and read back."""
+def cut(df: DataFrame, made: list[str] | None = None) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir, which all executors share, and read back; its path is added to `made`."""
     spark, sc = df.sparkSession, df.sparkSession.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
@@ -21,9 +21,18 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, made: list[str]) -> None:
+    """Delete tables that cut() has written for one call, once its result is written."""
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """df with the number (from 1) of each row in order of a unique key, counted range by range, so no task orders all rows."""
     ranged = cut(df.repartitionByRange(key).withColumn("range", F.spark_partition_id()))

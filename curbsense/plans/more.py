@@ -241,29 +241,6 @@ def ffp1_roundtrip(spark: SparkSession, d: str):
     return binary.unpack_points(binary.pack_points(points)).withColumns({"lat": F.round("lat", 7), "lon": F.round("lon", 7)})
 
 
-# Clusters.
-@query("cluster_ancestor")
-def cluster_ancestor(spark: SparkSession, d: str):
-    """The node of level 6 above each node of level 10, by the parents between."""
-    return ancestors(tables.cluster_levels(spark, d))
-
-
-def ancestors(nodes):
-    up = nodes.where("level = 10").select("id", F.col("parent").alias("above"))
-    for level in (9, 8, 7):
-        step = nodes.where(F.col("level") == level).select(F.col("id").alias("above"), F.col("parent").alias("next"))
-        up = up.join(step, "above").select("id", F.col("next").alias("above"))
-    return up.withColumnRenamed("above", "ancestor")
-
-
-@query("cluster_bounds")
-def cluster_bounds(spark: SparkSession, d: str):
-    """The box of the nodes of level 10 under each node of level 6."""
-    nodes = cut(tables.cluster_levels(spark, d))
-    box = nodes.where("level = 10").select("id", "x", "y", "count").join(ancestors(nodes), "id").groupBy("ancestor")
-    return box.agg(F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("north"), F.max("y").alias("south"), F.sum("count").alias("count"))
-
-
 @query("plan_phase1")
 def plan_phase1(spark: SparkSession, d: str):
     """Routes found by excluding, request after request, the blocked segments that answers pass."""

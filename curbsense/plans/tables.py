@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from curbsense.functions import geo, text
-from curbsense.operators import alerts, dimension, mapagg
+from curbsense.operators import alerts, clusters, dimension, mapagg
 from curbsense.plans import oracle as o
 from curbsense.plans.spatial import CIRCLE, MEMBERS
 from curbsense.operators import spatial
@@ -343,31 +343,92 @@ def format_count(spark: SparkSession, d: str):
     return rows.withColumn("label", mapagg.format_count(F.col("n")))
 
 
-@query("cluster_max_count", o.with_(o.CAMERAS, o.SUBMISSIONS, POINTS, select="SELECT CAST(14 AS INTEGER) AS level, CAST(1 AS BIGINT) AS largest"))
-def cluster_max_count(spark: SparkSession, d: str):
-    """The largest node of the level of single points; lower levels have theirs by the same aggregation."""
-    return mapagg.largest_nodes(cluster_levels(spark, d)).where("level = 14")
+def _level_sql(level: int) -> str:
+    """Nodes of a level from those of the one below: rounds in which a node decides once all smaller ids within reach have."""
+    up, r = level + 1, clusters.radius(level)
+    return f"""c{level} AS MATERIALIZED (SELECT a.id AS i, b.id AS j FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM n{up}) a, unnest([-1, 0, 1]) t(dy), n{up} b
+        WHERE b.x // {r} = a.x // {r} + dx AND b.y // {r} = a.y // {r} + dy AND b.id < a.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {r * r}),
+    s{level} AS (SELECT 0 AS round, id, 0 AS status FROM n{up}
+        UNION ALL SELECT s.round + 1, s.id, CASE WHEN max(s.status) > 0 THEN max(s.status) WHEN count(*) FILTER (o.status = 1) > 0 THEN 2 WHEN count(*) FILTER (o.status = 0) = 0 THEN 1 ELSE 0 END
+        FROM s{level} s LEFT JOIN c{level} c ON c.i = s.id LEFT JOIN s{level} o ON o.id = c.j WHERE EXISTS (SELECT 1 FROM s{level} WHERE status = 0) GROUP BY s.round, s.id),
+    d{level} AS MATERIALIZED (SELECT id, max(status) AS status FROM s{level} GROUP BY id),
+    m{level} AS MATERIALIZED (SELECT n.*, coalesce(p.parent, n.id) AS parent FROM n{up} n LEFT JOIN (SELECT c.i, min(c.j) AS parent FROM c{level} c JOIN d{level} d ON d.id = c.j AND d.status = 1 GROUP BY c.i) p ON p.i = n.id),
+    n{level} AS MATERIALIZED (SELECT parent AS id, CAST(sum(x * count) // sum(count) AS BIGINT) AS x, CAST(sum(y * count) // sum(count) AS BIGINT) AS y, CAST(sum(count) AS BIGINT) AS count, CAST(sum(users) AS BIGINT) AS users, min(west) AS west, min(south) AS south, max(east) AS east, max(north) AS north FROM m{level} GROUP BY parent)"""
+
+
+def cluster_sql(select: str) -> str:
+    """SQL over all levels of the clusters: idx (level, id, x, y, count, users, west, south, east, north, parent)."""
+    x, y = "(lon / 360 + 0.5)", "greatest(0, least(1, 0.5 - 0.25 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / pi()))"
+    whole = "CAST(floor({} * 4294967296) AS BIGINT)"
+    cols = "id, x / CAST(4294967296 AS DOUBLE) AS x, y / CAST(4294967296 AS DOUBLE) AS y, count, users, west, south, east, north"
+    leaves = [
+        f"leaves AS MATERIALIZED (SELECT key AS id, {whole.format(x)} AS x, {whole.format(y)} AS y, CAST(1 AS BIGINT) AS count, CAST(usr AS BIGINT) AS users, lon AS west, lat AS south, lon AS east, lat AS north FROM points WHERE NOT stale)",
+        "n14 AS MATERIALIZED (SELECT min(id) AS id, x, y, CAST(sum(count) AS BIGINT) AS count, CAST(sum(users) AS BIGINT) AS users, min(west) AS west, min(south) AS south, max(east) AS east, max(north) AS north FROM leaves GROUP BY x, y)",
+    ]
+    rows = [f"SELECT 14 AS level, {cols}, parent FROM (SELECT l.*, m.parent FROM leaves l JOIN m13 m ON m.x = l.x AND m.y = l.y)"]
+    rows += [f"SELECT {level} AS level, {cols}, parent FROM m{level - 1}" for level in range(13, 6, -1)] + [f"SELECT 6 AS level, {cols}, NULL AS parent FROM n6"]
+    return "WITH RECURSIVE " + ", ".join([o.CAMERAS, o.SUBMISSIONS, POINTS, *leaves, *map(_level_sql, range(13, 5, -1)), f"idx AS MATERIALIZED ({' UNION ALL '.join(rows)})"]) + " " + select
+
 
+def _up_sql(start: int, stop: int) -> str:
+    """Rows (id, ancestor) of a level's nodes with theirs at a lower level."""
+    joins = " ".join(f"JOIN idx i{n - 1} ON i{n - 1}.level = {n - 1} AND i{n - 1}.id = i{n}.parent" for n in range(start, stop, -1))
+    return f"SELECT i{start}.id, i{stop}.id AS ancestor FROM idx i{start} {joins} WHERE i{start}.level = {start}"
 
-@query("cluster_levels")
+
+def cluster_index(spark: SparkSession, d: str):
+    return clusters.cluster_index(_points(spark, d).where(mapagg.included(("flock", "alpr", "user"))))
+
+
+@query("cluster_levels", cluster_sql("SELECT level, id, x, y, count, users, parent FROM idx"))
 def cluster_levels(spark: SparkSession, d: str):
-    points = _points(spark, d).where(mapagg.included(("flock", "alpr", "user")))
-    return mapagg.cluster_levels(points)
+    """Every node of every level with the node that takes it at the next."""
+    return cluster_index(spark, d).drop(*clusters.BOX)
+
+
+@query("cluster_max_count", cluster_sql("SELECT level, max(count) AS largest FROM idx GROUP BY level"))
+def cluster_max_count(spark: SparkSession, d: str):
+    return clusters.largest_nodes(cluster_index(spark, d))
 
 
 @query("cluster_totals", o.with_(o.CAMERAS, o.SUBMISSIONS, POINTS, select="SELECT CAST(l AS INTEGER) AS level, count(*) AS points, sum(usr) AS users FROM points, range(6, 15) t(l) WHERE NOT stale GROUP BY 1"))
 def cluster_totals(spark: SparkSession, d: str):
     """Counts are conserved at every level of the clusters."""
-    return cluster_levels(spark, d).groupBy("level").agg(F.sum("count").alias("points"), F.sum("users").alias("users"))
+    return cluster_index(spark, d).groupBy("level").agg(F.sum("count").alias("points"), F.sum("users").alias("users"))
+
+
+VIEW_SQL = "y BETWEEN 0.5 - 0.25 * ln((1 + sin(radians({n}))) / (1 - sin(radians({n})))) / pi() AND 0.5 - 0.25 * ln((1 + sin(radians({s}))) / (1 - sin(radians({s})))) / pi() AND x BETWEEN {w} / CAST(360 AS DOUBLE) + 0.5 AND {e} / CAST(360 AS DOUBLE) + 0.5"
+#: Boxes (south, west, north, east) of a country, and of a part of it.
+OUTER, INNER = (25, -130, 50, -90), (40, -100, 42, -94)
+OUTER_SQL, INNER_SQL = (VIEW_SQL.format(s=s, w=w, n=n, e=e) for s, w, n, e in (OUTER, INNER))
+SHOWN_SQL = "id, x, y, count, users, count = 1 AS is_leaf"
 
 
-@query("cluster_query")
+@query("cluster_query", cluster_sql(f"SELECT {SHOWN_SQL}, ancestor, 'in' AS direction FROM idx JOIN ({_up_sql(9, 7)}) u USING (id) WHERE level = 9 AND {INNER_SQL}"))
 def cluster_query(spark: SparkSession, d: str):
-    """Nodes of level 8 in a view, with their nodes at level 6."""
-    nodes = cluster_levels(spark, d)
-    view = nodes.where((F.col("level") == 8) & F.col("x").between(0.2, 0.25) & F.col("y").between(0.3, 0.45))
-    up = nodes.where("level = 7").select(F.col("id").alias("parent"), F.col("parent").alias("ancestor"))
-    return view.join(up, "parent").select("id", "x", "y", "count", "users", "ancestor")
+    """Nodes of level 9 in a view that was zoomed into from level 7, with the nodes that they come out of."""
+    return clusters.cluster_view(cluster_index(spark, d), INNER, 9, (OUTER, 7))
+
+
+@query("cluster_query_out", cluster_sql(f"SELECT {SHOWN_SQL}, NULL AS ancestor, NULL AS direction FROM idx WHERE level = 6 AND {OUTER_SQL} UNION ALL SELECT id, NULL, NULL, NULL, NULL, NULL, ancestor, 'out' FROM (SELECT id FROM idx WHERE level = 14 AND {INNER_SQL}) JOIN ({_up_sql(14, 6)}) u USING (id)"))
+def cluster_query_out(spark: SparkSession, d: str):
+    """Nodes of level 6 in a view that was zoomed out to from single points, and where each of these goes."""
+    return clusters.cluster_view(cluster_index(spark, d), OUTER, 6, (INNER, 17))
+
+
+@query("cluster_ancestor", cluster_sql(" UNION ALL ".join(f"SELECT {a} AS start, {b} AS stop, id, ancestor FROM ({_up_sql(a, b)})" for a, b in ((14, 13), (12, 9), (10, 6)))))
+def cluster_ancestor(spark: SparkSession, d: str):
+    """The nodes above those of several levels."""
+    index = cluster_index(spark, d)
+    rows = [clusters.ancestors(index, start, stop).select(F.lit(min(start, 14)).alias("start"), F.lit(stop).alias("stop"), "id", "ancestor") for start, stop in ((17, 13), (12, 9), (10, 6))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("cluster_bounds", cluster_sql("""SELECT a.level, a.id, a.west, a.south, a.east, a.north, (SELECT CAST(min(b.level) AS INTEGER) FROM (SELECT level, id, lag(count) OVER (PARTITION BY id ORDER BY level) AS below, count FROM idx UNION ALL SELECT 14, id, 2, 1 FROM (SELECT DISTINCT parent AS id FROM idx WHERE level = 14)) b WHERE b.id = a.id AND b.level > a.level AND b.count < a.count) AS split_level
+    FROM idx a WHERE a.count > 1"""))
+def cluster_bounds(spark: SparkSession, d: str):
+    """The box of every cluster's points, and the level at which it splits."""
+    return clusters.expansions(cluster_index(spark, d))
 
 
 @query("classify", """SELECT k, CASE WHEN coalesce(lower(brand) LIKE '%flock%', false) OR coalesce(lower(maker) LIKE '%flock%', false) THEN 'flock' WHEN upper(kind) = 'ALPR' THEN 'alpr' ELSE 'unknown' END AS category
