@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,33 +42,41 @@ def radius(level: int) -> int:
 
 def _decided(reach: int):
     side, most = reach * TILE_RADII, reach * reach
+    #: Cells of a tile with its halo, and one more on either side.
+    wide = TILE_RADII + 2 * HALO + 4
+    around = [a * wide + b for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
     def decided(table: pa.Table) -> pa.Table:
         """A call's tiles, each in order of id: status of own nodes, and the id of the centre that each belongs to, null while that is open."""
         table = table.sort_by([("tx", "ascending"), ("ty", "ascending"), ("id", "ascending")])
-        tx, ty, ids, xs, ys, given, own = (table[c].to_pylist() for c in ("tx", "ty", "id", "x", "y", "status", "own"))
-        centres: dict[tuple, list[int]] = {}
-        unknown: dict[tuple, list[int]] = {}
+        tx, ty, x, y, given, own = (table[c].to_numpy() for c in ("tx", "ty", "x", "y", "status", "own"))
+        new = np.concatenate([[1], (np.diff(tx) != 0) | (np.diff(ty) != 0)])[: len(tx)]
+        in_x, in_y = x - tx * side + reach * (HALO + 1), y - ty * side + reach * (HALO + 1)
+        cells = ((np.cumsum(new) * wide + in_x // reach) * wide + in_y // reach).tolist()
+        # Whether the tile sees all that is within reach of a node.
+        seen = np.minimum(in_x, in_y) >= 2 * reach
+        seen = (own | (seen & (np.maximum(in_x, in_y) < reach * (TILE_RADII + 2 * HALO)))).tolist()
+        xs, ys, ids, owned = x.tolist(), y.tolist(), table["id"].to_pylist(), own.tolist()
+        centres: dict[int, list[int]] = {}
+        unknown: dict[int, list[int]] = {}
         status, parents, keep = [], [], []
 
-        def first_near(held: dict[tuple, list[int]], tile: tuple, x: int, y: int) -> int | None:
+        def first_near(held: dict[int, list[int]], i: int) -> int | None:
             """The first row of `held` within reach; rows are put there in order."""
-            cx, cy = x // reach, y // reach
-            near = (i for a in (-1, 0, 1) for b in (-1, 0, 1) for i in held.get((*tile, cx + a, cy + b), ()) if (xs[i] - x) ** 2 + (ys[i] - y) ** 2 <= most)
-            return min(near, default=None)
-
-        for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
-            tile = tx[i], ty[i]
-            centre = first_near(centres, tile, x, y)
-            doubt = first_near(unknown, tile, x, y) if unknown else None
-            now = given[i]
+            found, px, py = None, xs[i], ys[i]
+            for cell in around:
+                for j in held.get(cells[i] + cell, ()):
+                    if (found is None or j < found) and (xs[j] - px) ** 2 + (ys[j] - py) ** 2 <= most:
+                        found = j
+            return found
+
+        for i, now in enumerate(given.tolist()):
+            centre, doubt = first_near(centres, i), first_near(unknown, i) if unknown else None
             if now == OPEN:
-                low_x, low_y, width = tile[0] * side - reach * (HALO - 1), tile[1] * side - reach * (HALO - 1), side + 2 * reach * (HALO - 1)
-                seen = own[i] or (low_x <= x < low_x + width and low_y <= y < low_y + width)
-                now = TAKEN if centre is not None else CENTRE if seen and doubt is None else OPEN
+                now = TAKEN if centre is not None else CENTRE if seen[i] and doubt is None else OPEN
             if now != TAKEN:
-                (centres if now == CENTRE else unknown).setdefault((*tile, x // reach, y // reach), []).append(i)
-            if own[i]:
+                (centres if now == CENTRE else unknown).setdefault(cells[i], []).append(i)
+            if owned[i]:
                 sure = centre is not None and (doubt is None or doubt > centre)
                 keep.append(i)
                 status.append(now)
