@@ -1,12 +1,8 @@
 """Quality rules with built-in functions only: repetition inside a text, and line frequency across documents.
 
 Lines are normalised (lower case, digits as 0, blanks as one space) and hashed, and for each host the
-documents that hold a line are counted; equal texts of a host count as one document. A line is
-boilerplate where more than `limit` groups of documents hold it: near copies, whose distinct lines
-agree to NEAR (Jaccard), are one group, so a family of copies doesn't make its own text boilerplate.
-A group is the documents that a leader is near to, the one of least key; it isn't extended by
-neighbours of neighbours, which boilerplate alone could chain. Leaders come from MinHash buckets
-of the lines, and each pair is checked exactly. Boilerplate lines are removed from the texts
+distinct documents that hold a line are counted; equal texts of a host count as one document. A line is
+boilerplate where more than `limit` documents hold it. Boilerplate lines are removed from the texts
 (clean), and a document that is left with less than `least` of its words is rejected as depleted.
 """
 
@@ -24,8 +20,6 @@ from curbsense.llm.session import staged
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 LIMIT, LEAST = 20, 0.3
-#: Share of the lines of two texts together that near copies have in common, and buckets and hashes in a bucket that find them (of pairs at NEAR 1 in 5,000 is missed).
-NEAR, BANDS, ROWS = 0.75, 16, 3
 KEY = ["host", "text_key"]
 #: Most keys of texts that lose lines or are rejected, and hashes of their lines, that may be broadcast (some 40 and 8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_KEYS = 300_000
@@ -90,48 +84,12 @@ def _on(a: str, b: str, *names: str) -> Column:
     return reduce(and_, (F.col(f"{a}.{n[0]}").eqNullSafe(F.col(f"{b}.{n[1]}")) for n in left_right))
 
 
-def held_lines(rows: DataFrame) -> DataFrame:
-    """Rows (host, text_key, n_words, n_lines, line, w, n) of the lines that n > 1 texts of the host hold, as a staged table."""
-    units = rows.where("n_words > 0").select(*KEY, "n_words", "lines").dropDuplicates(KEY)
-    lines = units.select(*KEY, "n_words", F.size(F.array_distinct("lines.line")).alias("n_lines"), F.explode("lines").alias("l"))
-    lines = lines.groupBy(*KEY, "n_words", "n_lines", F.col("l.line").alias("line")).agg(F.sum("l.w").alias("w"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return staged(lines.alias("a").join(counts.alias("b"), _on("a", "b", "host", "line")).select("a.*", "n"))
-
-
-def leaders(held: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Rows (host, text_key, lead) of texts that are near copies of a leader; the others are groups of their own.
-
-    Only texts that hold a line of more than `limit` texts matter, and a near copy shares NEAR of its
-    lines. Lines of one text alone are in no intersection, so their number is all that is needed of them.
-    """
-    sets = held.groupBy(*KEY, "n_lines").agg(F.collect_list("line").alias("set"), F.max("n").alias("most"))
-    sets = staged(sets.where((F.col("most") > limit) & (F.size("set") >= NEAR * F.col("n_lines"))).select(*KEY, "n_lines", "set"))
-
-    def bucket(band: Column) -> Column:
-        return F.xxhash64(band, *(F.array_min(F.transform("set", lambda x: F.xxhash64(band * ROWS + r, x))) for r in range(ROWS)))
-
-    buckets = staged(sets.select(*KEY, F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), bucket)).alias("bucket")))
-    least = buckets.groupBy("host", "bucket").agg(F.min("text_key").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = buckets.alias("a").join(least.alias("b"), _on("a", "b", "host", "bucket")).where("text_key <> lead").select("a.*", "lead").drop("bucket").distinct()
-    pairs = pairs.alias("p").join(sets.alias("a"), _on("p", "a", *KEY)).join(sets.alias("b"), _on("p", "b", "host", "lead=text_key"))
-    common = F.size(F.array_intersect("a.set", "b.set"))
-    near = pairs.select("p.*", F.col("a.n_lines").alias("n_a"), F.col("b.n_lines").alias("n_b"), common.alias("common"))
-    return near.where(F.col("common") >= NEAR * (F.col("n_a") + F.col("n_b") - F.col("common"))).groupBy(*KEY).agg(F.min("lead").alias("lead"))
-
-
-def boilerplate(held: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Rows (host, line) of the lines that more than `limit` groups of near copies hold."""
-    frequent = held.where(F.col("n") > limit).select(*KEY, "line")
-    grouped = frequent.alias("a").join(staged(leaders(held, limit)).alias("b"), _on("a", "b", *KEY), "left")
-    grouped = grouped.select("a.host", "line", F.coalesce("lead", "a.text_key").alias("lead")).distinct()
-    return grouped.groupBy("host", "line").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > limit).select("host", "line")
-
-
 def removals(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Rows (host, text_key, lines, removed): the boilerplate lines of each text that holds some, and their words, as a staged table."""
-    held = held_lines(rows)
-    gone = held.where(F.col("n") > limit).alias("a").join(boilerplate(held, limit).alias("b"), _on("a", "b", "host", "line"), "left_semi")
+    units = rows.where("n_words > 0").select(*KEY, "lines").dropDuplicates(KEY)
+    lines = units.select(*KEY, F.explode("lines").alias("l")).groupBy(*KEY, F.col("l.line").alias("line")).agg(F.sum("l.w").alias("w"))
+    frequent = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    gone = lines.alias("a").join(frequent.alias("b"), _on("a", "b", "host", "line"), "left_semi")
     return staged(gone.groupBy(*KEY).agg(F.collect_list("line").alias("lines"), F.sum("w").cast("long").alias("removed")))
 
 
@@ -172,3 +130,20 @@ def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(has_word(x) & F.array_contains("lines", _line_hash(x)))), "\n")
     new = F.when(F.col("lines").isNull(), text).otherwise(left)
     return rows.select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns))
+
+
+#: The same with lines in clear text. Digests of texts and lines aren't needed there.
+ORACLE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM docs),
+worded AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, regexp_replace(regexp_replace(trim(lower(line), ' '), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g') AS normal FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+frequent AS (SELECT source, normal FROM worded GROUP BY source, normal HAVING count(DISTINCT text) > 20),
+per_doc AS (SELECT l.r, count(*) - count(DISTINCT line) AS dup, coalesce(sum(l.w) FILTER (f.normal IS NOT NULL), 0) AS removed FROM worded l LEFT JOIN frequent f ON f.source IS NOT DISTINCT FROM l.source AND f.normal = l.normal GROUP BY l.r),
+starts AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM docs WHERE len(w) >= 5),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(w[i:i + 4], ' ')) AS n FROM starts),
+repeats AS (SELECT r, count(DISTINCT k) AS covered FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM windows WHERE n > 1) GROUP BY r),
+base AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(covered, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_boilerplate_words
+         FROM docs d LEFT JOIN per_doc USING (r) LEFT JOIN repeats USING (r)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_boilerplate_words >= 0.3 * n_words AS kept, n_boilerplate_words FROM failed
+"""

@@ -92,6 +92,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_chat": chat.ORACLE_SQL,
+    "op7_quality": quality.ORACLE_SQL,
     "op9_secrets": secrets.ORACLE_SQL,
     "op11_maxscore": search.ORACLE_SQL,
     "op12_merkle": merkle.ORACLE_SQL,
