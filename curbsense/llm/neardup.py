@@ -81,14 +81,16 @@ def _sketcher(shingle: int):
         salt = mix(np.arange(BANDS * ROWS, dtype=U64)).reshape(BANDS, ROWS) | U64(1)
         for batch in batches:
             sizes, digests, low, bands = [], [], [], []
-            for s in Words(batch.column("text"), lower=True).shingle_sets(shingle):
+            words = Words(batch.column("text"), lower=True)
+            for d, s in enumerate(words.shingle_sets(shingle)):
                 sizes.append(len(s))
                 if not len(s):
                     digests.append(None)
                     low.append(None)
                     bands.append(None)
                     continue
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                # Two hashes or more are over 128 bits; a single shingle is known by its words.
+                digests.append(hashlib.blake2b(s.tobytes() if len(s) > 1 else words.text(d), digest_size=16).digest())
                 values = signature(s, order)
                 low.append((values & U64(255)).astype(np.uint8).tobytes())
                 bands.append(mix((values[: BANDS * ROWS].reshape(BANDS, ROWS) * salt).sum(axis=1, dtype=U64) + np.arange(BANDS, dtype=U64)).view(np.int64).tolist())
