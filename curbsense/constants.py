@@ -31,6 +31,12 @@ SAME_PLACE_M = 30.0
 # Routing.
 AVOID_M = 30.0
 CORRIDOR_LEAST_M = 3_000.0
+ROAD_AREA_LEAST_M = 6_000.0
+ROAD_AREA_SHARE = 0.25
+ROAD_TRIP_MOST_M = 60_000.0
+BLOCKED_PENALTY_S = 3_600.0
+LOCAL_REQUESTS = 3
+REPAIR_REQUESTS = 24
 CORRIDOR_SHARE = 0.3
 LONG_DETOUR_SHARE = 0.5
 LONG_DETOUR_S = 20 * 60

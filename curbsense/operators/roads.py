@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import AVOID_M, CORRIDOR_LEAST_M, CORRIDOR_SHARE, METRES_PER_DEGREE, TILE_SIZE
+from curbsense.constants import AVOID_M, BLOCKED_PENALTY_S, CORRIDOR_LEAST_M, CORRIDOR_SHARE, LEAST_COS, LOCAL_REQUESTS, METRES_PER_DEGREE, REPAIR_REQUESTS, ROAD_AREA_LEAST_M, ROAD_AREA_SHARE, ROAD_TRIP_MOST_M
 from curbsense.functions import geo
+from curbsense.operators.overlay import TILE_E7, Overlay, tile_of
+from curbsense.operators.tables import cut
 
 DEGREES = 1e7
 
@@ -49,52 +51,58 @@ def nearest_node(places: DataFrame, edges: DataFrame, leaving: bool, reach: int
     return best.select("id", "best.node", "best.metres")
 
 
-def road_region(lat: Column, rows: int = 1) -> Column:
-    """Number of the band of road tiles, `rows` high, that a latitude lies in; the part of a graph that one task searches."""
-    return F.floor(lat / (TILE_SIZE * rows)).cast("int")
+def _node_lat(node: str) -> Column:
+    return F.split(node, ":")[0].cast("long") / DEGREES
 
 
-def _graph(edges: pd.DataFrame, penalty_s: float | None) -> dict[str, list[tuple[str, float, bool]]]:
-    out: dict[str, list[tuple[str, float, bool]]] = {}
-    for u, v, secs, blocked in edges[["u", "v", "secs", "blocked"]].itertuples(index=False):
-        if not blocked or penalty_s is not None:
-            out.setdefault(u, []).append((v, secs + (penalty_s or 0.0) * blocked, bool(blocked)))
-    return out
+def _node_lon(node: str) -> Column:
+    return F.split(node, ":")[1].cast("long") / DEGREES
 
 
-def shortest_paths(trips: DataFrame, edges: DataFrame, penalty_s: float | None) -> DataFrame:
-    """Rows (trip, secs, blocked, hops): quickest paths of trips (trip, region, start, goal) on the edges (region, ...) of their region.
+def trip_tiles(trips: DataFrame, margin_m: float = ROAD_AREA_LEAST_M, tile_e7: int = TILE_E7) -> DataFrame:
+    """trips (trip, start, goal) with trip_m, and the rows r0 to r1 and columns c0 to c1 of the tiles of their area.
 
-    A blocked edge costs penalty_s more, or isn't used where that is None. Regions are bounded parts
-    of the map: each is cogrouped with its trips, and all are searched in parallel. Trips from one
-    start share a search. Trips without a path have no row.
+    A trip's area is the box of its ends, grown by margin_m or a share of their distance.
     """
+    ends = trips.withColumns({"la1": _node_lat("start"), "lo1": _node_lon("start"), "la2": _node_lat("goal"), "lo2": _node_lon("goal")})
+    ends = ends.withColumn("trip_m", geo.haversine_m("la1", "lo1", "la2", "lo2"))
+    ends = ends.withColumn("pad", F.greatest(F.lit(margin_m), F.col("trip_m") * ROAD_AREA_SHARE) / METRES_PER_DEGREE)
+    ends = ends.withColumn("wide", F.col("pad") / F.greatest(F.lit(LEAST_COS), F.cos(F.radians((F.col("la1") + F.col("la2")) / 2))))
+    tile = lambda x: F.floor(x * DEGREES / tile_e7)
+    ends = ends.withColumns({"r0": tile(F.least("la1", "la2") - F.col("pad")), "r1": tile(F.greatest("la1", "la2") + F.col("pad"))})
+    ends = ends.withColumns({"c0": tile(F.least("lo1", "lo2") - F.col("wide") + 180), "c1": tile(F.greatest("lo1", "lo2") + F.col("wide") + 180)})
+    return ends.drop("la1", "lo1", "la2", "lo2", "pad", "wide")
+
+
+def _tiles(boxes: DataFrame, tile_e7: int) -> DataFrame:
+    """boxes with one row for each tile (tile) from r0, c0 to r1, c1."""
+    rows = boxes.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
+    return rows.withColumn("tile", F.col("r") * (3_600_000_000 // tile_e7 + 1) + F.col("c")).drop("r", "c")
+
+
+def trip_areas(trips: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """trips with region, the name of their area's tiles, and the edges of each such area (area, u, v, secs, blocked).
+
+    Trips of over ROAD_TRIP_MOST_M are left out, so no area has more than some tiles. Trips of the same tiles
+    share an area; an edge is in every area that the tile it begins in belongs to.
+    """
+    placed = trip_tiles(trips.select("trip", "start", "goal")).where(F.col("trip_m") <= ROAD_TRIP_MOST_M)
+    placed = placed.withColumn("region", F.concat_ws(":", "r0", "r1", "c0", "c1"))
+    areas = _tiles(placed.select("region", "r0", "r1", "c0", "c1").distinct(), TILE_E7).select("region", "tile")
+    held = edges.select("u", "v", "secs", "blocked").withColumn("tile", tile_of(F.col("u"))).join(areas, "tile").withColumn("area", F.concat("region", F.lit(""))).drop("tile", "region")
+    return placed.select("trip", "start", "goal", "region"), held
 
-    def search(key, trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        graph, rows = _graph(edges, penalty_s), []
-        for start, asked in trips.groupby("start"):
-            goals: dict[str, list[int]] = {}
-            for trip, goal in asked[["trip", "goal"]].itertuples(index=False):
-                goals.setdefault(goal, []).append(trip)
-            best, heap = {start: 0.0}, [(0.0, start, 0, 0)]
-            while heap and goals:
-                cost, node, hits, hops = heapq.heappop(heap)
-                if cost > best[node]:
-                    continue
-                rows += [(trip, cost - hits * (penalty_s or 0.0), hits, hops) for trip in goals.pop(node, ())]
-                for v, secs, blocked in graph.get(node, ()):
-                    if cost + secs < best.get(v, float("inf")):
-                        best[v] = cost + secs
-                        heapq.heappush(heap, (cost + secs, v, hits + blocked, hops + 1))
-        return pd.DataFrame(rows, columns=["trip", "secs", "blocked", "hops"])
 
-    return trips.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(search, "trip long, secs double, blocked long, hops long")
+def _graph(edges: pd.DataFrame, penalty_s: float | None) -> dict[str, list[tuple[str, float, bool]]]:
+    out: dict[str, list[tuple[str, float, bool]]] = {}
+    for u, v, secs, blocked in edges[["u", "v", "secs", "blocked"]].itertuples(index=False):
+        if not blocked or penalty_s is not None:
+            out.setdefault(u, []).append((v, secs + (penalty_s or 0.0) * blocked, bool(blocked)))
+    return out
 
 
 def reachable(edges: DataFrame, start: str, rounds: int) -> DataFrame:
     """Rows (node, secs): least time from a node within `rounds` edges, by relaxation over the whole edge table; for graphs that no task holds."""
-    from curbsense.operators.tables import cut
-
     best = edges.sparkSession.createDataFrame([(start, 0.0)], "node string, secs double")
     for step in range(rounds):
         step_on = edges.select(F.col("u").alias("node"), "v", F.col("secs").alias("more"))
@@ -130,7 +138,8 @@ def _quickest(graph: dict, start: str, goal: str, closed: set) -> tuple[float, l
 
 #: Requests a plan may make, and segments it may exclude.
 REQUESTS, EXCLUSIONS = 8, 50
-PLAN = "trip long, outcome string, requests int, excluded int, given_up int, limit string, fastest_s double, fastest_blocked int, best_s double, best_blocked int"
+PATH = "array<struct<u: string, v: string, secs: double, blocked: boolean>>"
+PLAN = "trip long, outcome string, requests int, excluded int, given_up int, limit string, fastest_s double, fastest_blocked int, best_s double, best_blocked int, path " + PATH
 
 
 def _place(node: str) -> tuple[float, float]:
@@ -143,8 +152,8 @@ def _apart(a: tuple[float, float], b: tuple[float, float]) -> float:
     return METRES_PER_DEGREE * math.hypot(a[0] - b[0], ((a[1] - b[1] + 180) % 360 - 180) * k)
 
 
-def _planned(graph: dict, start: str, goal: str) -> tuple:
-    """A trip's row of PLAN but for its number."""
+def _planned(graph: dict, start: str, goal: str, most: int) -> tuple:
+    """A trip's row of PLAN but for its number, with at most so many requests."""
     ends = _place(start), _place(goal)
     reach = max(CORRIDOR_LEAST_M, CORRIDOR_SHARE * _apart(*ends)) / METRES_PER_DEGREE
     wide = reach / max(0.01, math.cos(math.radians((ends[0][0] + ends[1][0]) / 2)))
@@ -167,7 +176,7 @@ def _planned(graph: dict, start: str, goal: str) -> tuple:
             closed.remove(edge)
             given_up.add(edge)
         else:
-            answers.append((len(found[2]), found[0], len(answers)))
+            answers.append((len(found[2]), found[0], len(answers), found[1]))
             batch = []
             for edge in found[2]:
                 if edge in given_up or near_end(edge) <= AVOID_M:
@@ -182,66 +191,64 @@ def _planned(graph: dict, start: str, goal: str) -> tuple:
             if not batch:
                 break
             closed += batch
-        if requests >= REQUESTS:
+        if requests >= most:
             limit = limit or "requests"
             break
     if not answers:
-        return ("no_route", requests, 0, 0, limit, None, None, None, None)
+        return ("no_route", requests, 0, 0, limit, None, None, None, None, None)
     first, best = answers[0], min(answers)
     outcome = "clear" if not best[0] else "reduced" if best[0] < first[0] else "unchanged"
-    return (outcome, requests, len(closed), len(given_up), limit, first[1], first[0], best[1], best[0])
+    cost = {(u, v): (secs, blocked) for u in graph for v, secs, blocked in sorted(graph[u], key=lambda e: (-e[1], e[2]))}
+    path = [(u, v, *cost[u, v]) for u, v in best[3]]
+    return (outcome, requests, len(closed), len(given_up), limit, first[1], first[0], best[1], best[0], path)
 
 
-def plan_exclusions(trips: DataFrame, edges: DataFrame) -> DataFrame:
-    """Plans of trips (trip, region, start, goal) by asking for a route again and again without the blocked segments met so far.
+def plan_exclusions(trips: DataFrame, edges: DataFrame, requests: int = REQUESTS) -> DataFrame:
+    """Plans of trips (trip, start, goal) by asking for a route again and again without the blocked segments met so far.
 
     Each answer's blocked segments are excluded from the next request, as many as may be, but for
     those at an end of the trip (within AVOID_M) and those outside its corridor. Where no route is
     left, the one of the last batch that is nearest to an end is given up. It ends with an answer
     that has none to exclude, or when requests are used up; limit names the limit that was met. The
-    best answer has the fewest blocked segments, then the least time; the first of equals. The router
-    here is the region's graph; trips of a region are planned in its task.
+    best answer (path) has the fewest blocked segments, then the least time; the first of equals. The
+    router here is the graph of the trip's area (trip_areas()); trips of one area are planned in its task.
     """
+    names = [c.split(" ")[0] for c in PLAN.removesuffix(PATH).split(", ")[:-1]] + ["path"]
 
     def plan(key, trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         graph = _graph(edges, 0.0)
-        rows = [(trip, *_planned(graph, start, goal)) for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False)]
-        names = [c.split(" ")[0] for c in PLAN.split(", ")]
+        rows = [(trip, *_planned(graph, start, goal, requests)) for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False)]
         return pd.DataFrame(rows, columns=names).astype({"fastest_blocked": "Int32", "best_blocked": "Int32"})
 
-    return trips.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(plan, PLAN)
-
-
-PATH = "trip long, nth int, u string, v string, secs double, blocked boolean"
-
-
-def path_edges(trips: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (trip, nth, u, v, secs, blocked): the edges of each trip's quickest path in its region, in order."""
-
-    def walk(key, trips: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        graph, rows = _graph(edges, 0.0), []
-        cost = {(u, v): (secs, blocked) for u in graph for v, secs, blocked in sorted(graph[u], key=lambda e: -e[1])}
-        for trip, start, goal in trips[["trip", "start", "goal"]].itertuples(index=False):
-            found = _quickest(graph, start, goal, set())
-            rows += [(trip, i, *e, *cost[e]) for i, e in enumerate(found[1] if found else ())]
-        return pd.DataFrame(rows, columns=["trip", "nth", "u", "v", "secs", "blocked"])
-
-    return trips.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(walk, PATH)
+    placed, held = trip_areas(trips, edges)
+    return placed.groupBy("region").cogroup(held.groupBy("area")).applyInPandas(plan, PLAN)
 
 
-def _node_lat(node: str) -> Column:
-    return F.split(node, ":")[0].cast("long") / DEGREES
-
+def road_check(trips: DataFrame, edges: DataFrame, missing: DataFrame, margin_m: float = ROAD_AREA_LEAST_M, tile_e7: int = TILE_E7) -> DataFrame:
+    """Rows (trip, status, blocked, secs): what the road map says of trips (trip, start, goal), where tiles in missing (tile) haven't arrived.
 
-def _node_lon(node: str) -> Column:
-    return F.split(node, ":")[1].cast("long") / DEGREES
+    free: a path without blocked segments, which is real on part of a map as well; partial: there is none
+    in what is there of the trip's area, and a missing tile may hold one, so nothing is claimed; fewest: there is none, and
+    the best path has so many blocked ones; unconnected; too_long: over ROAD_TRIP_MOST_M, not looked up.
+    """
+    placed = cut(trip_tiles(trips.select("trip", "start", "goal"), margin_m, tile_e7))
+    asked = placed.where(F.col("trip_m") <= ROAD_TRIP_MOST_M)
+    partial = _tiles(asked, tile_e7).join(missing.select("tile").distinct(), "tile", "left_semi").select("trip").distinct().withColumn("partial", F.lit(True))
+    free = Overlay(edges, None, tile_e7).solve(asked).select("trip", F.col("cost").alias("free_s"))
+    state = cut(placed.join(free, "trip", "left").join(partial, "trip", "left"))
+    rest = state.where((F.col("trip_m") <= ROAD_TRIP_MOST_M) & F.col("free_s").isNull() & F.col("partial").isNull())
+    fewest = Overlay(edges, BLOCKED_PENALTY_S, tile_e7).solve(rest).select("trip", "cost", F.col("blocked").alias("hit"))
+    both = state.join(fewest, "trip", "left")
+    status = F.when(F.col("trip_m") > ROAD_TRIP_MOST_M, "too_long").when(F.col("free_s").isNotNull(), "free").when(F.col("partial"), "partial").when(F.col("hit").isNotNull(), "fewest").otherwise("unconnected")
+    blocked = F.when(F.col("free_s").isNotNull(), F.lit(0).cast("long")).otherwise(F.col("hit"))
+    return both.select("trip", status.alias("status"), blocked.alias("blocked"), F.coalesce("free_s", F.col("cost") - F.col("hit") * BLOCKED_PENALTY_S).alias("secs"))
 
 
 def blocked_stretches(paths: DataFrame, gap_m: float, margin_m: float) -> DataFrame:
-    """Rows (trip, stretch, first, last, blocked, start, goal): runs of blocked edges of paths (path_edges()) at most `gap_m` apart.
+    """Rows (trip, stretch, first, last, blocked, secs, start, goal): runs of blocked edges of paths (trip, nth, u, v, secs, blocked) at most `gap_m` apart.
 
-    first and last number the edges to be driven anew: the run, and up to `margin_m` on either side;
-    start and goal are their ends.
+    first and last number the edges to be driven anew: the run, and up to `margin_m` on either side,
+    but no edge of the stretch before; start and goal are their ends, secs the time that they take now.
     """
     w = W.partitionBy("trip").orderBy("nth")
     length = geo.haversine_m(_node_lat("u"), _node_lon("u"), _node_lat("v"), _node_lon("v"))
@@ -251,24 +258,56 @@ def blocked_stretches(paths: DataFrame, gap_m: float, margin_m: float) -> DataFr
     runs = hits.groupBy(F.col("trip").alias("of"), "stretch").agg(F.min("start_m").alias("from_m"), F.max("end_m").alias("to_m"), F.count(F.lit(1)).alias("blocked_n"))
     inside = (F.col("end_m") > F.col("from_m") - margin_m) & (F.col("start_m") < F.col("to_m") + margin_m)
     around = placed.join(runs, F.col("trip") == F.col("of")).where(inside)
-    ends = around.groupBy("trip", "stretch", "blocked_n").agg(F.min("nth").alias("first"), F.max("nth").alias("last"), F.min_by("u", "nth").alias("start"), F.max_by("v", "nth").alias("goal"))
-    return ends.select("trip", "stretch", "first", "last", F.col("blocked_n").alias("blocked"), "start", "goal")
+    # An edge between two stretches belongs to the first.
+    around = around.withColumn("of_first", F.min("stretch").over(W.partitionBy("trip", "nth"))).where("stretch = of_first").drop("of", "of_first", "blocked_n")
+    own = F.count_if("blocked")
+    ends = around.groupBy("trip", "stretch").agg(F.min("nth").alias("first"), F.max("nth").alias("last"), own.alias("blocked"), F.sum("secs").alias("secs"), F.min_by("u", "nth").alias("start"), F.max_by("v", "nth").alias("goal"))
+    return ends.where("blocked > 0")
+
+
+def splice(paths: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Rows (trip, nth, u, v, secs, blocked): paths with the edges first to last replaced by those of fixes (trip, first, last, path), numbered anew.
+
+    Stretches of one trip don't overlap. Other trips' edges stay as they are.
+    """
+    spans = fixes.select("trip", F.explode(F.sequence("first", "last")).alias("nth"))
+    rest = paths.join(spans, ["trip", "nth"], "left_anti").select("trip", F.col("nth").alias("at"), F.lit(0).alias("i"), "u", "v", "secs", "blocked")
+    new = fixes.select("trip", F.col("first").alias("at"), F.posexplode("path").alias("i", "e")).select("trip", "at", "i", "e.*")
+    nth = F.row_number().over(W.partitionBy("trip").orderBy("at", "i")) - 1
+    return rest.unionByName(new).select("trip", nth.cast("int").alias("nth"), "u", "v", "secs", "blocked")
 
 
-def stretch_repair(trips: DataFrame, edges: DataFrame, gap_m: float, margin_m: float, limit_s: float) -> DataFrame:
-    """Rows (trip, stretch, turn, blocked, left, extra_s, status) of the stretches with blocked edges of each trip's quickest path.
+def stretch_repair(paths: DataFrame, edges: DataFrame, gap_m: float, margin_m: float, limit_s: float, budget: int = REPAIR_REQUESTS) -> DataFrame:
+    """Rows (trip, stretch, turn, first, last, blocked, left, extra_s, status, path) of the stretches with blocked edges of paths (trip, nth, u, v, secs, blocked).
 
-    Every stretch is routed anew between its ends without its blocked edges (plan_exclusions()). It is
-    fixed where that passes fewer and takes at most `limit_s` longer for each one saved, slow where it
-    takes longer, else kept. turn is the order of repair: most blocked edges first.
+    A trip's stretches are routed anew in the order of their blocked edges, most first (turn), between their ends
+    without these edges (plan_exclusions() with LOCAL_REQUESTS); those whose turn comes after `budget`
+    requests of the trip aren't (unserved). Where a stretch keeps blocked edges or takes too long, the road map of its
+    area is searched for the way with the fewest. It is fixed (path) where a way passes fewer and takes at most `limit_s` longer for
+    each one saved, slow where the ways that pass fewer take longer, else kept. splice() puts fixes into the paths.
     """
-    from curbsense.operators.tables import cut
-
-    runs = cut(blocked_stretches(path_edges(trips, edges), gap_m, margin_m))
-    local = runs.join(trips.select("trip", "region"), "trip").withColumn("id", F.xxhash64("trip", "stretch"))
-    plans = plan_exclusions(local.select(F.col("id").alias("trip"), "region", "start", "goal"), edges).withColumnRenamed("trip", "id")
-    both = local.join(plans, "id")
-    saved, extra = F.col("blocked") - F.col("best_blocked"), F.col("best_s") - F.col("fastest_s")
-    status = F.when(F.coalesce(saved, F.lit(0)) <= 0, "kept").when(extra > saved * limit_s, "slow").otherwise("fixed")
+    runs = cut(blocked_stretches(paths, gap_m, margin_m))
     turn = F.row_number().over(W.partitionBy("trip").orderBy(F.desc("blocked"), "stretch"))
-    return both.select("trip", "stretch", turn.alias("turn"), "blocked", F.when(status == "fixed", F.col("best_blocked")).otherwise(F.col("blocked")).cast("long").alias("left"), F.when(status == "fixed", extra).otherwise(0.0).alias("extra_s"), status.alias("status"))
+    runs = cut(runs.withColumn("turn", turn).withColumn("id", F.xxhash64("trip", "stretch")))
+    local = runs.select(F.col("id").alias("trip"), "start", "goal")
+    plans = cut(plan_exclusions(local, edges, LOCAL_REQUESTS).select(F.col("trip").alias("id"), "requests", F.col("best_s").alias("s1"), F.col("best_blocked").cast("long").alias("b1"), F.col("path").alias("p1")))
+    asked = F.coalesce(F.sum("requests").over(W.partitionBy("trip").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    both = runs.join(plans, "id", "left").withColumn("served", asked < budget)
+
+    def worth(blocked: Column, secs: Column) -> Column:
+        saved = F.col("blocked") - blocked
+        return F.coalesce((saved > 0) & (secs - F.col("secs") <= saved * limit_s), F.lit(False))
+
+    both = cut(both.withColumn("done", worth(F.col("b1"), F.col("s1")) & (F.col("b1") == 0)))
+    road = Overlay(edges, BLOCKED_PENALTY_S)
+    solved = road.solve(both.where("served AND NOT done").select(F.col("id").alias("trip"), "start", "goal"))
+    steps = road.paths(solved).groupBy("trip").agg(F.sort_array(F.collect_list(F.struct("nth", F.struct("u", "v", "secs", "blocked").alias("e")))).alias("es"))
+    ways = solved.join(steps, "trip").select(F.col("trip").alias("id"), (F.col("cost") - F.col("blocked") * BLOCKED_PENALTY_S).alias("s2"), F.col("blocked").alias("b2"), F.transform("es", lambda x: x["e"]).cast(PATH).alias("p2"))
+    both = both.join(ways, "id", "left")
+    option = lambda n: F.struct(F.col(f"b{n}").alias("b"), F.col(f"s{n}").alias("s"), F.lit(n).alias("n"))
+    options = F.array_compact(F.array(*(F.when(worth(F.col(f"b{n}"), F.col(f"s{n}")), option(n)) for n in (1, 2))))
+    both = both.withColumn("best", F.when(F.col("served"), F.get(F.array_sort(options), 0)))
+    fewer = F.coalesce(F.least("b1", "b2") < F.col("blocked"), F.lit(False))
+    status = F.when(~F.col("served"), "unserved").when(F.col("best").isNotNull(), "fixed").when(fewer, "slow").otherwise("kept")
+    path = F.when(F.col("best.n") == 1, F.col("p1")).when(F.col("best.n") == 2, F.col("p2"))
+    return both.select("trip", "stretch", "turn", "first", "last", "blocked", F.coalesce("best.b", "blocked").alias("left"), F.coalesce(F.col("best.s") - F.col("secs"), F.lit(0.0)).alias("extra_s"), status.alias("status"), path.alias("path"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curbsense.functions import register
 from curbsense.operators import guidance, spatial
+from curbsense.operators.tables import cut
 from curbsense.plans import oracle as o
 from curbsense.plans import travel
 from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors
@@ -235,10 +236,32 @@ def _bins(spark, d):
     return mapagg.hex_density(tables._points(spark, d)).where("level = 3")
 
 
+def _repaired(spark, d):
+    """The quickest paths of trips over the lattice, whatever they pass, and their stretches with blocked segments routed anew."""
+    from curbsense.operators import overlay, roads
+
+    way = F.col("s_suppkey") * 20 - 3
+    spots = a.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (41.20005 + F.floor(way / 40) * 0.002).alias("lat"), (-96.00005 + way * 13 % 40 * 0.002).alias("lon"))
+    segs = travel._segments(spark, d)
+    edges = cut(roads.road_edges(segs, spatial.blocked_segments(segs, spots)))
+    whole = overlay.Overlay(edges, 0.0, travel.LATTICE_TILE)
+    trips = travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way")))
+    paths = cut(whole.paths(whole.solve(trips)))
+    return paths, roads.stretch_repair(paths, edges, 300.0, 400.0, 300.0)
+
+
 @query("stretch_repair")
 def stretch_repair(spark: SparkSession, d: str):
     """Stretches with blocked segments of trips over the lattice, each routed anew."""
+    return _repaired(spark, d)[1].drop("path").withColumn("extra_s", F.round("extra_s", 3))
+
+
+@query("repaired_routes")
+def repaired_routes(spark: SparkSession, d: str):
+    """Time and blocked segments of the trips' paths before and after their fixed stretches are put in."""
     from curbsense.operators import roads
 
-    trips = travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way")))
-    return roads.stretch_repair(trips, travel._banded(spark, d), 300.0, 800.0, 300.0).withColumn("extra_s", F.round("extra_s", 3))
+    paths, runs = _repaired(spark, d)
+    new = roads.splice(paths, runs.where("status = 'fixed'").select("trip", "first", "last", "path"))
+    total = lambda p, n: p.groupBy("trip").agg(F.round(F.sum("secs"), 3).alias(f"secs_{n}"), F.count_if("blocked").alias(f"blocked_{n}"), F.count(F.lit(1)).alias(f"edges_{n}"))
+    return total(paths, "before").join(total(new, "after"), "trip")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from curbsense.constants import OUIS
 from curbsense.functions import geo, text
-from curbsense.operators import roads, spatial
-from curbsense.operators.tables import cut
+from curbsense.operators import overlay, roads, spatial
 from curbsense.plans import oracle as o
 from curbsense.plans import tables, travel
 from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors, sql_hit
@@ -181,12 +180,25 @@ def trip_parse(spark: SparkSession, d: str):
     return points.select("route", "points", F.round(metres, 0).alias("metres"), F.col("legs").cast("int").alias("legs"))
 
 
-@query("road_check", travel.WALKS(travel.PENALISED, travel.FREE, select="SELECT trip, CASE WHEN f.cost IS NOT NULL THEN 'free' ELSE 'fewest' END AS status, CASE WHEN f.cost IS NULL THEN CAST(floor(c.cost / 3600) AS BIGINT) ELSE 0 END AS blocked, round(coalesce(f.cost, c.cost - floor(c.cost / 3600) * 3600), 3) AS secs FROM trips t JOIN least_cost c ON c.region = t.region AND c.node = t.goal LEFT JOIN free_cost f ON f.region = t.region AND f.node = t.goal"))
+#: Tiles of the lattice that haven't arrived, for road_check.
+MISSING_SQL = "(((CAST(split_part({0}, ':', 1) AS BIGINT) // 200000) * 18001 + (CAST(split_part({0}, ':', 2) AS BIGINT) + 1800000000) // 200000) % 11 = 0)"
+CHECKED = f"""there AS (SELECT * FROM graph WHERE NOT {MISSING_SQL.format('u')}),
+    ends AS (SELECT *, CAST(split_part(start, ':', 1) AS BIGINT) / 1e7 AS la1, CAST(split_part(start, ':', 2) AS BIGINT) / 1e7 AS lo1, CAST(split_part(goal, ':', 1) AS BIGINT) / 1e7 AS la2, CAST(split_part(goal, ':', 2) AS BIGINT) / 1e7 AS lo2 FROM trips),
+    grown AS (SELECT *, greatest(CAST(1500 AS DOUBLE), 0.25 * {o.hav('la1', 'lo1', 'la2', 'lo2')}) / 111320 AS pad, cos(radians((la1 + la2) / 2)) AS c FROM ends),
+    part_map AS (SELECT DISTINCT trip FROM (SELECT trip, r, unnest(range(CAST(floor((least(lo1, lo2) - pad / c + 180) * 50) AS BIGINT), CAST(floor((greatest(lo1, lo2) + pad / c + 180) * 50) AS BIGINT) + 1)) AS col FROM (SELECT *, unnest(range(CAST(floor((least(la1, la2) - pad) * 50) AS BIGINT), CAST(floor((greatest(la1, la2) + pad) * 50) AS BIGINT) + 1)) AS r FROM grown)) WHERE (r * 18001 + col) % 11 = 0)"""
+FREE_THERE, FEWEST_THERE = (travel.LEAST_COST.format(name=n, graph="there", where=w) for n, w in (("free_cost", " AND e.cost < 3600"), ("least_cost", "")))
+
+
+@query("road_check", travel.WALKS(CHECKED, FREE_THERE, FEWEST_THERE, select="SELECT trip, CASE WHEN f.cost IS NOT NULL THEN 'free' WHEN trip IN (SELECT trip FROM part_map) THEN 'partial' WHEN c.cost IS NOT NULL THEN 'fewest' ELSE 'unconnected' END AS status, CASE WHEN f.cost IS NOT NULL THEN 0 WHEN trip NOT IN (SELECT trip FROM part_map) THEN CAST(floor(c.cost / 3600) AS BIGINT) END AS blocked, CASE WHEN f.cost IS NOT NULL THEN round(f.cost, 3) WHEN trip NOT IN (SELECT trip FROM part_map) THEN round(c.cost - floor(c.cost / 3600) * 3600, 3) END AS secs FROM trips t LEFT JOIN free_cost f ON f.start = t.start AND f.node = t.goal LEFT JOIN least_cost c ON c.start = t.start AND c.node = t.goal"))
 def road_check(spark: SparkSession, d: str):
-    """For each trip whether a path without blocked segments exists, else how few blocked ones it takes."""
-    fewest = travel.shortest_path(spark, d).select("trip", "secs", "blocked")
-    free = travel.free_paths(spark, d).select("trip", F.col("secs").alias("free_s"))
-    return fewest.join(free, "trip", "left").select("trip", F.when(F.col("free_s").isNotNull(), "free").otherwise("fewest").alias("status"), F.when(F.col("free_s").isNull(), F.col("blocked")).otherwise(0).alias("blocked"), F.coalesce("free_s", "secs").alias("secs"))
+    """What the road map says of every trip, where some tiles haven't arrived."""
+    edges = travel._edges(spark, d).withColumn("tile", overlay.tile_of(F.col("u"), travel.LATTICE_TILE))
+    missing = edges.where("tile % 11 = 0").select("tile").distinct()
+    # Tiles without a road are missing as well: any number in the lattice's reach.
+    span = spark.range(412000000 // 200000 - 50, 412000000 // 200000 + 2000).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(4150), F.lit(4280))))
+    missing = span.select((F.col("r") * 18001 + F.col("c")).alias("tile")).where("tile % 11 = 0").unionByName(missing).distinct()
+    out = roads.road_check(travel._trips(spark, d), edges.where("tile % 11 <> 0").drop("tile"), missing, 1500.0, travel.LATTICE_TILE)
+    return out.withColumn("secs", F.round("secs", 3))
 
 
 # Navigation.
@@ -244,7 +256,8 @@ def ffp1_roundtrip(spark: SparkSession, d: str):
 @query("plan_phase1")
 def plan_phase1(spark: SparkSession, d: str):
     """Routes found by excluding, request after request, the blocked segments that answers pass."""
-    out = roads.plan_exclusions(travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way"))), travel._banded(spark, d))
+    trips = travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way")))
+    out = roads.plan_exclusions(trips, travel._edges(spark, d)).drop("path")
     return out.withColumns({"fastest_s": F.round("fastest_s", 3), "best_s": F.round("best_s", 3)})
 
 

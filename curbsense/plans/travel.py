@@ -6,9 +6,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import GOOD_FIX_M, LONG_DETOUR_S, LONG_DETOUR_SHARE, MOVING_MPS, STRETCH_GAP_M
+from curbsense.constants import BLOCKED_PENALTY_S, GOOD_FIX_M, LONG_DETOUR_S, LONG_DETOUR_SHARE, MOVING_MPS, STRETCH_GAP_M
 from curbsense.functions import geo, text
-from curbsense.operators import guidance, roads, spatial
+from curbsense.operators import guidance, overlay, roads, spatial
 from curbsense.operators.tables import numbered
 from curbsense.plans import oracle as o
 from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors
@@ -275,39 +275,48 @@ def nearest_node(spark: SparkSession, d: str):
     return roads.nearest_node(_spots(spark, d), _edges(spark, d), leaving=True).select("id", F.round("metres", 3).alias("metres"))
 
 
+#: Side of the queries' road tiles: a trip over the lattice crosses several.
+LATTICE_TILE = 200_000
+
+
 def _trips(spark, d, keys=None):
-    """A trip to the first node of every way, from the first corner of its band of tiles; keys may name fewer ways."""
+    """A trip to the first node of every way, from the corner of the block of 25 rows before its own; keys may name fewer ways."""
     k = F.col("way")
     rows = keys if keys is not None else a.table(spark, d, "part").select(F.col("p_partkey").alias("way"))
     node = lambda row, column: F.concat_ws(":", F.lit(412000000) + row * 20000, F.lit(-960000000) + column * 20000)
     row = F.floor(k / 40)
-    return rows.select(k.alias("trip"), F.floor(row / 50).cast("int").alias("band"), row.alias("row")).select("trip", (F.col("band") + 412).alias("region"), node(F.col("band") * 50 + 1, F.lit(2)).alias("start"), node(F.col("row"), F.col("trip") % 40).alias("goal"))
-
+    return rows.select(k.alias("trip"), node(F.greatest(F.floor(row / 25) - 1, F.lit(0)) * 25 + 1, F.lit(2)).alias("start"), node(row, k % 40).alias("goal"))
 
-def _banded(spark, d):
-    """The edges of each band of tiles: those that begin in it."""
-    return _edges(spark, d).withColumn("region", roads.road_region(F.split("u", ":")[0].cast("long") / 10_000_000 + 1e-9))
 
-
-GRAPH = """banded AS (SELECT CAST(split_part(u, ':', 1) AS BIGINT) // 1000000 AS region, u, v, secs + CASE WHEN blocked THEN 3600 ELSE 0 END AS cost FROM (SELECT u, v, secs, seg IN (SELECT seg FROM blocked) AS blocked, direction FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs, seg IN (SELECT seg FROM blocked), direction FROM road_segs WHERE direction <= 0)),
-    trips AS (SELECT p_partkey AS trip, 412 + p_partkey // 2000 AS region, (412000000 + (p_partkey // 2000 * 50 + 1) * 20000) || ':-959960000' AS start, (412000000 + p_partkey // 40 * 20000) || ':' || (-960000000 + p_partkey % 40 * 20000) AS goal FROM part)"""
-#: Least costs from each band's start, relaxed until none falls: the key's row is replaced by a better one.
-LEAST_COST = """{name}(region, node, cost) USING KEY (region, node) AS (SELECT DISTINCT region, start, CAST(0 AS DOUBLE) FROM trips UNION
-    (SELECT n.region, n.node, n.cost FROM (SELECT e.region, e.v AS node, min(b.cost + e.cost) AS cost FROM {name} b JOIN banded e ON e.region = b.region AND e.u = b.node{where} GROUP BY ALL) n LEFT JOIN recurring.{name} r ON r.region = n.region AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost - 1e-7))"""
-PENALISED, FREE = LEAST_COST.format(name="least_cost", where=""), LEAST_COST.format(name="free_cost", where=" AND e.cost < 3600")
+GRAPH = """graph AS (SELECT u, v, secs + CASE WHEN blocked THEN 3600 ELSE 0 END AS cost FROM (SELECT u, v, secs, seg IN (SELECT seg FROM blocked) AS blocked FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs, seg IN (SELECT seg FROM blocked) FROM road_segs WHERE direction <= 0)),
+    trips AS (SELECT p_partkey AS trip, (412000000 + (greatest(p_partkey // 40 // 25 - 1, 0) * 25 + 1) * 20000) || ':-959960000' AS start, (412000000 + p_partkey // 40 * 20000) || ':' || (-960000000 + p_partkey % 40 * 20000) AS goal FROM part)"""
+#: Least costs from each start over the whole graph, relaxed until none falls: the key's row is replaced by a better one.
+LEAST_COST = """{name}(start, node, cost) USING KEY (start, node) AS (SELECT DISTINCT start, start, CAST(0 AS DOUBLE) FROM trips UNION
+    (SELECT n.start, n.node, n.cost FROM (SELECT b.start, e.v AS node, min(b.cost + e.cost) AS cost FROM {name} b JOIN {graph} e ON e.u = b.node{where} GROUP BY ALL) n LEFT JOIN recurring.{name} r ON r.start = n.start AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost - 1e-7))"""
+PENALISED, FREE = LEAST_COST.format(name="least_cost", graph="graph", where=""), LEAST_COST.format(name="free_cost", graph="graph", where=" AND e.cost < 3600")
 WALKS = lambda *tables, select: o.with_(*ROADS, SPOTS, BLOCKED, GRAPH, *tables, select=select).replace("WITH ways", "WITH RECURSIVE ways", 1)
 
 
-@query("shortest_path", WALKS(PENALISED, select="SELECT trip, round(cost - floor(cost / 3600) * 3600, 3) AS secs, CAST(floor(cost / 3600) AS BIGINT) AS blocked FROM trips t JOIN least_cost c ON c.region = t.region AND c.node = t.goal"))
+@query("shortest_path", WALKS(PENALISED, select="SELECT trip, round(cost - floor(cost / 3600) * 3600, 3) AS secs, CAST(floor(cost / 3600) AS BIGINT) AS blocked FROM trips t JOIN least_cost c ON c.start = t.start AND c.node = t.goal"))
 def shortest_path(spark: SparkSession, d: str):
-    """Fewest blocked segments first (each costs an hour more), then time."""
-    return roads.shortest_paths(_trips(spark, d), _banded(spark, d), 3600.0).select("trip", F.round("secs", 3).alias("secs"), "blocked")
+    """Fewest blocked segments first (each costs an hour more), then time; trips cross several tiles."""
+    return overlay.shortest_paths(_trips(spark, d), _edges(spark, d), BLOCKED_PENALTY_S, LATTICE_TILE).select("trip", F.round("secs", 3).alias("secs"), "blocked")
 
 
-@query("free_paths", WALKS(FREE, select="SELECT trip, round(cost, 3) AS secs FROM trips t JOIN free_cost c ON c.region = t.region AND c.node = t.goal"))
+@query("free_paths", WALKS(FREE, select="SELECT trip, round(cost, 3) AS secs FROM trips t JOIN free_cost c ON c.start = t.start AND c.node = t.goal"))
 def free_paths(spark: SparkSession, d: str):
     """Quickest paths that use no blocked segment."""
-    return roads.shortest_paths(_trips(spark, d), _banded(spark, d), None).select("trip", F.round("secs", 3).alias("secs"))
+    return overlay.shortest_paths(_trips(spark, d), _edges(spark, d), None, LATTICE_TILE).select("trip", F.round("secs", 3).alias("secs"))
+
+
+@query("path_steps", WALKS(PENALISED, select="SELECT trip, round(cost - floor(cost / 3600) * 3600, 3) AS secs, CAST(floor(cost / 3600) AS BIGINT) AS blocked, goal AS last, true AS joined FROM trips t JOIN least_cost c ON c.start = t.start AND c.node = t.goal WHERE t.start <> t.goal"))
+def path_steps(spark: SparkSession, d: str):
+    """The edges of the trips' quickest paths, added up: their times and blocks, where they end, and whether each begins where the one before ends."""
+    roads_map = overlay.Overlay(_edges(spark, d), BLOCKED_PENALTY_S, LATTICE_TILE)
+    trips = _trips(spark, d)
+    steps = roads_map.paths(roads_map.solve(trips)).join(trips.select("trip", "start"), "trip")
+    steps = steps.withColumn("fit", F.col("u") == F.coalesce(F.lag("v").over(W.partitionBy("trip").orderBy("nth")), F.col("start")))
+    return steps.groupBy("trip").agg(F.round(F.sum("secs"), 3).alias("secs"), F.count_if("blocked").alias("blocked"), F.max_by("v", "nth").alias("last"), F.every("fit").alias("joined"))
 
 
 @query("graph_reach", o.with_(*ROADS, "RECURSIVE walk(node, secs, hops) AS (SELECT '412000000:-959960000', CAST(0 AS DOUBLE), 0 UNION SELECT e.v, w.secs + e.secs, hops + 1 FROM walk w JOIN (SELECT u, v, secs FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs FROM road_segs WHERE direction <= 0) e ON e.u = w.node AND hops < 6)", select="SELECT node, round(min(secs), 3) AS secs FROM walk GROUP BY node").replace("WITH ways", "WITH RECURSIVE ways").replace("RECURSIVE walk", "walk"))
