@@ -116,6 +116,10 @@ WAYS = """ways AS (
         CASE k % 7 WHEN 0 THEN 'residential' WHEN 1 THEN 'primary' WHEN 2 THEN 'motorway' WHEN 3 THEN 'service' WHEN 4 THEN 'tertiary_link' WHEN 5 THEN 'living_street' ELSE 'unclassified' END AS highway,
         CASE WHEN p_size % 3 = 0 THEN 'yes' WHEN p_size % 11 = 1 THEN '-1' WHEN p_size % 13 = 1 THEN 'reversible' END AS oneway,
         CASE WHEN k % 9 = 0 THEN 'private' END AS access,
+        CASE WHEN k % 23 = 5 THEN 'yes' END AS area,
+        CASE WHEN k % 29 = 3 THEN 'no' WHEN k % 29 = 4 THEN 'yes' END AS motor_vehicle,
+        CASE WHEN k % 31 = 7 THEN 'private' END AS motorcar,
+        CASE WHEN k % 37 = 9 THEN 'roundabout' WHEN k % 41 = 9 THEN 'circular' END AS junction,
         CASE WHEN k % 4 <> 3 THEN CASE k % 6 WHEN 0 THEN '50' WHEN 1 THEN '35 mph' WHEN 2 THEN '50;60' WHEN 3 THEN 'signals' WHEN 4 THEN '200' ELSE ' 30 ' END END AS maxspeed,
         i AS pos,
         CAST((CASE WHEN k % 2 = 0 THEN k // 40 ELSE k // 40 + i END) * 20000 + 412000000 AS INTEGER) AS lat_e7,

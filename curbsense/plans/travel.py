@@ -37,7 +37,7 @@ def _bodies(spark, d):
     lat = F.when(k % 13 == 0, F.format_string('"%s"', F.col("lat").cast("string"))).when(k % 19 == 0, F.lit("95.5")).otherwise(F.col("lat").cast("string"))
     place = F.when(k % 17 == 0, F.format_string('"lon": %s', F.col("lon").cast("string"))).otherwise(F.format_string('"lat": %s, "lon": %s', lat, F.col("lon").cast("string")))
     inner = F.when(F.col("osm_type") == "node", place).otherwise(F.format_string('"center": {%s}', place))
-    element = F.format_string('{"type": "%s", "id": %d, %s, "tags": {"brand": "%s", "layer": %d, "note": null}}', "osm_type", k, inner, "category", k % 3)
+    element = F.format_string('{"type": "%s", "id": %d, %s, "tags": {"id": "CAM-%d", "lat": "north", "brand": "%s", "layer": %d, "note": null, "lon": "7"}}', "osm_type", k, inner, k, "category", k % 3)
     bodies = a.cameras(spark, d).withColumn("e", element).groupBy(F.floor(k / 50).alias("doc")).agg(F.array_join(F.sort_array(F.collect_list("e")), ", ").alias("es"))
     remark = F.when(F.col("doc") % 10 == 3, '"remark": "runtime error: Query timed out", ').otherwise("")
     return bodies.select("doc", F.format_string('{"osm3s": {"timestamp_osm_base": "2024-01-01T00:00:00Z"}, %s"elements": [%s]}', remark, F.col("es")).alias("body"))
@@ -217,7 +217,7 @@ def sql_speed() -> str:
 
 
 CLASSES = "CASE highway WHEN 'residential' THEN 40 WHEN 'primary' THEN 60 WHEN 'motorway' THEN 100 WHEN 'tertiary_link' THEN 45 WHEN 'living_street' THEN 20 WHEN 'unclassified' THEN 45 END"
-DRIVABLE = f"""drivable AS (SELECT *, CASE oneway WHEN 'yes' THEN 1 WHEN '-1' THEN -1 ELSE CASE WHEN highway = 'motorway' THEN 1 ELSE 0 END END AS direction, coalesce({sql_speed()}, {CLASSES}) AS kmh FROM ways WHERE {CLASSES} IS NOT NULL AND access IS NULL AND coalesce(oneway, '') <> 'reversible')"""
+DRIVABLE = f"""drivable AS (SELECT *, CASE oneway WHEN 'yes' THEN 1 WHEN '-1' THEN -1 ELSE CASE WHEN highway = 'motorway' OR junction IN ('roundabout', 'circular') THEN 1 ELSE 0 END END AS direction, coalesce({sql_speed()}, {CLASSES}) AS kmh FROM ways WHERE {CLASSES} IS NOT NULL AND access IS NULL AND area IS NULL AND coalesce(motor_vehicle, '') <> 'no' AND motorcar IS NULL AND coalesce(oneway, '') <> 'reversible')"""
 ROAD_SEGS = f"""road_segs AS (SELECT way || '/' || pos AS seg, way, direction, la1 || ':' || lo1 AS u, la2 || ':' || lo2 AS v, la1 / 1e7 AS lat1, lo1 / 1e7 AS lon1, la2 / 1e7 AS lat2, lo2 / 1e7 AS lon2, {o.hav('la1 / 1e7', 'lo1 / 1e7', 'la2 / 1e7', 'lo2 / 1e7')} / (kmh / CAST(3.6 AS DOUBLE)) AS secs
     FROM (SELECT way, pos, direction, kmh, lat_e7 AS la1, lon_e7 AS lo1, lead(lat_e7) OVER w AS la2, lead(lon_e7) OVER w AS lo2 FROM drivable WINDOW w AS (PARTITION BY way ORDER BY pos)) WHERE la2 IS NOT NULL)"""
 ROADS = (o.WAYS, DRIVABLE, ROAD_SEGS)
@@ -246,7 +246,13 @@ def maxspeed(spark: SparkSession, d: str):
 
 @query("road_ways", o.with_(o.WAYS, DRIVABLE, select="SELECT way, direction, kmh, count(*) AS points FROM drivable GROUP BY ALL"))
 def road_ways(spark: SparkSession, d: str):
-    return formats.drivable(a.ways(spark, d)).groupBy("way", "direction", "kmh").agg(F.count(F.lit(1)).alias("points"))
+    """Ways read from answers of forty each, in JSON with their geometry."""
+    tags = F.map_filter(F.create_map(*(x for t in formats.ROAD_TAGS for x in (F.lit(t), F.col(t)))), lambda _, v: v.isNotNull())
+    point = F.struct("pos", F.struct((F.col("lat_e7") / 1e7).alias("lat"), (F.col("lon_e7") / 1e7).alias("lon")).alias("p"))
+    ways = a.ways(spark, d).groupBy("way", *formats.ROAD_TAGS).agg(F.transform(F.sort_array(F.collect_list(point)), lambda x: x["p"]).alias("geometry"))
+    element = F.struct(F.lit("way").alias("type"), F.col("way").alias("id"), tags.alias("tags"), "geometry")
+    bodies = ways.groupBy(F.floor(F.col("way") / 40).alias("doc")).agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("body"))
+    return formats.drivable(formats.map_ways(bodies)).groupBy("way", "direction", "kmh").agg(F.count(F.lit(1)).alias("points"))
 
 
 @query("road_ways_from_nodes", o.with_(o.WAYS, select="SELECT way, string_agg(lat_e7 || ':' || lon_e7, ' ' ORDER BY pos) AS line FROM ways GROUP BY way"))

@@ -157,6 +157,10 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(classes, (k % 7 + 1).cast("int")).alias("highway"),
         F.when(size % 3 == 0, "yes").when(size % 11 == 1, "-1").when(size % 13 == 1, "reversible").alias("oneway"),
         F.when(k % 9 == 0, "private").alias("access"),
+        F.when(k % 23 == 5, "yes").alias("area"),
+        F.when(k % 29 == 3, "no").when(k % 29 == 4, "yes").alias("motor_vehicle"),
+        F.when(k % 31 == 7, "private").alias("motorcar"),
+        F.when(k % 37 == 9, "roundabout").when(k % 41 == 9, "circular").alias("junction"),
         F.when(k % 4 != 3, F.element_at(speeds, (k % 6 + 1).cast("int"))).alias("maxspeed"),
         i.alias("pos"),
         lat.cast("int").alias("lat_e7"),

@@ -14,36 +14,71 @@ from pyspark.sql import functions as F
 
 from curbsense.functions import geo, text
 
-ELEMENTS = "struct<osm3s:struct<timestamp_osm_base:string>,remark:string,elements:array<struct<type:string,id:string,lat:string,lon:string,center:struct<lat:string,lon:string>,tags:map<string,string>>>>"
-#: A JSON number, as from_json leaves it in a string field; a JSON string there is told apart by the raw element.
-NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+def _field(v: Column, path: str, *types: str) -> Column:
+    """The part of a variant at a path, where it has one of the types that schema_of_variant() names; else null."""
+    part = F.try_variant_get(v, path, "variant")
+    return F.when(F.regexp_replace(F.schema_of_variant(part), r"\(.*", "").isin(*types), part)
+
+
+def _text(v: Column, path: str) -> Column:
+    return _field(v, path, "STRING").cast("string")
+
+
+def _number(v: Column, path: str) -> Column:
+    return _field(v, path, "BIGINT", "DECIMAL", "DOUBLE").cast("double")
+
+
+def _whole(v: Column, path: str) -> Column:
+    return _field(v, path, "BIGINT").cast("long")
+
+
+def answers(df: DataFrame, body: str = "body") -> DataFrame:
+    """df with one row (pos, e) per element of a map server's answer, as a variant, in place of body.
+
+    Answers that aren't JSON or have no elements, and those whose remark reports a runtime error, have
+    no rows.
+    """
+    rows = df.withColumn("answer", F.try_parse_json(body))
+    rows = rows.where(~F.coalesce(F.lower(_text(F.col("answer"), "$.remark")).contains("runtime error"), F.lit(False)))
+    elements = F.try_variant_get("answer", "$.elements", "array<variant>")
+    return rows.select(*[c for c in df.columns if c != body], F.posexplode(elements).alias("pos", "e"))
+
+
+def _tags(e: Column) -> Column:
+    """Tags as texts; a value that is no text is its JSON."""
+    found = F.try_variant_get(e, "$.tags", "map<string,variant>")
+    tags = F.transform_values(found, lambda _, v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).otherwise(F.to_json(v)))
+    return F.coalesce(tags, F.create_map().cast("map<string,string>"))
 
 
 def map_elements(df: DataFrame, body: str = "body") -> DataFrame:
     """df with one row per element of a map server's answer: pos, osm_type, osm_id, lat, lon, tags, valid.
 
-    Answers whose remark reports a runtime error, and those without elements, have no rows. Ways and
-    relations are placed at their center. An element is valid where its type is known, its id a whole
-    number and its place in range; a number given as text is not a number.
+    Ways and relations are placed at their center. An element is valid where its type is known, its id
+    a whole number and its place in range; a number given as text is not a number.
+    """
+    e = F.col("e")
+    is_node = F.col("osm_type") == "node"
+    out = answers(df, body).withColumns({"osm_type": _text(e, "$.type"), "osm_id": _whole(e, "$.id"), "tags": _tags(e)})
+    out = out.withColumns({c: F.when(is_node, _number(e, f"$.{c}")).otherwise(_number(e, f"$.center.{c}")) for c in ("lat", "lon")})
+    valid = F.col("osm_type").isin("node", "way", "relation") & F.col("osm_id").isNotNull() & geo.valid_coord("lat", "lon")
+    return out.select(*[c for c in df.columns if c != body], "pos", "osm_type", "osm_id", "lat", "lon", "tags", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+#: Tags that say whether and how a car may use a way.
+ROAD_TAGS = ("highway", "area", "access", "motor_vehicle", "motorcar", "oneway", "junction", "maxspeed")
+
+
+def map_ways(df: DataFrame, body: str = "body") -> DataFrame:
+    """Rows (way, ROAD_TAGS ..., pos, lat_e7, lon_e7) of the ways of a map server's answers with their geometry, for drivable().
+
+    Points that are null or have no place are left out; ways of fewer than two points have no rows.
     """
-    parsed = F.from_json(body, ELEMENTS)
-    raw = F.from_json(F.get_json_object(body, "$.elements"), "array<string>")
-    rows = df.withColumn("answer", parsed).where(~F.coalesce(F.lower("answer.remark").contains("runtime error"), F.lit(False)))
-    rows = rows.select(*[c for c in df.columns if c != body], F.posexplode(F.arrays_zip(F.col("answer.elements").alias("e"), raw.alias("raw"))).alias("pos", "x"))
-
-    def number(path: str, field: str) -> Column:
-        # Quotes around the value in the raw element mean a text.
-        quoted = F.col("x.raw").rlike(rf'"{field}"\s*:\s*"')
-        value = F.col(f"x.e.{path}")
-        return F.when(value.rlike(NUMBER) & ~quoted, value.try_cast("double"))
-
-    is_node = F.col("x.e.type") == "node"
-    lat = F.when(is_node, number("lat", "lat")).otherwise(number("center.lat", "lat"))
-    lon = F.when(is_node, number("lon", "lon")).otherwise(number("center.lon", "lon"))
-    osm_id = F.when(F.col("x.e.id").rlike(r"^-?\d+$") & ~F.col("x.raw").rlike(r'"id"\s*:\s*"'), F.col("x.e.id").try_cast("long"))
-    tags = F.transform_values(F.coalesce("x.e.tags", F.create_map().cast("map<string,string>")), lambda _, v: F.coalesce(v, F.lit("null")))
-    out = rows.select(*[c for c in df.columns if c != body], "pos", F.col("x.e.type").alias("osm_type"), osm_id.alias("osm_id"), lat.alias("lat"), lon.alias("lon"), tags.alias("tags"))
-    return out.withColumn("valid", F.coalesce(F.col("osm_type").isin("node", "way", "relation") & F.col("osm_id").isNotNull() & geo.valid_coord("lat", "lon"), F.lit(False)))
+    e = F.col("e")
+    rows = answers(df, body).where(_text(e, "$.type") == "way").select(_whole(e, "$.id").alias("way"), _tags(e).alias("tags"), F.try_variant_get(e, "$.geometry", "array<variant>").alias("points"))
+    place = F.transform("points", lambda p: F.struct(geo.js_round(_number(p, "$.lat") * 1e7).cast("int").alias("lat_e7"), geo.js_round(_number(p, "$.lon") * 1e7).cast("int").alias("lon_e7")))
+    rows = rows.where("way IS NOT NULL").withColumn("points", F.filter(place, lambda p: p["lat_e7"].isNotNull() & p["lon_e7"].isNotNull())).where("size(points) > 1")
+    return rows.select("way", *(F.element_at("tags", t).alias(t) for t in ROAD_TAGS), F.posexplode("points").alias("pos", "p")).select("way", *ROAD_TAGS, "pos", "p.*")
 
 
 def linestring(body: Column) -> Column:
@@ -142,13 +177,18 @@ def verified(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def drivable(ways: DataFrame) -> DataFrame:
-    """Of rows (way, highway, oneway, access, maxspeed, ...) those a car may use, with direction (1, -1, 0) and kmh."""
+    """Of rows (way, ROAD_TAGS ..., more) those a car may use, with direction (1, -1, 0) and kmh in place of the tags but highway.
+
+    Roundabouts and motorways are one way where their tag doesn't say otherwise.
+    """
     kmh = text.class_kmh(F.col("highway"))
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    keep = kmh.isNotNull() & ~blank(F.col("access")).isin("private", "no", "agricultural", "forestry", "delivery") & ~blank(F.col("oneway")).isin("reversible", "alternating")
-    tag = blank(F.col("oneway"))
-    direction = F.when(tag.isin("yes", "1", "true"), 1).when(tag.isin("-1", "reverse"), -1).when(tag.isin("no", "0", "false"), 0).when(F.col("highway") == "motorway", 1).otherwise(0)
-    return ways.where(keep).withColumns({"direction": direction, "kmh": F.coalesce(text.maxspeed(F.col("maxspeed")), kmh)})
+    tag = lambda c: F.coalesce(F.col(c), F.lit(""))
+    shut = tag("access").isin("private", "no", "agricultural", "forestry", "delivery") | tag("motor_vehicle").isin("private", "no") | tag("motorcar").isin("private", "no")
+    keep = kmh.isNotNull() & (tag("area") != "yes") & ~shut & ~tag("oneway").isin("reversible", "alternating")
+    implied = (F.col("highway") == "motorway") | tag("junction").isin("roundabout", "circular")
+    direction = F.when(tag("oneway").isin("yes", "1", "true"), 1).when(tag("oneway").isin("-1", "reverse"), -1).when(tag("oneway").isin("no", "0", "false"), 0).when(implied, 1).otherwise(0)
+    rows = ways.where(keep).withColumns({"direction": direction, "kmh": F.coalesce(text.maxspeed(F.col("maxspeed")), kmh)})
+    return rows.drop(*(t for t in ROAD_TAGS if t != "highway"))
 
 
 def csv_rows(lines: DataFrame, required: str, line: str = "line") -> DataFrame:
