@@ -97,3 +97,7 @@ ARRIVE_M, BACK_ON_ROUTE_M, OFF_ROUTE_S, PAUSE_S, GOOD_FIX_M = 30.0, 30.0, 5, 34,
 HEADING_FREE_DEG, HEADING_PENALTY_M, BACKWARD_COST = 45.0, 60.0, 0.5
 # Cameras announced together, and where a reroute joins the old route again (metres).
 GROUP_M, REJOIN_AHEAD_M, REJOIN_CLEAR_M, REJOIN_LEFT_M, REJOIN_END_M = 150.0, 1500.0, 100.0, 2500.0, 500.0
+
+# Reroute requests (milliseconds between them, and after each failure in a row).
+REROUTE_MIN_MS = 10_000
+REROUTE_WAITS_MS = (10_000, 20_000, 40_000, 60_000)

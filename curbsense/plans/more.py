@@ -15,7 +15,7 @@ from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors, sql_hit
 from curbsense.plans.tables import BEST, MAC, PARSED
 from curbsense.sources import adapters as a
 from curbsense.sources import binary, formats
-from curbsense.streaming import navigation
+from curbsense.streaming import navigation, trips
 
 QUERIES, ORACLE_SQL = {}, {}
 NOW = 1_710_000_000
@@ -233,10 +233,29 @@ def proximity_not_covered(spark: SparkSession, d: str):
     return spatial.active(a.cameras(spark, d)).join(covered, "osm_id", "left_anti").select("osm_id")
 
 
-@query("reroute_gate")
+GATE = """asks AS (SELECT user_id AS trip, n, n * 4000 + event_id % 3000 AS time_ms, n * 4000 + event_id % 3000 + event_id * 7919 % 30000 AS answer_ms, event_id % 3 = 0 AS ok FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)),
+    gate(trip, n, time_ms, allowed, sent, answered, ok, failed) AS (SELECT trip, n, time_ms, true, time_ms, answer_ms, ok, 0 FROM asks WHERE n = 1
+    UNION ALL SELECT trip, n, time_ms, go, CASE WHEN go THEN time_ms ELSE sent END, CASE WHEN go THEN answer_ms ELSE answered END, CASE WHEN go THEN new_ok ELSE ok END, CASE WHEN go THEN fails ELSE failed END
+    FROM (SELECT *, answered <= time_ms AND time_ms - sent >= CASE WHEN fails <= 1 THEN 10000 WHEN fails = 2 THEN 20000 WHEN fails = 3 THEN 40000 ELSE 60000 END AS go
+    FROM (SELECT a.trip, a.n, a.time_ms, a.answer_ms, a.ok AS new_ok, g.sent, g.answered, g.ok, g.failed, CASE WHEN g.answered > a.time_ms THEN g.failed WHEN g.ok THEN 0 ELSE g.failed + 1 END AS fails FROM gate g JOIN asks a ON a.trip = g.trip AND a.n = g.n + 1)))"""
+
+
+@query("reroute_gate", "WITH RECURSIVE " + GATE + " SELECT trip, time_ms, allowed FROM gate")
 def reroute_gate(spark: SparkSession, d: str):
-    asks = a.table(spark, d, "events").select((F.col("user_id") % 50).alias("trip"), (F.col("event_id") * 2000).alias("time_ms"), (F.col("event_id") % 3 == 0).alias("ok"))
-    return navigation.reroute_gate(asks)
+    """Asks of every user, some four seconds apart, with answers that come up to half a minute later."""
+    k, n = F.col("event_id"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    asks = a.table(spark, d, "events").select(F.col("user_id").alias("trip"), "event_id", (n * 4000 + k % 3000).cast("long").alias("time_ms"))
+    return navigation.reroute_gate(asks.select("trip", "time_ms", (F.col("time_ms") + k * 7919 % 30000).alias("answer_ms"), (k % 3 == 0).alias("ok")))
+
+
+@query("trip_sessions")
+def trip_sessions(spark: SparkSession, d: str):
+    """The drives along the routes with their requests for new routes, answered after some seconds, up to a minute after the last fix."""
+    fixes = _drives(spark, d).select("trip", "route", "time_ms", F.lit("fix").alias("kind"), "lat", "lon", "accuracy_m", F.expr("CAST(NULL AS BIGINT) AS request"), F.expr("CAST(NULL AS array<struct<lat:double,lon:double>>) AS line"))
+    asked = navigation.session_states(_drives(spark, d), a.vertices(spark, d)).where("state = 'off_route'").groupBy("trip").agg(F.min("time_ms").alias("time_ms"))
+    fails = asked.select("trip", F.expr("CAST(NULL AS BIGINT) AS route"), (F.col("time_ms") + 7000).alias("time_ms"), F.lit("answer").alias("kind"), *(F.lit(None).cast("double").alias(c) for c in ("lat", "lon", "accuracy_m")), F.lit(0).cast("long").alias("request"), F.expr("CAST(NULL AS array<struct<lat:double,lon:double>>) AS line"))
+    out = trips.trip_states(fixes.unionByName(fails), a.vertices(spark, d), 10**9)
+    return out.withColumns({"progress_m": F.round("progress_m", 2), "off_m": F.round("off_m", 2)})
 
 
 # Codecs.

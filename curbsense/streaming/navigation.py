@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbsense.constants import ARRIVE_M, BACK_ON_ROUTE_M, BACKWARD_COST, CAMERA_FAR_M, CAMERA_NEAR_M, EARTH_RADIUS_M, GOOD_FIX_M, GROUP_M, HEADING_FREE_DEG, HEADING_PENALTY_M, LOST_S, METRES_PER_DEGREE, MOVING_MPS, OFF_ROUTE_M, OFF_ROUTE_S, PAUSE_S
+from curbsense.constants import ARRIVE_M, BACK_ON_ROUTE_M, BACKWARD_COST, CAMERA_FAR_M, CAMERA_NEAR_M, EARTH_RADIUS_M, GOOD_FIX_M, GROUP_M, HEADING_FREE_DEG, HEADING_PENALTY_M, LOST_S, METRES_PER_DEGREE, MOVING_MPS, OFF_ROUTE_M, OFF_ROUTE_S, PAUSE_S, REROUTE_MIN_MS, REROUTE_WAITS_MS
 
 STATES = "trip long, time_ms long, state string, progress_m double, off_m double"
 #: Time without fixes after which a trip's state is dropped from a stream.
@@ -261,19 +261,26 @@ def camera_ahead(progress: DataFrame, on_route: DataFrame) -> DataFrame:
     return rows.groupBy("trip", "osm_id", "stage").agg(F.min("time_ms").alias("time_ms"))
 
 
+def reroute_wait(failures: int) -> int:
+    """Milliseconds that must lie between two requests after so many failures in a row."""
+    return REROUTE_WAITS_MS[min(failures, len(REROUTE_WAITS_MS)) - 1] if failures else REROUTE_MIN_MS
+
+
 def reroute_gate(asks: DataFrame) -> DataFrame:
-    """Rows (trip, time_ms, allowed) of asks (trip, time_ms, ok): when a reroute may be sent.
+    """Rows (trip, time_ms, allowed) of asks (trip, time_ms, answer_ms, ok): when a reroute may be sent.
 
-    At least 10 s after the last one sent; after failures 10, 20, 40, then 60 s.
+    One at a time: not before the last one sent is answered. At least 10 s after the last one sent;
+    after failures in a row 10, 20, 40, then 60 s. ok says how a request would be answered.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, sent, failed = [], None, 0
-        for at, ok in pdf.sort_values("time_ms")[["time_ms", "ok"]].itertuples(index=False):
-            wait = 10_000 if failed < 1 else min(60_000, 10_000 * 2 ** (failed - 1))
-            allowed = sent is None or at - sent >= wait
+        rows, sent, failed, pending = [], None, 0, None
+        for at, answered, ok in pdf.sort_values("time_ms")[["time_ms", "answer_ms", "ok"]].itertuples(index=False):
+            if pending and pending[0] <= at:
+                failed, pending = 0 if pending[1] else failed + 1, None
+            allowed = not pending and (sent is None or at - sent >= reroute_wait(failed))
             if allowed:
-                sent, failed = at, 0 if ok else failed + 1
+                sent, pending = at, (answered, ok)
             rows.append((pdf["trip"].iloc[0], at, allowed))
         return pd.DataFrame(rows, columns=["trip", "time_ms", "allowed"])
 
