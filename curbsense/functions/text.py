@@ -93,6 +93,13 @@ def direction_cones(raw: Column) -> Column:
     return F.coalesce(F.aggregate(F.transform(F.split(raw, ";"), cone), empty, add), empty)
 
 
+def format_direction(raw: Column) -> Column:
+    """A direction tag to read: E (90°); lists and ranges keep the tag as well, and what is no direction stays as it is."""
+    cones = direction_cones(raw)
+    labels = F.array_join(F.transform(cones, lambda c: compass_label((F.floor(c["bearing"] + 0.5) % 360).cast("int"))), ", ")
+    return F.when(F.size(cones) == 0, raw).when(F.trim(raw).rlike(r"^\d+$"), labels).otherwise(F.concat(labels, F.lit(" · "), raw))
+
+
 def csv_escape(text: Column) -> Column:
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(text.rlike('[,"\n]'), quoted).otherwise(text)

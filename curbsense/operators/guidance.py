@@ -157,7 +157,7 @@ def plan_headline(outcome: Column, same: Column, fastest_n: Column, avoid_n: Col
 
 # Legs of a guided trip (metres, points between its ends) and the prompts before a maneuver (metres, seconds).
 LEG_M, LEGS, VIAS = 4000.0, 14, 8
-PROMPT_FAR_M, PROMPT_FAR_HIGHWAY_M, PROMPT_NEAR_M, NOW_M, NOW_S, SPEAK_S, LEAST_MPS, POST_M = 804.672, 1609.344, 152.4, (30.0, 250.0), 3.5, 4.0, 5.0, 300.0
+PROMPT_FAR_M, PROMPT_FAR_HIGHWAY_M, PROMPT_NEAR_M, NOW_M, NOW_S, SPEAK_S, LEAST_MPS, POST_M, OPENING_M = 804.672, 1609.344, 152.4, (30.0, 250.0), 3.5, 4.0, 5.0, 300.0, 50.0
 
 
 def plan_legs(path: DataFrame, leg_m: float = LEG_M, most: int = LEGS, vias: int = VIAS) -> DataFrame:
@@ -203,18 +203,26 @@ def accepted_answers(requests: DataFrame, answers: DataFrame, cancels: DataFrame
 def prompts(progress: DataFrame, maneuvers: DataFrame) -> DataFrame:
     """Rows (trip, time_ms, maneuver, stage): what is said to drivers at progress (trip, time_ms, progress_m, speed_mps).
 
-    maneuvers has rows (trip, nth, at_m, kind, highway, post). Before each but a start there are a
+    maneuvers has rows (trip, nth, at_m, kind, highway, post, then). A trip that begins within OPENING_M
+    of its start is told of its first maneuver (opening); where that tells of the next as well (then),
+    this one has only its last prompt. Before each but a start there are a
     far, a near and a last prompt; at most one is given at a time, the latest that is due, and it
     isn't where the next one would cut it short. Behind a maneuver with words for it (post) a long
     stretch is announced. Arrivals have no last prompt.
     """
-    sides = maneuvers.groupBy(F.col("trip").alias("of")).agg(F.sort_array(F.collect_list(F.struct("nth", "at_m", "kind", "highway", "post"))).alias("ms"))
+    sides = maneuvers.groupBy(F.col("trip").alias("of")).agg(F.sort_array(F.collect_list(F.struct("nth", "at_m", "kind", "highway", "post", "then"))).alias("ms"))
     order = ("far", "near", "now")
 
     def run(key, steps: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
         rows, said, before = [], set(), None
         ms = side["ms"].iloc[0] if len(side) else []
+        begun = False
         for at, along, speed in steps.sort_values("time_ms")[["time_ms", "progress_m", "speed_mps"]].itertuples(index=False, name=None):
+            if not begun:
+                begun = True
+                if len(ms) and along < OPENING_M:
+                    rows.append((key[0], at, int(ms[0]["nth"]), "opening"))
+                    said |= {(0, "now")} | ({(1, "far"), (1, "near")} if ms[0]["then"] else set())
             i = next((k for k, m in enumerate(ms) if m["at_m"] > along), None)
             if i is None:
                 continue

@@ -9,7 +9,8 @@ from curbsense.functions import register
 from curbsense.operators import guidance, spatial
 from curbsense.operators.tables import cut
 from curbsense.plans import oracle as o
-from curbsense.plans import travel
+from curbsense.plans import spatial as places
+from curbsense.plans import tables, travel
 from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors
 from curbsense.sources import adapters as a
 from curbsense.streaming import navigation
@@ -101,18 +102,16 @@ def stretch_order(spark: SparkSession, d: str):
     return guidance.stretch_order(travel.camera_stretches(spark, d)).select("route", "stretch", "cameras", "turn")
 
 
-DRIVEN = 700
-
-
-@query("camera_announcements", o.with_(*ON_ROUTE, "ordered AS (SELECT route, list({'m': start_m + hit_m, 'id': osm_id} ORDER BY start_m + hit_m, osm_id) AS cams FROM on_route GROUP BY route)", f"""told(route, k, done, stage, cameras, first_m) AS (SELECT route, -1, CAST([] AS BIGINT[]), NULL::VARCHAR, CAST([] AS BIGINT[]), NULL::DOUBLE FROM ordered UNION ALL
+@query("camera_announcements", o.with_(*ON_ROUTE, "lens AS (SELECT route AS r, CAST(ceil(sum(length_m) / 100) AS BIGINT) AS steps FROM segs GROUP BY route)", "ordered AS (SELECT route, any_value(steps) AS steps, list({'m': start_m + hit_m, 'id': osm_id} ORDER BY start_m + hit_m, osm_id) AS cams FROM on_route JOIN lens ON r = route GROUP BY route)", """told(route, k, done, stage, cameras, first_m) AS (SELECT route, -1, CAST([] AS BIGINT[]), NULL::VARCHAR, CAST([] AS BIGINT[]), NULL::DOUBLE FROM ordered UNION ALL
     SELECT route, k, list_concat(list_concat(done, list_transform(cameras, lambda c: c * 2 + CAST(stage = 'near' AS INTEGER))), CASE WHEN stage = 'near' THEN list_transform(cameras, lambda c: c * 2) ELSE CAST([] AS BIGINT[]) END), stage, cameras, first_m
     FROM (SELECT *, CASE WHEN due IS NULL THEN CAST([] AS BIGINT[]) ELSE list_transform(list_filter(cams, lambda c: c.m >= due.m AND c.m <= due.m + 150 AND NOT list_contains(done, c.id * 2 + CAST(stage = 'near' AS INTEGER))), lambda c: c.id) END AS cameras, due.m - p AS first_m
     FROM (SELECT *, CASE WHEN due IS NULL THEN NULL WHEN due.m - p <= 152.4 THEN 'near' ELSE 'far' END AS stage
-    FROM (SELECT t.route, t.k + 1 AS k, done, cams, (t.k + 1) * CAST(100 AS DOUBLE) AS p, list_filter(cams, lambda c: c.m > (t.k + 1) * 100 AND c.m - (t.k + 1) * 100 <= CAST(402.3 AS DOUBLE) AND NOT list_contains(done, c.id * 2 + CASE WHEN c.m - (t.k + 1) * 100 <= CAST(152.4 AS DOUBLE) THEN 1 ELSE 0 END))[1] AS due FROM told t JOIN ordered o ON o.route = t.route WHERE t.k < {DRIVEN}))))""", select="SELECT route AS trip, CAST(k * 1000 AS BIGINT) AS time_ms, stage, array_to_string(cameras, ',') AS cameras, round(first_m, 2) AS first_m FROM told WHERE stage IS NOT NULL").replace("WITH cameras", "WITH RECURSIVE cameras"))
+    FROM (SELECT t.route, t.k + 1 AS k, done, cams, (t.k + 1) * CAST(100 AS DOUBLE) AS p, list_filter(cams, lambda c: c.m > (t.k + 1) * 100 AND c.m - (t.k + 1) * 100 <= CAST(402.3 AS DOUBLE) AND NOT list_contains(done, c.id * 2 + CASE WHEN c.m - (t.k + 1) * 100 <= CAST(152.4 AS DOUBLE) THEN 1 ELSE 0 END))[1] AS due FROM told t JOIN ordered o ON o.route = t.route WHERE t.k < o.steps))))""", select="SELECT route AS trip, CAST(k * 1000 AS BIGINT) AS time_ms, stage, array_to_string(cameras, ',') AS cameras, round(first_m, 2) AS first_m FROM told WHERE stage IS NOT NULL").replace("WITH cameras", "WITH RECURSIVE cameras"))
 def camera_announcements(spark: SparkSession, d: str):
-    """Camera alerts of a drive along each route, a step every 100 m."""
+    """Camera alerts of a drive along the whole of each route, a step every 100 m."""
     on_route = spatial.route_membership(a.cameras(spark, d), a.vertices(spark, d), corridors(spark, d)).select("route", "osm_id", "along_m")
-    steps = a.routes(spark, d).select(F.col("id").alias("trip"), F.col("id").alias("route"), F.explode(F.sequence(F.lit(0), F.lit(DRIVEN))).alias("k"))
+    lengths = spatial.segments(a.vertices(spark, d)).groupBy("route").agg(F.ceil(F.sum("length_m") / 100).alias("steps"))
+    steps = lengths.select(F.col("route").alias("trip"), "route", F.explode(F.sequence(F.lit(0).cast("long"), "steps")).alias("k"))
     progress = steps.select("trip", "route", (F.col("k") * 1000).cast("long").alias("time_ms"), (F.col("k") * 100.0).alias("progress_m"))
     return navigation.announcements(progress, on_route).withColumns({"cameras": F.array_join("cameras", ","), "first_m": F.round("first_m", 2)})
 
@@ -155,9 +154,21 @@ def _sql_ramp() -> str:
     SELECT i, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b, round(1.05 / (0.2126 * {lin('r')} + 0.7152 * {lin('g')} + 0.0722 * {lin('b')} + 0.05), 4) AS contrast FROM shown"""
 
 
-@query("ramp_lut", _sql_ramp())
-def ramp_lut(spark: SparkSession, d: str):
-    return guidance.ramp_lut(spark).select("i", *(F.round(c, 5).alias(c) for c in "rgb"), F.round("contrast", 4).alias("contrast"))
+def _sql_hex_colours() -> str:
+    """The hexagons of a level with the colours of their densities."""
+    ctes, select = _sql_ramp().removeprefix("WITH RECURSIVE ").rsplit("\n", 1)
+    place = "CASE WHEN max_count <= 1 OR count <= 1 THEN CASE WHEN count >= max_count THEN 1 ELSE 0 END ELSE greatest(0, least(1, ln(count) / ln(max_count))) END"
+    return "WITH RECURSIVE " + ", ".join([o.CAMERAS, o.SUBMISSIONS, tables.POINTS, tables.sql_hex(), ctes, f"lut AS ({select})", "dense AS (SELECT *, max(count) OVER () AS max_count FROM bins WHERE level = 3)"]) + f" SELECT q, d.r AS row, count, l.r, l.g, l.b, l.contrast FROM (SELECT *, CAST(floor({place} * 255 + 0.5) AS INTEGER) AS i FROM dense) d JOIN lut l ON l.i = d.i"
+
+
+@query("hex_colours", _sql_hex_colours())
+def hex_colours(spark: SparkSession, d: str):
+    """The hexagons of a level with the ramp's colours for their densities."""
+    from curbsense.operators import mapagg
+
+    lut = guidance.ramp_lut(spark).select("i", *(F.round(c, 5).alias(c) for c in "rgb"), F.round("contrast", 4).alias("contrast"))
+    bins = mapagg.hex_density(tables._points(spark, d).where("NOT stale")).where("level = 3").withColumn("i", F.floor(mapagg.density(F.col("count"), F.col("max_count")) * 255 + 0.5).cast("int"))
+    return bins.withColumnRenamed("r", "row").join(F.broadcast(lut), "i").select("q", "row", "count", "r", "g", "b", "contrast")
 
 
 @query("public_functions", o.with_(o.CAMERAS, select=f"SELECT osm_id, round({o.hav('lat', 'lon', 'CAST(41.25 AS DOUBLE)', 'CAST(-96.02 AS DOUBLE)')}, 3) AS metres, CAST(greatest(-1800, least(1799, floor(lat / CAST(0.05 AS DOUBLE) + CAST(1e-9 AS DOUBLE)))) AS INTEGER) AS cell_row, CASE WHEN osm_id % 2 = 0 THEN 'flock' ELSE 'unknown' END AS category FROM cameras WHERE stale_since IS NULL"))
@@ -168,11 +179,29 @@ def public_functions(spark: SparkSession, d: str):
     return spark.sql("SELECT osm_id, round(haversine_m(lat, lon, 41.25D, -96.02D), 3) AS metres, grid_cell(lat, lon).row AS cell_row, classify(map('brand', IF(osm_id % 2 = 0, 'Flock Safety', 'other'))) AS category FROM public_cameras WHERE stale_since IS NULL")
 
 
-@query("circle_cells_sql", "SELECT CAST(r AS INTEGER) AS cell_row, CAST(c AS INTEGER) AS cell_col FROM range(909, 911) x(r), range(-2454, -2451) y(c)")
+@query("circle_cells_sql", places.ORACLE_SQL["circle_cells"])
 def circle_cells_sql(spark: SparkSession, d: str):
-    """The function for a circle's cells, about a point on a line of the grid."""
+    """The function for a circle's cells, called for every area."""
     register.register(spark)
-    return spark.sql("SELECT inline(cells) AS (cell_row, cell_col) FROM (SELECT cells_for_circle(lat, lon, radius) AS cells FROM VALUES (45.5D, -122.625D, 4000D) AS p(lat, lon, radius))")
+    a.areas(spark, d).createOrReplaceTempView("circle_areas")
+    return spark.sql("SELECT id, inline(cells) AS (cell_row, cell_col) FROM (SELECT id, cells_for_circle(lat, lon, CAST(radius_m AS DOUBLE)) AS cells FROM circle_areas)")
+
+
+@query("polyline_cells_sql", places.ORACLE_SQL["polyline_cells"])
+def polyline_cells_sql(spark: SparkSession, d: str):
+    """The table function for a line's cells, joined to every route."""
+    register.register(spark)
+    lines = a.vertices(spark, d).groupBy("route").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))), lambda v: F.struct(v["lat"].alias("lat"), v["lon"].alias("lon"))).alias("points"))
+    lines.join(corridors(spark, d), "route").createOrReplaceTempView("corridor_lines")
+    return spark.sql("SELECT route, c.* FROM corridor_lines, LATERAL cells_for_polyline(points, CAST(corridor_m AS DOUBLE)) c")
+
+
+@query("hex_cell_sql", tables.ORACLE_SQL["hex_cell"])
+def hex_cell_sql(spark: SparkSession, d: str):
+    """The table function for a place's hexagon, joined to every point of the map."""
+    register.register(spark)
+    tables._points(spark, d).where("NOT stale").createOrReplaceTempView("hex_points")
+    return spark.sql("SELECT h.q, h.r, count(*) AS n FROM hex_points, LATERAL hex_cell(3, lat, lon) h GROUP BY h.q, h.r")
 
 
 DENSE = """path AS (SELECT route AS trip, segment * 10 + j AS pos, lat1 + (lat2 - lat1) * j * j / 100 AS lat, lon1 + (lon2 - lon1) * j * j / 100 AS lon FROM segs, range(0, 10) t(j)),
@@ -214,9 +243,9 @@ def nav_prompts(spark: SparkSession, d: str):
     """What is said on drives along the routes, with a turn at each vertex."""
     s = spatial.segments(a.vertices(spark, d))
     kind = F.when(F.col("segment") == 0, 1).otherwise(10)
-    turns = s.select(F.col("route").alias("trip"), F.col("segment").cast("long").alias("nth"), F.col("start_m").alias("at_m"), kind.alias("kind"), (F.col("segment") % 2 == 0).alias("highway"), (F.col("segment") % 3 > 0).alias("post"))
-    end = s.groupBy(F.col("route").alias("trip")).agg((F.max("segment") + 1).cast("long").alias("nth"), F.max(F.col("start_m") + F.col("length_m")).alias("at_m")).selectExpr("trip", "nth", "at_m", "4 AS kind", "false AS highway", "false AS post")
-    steps = a.routes(spark, d).select(F.col("id").alias("trip"), F.explode(F.sequence(F.lit(0), F.lit(3500))).alias("k"))
+    turns = s.select(F.col("route").alias("trip"), F.col("segment").cast("long").alias("nth"), F.col("start_m").alias("at_m"), kind.alias("kind"), (F.col("segment") % 2 == 0).alias("highway"), (F.col("segment") % 3 > 0).alias("post"), (F.col("route") % 2 == 0).alias("then"))
+    end = s.groupBy(F.col("route").alias("trip")).agg((F.max("segment") + 1).cast("long").alias("nth"), F.max(F.col("start_m") + F.col("length_m")).alias("at_m")).selectExpr("trip", "nth", "at_m", "4 AS kind", "false AS highway", "false AS post", "false AS then")
+    steps = end.select("trip", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("at_m") / 20))).alias("k"))
     progress = steps.select("trip", (F.col("k") * 1000).cast("long").alias("time_ms"), (F.col("k") * 20.0).alias("progress_m"), F.lit(20.0).alias("speed_mps"))
     return guidance.prompts(progress, turns.unionByName(end))
 
@@ -231,8 +260,6 @@ def label_placement(spark: SparkSession, d: str):
 
 def _bins(spark, d):
     from curbsense.operators import mapagg
-    from curbsense.plans import tables
-
     return mapagg.hex_density(tables._points(spark, d)).where("level = 3")
 
 

@@ -44,11 +44,12 @@ def camera_source_filter(spark: SparkSession, d: str):
     return raw.where((t("man_made") == "surveillance") & (marked | maker)).select("k")
 
 
-@query("oui_dim", "SELECT 31 AS prefixes, 31 AS different")
+@query("oui_dim", o.with_(o.SIGHTINGS, f"seen AS (SELECT substr({MAC}, 1, 8) AS oui FROM sightings)", "makers AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in OUIS) + "]) AS oui)", select="SELECT upper(m.oui) AS oui, count(s.oui) AS sightings FROM makers m LEFT JOIN seen s ON s.oui = upper(m.oui) GROUP BY 1"))
 def oui_dim(spark: SparkSession, d: str):
-    """The bundled maker prefixes."""
-    dim = spark.range(1).select(F.explode(F.array(*map(F.lit, OUIS))).alias("oui"))
-    return dim.agg(F.count(F.lit(1)).alias("prefixes"), F.countDistinct(F.upper("oui")).alias("different"))
+    """Each bundled maker prefix with the number of sightings that have it."""
+    dim = spark.range(1).select(F.explode(F.array(*map(F.lit, OUIS))).alias("oui")).select(F.upper("oui").alias("oui"))
+    seen = a.sightings(spark, d).groupBy(F.substring(text.mac_normalize(F.col("netid")), 1, 8).alias("oui")).agg(F.count(F.lit(1)).alias("n"))
+    return dim.join(seen, "oui", "left").select("oui", F.coalesce("n", F.lit(0)).alias("sightings"))
 
 
 @query("wifi_upstream_ingest", o.with_(o.SIGHTINGS, PARSED, BEST, select="SELECT mac AS netid, substr(mac, 1, 8) AS oui, round(lat, 6) AS lat, round(lon, 6) AS lon, trim(ssid) || ', quoted' AS ssid, lasttime AS last_seen FROM best"))

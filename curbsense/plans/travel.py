@@ -426,11 +426,24 @@ def format_duration(spark: SparkSession, d: str):
 @query("direction_cones", "SELECT k, CAST(1 AS BIGINT) AS cones, CAST(k % 360 AS DOUBLE) AS bearing, CAST(45 AS DOUBLE) AS width FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 0 UNION ALL SELECT k, 2, (k % 16) * 22.5, 45 FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 1 UNION ALL SELECT k, 1, (k % 360 + 15) % 360, 30 FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 2 UNION ALL SELECT k, 0, NULL, NULL FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 4 = 3")
 def direction_cones(spark: SparkSession, d: str):
     """Degrees, lists with cardinal letters, clockwise ranges, and texts that are none of them."""
+    cones = _directions(spark, d).select("k", text.direction_cones(F.col("raw")).alias("c"))
+    return cones.select("k", F.size("c").cast("long").alias("cones"), F.get("c", F.lit(0))["bearing"].alias("bearing"), F.get("c", F.lit(0))["width"].alias("width"))
+
+
+def _directions(spark, d):
     k = F.col("o_orderkey")
     names = F.array(*map(F.lit, ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "nnw")))
     raw = F.when(k % 4 == 0, (k % 360).cast("string")).when(k % 4 == 1, F.concat(F.get(names, (k % 16).cast("int")), F.lit("; "), F.get(names, (k % 16).cast("int")), F.lit(";90;x"))).when(k % 4 == 2, F.concat_ws("-", k % 360, (k + 30) % 360)).otherwise("sideways")
-    cones = a.table(spark, d, "orders").select(k.alias("k"), text.direction_cones(raw).alias("c"))
-    return cones.select("k", F.size("c").cast("long").alias("cones"), F.get("c", F.lit(0))["bearing"].alias("bearing"), F.get("c", F.lit(0))["width"].alias("width"))
+    return a.table(spark, d, "orders").select(k.alias("k"), raw.alias("raw"))
+
+
+NAMES_SQL = "['N', 'NNE', 'NE', 'ENE', 'E', 'ESE', 'SE', 'SSE', 'S', 'SSW', 'SW', 'WSW', 'W', 'WNW', 'NW', 'nnw'][k % 16 + 1]"
+POINT_SQL = "(CASE CAST(floor({0} / CAST(45 AS DOUBLE) + 0.5) AS BIGINT) % 8 WHEN 0 THEN 'N' WHEN 1 THEN 'NE' WHEN 2 THEN 'E' WHEN 3 THEN 'SE' WHEN 4 THEN 'S' WHEN 5 THEN 'SW' WHEN 6 THEN 'W' ELSE 'NW' END || ' (' || {0} || '°)')".format
+
+
+@query("direction_labels", f"SELECT k, CASE k % 4 WHEN 0 THEN {POINT_SQL('k % 360')} WHEN 1 THEN {POINT_SQL('CAST(floor(k % 16 * 22.5 + 0.5) AS BIGINT) % 360')} || ', E (90°) · ' || {NAMES_SQL} || '; ' || {NAMES_SQL} || ';90;x' WHEN 2 THEN {POINT_SQL('(k % 360 + 15) % 360')} || ' · ' || k % 360 || '-' || (k + 30) % 360 ELSE 'sideways' END AS label FROM (SELECT o_orderkey AS k FROM orders)")
+def direction_labels(spark: SparkSession, d: str):
+    return _directions(spark, d).select("k", text.format_direction(F.col("raw")).alias("label"))
 
 
 # Positions.
@@ -493,12 +506,11 @@ def sync_next_due(spark: SparkSession, d: str):
 
 
 def _targets(spark, d):
-    """Cameras of the places that devices walk about."""
-    return spatial.active(a.cameras(spark, d)).where("osm_id % 5 <> 0")
+    return spatial.active(a.cameras(spark, d))
 
 
 NEAR_FIXES = f"""good AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY time_ms, lat, lon) AS nth FROM fixes WHERE accuracy_m <= 500),
-    near AS (SELECT * FROM (SELECT device, nth, time_ms, osm_id, {o.hav('f.lat', 'f.lon', 'c.lat', 'c.lon')} AS distance_m FROM good f JOIN cameras c ON stale_since IS NULL AND osm_id % 5 <> 0 AND c.lat BETWEEN f.lat - 0.01 AND f.lat + 0.01 AND c.lon BETWEEN f.lon - 0.02 AND f.lon + 0.02) WHERE distance_m <= 300),
+    near AS (SELECT * FROM (SELECT device, nth, time_ms, osm_id, {o.hav('f.lat', 'f.lon', 'c.lat', 'c.lon')} AS distance_m FROM good f JOIN cameras c ON stale_since IS NULL AND c.lat BETWEEN f.lat - 0.01 AND f.lat + 0.01 AND c.lon BETWEEN f.lon - 0.02 AND f.lon + 0.02) WHERE distance_m <= 300),
     stays AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY device, osm_id ORDER BY nth) AS stay FROM (SELECT *, nth - lag(nth) OVER (PARTITION BY device, osm_id ORDER BY nth) AS gap FROM near)),
     entered AS (SELECT device, osm_id, min(time_ms) AS time_ms, arg_min(distance_m, nth) AS distance_m FROM stays WHERE distance_m <= 200 GROUP BY device, osm_id, stay),
     linked AS (SELECT a.device, a.osm_id, a.time_ms, min(b.time_ms) AS following FROM entered a LEFT JOIN entered b ON a.device = b.device AND a.osm_id = b.osm_id AND b.time_ms >= a.time_ms + 900000 GROUP BY ALL),
@@ -510,7 +522,7 @@ def proximity_alerts(spark: SparkSession, d: str):
     return proximity.proximity_alerts(a.fixes(spark, d), _targets(spark, d)).withColumn("distance_m", F.round("distance_m", 3))
 
 
-@query("proximity_first", o.with_(o.CAMERAS, o.FIXES, select=f"SELECT device, osm_id, min(time_ms) AS first_ms FROM fixes f JOIN cameras c ON accuracy_m <= 500 AND stale_since IS NULL AND osm_id % 5 <> 0 AND c.lat BETWEEN f.lat - 0.01 AND f.lat + 0.01 AND {o.hav('f.lat', 'f.lon', 'c.lat', 'c.lon')} <= 200 GROUP BY ALL"))
+@query("proximity_first", o.with_(o.CAMERAS, o.FIXES, select=f"SELECT device, osm_id, min(time_ms) AS first_ms FROM fixes f JOIN cameras c ON accuracy_m <= 500 AND stale_since IS NULL AND c.lat BETWEEN f.lat - 0.01 AND f.lat + 0.01 AND {o.hav('f.lat', 'f.lon', 'c.lat', 'c.lon')} <= 200 GROUP BY ALL"))
 def proximity_first(spark: SparkSession, d: str):
     """The first alert of each device and camera is the first good fix within the radius."""
     return proximity_alerts(spark, d).groupBy("device", "osm_id").agg(F.min("time_ms").alias("first_ms"))
