@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import TILE_SIZE
+from curbsense.constants import LEAST_COS, METRES_PER_DEGREE, ROAD_AREA_LEAST_M, ROAD_AREA_SHARE, TILE_SIZE
+from curbsense.functions import geo
 from curbsense.operators.tables import cut, drop_tables
 
+DEGREES = 1e7
 #: Side of a tile in 1e-7 degrees, trips asked of one copy of a tile, and rounds after which what is known is written as one table.
 TILE_E7, ASKS, ROUNDS = int(TILE_SIZE * 1e7), 2000, 8
 LINK = "of string, kind int, u string, v string, cost double, blocked long, hops long"
@@ -44,6 +46,35 @@ def _none(*names: str) -> list[Column]:
     return [F.lit(None).cast("string").alias(n) for n in names]
 
 
+def node_lat(node: str) -> Column:
+    return F.split(node, ":")[0].cast("long") / DEGREES
+
+
+def node_lon(node: str) -> Column:
+    return F.split(node, ":")[1].cast("long") / DEGREES
+
+
+def trip_tiles(trips: DataFrame, margin_m: float = ROAD_AREA_LEAST_M, tile_e7: int = TILE_E7) -> DataFrame:
+    """trips (trip, start, goal) with trip_m, and the rows r0 to r1 and columns c0 to c1 of the tiles of their area.
+
+    A trip's area is the box of its ends, grown by margin_m or a share of their distance.
+    """
+    ends = trips.withColumns({"la1": node_lat("start"), "lo1": node_lon("start"), "la2": node_lat("goal"), "lo2": node_lon("goal")})
+    ends = ends.withColumn("trip_m", geo.haversine_m("la1", "lo1", "la2", "lo2"))
+    ends = ends.withColumn("pad", F.greatest(F.lit(margin_m), F.col("trip_m") * ROAD_AREA_SHARE) / METRES_PER_DEGREE)
+    ends = ends.withColumn("wide", F.col("pad") / F.greatest(F.lit(LEAST_COS), F.cos(F.radians((F.col("la1") + F.col("la2")) / 2))))
+    tile = lambda x: F.floor(x * DEGREES / tile_e7)
+    ends = ends.withColumns({"r0": tile(F.least("la1", "la2") - F.col("pad")), "r1": tile(F.greatest("la1", "la2") + F.col("pad"))})
+    ends = ends.withColumns({"c0": tile(F.least("lo1", "lo2") - F.col("wide") + 180), "c1": tile(F.greatest("lo1", "lo2") + F.col("wide") + 180)})
+    return ends.drop("la1", "lo1", "la2", "lo2", "pad", "wide")
+
+
+def tiles_between(boxes: DataFrame, tile_e7: int) -> DataFrame:
+    """boxes with one row for each tile (tile) from r0, c0 to r1, c1."""
+    rows = boxes.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
+    return rows.withColumn("tile", F.col("r") * (3_600_000_000 // tile_e7 + 1) + F.col("c")).drop("r", "c")
+
+
 class _Tile:
     """A tile's graph: edges that begin in it, and the entries, where edges of other tiles end."""
 
@@ -149,11 +180,12 @@ class Overlay:
         edges = edges.select(F.col("tile").alias("of_tile"), "of_copy", "u", "v", "secs", "blocked", "own", "leaves")
         return asks.groupBy("tile", "copy").cogroup(edges.groupBy("of_tile", "of_copy")).applyInPandas(answer, schema)
 
-    def solve(self, trips: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    def solve(self, trips: DataFrame, closed: DataFrame | None = None, area_m: float | None = None) -> DataFrame:
         """Rows (trip, cost, blocked, hops, via, closed) of the quickest ways of trips (trip, start, goal); via are the nodes that tiles are entered at.
 
         closed (trip, u, v) are edges that a trip doesn't use. Without it, trips from one start share a
-        search. Of equally quick ways the one of fewer blocked edges, then of fewer edges, counts. Trips
+        search. With area_m, ways don't leave the tiles between trip_tiles() of the search's trips, so one
+        that has no way ends soon; without it, it ends when all that can be reached is known. Of equally quick ways the one of fewer blocked edges, then of fewer edges, counts. Trips
         without a way have no row.
         """
         made: list[str] = []
@@ -174,6 +206,10 @@ class Overlay:
             ways = front.join(links, on)
             return ways.select("of", F.col("to").alias("node"), *((F.col(c) + F.col(f"more_{c}")).alias(c) for c in SUMS), F.concat("via", F.array("to")).alias("via"))
 
+        boxes = None
+        if area_m is not None:
+            corners = [F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.min("c0").alias("c0"), F.max("c1").alias("c1")]
+            boxes = cut(trip_tiles(trips, area_m, self.tile_e7).groupBy("of").agg(*corners), made)
         start = trips.select("of", F.col("start").alias("node"), F.lit(0.0).alias("cost"), *(F.lit(0).cast("long").alias(c) for c in SUMS[1:]), F.array("start").alias("via")).distinct()
         known, front, rounds = [start], start, 0
         while True:
@@ -185,6 +221,11 @@ class Overlay:
                 ways = step(there, links, there["node"] == links["u"]).unionByName(self._own_step(front, mine, ACROSS, step))
             if not rounds:
                 ways = ways.unionByName(self._own_step(front, mine, AWAY, step))
+            if boxes is not None:
+                columns = 3_600_000_000 // self.tile_e7 + 1
+                tile = tile_of(F.col("node"), self.tile_e7)
+                inside = F.floor(tile / columns).between(F.col("r0"), F.col("r1")) & F.pmod(tile, F.lit(columns)).between(F.col("c0"), F.col("c1"))
+                ways = ways.join(boxes, "of").where(inside).drop("r0", "r1", "c0", "c1")
             best = ways.groupBy("of", "node").agg(F.min(F.struct(*SUMS, "via")).alias("best")).select("of", "node", "best.*")
             before = reduce(DataFrame.unionByName, known).select("of", "node", "cost")
             least = before.groupBy("of", "node").agg(F.min("cost").alias("least"))
@@ -241,11 +282,11 @@ class Overlay:
         self.made.clear()
 
 
-def shortest_paths(trips: DataFrame, edges: DataFrame, penalty_s: float | None, tile_e7: int = TILE_E7) -> DataFrame:
-    """Rows (trip, secs, blocked, hops): quickest paths of trips (trip, start, goal) on the whole map.
+def shortest_paths(trips: DataFrame, edges: DataFrame, penalty_s: float | None, tile_e7: int = TILE_E7, area_m: float | None = None) -> DataFrame:
+    """Rows (trip, secs, blocked, hops): quickest paths of trips (trip, start, goal) on the whole map, or in the areas of Overlay.solve().
 
     A blocked edge costs penalty_s more, or isn't used where that is None. Trips without a path have
     no row; one that ends where it starts has a path of no edges.
     """
-    solved = Overlay(edges, penalty_s, tile_e7).solve(trips)
+    solved = Overlay(edges, penalty_s, tile_e7).solve(trips, area_m=area_m)
     return solved.select("trip", (F.col("cost") - F.col("blocked") * (penalty_s or 0.0)).alias("secs"), "blocked", "hops")

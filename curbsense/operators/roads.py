@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import AVOID_M, BLOCKED_PENALTY_S, CORRIDOR_LEAST_M, CORRIDOR_SHARE, LEAST_COS, LOCAL_REQUESTS, METRES_PER_DEGREE, REPAIR_REQUESTS, ROAD_AREA_LEAST_M, ROAD_AREA_SHARE, ROAD_TRIP_MOST_M
+from curbsense.constants import AVOID_M, BLOCKED_PENALTY_S, CORRIDOR_LEAST_M, CORRIDOR_SHARE, LOCAL_REQUESTS, METRES_PER_DEGREE, REPAIR_REQUESTS, ROAD_AREA_LEAST_M, ROAD_TRIP_MOST_M
 from curbsense.functions import geo
-from curbsense.operators.overlay import TILE_E7, Overlay, tile_of
+from curbsense.operators.overlay import DEGREES, TILE_E7, Overlay, node_lat, node_lon, tile_of, tiles_between, trip_tiles
 from curbsense.operators.tables import cut
 
-DEGREES = 1e7
-
 
 def road_segments(ways: DataFrame) -> DataFrame:
     """Rows (seg, way, direction, u, v, lat1, lon1, lat2, lon2, secs) of ways' points (way, pos, lat_e7, lon_e7, direction, kmh).
@@ -51,35 +49,6 @@ def nearest_node(places: DataFrame, edges: DataFrame, leaving: bool, reach: int
     return best.select("id", "best.node", "best.metres")
 
 
-def _node_lat(node: str) -> Column:
-    return F.split(node, ":")[0].cast("long") / DEGREES
-
-
-def _node_lon(node: str) -> Column:
-    return F.split(node, ":")[1].cast("long") / DEGREES
-
-
-def trip_tiles(trips: DataFrame, margin_m: float = ROAD_AREA_LEAST_M, tile_e7: int = TILE_E7) -> DataFrame:
-    """trips (trip, start, goal) with trip_m, and the rows r0 to r1 and columns c0 to c1 of the tiles of their area.
-
-    A trip's area is the box of its ends, grown by margin_m or a share of their distance.
-    """
-    ends = trips.withColumns({"la1": _node_lat("start"), "lo1": _node_lon("start"), "la2": _node_lat("goal"), "lo2": _node_lon("goal")})
-    ends = ends.withColumn("trip_m", geo.haversine_m("la1", "lo1", "la2", "lo2"))
-    ends = ends.withColumn("pad", F.greatest(F.lit(margin_m), F.col("trip_m") * ROAD_AREA_SHARE) / METRES_PER_DEGREE)
-    ends = ends.withColumn("wide", F.col("pad") / F.greatest(F.lit(LEAST_COS), F.cos(F.radians((F.col("la1") + F.col("la2")) / 2))))
-    tile = lambda x: F.floor(x * DEGREES / tile_e7)
-    ends = ends.withColumns({"r0": tile(F.least("la1", "la2") - F.col("pad")), "r1": tile(F.greatest("la1", "la2") + F.col("pad"))})
-    ends = ends.withColumns({"c0": tile(F.least("lo1", "lo2") - F.col("wide") + 180), "c1": tile(F.greatest("lo1", "lo2") + F.col("wide") + 180)})
-    return ends.drop("la1", "lo1", "la2", "lo2", "pad", "wide")
-
-
-def _tiles(boxes: DataFrame, tile_e7: int) -> DataFrame:
-    """boxes with one row for each tile (tile) from r0, c0 to r1, c1."""
-    rows = boxes.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1")))
-    return rows.withColumn("tile", F.col("r") * (3_600_000_000 // tile_e7 + 1) + F.col("c")).drop("r", "c")
-
-
 def trip_areas(trips: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """trips with region, the name of their area's tiles, and the edges of each such area (area, u, v, secs, blocked).
 
@@ -88,7 +57,7 @@ def trip_areas(trips: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     """
     placed = trip_tiles(trips.select("trip", "start", "goal")).where(F.col("trip_m") <= ROAD_TRIP_MOST_M)
     placed = placed.withColumn("region", F.concat_ws(":", "r0", "r1", "c0", "c1"))
-    areas = _tiles(placed.select("region", "r0", "r1", "c0", "c1").distinct(), TILE_E7).select("region", "tile")
+    areas = tiles_between(placed.select("region", "r0", "r1", "c0", "c1").distinct(), TILE_E7).select("region", "tile")
     held = edges.select("u", "v", "secs", "blocked").withColumn("tile", tile_of(F.col("u"))).join(areas, "tile").withColumn("area", F.concat("region", F.lit(""))).drop("tile", "region")
     return placed.select("trip", "start", "goal", "region"), held
 
@@ -233,11 +202,11 @@ def road_check(trips: DataFrame, edges: DataFrame, missing: DataFrame, margin_m:
     """
     placed = cut(trip_tiles(trips.select("trip", "start", "goal"), margin_m, tile_e7))
     asked = placed.where(F.col("trip_m") <= ROAD_TRIP_MOST_M)
-    partial = _tiles(asked, tile_e7).join(missing.select("tile").distinct(), "tile", "left_semi").select("trip").distinct().withColumn("partial", F.lit(True))
-    free = Overlay(edges, None, tile_e7).solve(asked).select("trip", F.col("cost").alias("free_s"))
+    partial = tiles_between(asked, tile_e7).join(missing.select("tile").distinct(), "tile", "left_semi").select("trip").distinct().withColumn("partial", F.lit(True))
+    free = Overlay(edges, None, tile_e7).solve(asked, area_m=margin_m).select("trip", F.col("cost").alias("free_s"))
     state = cut(placed.join(free, "trip", "left").join(partial, "trip", "left"))
     rest = state.where((F.col("trip_m") <= ROAD_TRIP_MOST_M) & F.col("free_s").isNull() & F.col("partial").isNull())
-    fewest = Overlay(edges, BLOCKED_PENALTY_S, tile_e7).solve(rest).select("trip", "cost", F.col("blocked").alias("hit"))
+    fewest = Overlay(edges, BLOCKED_PENALTY_S, tile_e7).solve(rest, area_m=margin_m).select("trip", "cost", F.col("blocked").alias("hit"))
     both = state.join(fewest, "trip", "left")
     status = F.when(F.col("trip_m") > ROAD_TRIP_MOST_M, "too_long").when(F.col("free_s").isNotNull(), "free").when(F.col("partial"), "partial").when(F.col("hit").isNotNull(), "fewest").otherwise("unconnected")
     blocked = F.when(F.col("free_s").isNotNull(), F.lit(0).cast("long")).otherwise(F.col("hit"))
@@ -251,7 +220,7 @@ def blocked_stretches(paths: DataFrame, gap_m: float, margin_m: float) -> DataFr
     but no edge of the stretch before; start and goal are their ends, secs the time that they take now.
     """
     w = W.partitionBy("trip").orderBy("nth")
-    length = geo.haversine_m(_node_lat("u"), _node_lon("u"), _node_lat("v"), _node_lon("v"))
+    length = geo.haversine_m(node_lat("u"), node_lon("u"), node_lat("v"), node_lon("v"))
     placed = paths.withColumn("length_m", length).withColumn("end_m", F.sum("length_m").over(w)).withColumn("start_m", F.col("end_m") - F.col("length_m"))
     hits = placed.where("blocked").withColumn("new", F.coalesce(F.col("start_m") - F.lag("end_m").over(w), F.lit(float("inf"))) > gap_m)
     hits = hits.withColumn("stretch", F.sum(F.col("new").cast("int")).over(w))
@@ -300,7 +269,7 @@ def stretch_repair(paths: DataFrame, edges: DataFrame, gap_m: float, margin_m: f
 
     both = cut(both.withColumn("done", worth(F.col("b1"), F.col("s1")) & (F.col("b1") == 0)))
     road = Overlay(edges, BLOCKED_PENALTY_S)
-    solved = road.solve(both.where("served AND NOT done").select(F.col("id").alias("trip"), "start", "goal"))
+    solved = road.solve(both.where("served AND NOT done").select(F.col("id").alias("trip"), "start", "goal"), area_m=ROAD_AREA_LEAST_M)
     steps = road.paths(solved).groupBy("trip").agg(F.sort_array(F.collect_list(F.struct("nth", F.struct("u", "v", "secs", "blocked").alias("e")))).alias("es"))
     ways = solved.join(steps, "trip").select(F.col("trip").alias("id"), (F.col("cost") - F.col("blocked") * BLOCKED_PENALTY_S).alias("s2"), F.col("blocked").alias("b2"), F.transform("es", lambda x: x["e"]).cast(PATH).alias("p2"))
     both = both.join(ways, "id", "left")

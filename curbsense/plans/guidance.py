@@ -273,7 +273,7 @@ def _repaired(spark, d):
     edges = cut(roads.road_edges(segs, spatial.blocked_segments(segs, spots)))
     whole = overlay.Overlay(edges, 0.0, travel.LATTICE_TILE)
     trips = travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way")))
-    paths = cut(whole.paths(whole.solve(trips)))
+    paths = cut(whole.paths(whole.solve(trips, area_m=travel.LATTICE_AREA_M)))
     return paths, roads.stretch_repair(paths, edges, 300.0, 400.0, 300.0)
 
 

@@ -182,11 +182,11 @@ def trip_parse(spark: SparkSession, d: str):
 
 
 #: Tiles of the lattice that haven't arrived, for road_check.
-MISSING_SQL = "(((CAST(split_part({0}, ':', 1) AS BIGINT) // 200000) * 18001 + (CAST(split_part({0}, ':', 2) AS BIGINT) + 1800000000) // 200000) % 11 = 0)"
+MISSING_SQL = "(((CAST(split_part({0}, ':', 1) AS BIGINT) // 400000) * 9001 + (CAST(split_part({0}, ':', 2) AS BIGINT) + 1800000000) // 400000) % 11 = 0)"
 CHECKED = f"""there AS (SELECT * FROM graph WHERE NOT {MISSING_SQL.format('u')}),
     ends AS (SELECT *, CAST(split_part(start, ':', 1) AS BIGINT) / 1e7 AS la1, CAST(split_part(start, ':', 2) AS BIGINT) / 1e7 AS lo1, CAST(split_part(goal, ':', 1) AS BIGINT) / 1e7 AS la2, CAST(split_part(goal, ':', 2) AS BIGINT) / 1e7 AS lo2 FROM trips),
     grown AS (SELECT *, greatest(CAST(1500 AS DOUBLE), 0.25 * {o.hav('la1', 'lo1', 'la2', 'lo2')}) / 111320 AS pad, cos(radians((la1 + la2) / 2)) AS c FROM ends),
-    part_map AS (SELECT DISTINCT trip FROM (SELECT trip, r, unnest(range(CAST(floor((least(lo1, lo2) - pad / c + 180) * 50) AS BIGINT), CAST(floor((greatest(lo1, lo2) + pad / c + 180) * 50) AS BIGINT) + 1)) AS col FROM (SELECT *, unnest(range(CAST(floor((least(la1, la2) - pad) * 50) AS BIGINT), CAST(floor((greatest(la1, la2) + pad) * 50) AS BIGINT) + 1)) AS r FROM grown)) WHERE (r * 18001 + col) % 11 = 0)"""
+    part_map AS (SELECT DISTINCT trip FROM (SELECT trip, r, unnest(range(CAST(floor((least(lo1, lo2) - pad / c + 180) * 25) AS BIGINT), CAST(floor((greatest(lo1, lo2) + pad / c + 180) * 25) AS BIGINT) + 1)) AS col FROM (SELECT *, unnest(range(CAST(floor((least(la1, la2) - pad) * 25) AS BIGINT), CAST(floor((greatest(la1, la2) + pad) * 25) AS BIGINT) + 1)) AS r FROM grown)) WHERE (r * 9001 + col) % 11 = 0)"""
 FREE_THERE, FEWEST_THERE = (travel.LEAST_COST.format(name=n, graph="there", where=w) for n, w in (("free_cost", " AND e.cost < 3600"), ("least_cost", "")))
 
 
@@ -196,8 +196,8 @@ def road_check(spark: SparkSession, d: str):
     edges = travel._edges(spark, d).withColumn("tile", overlay.tile_of(F.col("u"), travel.LATTICE_TILE))
     missing = edges.where("tile % 11 = 0").select("tile").distinct()
     # Tiles without a road are missing as well: any number in the lattice's reach.
-    span = spark.range(412000000 // 200000 - 50, 412000000 // 200000 + 2000).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(4150), F.lit(4280))))
-    missing = span.select((F.col("r") * 18001 + F.col("c")).alias("tile")).where("tile % 11 = 0").unionByName(missing).distinct()
+    span = spark.range(412000000 // 400000 - 50, 412000000 // 400000 + 2000).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(2060), F.lit(2140))))
+    missing = span.select((F.col("r") * 9001 + F.col("c")).alias("tile")).where("tile % 11 = 0").unionByName(missing).distinct()
     out = roads.road_check(travel._trips(spark, d), edges.where("tile % 11 <> 0").drop("tile"), missing, 1500.0, travel.LATTICE_TILE)
     return out.withColumn("secs", F.round("secs", 3))
 

@@ -282,7 +282,9 @@ def nearest_node(spark: SparkSession, d: str):
 
 
 #: Side of the queries' road tiles: a trip over the lattice crosses several.
-LATTICE_TILE = 200_000
+LATTICE_TILE = 400_000
+#: Least margin about the trips' ends in which ways are looked for.
+LATTICE_AREA_M = 1500.0
 
 
 def _trips(spark, d, keys=None):
@@ -294,11 +296,13 @@ def _trips(spark, d, keys=None):
     return rows.select(k.alias("trip"), node(F.greatest(F.floor(row / 25) - 1, F.lit(0)) * 25 + 1, F.lit(2)).alias("start"), node(row, k % 40).alias("goal"))
 
 
-GRAPH = """graph AS (SELECT u, v, secs + CASE WHEN blocked THEN 3600 ELSE 0 END AS cost FROM (SELECT u, v, secs, seg IN (SELECT seg FROM blocked) AS blocked FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs, seg IN (SELECT seg FROM blocked) FROM road_segs WHERE direction <= 0)),
-    trips AS (SELECT p_partkey AS trip, (412000000 + (greatest(p_partkey // 40 // 25 - 1, 0) * 25 + 1) * 20000) || ':-959960000' AS start, (412000000 + p_partkey // 40 * 20000) || ':' || (-960000000 + p_partkey % 40 * 20000) AS goal FROM part)"""
-#: Least costs from each start over the whole graph, relaxed until none falls: the key's row is replaced by a better one.
+GRAPH = f"""graph AS (SELECT u, v, CAST(split_part(v, ':', 1) AS BIGINT) // 400000 AS vr, (CAST(split_part(v, ':', 2) AS BIGINT) + 1800000000) // 400000 AS vc, secs + CASE WHEN blocked THEN 3600 ELSE 0 END AS cost FROM (SELECT u, v, secs, seg IN (SELECT seg FROM blocked) AS blocked FROM road_segs WHERE direction >= 0 UNION ALL SELECT v, u, secs, seg IN (SELECT seg FROM blocked) FROM road_segs WHERE direction <= 0)),
+    trips AS (SELECT p_partkey AS trip, (412000000 + (greatest(p_partkey // 40 // 25 - 1, 0) * 25 + 1) * 20000) || ':-959960000' AS start, (412000000 + p_partkey // 40 * 20000) || ':' || (-960000000 + p_partkey % 40 * 20000) AS goal FROM part),
+    boxes AS (SELECT start, min(CAST(floor((least(la1, la2) - pad) * 25) AS BIGINT)) AS r0, max(CAST(floor((greatest(la1, la2) + pad) * 25) AS BIGINT)) AS r1, min(CAST(floor((least(lo1, lo2) - pad / c + 180) * 25) AS BIGINT)) AS c0, max(CAST(floor((greatest(lo1, lo2) + pad / c + 180) * 25) AS BIGINT)) AS c1
+        FROM (SELECT *, greatest(CAST(1500 AS DOUBLE), 0.25 * {o.hav('la1', 'lo1', 'la2', 'lo2')}) / 111320 AS pad, cos(radians((la1 + la2) / 2)) AS c FROM (SELECT *, CAST(split_part(start, ':', 1) AS BIGINT) / 1e7 AS la1, CAST(split_part(start, ':', 2) AS BIGINT) / 1e7 AS lo1, CAST(split_part(goal, ':', 1) AS BIGINT) / 1e7 AS la2, CAST(split_part(goal, ':', 2) AS BIGINT) / 1e7 AS lo2 FROM trips)) GROUP BY start)"""
+#: Least costs from each start in the tiles about its trips, relaxed until none falls: the key's row is replaced by a better one.
 LEAST_COST = """{name}(start, node, cost) USING KEY (start, node) AS (SELECT DISTINCT start, start, CAST(0 AS DOUBLE) FROM trips UNION
-    (SELECT n.start, n.node, n.cost FROM (SELECT b.start, e.v AS node, min(b.cost + e.cost) AS cost FROM {name} b JOIN {graph} e ON e.u = b.node{where} GROUP BY ALL) n LEFT JOIN recurring.{name} r ON r.start = n.start AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost - 1e-7))"""
+    (SELECT n.start, n.node, n.cost FROM (SELECT b.start, e.v AS node, min(b.cost + e.cost) AS cost FROM {name} b JOIN {graph} e ON e.u = b.node{where} JOIN boxes x ON x.start = b.start AND e.vr BETWEEN x.r0 AND x.r1 AND e.vc BETWEEN x.c0 AND x.c1 GROUP BY ALL) n LEFT JOIN recurring.{name} r ON r.start = n.start AND r.node = n.node WHERE r.cost IS NULL OR n.cost < r.cost - 1e-7))"""
 PENALISED, FREE = LEAST_COST.format(name="least_cost", graph="graph", where=""), LEAST_COST.format(name="free_cost", graph="graph", where=" AND e.cost < 3600")
 WALKS = lambda *tables, select: o.with_(*ROADS, SPOTS, BLOCKED, GRAPH, *tables, select=select).replace("WITH ways", "WITH RECURSIVE ways", 1)
 
@@ -306,13 +310,13 @@ WALKS = lambda *tables, select: o.with_(*ROADS, SPOTS, BLOCKED, GRAPH, *tables,
 @query("shortest_path", WALKS(PENALISED, select="SELECT trip, round(cost - floor(cost / 3600) * 3600, 3) AS secs, CAST(floor(cost / 3600) AS BIGINT) AS blocked FROM trips t JOIN least_cost c ON c.start = t.start AND c.node = t.goal"))
 def shortest_path(spark: SparkSession, d: str):
     """Fewest blocked segments first (each costs an hour more), then time; trips cross several tiles."""
-    return overlay.shortest_paths(_trips(spark, d), _edges(spark, d), BLOCKED_PENALTY_S, LATTICE_TILE).select("trip", F.round("secs", 3).alias("secs"), "blocked")
+    return overlay.shortest_paths(_trips(spark, d), _edges(spark, d), BLOCKED_PENALTY_S, LATTICE_TILE, LATTICE_AREA_M).select("trip", F.round("secs", 3).alias("secs"), "blocked")
 
 
 @query("free_paths", WALKS(FREE, select="SELECT trip, round(cost, 3) AS secs FROM trips t JOIN free_cost c ON c.start = t.start AND c.node = t.goal"))
 def free_paths(spark: SparkSession, d: str):
     """Quickest paths that use no blocked segment."""
-    return overlay.shortest_paths(_trips(spark, d), _edges(spark, d), None, LATTICE_TILE).select("trip", F.round("secs", 3).alias("secs"))
+    return overlay.shortest_paths(_trips(spark, d), _edges(spark, d), None, LATTICE_TILE, LATTICE_AREA_M).select("trip", F.round("secs", 3).alias("secs"))
 
 
 @query("path_steps", WALKS(PENALISED, select="SELECT trip, round(cost - floor(cost / 3600) * 3600, 3) AS secs, CAST(floor(cost / 3600) AS BIGINT) AS blocked, goal AS last, true AS joined FROM trips t JOIN least_cost c ON c.start = t.start AND c.node = t.goal WHERE t.start <> t.goal"))
@@ -320,7 +324,7 @@ def path_steps(spark: SparkSession, d: str):
     """The edges of the trips' quickest paths, added up: their times and blocks, where they end, and whether each begins where the one before ends."""
     roads_map = overlay.Overlay(_edges(spark, d), BLOCKED_PENALTY_S, LATTICE_TILE)
     trips = _trips(spark, d)
-    steps = roads_map.paths(roads_map.solve(trips)).join(trips.select("trip", "start"), "trip")
+    steps = roads_map.paths(roads_map.solve(trips, area_m=LATTICE_AREA_M)).join(trips.select("trip", "start"), "trip")
     steps = steps.withColumn("fit", F.col("u") == F.coalesce(F.lag("v").over(W.partitionBy("trip").orderBy("nth")), F.col("start")))
     return steps.groupBy("trip").agg(F.round(F.sum("secs"), 3).alias("secs"), F.count_if("blocked").alias("blocked"), F.max_by("v", "nth").alias("last"), F.every("fit").alias("joined"))
 
