@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbsense.llm import bpe, mixing, neardup, quality, secrets
-from curbsense.llm.session import made, release, staged
+from curbsense.llm.session import outside, staged, staging
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that the last stage gives. What a stage has staged is deleted when its result is written."""
+    """The rows that the last stage gives. What a stage has staged on its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mark = made()
     for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
-        release(spark, mark)
+        with staging(spark):
+            # The stage's result stays: it is staged outside of the scope.
+            docs = outside(staged, stage(spark, docs, sf_dir))
     return docs

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,34 +30,45 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-#: Paths of staged tables, in order.
-_made: list[str] = []
+#: Paths of the tables staged in the scope that is open in this thread or task.
+_made: ContextVar[list[str] | None] = ContextVar("staged tables", default=None)
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here.
 
-    A lost executor costs nothing that was staged, and later readers prune columns. The tables stay
-    until release() deletes them, as results may be read at any time.
+    A lost executor costs nothing that was staged, and later readers prune columns. Outside of
+    staging() the tables stay, as results may be read at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made() -> int:
-    """How many staged tables there are; a mark for release()."""
-    return len(_made)
-
-
-def release(spark: SparkSession, mark: int) -> None:
-    """Delete the tables staged since a mark, but for the last one, which holds what they were made for."""
-    for path in _made[mark:-1]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _made[mark:-1]
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """A scope whose staged tables are deleted at its end. Other scopes, also those of other threads, keep theirs."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def outside(stage: Callable[[DataFrame], DataFrame], df: DataFrame) -> DataFrame:
+    """stage(df) as outside of any scope of staging()."""
+    token = _made.set(None)
+    try:
+        return stage(df)
+    finally:
+        _made.reset(token)
 
 
 def python_batches(spark: SparkSession) -> None:
