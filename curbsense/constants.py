@@ -101,3 +101,7 @@ GROUP_M, REJOIN_AHEAD_M, REJOIN_CLEAR_M, REJOIN_LEFT_M, REJOIN_END_M = 150.0, 15
 # Reroute requests (milliseconds between them, and after each failure in a row).
 REROUTE_MIN_MS = 10_000
 REROUTE_WAITS_MS = (10_000, 20_000, 40_000, 60_000)
+
+# Guiding and rerouting (requests, shares, metres).
+GUIDED_REQUESTS, LEG_TRIES, REPLANS, REFUSED_SHARE, REFUSED_M = 40, 3, 4, 1.5, 1000.0
+REJOIN_REQUESTS, REPLAN_REQUESTS, REPLAN_GUIDED_REQUESTS = 3, 6, 12

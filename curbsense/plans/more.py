@@ -6,9 +6,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import OUIS
+from curbsense.constants import BLOCKED_PENALTY_S, GUIDED_REQUESTS, OUIS
 from curbsense.functions import geo, text
-from curbsense.operators import overlay, roads, spatial
+from curbsense.operators import overlay, roads, routing, spatial
+from curbsense.operators.tables import cut
 from curbsense.plans import oracle as o
 from curbsense.plans import tables, travel
 from curbsense.plans.spatial import ON_ROUTE, SEGS, corridors, sql_hit
@@ -336,3 +337,34 @@ def snapshot_decode(spark: SparkSession, d: str):
     digest = F.when(F.col("path") % 3 == 1, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.sha2("content", 256))
     manifest = rows.select("path", F.octet_length("content").alias("bytes"), digest.alias("sha256"))
     return formats.decoded(rows, manifest)
+
+
+def _routed(spark, d):
+    """Trips over the lattice, a road map, and a router to which one edge in 29 of the map is closed."""
+    trips = travel._trips(spark, d, a.table(spark, d, "supplier").select((F.col("s_suppkey") * 20 - 3).alias("way")))
+    edges = cut(travel._edges(spark, d))
+    drives = edges.where(F.pmod(F.xxhash64("u", "v"), F.lit(29)) != 0)
+    return trips, edges, routing.GraphRouter(edges, trips, BLOCKED_PENALTY_S), routing.GraphRouter(drives, trips)
+
+
+@query("guided_routes")
+def guided_routes(spark: SparkSession, d: str):
+    """Trips kept on the road map's paths leg by leg, by a router that refuses some of its edges."""
+    trips, _, road_map, router = _routed(spark, d)
+    out = routing.guide(trips.withColumn("budget", F.lit(GUIDED_REQUESTS)), road_map, router, leg_m=1000.0)
+    return out.select("trip", "outcome", "requests", "plans", F.round(routing.seconds(F.col("path")), 3).alias("secs"), F.size(routing.blocked_edges(F.col("path"))).alias("blocked"))
+
+
+@query("rerouted_cars")
+def rerouted_cars(spark: SparkSession, d: str):
+    """Cars that took another way after the fourth edge of their path; some want the fastest way."""
+    trips, edges, road_map, router = _routed(spark, d)
+    whole = road_map.answer(trips.select("trip", F.lit(0).alias("request"), F.array("start", "goal").alias("stops"), F.array().cast("array<string>").alias("excluded")))
+    old = cut(whole.select("trip", F.posexplode("path").alias("nth", "e")).select("trip", "nth", "e.*"))
+    # A node beside the path from which a way leads on.
+    on_path = old.select("trip", F.col("u").alias("v")).union(old.select("trip", "v"))
+    turns = edges.select(F.col("u").alias("node"), "v").join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    beside = old.where("nth = 3").select("trip", F.col("v").alias("node")).join(turns, "node").join(on_path, ["trip", "v"], "left_anti")
+    cars = beside.groupBy("trip").agg(F.min("v").alias("start")).select("trip", "start", F.lit(800.0).alias("progress_m"), (F.col("trip") % 100 == 17).alias("fastest"))
+    out = routing.reroute(cars, old, road_map, router)
+    return out.select("trip", "status", "requests", "ahead", F.round(routing.seconds(F.col("path")), 3).alias("secs"), F.size(routing.blocked_edges(F.col("path"))).alias("blocked"))
