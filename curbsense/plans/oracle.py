@@ -37,6 +37,14 @@ def wrap(lon: str) -> str:
     return f"({pmod(f'{lon} + 180', 'CAST(360 AS DOUBLE)')} - 180)"
 
 
+def fraction(p: str, q: str, a: str, b: str, x: str, y: str) -> str:
+    """The share of the segment (a, b)-(x, y) before its point nearest to (p, q)."""
+    k = f"(111320.0 * greatest(cos(radians({p})), 0.01))"
+    ax, ay, dx, dy = f"({wrap(f'({b} - {q})')} * {k})", f"(({a} - {p}) * CAST(111320 AS DOUBLE))", f"({wrap(f'({y} - {b})')} * {k})", f"(({x} - {a}) * CAST(111320 AS DOUBLE))"
+    n = f"({dx} * {dx} + {dy} * {dy})"
+    return f"(CASE WHEN {n} > 0 THEN greatest(0.0, least(1.0, -({ax} * {dx} + {ay} * {dy}) / {n})) ELSE 0.0 END)"
+
+
 def seg(p: str, q: str, a: str, b: str, x: str, y: str) -> str:
     """Planar distance from (p, q) to the segment (a, b)-(x, y)."""
     k = f"(111320.0 * greatest(cos(radians({p})), 0.01))"
@@ -127,5 +135,20 @@ WAYS = """ways AS (
     FROM (SELECT p_partkey AS k, p_size, CAST(unnest(range(4)) AS INTEGER) AS i FROM part))"""
 
 
+#: Streets in bends whose rows lie 30 m apart, and drives along them, some 20 m off, with gaps and a way around.
+BENDS = f"""bends AS (
+    SELECT k AS route, i AS pos, {metro('k', 0)} + (k * 7919 % 7000) / CAST(10000 AS DOUBLE) + (i // 2) * CAST(0.00027 AS DOUBLE) AS lat,
+        {metro('k', 1)} + CASE WHEN i % 4 IN (1, 2) THEN CAST(0.005 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS lon
+    FROM (SELECT c_custkey AS k, CAST(unnest(range(12)) AS INTEGER) AS i FROM customer))"""
+
+BEND_DRIVES = """bend_drives AS (
+    SELECT route AS trip, route, j * 3000 AS time_ms,
+        lat1 + (lat2 - lat1) * (j % 10) / CAST(10 AS DOUBLE) + ((route * 7 + j * 13) % 41 - 20) / CAST(100000 AS DOUBLE) + CASE WHEN route % 10 = 3 AND j BETWEEN 40 AND 44 THEN CAST(0.004 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS lat,
+        lon1 + (lon2 - lon1) * (j % 10) / CAST(10 AS DOUBLE) + ((route * 11 + j * 17) % 31 - 15) / CAST(100000 AS DOUBLE) AS lon
+    FROM (SELECT route, pos, lat AS lat1, lon AS lon1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM bends WINDOW w AS (PARTITION BY route ORDER BY pos)),
+        (SELECT CAST(unnest(range(110)) AS BIGINT) AS j)
+    WHERE lat2 IS NOT NULL AND j // 10 = pos AND (route + j) % 17 <> 0)"""
+
+
 def with_(*tables: str, select: str) -> str:
     return f"WITH {', '.join(tables)} {select}"

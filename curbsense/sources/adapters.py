@@ -7,6 +7,7 @@ their keys. plans/oracle.py holds the same derivations in SQL.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Centres that points gather around; the last lies on the antimeridian.
@@ -88,6 +89,25 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("route", "pos", lat.alias("lat"), lon.alias("lon"))
 
 
+def bends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (route, pos, lat, lon) from customer: streets in bends whose rows lie 30 m apart."""
+    k, i = F.col("route"), F.col("pos")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("pos"))
+    lat = _metro(k, 0) + (k * 7919 % 7000) / 1e4 + F.floor(i / 2) * 0.00027
+    return rows.select("route", "pos", lat.alias("lat"), (_metro(k, 1) + F.when((i % 4).isin(1, 2), 0.005).otherwise(0.0)).alias("lon"))
+
+
+def bend_drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (trip, route, time_ms, lat, lon): a drive along each street in bends, some 20 m off, with gaps; every tenth leaves its street for a while."""
+    w, k, j = W.partitionBy("route").orderBy("pos"), F.col("route"), F.col("j")
+    s = bends(spark, sf_dir).withColumns({"lat2": F.lead("lat").over(w), "lon2": F.lead("lon").over(w)}).where("lat2 IS NOT NULL")
+    s = s.withColumn("j", F.explode(F.sequence(F.col("pos").cast("long") * 10, F.col("pos").cast("long") * 10 + 9))).where((k + F.col("j")) % 17 != 0)
+    aside = F.when((k % 10 == 3) & j.between(40, 44), 0.004).otherwise(0.0)
+    lat = F.col("lat") + (F.col("lat2") - F.col("lat")) * (j % 10) / 10.0 + ((k * 7 + j * 13) % 41 - 20) / 1e5 + aside
+    lon = F.col("lon") + (F.col("lon2") - F.col("lon")) * (j % 10) / 10.0 + ((k * 11 + j * 17) % 31 - 15) / 1e5
+    return s.select(k.alias("trip"), "route", (j * 3000).alias("time_ms"), lat.alias("lat"), lon.alias("lon"))
+
+
 def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     name = F.create_map(*(F.lit(x) for x in ("signup", "baseline", "purchase", "added", "view", "added", "error", "removed", "click", "other")))
