@@ -67,15 +67,6 @@ def segment_distance_m(lat: Num, lon: Num, lat1: Num, lon1: Num, lat2: Num, lon2
     return F.hypot(ax + t * dx, ay + t * dy)
 
 
-def segment_fraction(lat: Num, lon: Num, lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
-    """The share of a segment that lies before its point nearest to a point, on the plane of segment_distance_m."""
-    k = METRES_PER_DEGREE * F.greatest(F.cos(F.radians(c(lat))), F.lit(LEAST_COS))
-    ax, ay = wrap_lon(c(lon1) - c(lon)) * k, (c(lat1) - c(lat)) * METRES_PER_DEGREE
-    dx, dy = wrap_lon(c(lon2) - c(lon1)) * k, (c(lat2) - c(lat1)) * METRES_PER_DEGREE
-    length = dx * dx + dy * dy
-    return F.when(length > 0, clamp(-(ax * dx + ay * dy) / length, 0.0, 1.0)).otherwise(0.0)
-
-
 def grid_cell(lat: Num, lon: Num) -> Column:
     """struct(row, col) of the 0.05 degree cell; a coordinate on a boundary belongs to the higher cell."""
     row = F.floor(clamp(lat, -90.0, 90.0) / CELL_SIZE + CELL_NUDGE)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbsense.constants import BACKWARD_COST, BUCKET_SIZE, HEADING_FREE_DEG, HEADING_PENALTY_M, METRES_PER_DEGREE, MOVING_MPS
+from curbsense.constants import BACKWARD_COST, BUCKET_SIZE, HEADING_FREE_DEG, HEADING_PENALTY_M, LEAST_COS, METRES_PER_DEGREE, MOVING_MPS
 from curbsense.functions import geo
 from curbsense.operators.spatial import segments
 from curbsense.operators.tables import cut
@@ -46,23 +46,36 @@ def candidates(fixes: DataFrame, vertices: DataFrame, reach_m: float) -> DataFra
     """Rows (trip, n, time_ms, lat, lon, segment, start_m, end_m, last, off, along, bearing): the segments of its route within reach of each numbered fix."""
     w = W.partitionBy("route")
     s = segments(vertices).withColumn("last", F.col("segment") == F.max("segment").over(w)).withColumn("end_m", F.col("start_m") + F.col("length_m"))
+    # What belongs to one side is reckoned before the join; a pair costs a few products.
+    own = {"dlat": F.col("lat2") - F.col("lat1"), "dlon": geo.wrap_lon(F.col("lon2") - F.col("lon1")), "bearing": geo.bearing_deg("lat1", "lon1", "lat2", "lon2")}
     at = F.struct(geo.bucket("lat").alias("r"), F.pmod(geo.bucket("lon"), F.lit(ROUND)).alias("c"))
-    near = fixes.withColumn("at", at).join(_pieces(s, reach_m), ["route", "at"])
-    line = ("lat", "lon", "lat1", "lon1", "lat2", "lon2")
-    near = near.withColumn("off", geo.segment_distance_m(*line)).where(F.col("off") <= reach_m)
-    along = F.col("start_m") + geo.segment_fraction(*line) * F.col("length_m")
-    return near.select("trip", "n", "time_ms", "lat", "lon", "segment", "start_m", "end_m", "last", "off", along.alias("along"), geo.bearing_deg(*line[2:]).alias("bearing"))
+    scale = METRES_PER_DEGREE * F.greatest(F.cos(F.radians("lat")), F.lit(LEAST_COS))
+    near = fixes.withColumns({"at": at, "scale": scale}).join(_pieces(s, reach_m).withColumns(own), ["route", "at"])
+    high = reach_m / METRES_PER_DEGREE
+    near = near.where(F.col("lat").between(F.least("lat1", "lat2") - high, F.greatest("lat1", "lat2") + high))
+    ax, ay = (F.pmod(F.col("lon1") - F.col("lon") + 180.0, F.lit(360.0)) - 180.0) * F.col("scale"), (F.col("lat1") - F.col("lat")) * METRES_PER_DEGREE
+    dx, dy = F.col("dlon") * F.col("scale"), F.col("dlat") * METRES_PER_DEGREE
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, geo.clamp(-(ax * dx + ay * dy) / length, 0.0, 1.0)).otherwise(0.0)
+    near = near.withColumn("t", t)
+    off = F.sqrt(F.pow(ax + F.col("t") * dx, F.lit(2.0)) + F.pow(ay + F.col("t") * dy, F.lit(2.0)))
+    near = near.withColumn("off", off).where(F.col("off") <= reach_m)
+    return near.select("trip", "n", "time_ms", "lat", "lon", "segment", "start_m", "end_m", "last", "off", (F.col("start_m") + F.col("t") * F.col("length_m")).alias("along"), "bearing")
+
+
+def _own_cost() -> Column:
+    """What a candidate costs whatever the match before: its distance, and more where it heads elsewhere."""
+    turned = F.least(F.lit(1.0), F.greatest(F.lit(0.0), geo.angle_diff("course", "bearing") - HEADING_FREE_DEG) / 90)
+    return F.col("off") + F.coalesce(HEADING_PENALTY_M * turned, F.lit(0.0))
 
 
-def _cost(first: bool) -> Column:
+def _choice(first: bool) -> Column:
     """struct(outside, cost, segment): the least is chosen; costs are compared by the millimetre, and equal ones by segment."""
-    turned = F.least(F.lit(1.0), F.greatest(F.lit(0.0), geo.angle_diff("course", "bearing") - HEADING_FREE_DEG) / 90)
-    cost = F.col("off") + F.coalesce(HEADING_PENALTY_M * turned, F.lit(0.0))
     if first:
-        return F.struct(F.lit(False).alias("outside"), F.round(cost, 3).alias("cost"), "segment")
+        return F.struct(F.lit(False).alias("outside"), F.round("cost", 3).alias("cost"), "segment")
     inside = (F.col("start_m") <= F.col("before") + F.col("ahead")) & (F.col("last") | (F.col("end_m") > F.greatest(F.lit(0.0), F.col("before") - BEHIND_M)))
     back = BACKWARD_COST * F.greatest(F.lit(0.0), F.col("before") - F.col("along"))
-    return F.struct((~inside).alias("outside"), F.round(cost + F.when(inside, back).otherwise(0.0), 3).alias("cost"), "segment")
+    return F.struct((~inside).alias("outside"), F.round(F.col("cost") + F.when(inside, back).otherwise(0.0), 3).alias("cost"), "segment")
 
 
 def _decided(steps: DataFrame) -> DataFrame:
@@ -102,9 +115,10 @@ def windowed(fixes: DataFrame, vertices: DataFrame, reach_m: float = 60.0, made:
     course = F.when((F.col("speed") >= MOVING_MPS) & (F.col("moved") > 3.0), geo.bearing_deg("p_lat", "p_lon", "lat", "lon"))
     ahead = F.greatest(F.lit(AHEAD_M), F.col("speed") * F.greatest(F.col("gap"), F.lit(1.0)) * 2 + AHEAD_FREE_M)
     here = found.select("trip", "n", "segment", "start_m", "end_m", "last", "off", "along", "bearing").join(seen.select("trip", "n", "base", course.alias("course"), ahead.alias("ahead")), ["trip", "n"])
+    here = here.withColumn("cost", _own_cost()).drop("off", "bearing", "course")
     last = found.select("trip", F.col("n").alias("base"), F.col("segment").alias("came"), F.col("along").alias("before"))
-    first = here.where("base IS NULL").groupBy("trip", "n").agg(F.min(_cost(True)).alias("m"))
-    later = here.join(last, ["trip", "base"]).groupBy("trip", "n", "base", "came").agg(F.min(_cost(False)).alias("m"))
+    first = here.where("base IS NULL").groupBy("trip", "n").agg(F.min(_choice(True)).alias("m"))
+    later = here.join(last, ["trip", "base"]).groupBy("trip", "n", "base", "came").agg(F.min(_choice(False)).alias("m"))
     empty = {c: F.lit(None).cast("int") for c in ("base", "came")}
     steps = first.withColumns(empty).unionByName(later).select("trip", "n", "base", F.col("came").cast("int"), F.col("m.segment").cast("int").alias("segment"))
     steps, sure = cut(_decided(steps), made), []
