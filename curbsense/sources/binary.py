@@ -46,23 +46,34 @@ def pack_ways(ways: DataFrame) -> DataFrame:
     return ways.groupBy("tile").applyInPandas(run, "tile long, data binary")
 
 
+#: Rows after which unpacked ways are given out.
+ROWS = 50_000
+
+
+def _unpacked(batches, most: int = ROWS):
+    """Frames of the points of packed tiles, each with those of no more tiles than it takes to have `most` rows."""
+    names = ["tile", "way", "direction", "kmh", "pos", "lat_e7", "lon_e7"]
+    parts, rows = [], 0
+    for pdf in batches:
+        for tile, data in pdf[["tile", "data"]].itertuples(index=False):
+            numbers, i = np.array(_numbers(gzip.decompress(data)), dtype=np.int64), 0
+            while i < len(numbers):
+                way, direction, kmh, n = numbers[i : i + 4]
+                z = numbers[i + 4 : i + 4 + 2 * n]
+                at = ((z >> 1) ^ -(z & 1)).reshape(-1, 2).cumsum(axis=0)
+                parts.append(np.column_stack([np.tile([tile, way, direction - 1, kmh], (n, 1)), np.arange(n), at]))
+                rows += n
+                i += 4 + 2 * n
+            if rows >= most:
+                yield pd.DataFrame(np.concatenate(parts), columns=names)
+                parts, rows = [], 0
+    if parts:
+        yield pd.DataFrame(np.concatenate(parts), columns=names)
+
+
 def unpack_ways(tiles: DataFrame) -> DataFrame:
     """Rows (tile, way, direction, kmh, pos, lat_e7, lon_e7) of packed tiles."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for tile, data in pdf[["tile", "data"]].itertuples(index=False):
-                numbers, i = _numbers(gzip.decompress(data)), 0
-                while i < len(numbers):
-                    way, direction, kmh, n = numbers[i : i + 4]
-                    z = np.array(numbers[i + 4 : i + 4 + 2 * n], dtype=np.int64)
-                    at = ((z >> 1) ^ -(z & 1)).reshape(-1, 2).cumsum(axis=0)
-                    rows += [(tile, way, direction - 1, kmh, k, int(a), int(b)) for k, (a, b) in enumerate(at)]
-                    i += 4 + 2 * n
-            yield pd.DataFrame(rows, columns=["tile", "way", "direction", "kmh", "pos", "lat_e7", "lon_e7"])
-
-    return tiles.mapInPandas(run, "tile long, way long, direction int, kmh int, pos int, lat_e7 int, lon_e7 int")
+    return tiles.mapInPandas(_unpacked, "tile long, way long, direction int, kmh int, pos int, lat_e7 int, lon_e7 int")
 
 
 #: The point format's mark, and its columns in order (number kinds; 29 bytes a point).
