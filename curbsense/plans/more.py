@@ -74,9 +74,10 @@ def wifi_wigle_ingest(spark: SparkSession, d: str):
     lines = s.select("pos", F.concat_ws(",", "netid", name, F.lit("[WPA2]"), F.lit("2024-01-01"), F.lit("6"), F.lit("-60"), "trilat", "trilong", F.lit("1"), F.lit("2"), kind).alias("line"))
     head = spark.createDataFrame([(-2, "WigleWifi-1.4,appRelease=1"), (-1, "MAC,SSID,AuthMode,FirstSeen,Channel,RSSI,CurrentLatitude,CurrentLongitude,AltitudeMeters,AccuracyMeters,Type")], "pos long, line string")
     rows = formats.scanner_rows(head.unionByName(lines))
-    rows = rows.select("pos", text.mac_normalize(F.col("mac")).alias("netid"), "ssid", F.col("currentlatitude").try_cast("double").alias("lat"), F.col("currentlongitude").try_cast("double").alias("lon"), F.upper(F.trim(F.coalesce("type", F.lit("")))).alias("type"))
+    netid = F.explode(F.array(text.mac_normalize(F.col("mac")))).alias("netid")  # once a row
+    rows = rows.where(F.upper(F.trim(F.coalesce("type", F.lit("")))).isin("", "WIFI")).select("pos", netid, "ssid", F.col("currentlatitude").try_cast("double").alias("lat"), F.col("currentlongitude").try_cast("double").alias("lon"))
     matched = F.substring("netid", 1, 8).isin(*OUIS) | text.ssid_match(F.col("ssid"))
-    return rows.where(F.col("type").isin("", "WIFI") & F.col("netid").isNotNull() & matched & geo.valid_coord("lat", "lon") & ~((F.col("lat") == 0) & (F.col("lon") == 0))).select("pos", "netid", "ssid", F.round("lat", 6).alias("lat"))
+    return rows.where(F.col("netid").isNotNull() & matched & geo.valid_coord("lat", "lon") & ~((F.col("lat") == 0) & (F.col("lon") == 0))).select("pos", "netid", "ssid", F.round("lat", 6).alias("lat"))
 
 
 @query("suggest_label", "SELECT k, CASE WHEN trim(coalesce(name, '')) <> '' THEN trim(name) WHEN number THEN k || ' Harney Street' ELSE 'Durham Museum' END AS label FROM (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN ' ' END AS name, p_partkey % 2 = 0 AS number FROM part)")
