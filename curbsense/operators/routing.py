@@ -35,8 +35,6 @@ from curbsense.operators.tables import cut
 
 ANSWER = "trip long, request int, status string, path " + PATH
 KEYS = "array<string>"
-#: Trips that one task answers with one copy of their area's edges.
-TASK_TRIPS = 500
 
 
 class Router(Protocol):
@@ -59,43 +57,37 @@ class GraphRouter:
     """
 
     def __init__(self, edges: DataFrame, trips: DataFrame, penalty_s: float | None = 0.0, most_excluded: int | None = None):
-        placed, held = roads.trip_areas(trips, edges)
-        sizes = placed.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / TASK_TRIPS).alias("tasks"))
-        part = F.pmod(F.xxhash64("trip"), F.col("tasks"))
-        self.placed = cut(placed.join(sizes, "region").select("trip", F.col("region").alias("area"), F.concat_ws("/", "region", part).alias("task")))
-        self.held = cut(held)
-        self.penalty_s, self.most_excluded = penalty_s, most_excluded
+        self.areas, self.penalty_s, self.most_excluded = roads.Areas(trips, edges), penalty_s, most_excluded
 
     def answer(self, requests: DataFrame) -> DataFrame:
         penalty_s, most = self.penalty_s, self.most_excluded
 
         def drive(asks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-            graph = roads._graph(edges, penalty_s)
-            known = {(u, v): (secs, blocked) for u, v, secs, blocked in edges[["u", "v", "secs", "blocked"]].sort_values("secs", ascending=False).itertuples(index=False)}
-            rows = []
+            graph, rows = roads.Roads(edges, penalty_s), []
+            asks = asks.assign(at=asks["stops"].map(lambda stops: stops[0])).sort_values("at")
             for trip, request, stops, excluded in asks[["trip", "request", "stops", "excluded"]].itertuples(index=False):
-                closed = {tuple(e.split(">")) for e in excluded}
+                closed = frozenset(tuple(e.split(">")) for e in excluded)
                 if most is not None and len(closed) > most:
                     rows.append((trip, request, "too_many", None))
                     continue
                 path = _driven(graph, list(stops), closed)
-                rows.append((trip, request, "no_route", None) if path is None else (trip, request, "ok", [(*e, float(known[e][0]), bool(known[e][1])) for e in path]))
+                rows.append((trip, request, "no_route" if path is None else "ok", path))
             return pd.DataFrame(rows, columns=["trip", "request", "status", "path"])
 
-        asked = requests.join(self.placed, "trip")
-        held = self.held.join(asked.select("area", F.concat("task", F.lit("")).alias("of_task")).distinct(), "area")
+        asked = requests.join(self.areas.trips.select("trip", "area", "task"), "trip")
+        held = self.areas.held(asked)
         return asked.groupBy("task").cogroup(held.groupBy("of_task")).applyInPandas(drive, ANSWER)
 
 
-def _driven(graph: dict, stops: list[str], closed: set) -> list[tuple[str, str]] | None:
+def _driven(graph: roads.Roads, stops: list[str], closed: frozenset) -> list[tuple[str, str, float, bool]] | None:
     """Edges of the quickest way by the stops, or None."""
     at, path = stops[0].split(">")[-1], []
     for stop in stops[1:]:
         u, _, v = stop.partition(">")
-        found = roads._quickest(graph, at, u, closed)
-        if found is None or (v and ((u, v) in closed or all(n != v for n, _, _ in graph.get(u, ())))):
+        found, through = graph.quickest(at, u, closed), graph.edge(u, v) if v and (u, v) not in closed else None
+        if found is None or (v and through is None):
             return None
-        path += found[1] + [(u, v)] * bool(v)
+        path += found[1] + [through] * bool(v)
         at = v or u
     return path
 
