@@ -282,7 +282,8 @@ def reroute(cars: DataFrame, old: DataFrame, road_map: Router, router: Router, l
     """
     w = W.partitionBy("trip").orderBy("nth")
     length = geo.haversine_m(node_lat("u"), node_lon("u"), node_lat("v"), node_lon("v"))
-    placed = old.withColumn("end_m", F.sum(length).over(w)).withColumn("start_m", F.coalesce(F.lag("end_m").over(w), F.lit(0.0)))
+    # Read for lengths, marks and what is left of a path.
+    placed = cut(old.withColumn("end_m", F.sum(length).over(w)).withColumn("start_m", F.coalesce(F.lag("end_m").over(w), F.lit(0.0))))
     lengths = placed.groupBy("trip").agg(F.max("end_m").alias("length_m"), F.max_by("v", "nth").alias("goal"))
     marks = placed.where("blocked").select(F.col("trip").alias("route"), ((F.col("start_m") + F.col("end_m")) / 2).alias("along_m"))
     asked = cars.where("NOT fastest").select(F.col("trip").alias("route"), "progress_m")
