@@ -195,7 +195,7 @@ FREE_THERE, FEWEST_THERE = (travel.LEAST_COST.format(name=n, graph="there", wher
 @query("road_check", travel.WALKS(CHECKED, FREE_THERE, FEWEST_THERE, select="SELECT trip, CASE WHEN f.cost IS NOT NULL THEN 'free' WHEN trip IN (SELECT trip FROM part_map) THEN 'partial' WHEN c.cost IS NOT NULL THEN 'fewest' ELSE 'unconnected' END AS status, CASE WHEN f.cost IS NOT NULL THEN 0 WHEN trip NOT IN (SELECT trip FROM part_map) THEN CAST(floor(c.cost / 3600) AS BIGINT) END AS blocked, CASE WHEN f.cost IS NOT NULL THEN round(f.cost, 3) WHEN trip NOT IN (SELECT trip FROM part_map) THEN round(c.cost - floor(c.cost / 3600) * 3600, 3) END AS secs FROM trips t LEFT JOIN free_cost f ON f.start = t.start AND f.node = t.goal LEFT JOIN least_cost c ON c.start = t.start AND c.node = t.goal"))
 def road_check(spark: SparkSession, d: str):
     """What the road map says of every trip, where some tiles haven't arrived."""
-    edges = travel._edges(spark, d).withColumn("tile", overlay.tile_of(F.col("u"), travel.LATTICE_TILE))
+    edges = cut(travel._edges(spark, d).withColumn("tile", overlay.tile_of(F.col("u"), travel.LATTICE_TILE)))
     missing = edges.where("tile % 11 = 0").select("tile").distinct()
     # Tiles without a road are missing as well: any number in the lattice's reach.
     span = spark.range(412000000 // 400000 - 50, 412000000 // 400000 + 2000).withColumnRenamed("id", "r").withColumn("c", F.explode(F.sequence(F.lit(2060), F.lit(2140))))
