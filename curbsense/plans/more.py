@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curbsense.constants import BLOCKED_PENALTY_S, GUIDED_REQUESTS, OUIS
 from curbsense.functions import geo, text
-from curbsense.operators import matching, overlay, roads, routing, spatial
+from curbsense.operators import lockstep, overlay, roads, routing, spatial
 from curbsense.operators.tables import cut
 from curbsense.plans import oracle as o
 from curbsense.plans import tables, travel
@@ -315,7 +315,7 @@ WALK = f"""fixes AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY
 @query("map_match_windowed", o.with_(o.BENDS, o.BEND_DRIVES, BEND_LINES, WALK, select="SELECT f.trip, f.n, f.time_ms, CAST(m.segment AS INTEGER) AS segment, round(m.along, 2) AS along_m, round(m.off, 2) AS off_m FROM fixes f LEFT JOIN walk w ON w.trip = f.trip AND w.n = f.n").replace("WITH", "WITH RECURSIVE", 1))
 def map_match_windowed(spark: SparkSession, d: str):
     """Drives along streets in bends: the nearest row is often another one, and the window about the last match tells which."""
-    out = matching.windowed(a.bend_drives(spark, d), a.bends(spark, d))
+    out = lockstep.matched(a.bend_drives(spark, d), a.bends(spark, d))
     return out.withColumns({"along_m": F.round("along_m", 2), "off_m": F.round("off_m", 2)})
 
 
